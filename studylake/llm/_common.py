@@ -60,12 +60,12 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def map_slices(df: DataFrame, text: int, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+def map_slices(df: DataFrame, text: int, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow by bounded slices; `work` turns one slice into one batch or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 if (made := work(part)) is not None and made.num_rows:
                     yield made
 

@@ -30,7 +30,9 @@ from studylake.llm._common import cut, id_type, map_slices, texts_of
 #: Odd multipliers of the two rolling hashes, and of the mixing of word hashes (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
+#: Text bytes whose hashes are held at once; a word takes several hashes.
+HELD_BYTES = 3 << 20
 _kept: dict[bytes, int] = {}
 
 
@@ -116,7 +118,7 @@ def _edges(df: DataFrame, kind: str, window: int, k: int, places: bool) -> DataF
         made += [part.column(2).take(pa.array(e["text"])), pa.array(e["start"].astype(np.int32)), pa.array(e["windows"].astype(np.int32))]
         return pa.RecordBatch.from_arrays(made, names=names)
 
-    return map_slices(df, 1, work, f"anchor long, content long, id {kind}" + (", row long, start int, windows int" if places else f", other {kind}"))
+    return map_slices(df, 1, work, f"anchor long, content long, id {kind}" + (", row long, start int, windows int" if places else f", other {kind}"), HELD_BYTES)
 
 
 def _covered(n: int, starts: list[int], counts: list[int], window: int) -> np.ndarray:
@@ -158,7 +160,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([*columns, part.column(0).take(at), part.column(2).take(at), pa.array(np.concatenate(places).astype(np.int32))], names=["w1", "w2", "id", "row", "at"])
 
     rims = docs.join(marks.where(F.size("open") > 0).select("id", "row", "open"), ["id", "row"]).select("id", "text", "row", "open")
-    windows, _ = cut(map_slices(rims, 1, opened, f"w1 long, w2 long, id {kind}, row long, at int"))
+    windows, _ = cut(map_slices(rims, 1, opened, f"w1 long, w2 long, id {kind}, row long, at int", HELD_BYTES))
     shared = windows.groupBy("w1", "w2").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source <> last").drop("last")
     late = windows.join(shared, ["w1", "w2"]).where("id <> source").groupBy("id", "row").agg(F.collect_list("at").alias("at"))
     whole = marks.where(F.size("whole") > 0).select("id", "row", "whole")
