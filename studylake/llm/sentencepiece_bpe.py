@@ -11,10 +11,11 @@ repeated rows are encoded alike; an empty table gives an empty result. Other col
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from studylake.llm._common import map_slices
 
 SPACE = "▁"
-#: Chunks whose pieces a worker keeps; the table is emptied beyond that.
-KEPT_CHUNKS = 400_000
+#: Chunks whose pieces a worker keeps; beyond that the older half goes unless it is met again.
+KEPT_CHUNKS = 800_000
 
 
 class Vocabulary:
@@ -51,7 +52,9 @@ class Vocabulary:
         self.end = model.trainer_spec.eos_id
         self.unknown = model.trainer_spec.unk_id
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
-        self.scores = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
+        #: Rank by score, highest first; equal scores have equal ranks.
+        order = {x: r for r, x in enumerate(sorted({p.score for p in model.pieces if p.type == kinds.NORMAL}, reverse=True))}
+        self.ranks = {p.piece: order[p.score] for p in model.pieces if p.type == kinds.NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         #: What each id adds to a text: a string, or a byte over 7F, which needs its neighbours.
         self.surface: list[str | int] = ["" for _ in model.pieces]
@@ -65,57 +68,98 @@ class Vocabulary:
         self.high = {i for i, x in enumerate(self.surface) if isinstance(x, int)}
         #: A chunk ends before a space mark that follows another character, unless some piece goes on there.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        #: Neighbouring characters inside pieces: between any others a chunk falls apart.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.wrong: set[str] = set()
         self.names = list(map(str, range(len(model.pieces))))
 
-    def merge(self, chunk: str) -> list[int]:
-        """The ids of one chunk, by the agenda. A symbol is a span of the chunk: at[i] is where the one that starts at i stops, 0 once it is merged away."""
-        scores, size = self.scores.get, len(chunk)
-        at = list(range(1, size + 1))
-        before = list(range(-1, size))
-        agenda = [(-score, i, i + 1, i + 2) for i in range(size - 1) if (score := scores(chunk[i : i + 2])) is not None]
-        heapq.heapify(agenda)
+    def merge(self, chunk: str, pairs: list[str]) -> list[int]:
+        """The ids of one chunk, by the agenda; pairs: its neighbouring characters.
+
+        A symbol is a span of the chunk: at[i] is where the one that starts at i stops, 0 once it is merged away. An entry of the agenda
+        is one number: the joined piece's rank by score, its start, its length; so the order is by score, then from the left.
+        """
+        ranks, size = self.ranks.get, len(chunk)
+        agenda = [r << 48 | i << 24 | 2 for i, r in enumerate(map(ranks, pairs)) if r is not None]
+        if not agenda:
+            return [x for c in chunk for x in self.alone(c)]
+        at = list(range(1, size + 2))
+        before = list(range(-1, size + 1))
+        heapify(agenda)
         while agenda:
-            _, left, middle, stop = heapq.heappop(agenda)
-            if at[left] != middle or at[middle] != stop:
+            entry = heappop(agenda)
+            left = entry >> 24 & 0xFFFFFF
+            stop = left + (entry & 0xFFFFFF)
+            middle = at[left]
+            if at[middle] != stop or not middle:
                 continue
-            at[left], at[middle] = stop, 0
+            at[left] = stop
+            at[middle] = 0
             before[stop] = left
-            if stop < size and (score := scores(chunk[left : at[stop]])) is not None:
-                heapq.heappush(agenda, (-score, left, stop, at[stop]))
-            if (ahead := before[left]) >= 0 and (score := scores(chunk[ahead:stop])) is not None:
-                heapq.heappush(agenda, (-score, ahead, left, stop))
-        symbols, i = [], 0
+            if stop < size:
+                after = at[stop]
+                if (r := ranks(chunk[left:after])) is not None:
+                    heappush(agenda, r << 48 | left << 24 | after - left)
+            if left:
+                ahead = before[left]
+                if (r := ranks(chunk[ahead:stop])) is not None:
+                    heappush(agenda, r << 48 | ahead << 24 | stop - ahead)
+        out: list[int] = []
+        ids, i = self.ids.get, 0
         while i < size:
-            symbols.append(chunk[i : at[i]])
+            s = chunk[i : at[i]]
             i = at[i]
-        out: list[int] = []
-        for s in symbols:
-            if (found := self.ids.get(s)) is not None:
+            if (found := ids(s)) is not None:
                 out.append(found)
-            elif self.bytes:
-                out += [self.bytes[b] for b in s.encode()]
             else:
-                out.append(self.unknown)
+                out += self.alone(s)
         return out
 
+    def alone(self, character: str) -> list[int]:
+        """The ids of a character that is not merged."""
+        if (found := self.ids.get(character)) is not None:
+            return [found]
+        return [self.bytes[b] for b in character.encode()] if self.bytes else [self.unknown]
+
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
         marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked) if self.cuts else [marked]
 
+    def pieces(self, chunk: str) -> tuple[int, ...]:
+        """The ids of one chunk, merged between the places that no piece spans; parts that were met before are not merged again."""
+        inside, parts = self.inside, self.parts
+        pairs = list(map(add, chunk, chunk[1:]))
+        if inside.issuperset(pairs):
+            return tuple(self.merge(chunk, pairs))
+        cuts = [i for i, p in enumerate(pairs, 1) if p not in inside]
+        out: list[int] = []
+        for first, stop in zip([0, *cuts], [*cuts, len(chunk)], strict=True):
+            part = chunk[first:stop]
+            if (ids := parts.get(part)) is None:
+                if len(parts) > KEPT_CHUNKS // 2:
+                    parts.clear()
+                ids = parts[part] = tuple(self.merge(part, pairs[first : stop - 1]))
+            out += ids
+        return tuple(out)
+
     def learn(self, chunks: set[str]) -> None:
         """Merge the chunks that this worker has not met, and have the library encode the same ones as a check."""
-        kept = self.kept
-        new = [c for c in chunks if c not in kept]
-        if len(kept) + len(new) > KEPT_CHUNKS:
-            kept.clear()
-            self.wrong.clear()
-            new = list(chunks)
-        for c in new:
-            kept[c] = tuple(self.merge(c))
+        kept, older = self.kept, self.older
+        if len(kept) > KEPT_CHUNKS // 2:
+            self.older, self.kept = kept, {}
+            kept, older = self.kept, self.older
+        new = []
+        for c in chunks:
+            if c not in kept:
+                if (ids := older.get(c)) is None:
+                    new.append(c)
+                    ids = self.pieces(c)
+                kept[c] = ids
         skip = int(self.prefix)
         told = [c for c in new if len(c) > skip]  # the mark alone is no text of its own
         theirs = self.library.encode([c[skip:].replace(SPACE, " ") for c in told], num_threads=1)
@@ -182,9 +226,11 @@ def encode_decode(df: DataFrame, model: str, text_col: str = "text", columns: li
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(model)
-        ids, agrees = v.encode([t or "" for t in part.column(0).to_pylist()], end)
+        texts = [t or "" for t in part.column(0).to_pylist()]
+        ids, agrees = v.encode(texts, end)
         decoded = [v.decode(i) for i in ids]
-        agrees = [a and v.library.decode(i) == d for a, i, d in zip(agrees, ids, decoded, strict=True)]
+        # a text that comes back whole is decoded right; the library judges the others
+        agrees = [a and (d == t or v.library.decode(i) == d) for a, i, d, t in zip(agrees, ids, decoded, texts, strict=True)]
         if digests:
             joined = [hashlib.sha256(" ".join(map(v.names.__getitem__, i)).encode()).hexdigest() for i in ids]
             made = [pa.array([len(i) for i in ids], pa.int64()), pa.array(joined, pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string())]
