@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Text bytes that one slice of an Arrow batch holds at most, unless a single text is longer.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+#: Rows of an Arrow batch at most: texts can be long, and a batch is held several times on its way to a worker and back.
+BATCH_ROWS = 1000
 
 #: Maps A-Z to a-z and leaves every other byte of UTF-8 as it is.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -60,6 +63,15 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches cut to BATCH_ROWS rows unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(name, "10000"))
+    if not 0 < held <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def map_slices(df: DataFrame, text: int, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow by bounded slices; `work` turns one slice into one batch or None."""
 
@@ -68,8 +80,9 @@ def map_slices(df: DataFrame, text: int, work: Callable[[pa.RecordBatch], pa.Rec
             for part in slices(batch, text, limit):
                 if (made := work(part)) is not None and made.num_rows:
                     yield made
+        pa.default_memory_pool().release_unused()  # the worker lives on with the next task
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def id_type(df: DataFrame, id_col: str) -> str:

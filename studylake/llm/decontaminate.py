@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studylake.llm._common import LOWER_AZ, cut, map_slices, slices, texts_of
+from studylake.llm._common import LOWER_AZ, bounded, cut, map_slices, slices, texts_of
 
 #: Item text in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -88,7 +88,7 @@ def _frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
                         counts[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = bounded(docs).select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     return {bytes(r.w): r.n for r in rows}
 
 

@@ -27,7 +27,7 @@ from studylake.llm._common import map_slices
 
 SPACE = "▁"
 #: Chunks whose pieces a worker keeps; beyond that the older half goes unless it is met again.
-KEPT_CHUNKS = 800_000
+KEPT_CHUNKS = 600_000
 
 
 class Vocabulary:

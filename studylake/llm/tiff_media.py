@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm._common import id_type, slices
+from studylake.llm._common import bounded, id_type, slices
 
 # Fixed values of the TIFF 6.0 specification: tags, compressions, bytes of a value by field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -303,7 +303,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([stored(padded(t)) for t in texts], pa.binary())], names=["id", "n_bytes", "media"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type(df, id_col)}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(run, f"id {id_type(df, id_col)}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def decode_pages(df: DataFrame, media_col: str = "media", columns: list[str] | None = None) -> DataFrame:
@@ -327,7 +327,7 @@ def decode_pages(df: DataFrame, media_col: str = "media", columns: list[str] | N
 
     types = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(media_col, *kept).mapInArrow(run, f"{fields}, {PAGE}" if kept else PAGE)
+    return bounded(df).select(media_col, *kept).mapInArrow(run, f"{fields}, {PAGE}" if kept else PAGE)
 
 
 def features(counts: np.ndarray, rough: int) -> str:

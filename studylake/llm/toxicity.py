@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studylake.llm._common import cut, map_slices, slices, texts_of
+from studylake.llm._common import bounded, cut, map_slices, slices, texts_of
 from studylake.llm.decontaminate import words_of
 
 #: Labelled documents that are trained on, at most; words that models see, at most.
 MAX_ROWS, MAX_WORDS = 12_000, 4_000
+#: Words that a task counts before it hands the counts on.
+HELD_WORDS = 100_000
 MIN_Z, MIN_DOCS = 4.0, 5
 #: Share of the documents with one of the label's values that must have a word, so that the vocabulary of one subject is no evidence.
 MIN_SHARE = 0.05
@@ -140,17 +142,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batches):
         counts: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
-        total = [0, 0]
+
+        def give() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["w", "bad", "good"])
+            counts.clear()
+            return made
+
         for batch in batches:
             for part in slices(batch, 0):
                 for text, bad in zip(texts_of(part.column(0)), part.column(1).to_pylist(), strict=True):
-                    total[bad] += 1
+                    counts[b""][bad] += 1  # the number of documents; no word is empty
                     for w in set(words_of(text)):
                         counts[w][bad] += 1
-        counts[b""] = total  # no word is empty
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["w", "bad", "good"])
+                if len(counts) > HELD_WORDS:
+                    yield give()
+        yield give()
 
-    counted = sample.mapInArrow(count, "w binary, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = bounded(sample).mapInArrow(count, "w binary, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     totals = counted.where(F.length("w") == 0).first()
     bad_n, good_n = (totals.bad, totals.good) if totals else (0, 0)
     if not bad_n:
