@@ -13,7 +13,7 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("learning", "relational")
+MODULES = ("learning", "relational", "retrieval")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
