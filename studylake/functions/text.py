@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Fixed values of the Arabic fold: letters that fold to one, digits, marks that go.
 ARABIC_FROM, ARABIC_TO = "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩", "ااااياويي0123456789".replace("ياويي", "يهوي")
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
+# Stop words that tell the languages apart.
+ENGLISH = ("the", "and", "of", "is", "to", "in", "that", "with")
+FRENCH = ("le", "la", "les", "des", "et", "est", "une", "dans", "que")
 MARKS = "[\\u0640\\u064B-\\u0652\\u0670]"
 
 
@@ -42,9 +45,10 @@ def content_key(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """ar, en, fr, mixed or null by script share and stop words."""
-    count = lambda p: F.regexp_count(F.lower(text), F.lit(p))
+    own = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+    count = lambda stops: F.size(F.filter(own, lambda w: w.isin(*stops)))
     arabic, latin = F.regexp_count(text, F.lit("[\\u0600-\\u06FF]")), F.regexp_count(text, F.lit("[A-Za-zÀ-ÿ]"))
-    english, french = count(r"\b(the|and|of|is|to|in|that|with)\b"), count(r"\b(le|la|les|des|et|est|une|dans|que)\b")
+    english, french = count(ENGLISH), count(FRENCH)
     return (
         F.when(arabic + latin == 0, None).when(arabic > latin * 2, "ar").when(arabic * 2 > latin, "mixed")
         .when(english > french, "en").when(french > english, "fr")
