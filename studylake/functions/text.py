@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the Arabic fold: letters that fold to one, digits, marks that go.
 ARABIC_FROM, ARABIC_TO = "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩", "ااااياويي0123456789".replace("ياويي", "يهوي")
@@ -17,12 +18,12 @@ FRENCH = ("le", "la", "les", "des", "et", "est", "une", "dans", "que")
 MARKS = "[\\u0640\\u064B-\\u0652\\u0670]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_accents(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 

@@ -13,7 +13,10 @@ from studylake.sources import files
 from studylake.sources.tables import table as t
 
 c = F.col
-MD5 = F.md5(c("text").cast("binary"))
+
+
+def text_hash():
+    return F.md5(c("text").cast("binary"))
 
 
 @query("a03_csv_round_trip", "SELECT doc_id, text, lang FROM documents")
@@ -136,7 +139,7 @@ def j21_content_key(s, d):
 @query("k01_exact_groups", "SELECT doc_id, survivor FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY md5(text) ORDER BY (quality IS NOT NULL) DESC, doc_id) AS survivor FROM documents LEFT JOIN labels USING (doc_id)) WHERE doc_id <> survivor")
 def k01_exact_groups(s, d):
     """The best of each group by an aggregate that combines before the shuffle, so a group of a third of all rows is no single task's."""
-    docs = t(s, d, "documents").join(t(s, d, "labels"), "doc_id", "left").select("doc_id", MD5.alias("h"), c("quality").isNull().alias("bare"))
+    docs = t(s, d, "documents").join(t(s, d, "labels"), "doc_id", "left").select("doc_id", text_hash().alias("h"), c("quality").isNull().alias("bare"))
     best = docs.groupBy("h").agg(F.min(F.struct("bare", "doc_id")).alias("b"))
     return docs.join(best, "h").select("doc_id", c("b.doc_id").alias("survivor")).where("doc_id <> survivor")
 
@@ -161,7 +164,7 @@ def k05_orphans(s, d):
 @query("k11_twins_across", "SELECT DISTINCT a.source AS a, b.source AS b FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.source < b.source")
 def k11_twins_across(s, d):
     """Pairs of sources with a common text; copies within a source count once, and there are few sources."""
-    each = t(s, d, "documents").select(MD5.alias("h"), "source").distinct()
+    each = t(s, d, "documents").select(text_hash().alias("h"), "source").distinct()
     return each.select("h", c("source").alias("a")).join(each.select("h", c("source").alias("b")), "h").where("a < b").select("a", "b").distinct()
 
 
