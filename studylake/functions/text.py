@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Fixed values of the Arabic fold: letters that fold to one, digits, marks that go.
-ARABIC_FROM, ARABIC_TO = "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩", "ااااياويي0123456789".replace("ياويي", "يهوي")
+ARABIC_FROM = "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩"
+ARABIC_TO = "اااايهوي0123456789"
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 # Stop words that tell the languages apart.
 ENGLISH = ("the", "and", "of", "is", "to", "in", "that", "with")
