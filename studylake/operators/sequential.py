@@ -31,45 +31,54 @@ def repetition_state(answers: DataFrame, by: list[str], at: str, tie: str, quali
     return folded.select(*by, "s.ease", "s.interval", "s.repetitions")
 
 
-def assemble_paper(items: list[tuple[str, float]], target: float = 20.0, least: int = 3, most: int = 6, steps: int = 50_000) -> list[str] | None:
-    """Ids of least to most items whose marks sum exactly to the target: the first found in the given order, None if there is none in the step bound."""
-    marks = [int(round(m * 2)) for _, m in items]
-    goal = int(round(target * 2))
-    left = steps
-
-    def search(at: int, chosen: list[int], total: int) -> list[int] | None:
-        nonlocal left
-        if total == goal and len(chosen) >= least:
-            return chosen
-        if at == len(items) or len(chosen) == most or total >= goal or left <= 0:
+def assemble_paper(items: list[tuple[str, float, str]], target: float = 20.0, least: int = 3, most: int = 6, steps: int = 50_000, large: float = 5.0) -> list[str] | None:
+    """Ids of least to most items (id, marks, chapter) whose marks sum exactly to the target, never two large ones of a chapter.
+
+    The first found in the given order; None if there is none in the step bound.
+    """
+    goal = round(target * 100)
+    usable = [(i, round(m * 100), c if m >= large else None) for i, m, c in items if m is not None and 0 < m <= target]
+    stack: list[tuple[int, int, tuple[str, ...], frozenset[str]]] = [(0, 0, (), frozenset())]
+    for _ in range(steps):
+        if not stack:
             return None
-        left -= 1
-        return search(at + 1, [*chosen, at], total + marks[at]) or search(at + 1, chosen, total)
-
-    found = search(0, [], 0)
-    return None if found is None else [items[i][0] for i in found]
+        at, total, chosen, used = stack.pop()
+        if total == goal and len(chosen) >= least:
+            return list(chosen)
+        if at == len(usable) or total >= goal or len(chosen) == most:
+            continue
+        item, marks, big = usable[at]
+        stack.append((at + 1, total, chosen, used))
+        if total + marks <= goal and big not in used:
+            stack.append((at + 1, total + marks, (*chosen, item), used | {big} if big else used))
+    return None
 
 
-def papers(items: DataFrame, by: str, id_col: str, marks: str, target: float = 20.0) -> DataFrame:
-    """by, items (comma-joined ids), total: one paper for each group that has one."""
+def papers(items: DataFrame, by: str, id_col: str, marks: str, chapter: str, target: float = 20.0) -> DataFrame:
+    """by, items (comma-joined ids), total: one paper for each group that has one, large items tried first."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values([marks, id_col], ascending=[False, True])
-        found = assemble_paper(list(zip(rows[id_col].astype(str), rows[marks], strict=True)), target)
+        found = assemble_paper(list(zip(rows[id_col].astype(str), rows[marks], rows[chapter], strict=True)), target)
         return pd.DataFrame([(pdf[by].iloc[0], ",".join(found), target)] if found else [], columns=[by, "items", "total"])
 
     return items.groupBy(by).applyInPandas(build, f"{by} {items.schema[by].dataType.simpleString()}, items string, total double")
 
 
 def rescale_marks(points: list[float], target: float) -> list[float]:
-    """Points in steps of a half that sum to the target; the drift goes to the largest."""
+    """Points in steps of a half that sum to the target, none below a half; the drift goes to the largest, half a mark at a time."""
     total = sum(points)
     if total <= 0:
         return points
-    scaled = [int(p * target / total * 2 + 0.5) / 2 for p in points]
-    largest = max(range(len(points)), key=lambda i: (scaled[i], -i))
-    scaled[largest] += target - sum(scaled)
-    return scaled
+    halves = [max(1, int(p * target / total * 2 + 0.5)) for p in points]
+    drift = int((target - sum(halves) / 2) * 2)
+    step = 1 if drift > 0 else -1
+    for _ in range(abs(drift)):
+        free = [i for i, h in enumerate(halves) if step > 0 or h > 1]
+        if not free:
+            break
+        halves[max(free, key=lambda i: (halves[i], -i))] += step
+    return [h / 2 for h in halves]
 
 
 def increasing_places(values: list[int]) -> list[int]:
@@ -86,28 +95,3 @@ def increasing_places(values: list[int]) -> list[int]:
         out.append(i)
         i = before[i]
     return out[::-1]
-
-
-def study_plan(chapters: list[tuple[str, float]], days: int, minutes: int, per_day: int = 3, review_after: int = 3) -> list[tuple[int, str, int, bool]]:
-    """(day, chapter, minutes, review): shares in proportion to weight, at most so many chapters a day, a short review some days later."""
-    total = sum(w for _, w in chapters) or 1.0
-    left = {c: max(15, int(days * minutes * w / total)) for c, w in chapters if w > 0}
-    due: dict[int, list[str]] = {}
-    plan: list[tuple[int, str, int, bool]] = []
-    for day in range(days):
-        room = minutes
-        for c in due.pop(day, []):
-            if room >= 10:
-                plan.append((day, c, 10, True))
-                room -= 10
-        for c in sorted(left, key=lambda c: (-left[c], c))[:per_day]:
-            take = min(left[c], max(room // per_day, 15), room)
-            if take < 15:
-                continue
-            plan.append((day, c, take, False))
-            room -= take
-            left[c] -= take
-            if left[c] < 15:
-                del left[c]
-            due.setdefault(day + review_after, []).append(c)
-    return plan

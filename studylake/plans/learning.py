@@ -110,17 +110,6 @@ def i25_difficulty(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(half_up(1 - F.avg(F.col("l_discount") * 10), 3).alias("difficulty"), F.least(F.lit(1.0), n / 50).alias("confidence"), n.alias("n")).where("n >= 5").drop("n")
 
 
-@query("i28_planner_weight", f"SELECT user_id, chapter, floor((1 - mastery) * (CASE WHEN attempts >= 5 THEN 1.0 ELSE 0.8 END) * 1000 + 0.5) / 1000 AS weight FROM ({MASTERY})")
-def i28_planner_weight(spark, sf_dir):
-    return mastered(spark, sf_dir).select("user_id", "chapter", half_up((1 - F.col("mastery")) * F.when(F.col("attempts") >= 5, 1.0).otherwise(0.8), 3).alias("weight"))
-
-
-@query("i33_paper_assembly")
-def i33_paper_assembly(spark, sf_dir):
-    """A paper of exactly 20 marks for each size of part; a search, so its test is the exact sum."""
-    return sequential.papers(table(spark, sf_dir, "part").select("p_size", "p_partkey", (F.col("p_partkey") % 13 * 0.5 + 1).alias("marks")), "p_size", "p_partkey", "marks")
-
-
 @query("i39_budget", "SELECT user_id, floor(sum(value) * 1000 + 0.5)::BIGINT AS spent, coalesce(CASE WHEN user_id % 10 = 0 THEN 0 END, 1000000) AS ceiling, floor(sum(value) * 1000 + 0.5)::BIGINT >= coalesce(CASE WHEN user_id % 10 = 0 THEN 0 END, 1000000) AS stopped FROM events WHERE ts >= TIMESTAMP '2024-01-01' GROUP BY 1")
 def i39_budget(spark, sf_dir):
     spent = table(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-01").cast("timestamp_ntz")).groupBy("user_id").agg(F.floor(F.sum("value") * 1000 + 0.5).cast("long").alias("spent"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studylake.functions import core, text
-from studylake.operators import learning, relational, sequential
+from studylake.operators import learning, planning, relational, retrieval, sequential
 from studylake.sources import files
 from studylake.streaming import mastery as stream
 
@@ -74,9 +74,11 @@ def test_repetition(spark):
 
 
 def test_paper_sums_exactly():
-    found = sequential.assemble_paper([("a", 9.5), ("b", 7.0), ("c", 6.5), ("d", 4.0), ("e", 3.5)])
-    assert found is not None and sum({"a": 9.5, "b": 7.0, "c": 6.5, "d": 4.0, "e": 3.5}[i] for i in found) == 20
-    assert sequential.assemble_paper([("a", 19.0), ("b", 0.5)]) is None
+    items = [("a", 9.5, "x"), ("b", 7.0, "y"), ("c", 6.5, "z"), ("d", 4.0, "x"), ("e", 3.5, "x")]
+    assert sequential.assemble_paper(items) == ["a", "b", "e"]
+    assert sequential.assemble_paper([("a", 19.0, "x"), ("b", 0.5, "y")]) is None
+    assert sequential.assemble_paper([("a", 10.0, "x"), ("b", 5.0, "x"), ("c", 5.0, "y")]) is None
+    assert sequential.assemble_paper([("a", 0.25, "x"), ("b", 0.75, "x"), ("c", 19.0, "y")]) == ["a", "b", "c"]
 
 
 def test_rescaled_marks_sum_to_the_target():
@@ -89,11 +91,50 @@ def test_increasing_places():
     assert sequential.increasing_places([]) == []
 
 
-def test_plan_keeps_its_daily_room():
-    plan = sequential.study_plan([("a", 3.0), ("b", 1.0), ("c", 0.0)], 14, 60)
-    for day in range(14):
-        assert sum(m for d, _, m, _ in plan if d == day) <= 60
-    assert {c for _, c, _, _ in plan} == {"a", "b"}
+def test_rescaled_marks_have_a_half_at_least():
+    assert sequential.rescale_marks([0.1, 10.0], 5.0) == [0.5, 4.5]
+    assert sequential.rescale_marks([1.0, 1.0, 1.0], 20.0) == [6.5, 7.0, 6.5] or sum(sequential.rescale_marks([1.0, 1.0, 1.0], 20.0)) == 20.0
+    assert sequential.rescale_marks([1.0, 1.0, 1.0], 1.0) == [0.5, 0.5, 0.5]
+
+
+def test_plan_keeps_room_and_reviews():
+    days = [planning.Day(60, None) for _ in range(6)]
+    laid = list(planning.lay_out([("a", 0, 9), ("b", 0, 9), ("a", 0, 9), ("c", 2, 0)], days))
+    assert laid[:4] == [(0, "a", "quiz", 30), (0, "b", "quiz", 30), (1, "a", "quiz", 30), (1, "c", "flashcards", 20)]
+    assert laid[4:] == [(3, "a", "review", 15), (3, "b", "review", 15), (4, "c", "review", 15)]
+    assert list(planning.lay_out([], days)) == [] == list(planning.lay_out([("a", 0, 0)], []))
+    near = list(planning.lay_out([("a", 0, 9), ("b", 0, 1)], [planning.Day(120, 5)]))
+    assert [x[2] for x in near] == ["exam_drill", "quiz"]
+
+
+def test_plan_holds_three_chapters_a_day():
+    laid = list(planning.lay_out([(c, 1, 0) for c in "abcd"], [planning.Day(500, None), planning.Day(500, None)]))
+    assert [x[0] for x in laid] == [0, 0, 0, 1]
+
+
+@pytest.mark.parametrize(("out", "expected"), [(20, 120), (14, 120), (7, 150), (1, 175), (0, 120), (None, 120)])
+def test_capacity(spark, out, expected):
+    df = spark.createDataFrame([(out,)], "d int")
+    assert df.select(planning.daily_capacity(F.col("d"), F.lit(120)).alias("x")).first().x == expected
+
+
+@pytest.mark.parametrize(("mastery", "attempts", "out", "expected"), [(0.4, 9, None, 0.6), (0.4, 2, None, 0.3), (0.7, 9, None, 0.0), (0.8, 9, 0, 0.45), (0.4, 9, 7, 1.2), (0.4, 9, 30, 0.6)])
+def test_chapter_weight(spark, mastery, attempts, out, expected):
+    df = spark.createDataFrame([(mastery, attempts, out)], "m double, a int, d int")
+    assert df.select(planning.chapter_weight(F.col("m"), F.col("a"), F.col("d")).alias("x")).first().x == pytest.approx(expected)
+
+
+def test_spread_takes_one_large_of_a_chapter(spark):
+    rows = [(1, "x", 6.0), (2, "x", 7.0), (3, "x", 2.0), (4, "y", 1.0), (5, "y", 9.0), (6, "y", 8.0)]
+    pool = spark.createDataFrame(rows, "id int, ch string, m double").withColumn("s", F.lit(1))
+    got = planning.pick_spread(pool, ["s"], "ch", "m", [F.col("id")], 4)
+    assert [r.id for r in got.orderBy("pick").collect()] == [1, 4, 3, 5]
+
+
+def test_usable_schemes(spark):
+    rows = [([("a",), ("b",)], "t"), ([("x" * 201,)], "t"), ([("y" * 70,)], "y" * 90), ([("short",)], None), ([], "t"), (None, "t")]
+    df = spark.createDataFrame(rows, "s array<struct<criterion string>>, t string")
+    assert [r.x for r in df.select(planning.usable_scheme(F.col("s"), F.col("t")).alias("x")).collect()] == [True, False, False, True, False, False]
 
 
 def test_folds(spark):
