@@ -163,3 +163,30 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = stream.mastery_of(spark.table("sums")).first().mastery
     assert got == learning.mastery(df, F.lit(NOW), ["user_id", "chapter"]).first().mastery
+
+
+def test_index_recall_and_edges(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    probes = e.where("vec_id % 20 = 0")
+    near = lambda df: {(r.probe_id, r.vec_id) for r in df.collect()}
+    exact = near(retrieval.knn(probes, e, [], 10))
+    assert len(exact & near(retrieval.index_search(probes, e, 10))) / len(exact) >= 0.9
+    assert retrieval.index_search(probes, e.limit(0), 10).count() == 0
+    assert retrieval.index_search(probes.limit(0), e, 10).count() == 0
+
+
+def test_budget_cuts_other_scripts_earlier(spark):
+    df = spark.createDataFrame([("a" * 7000,), ("ع" * 5000,), ("ab" + "ع" * 5000,), ("",), (None,)], "t string")
+    assert [None if r.x is None else len(r.x) for r in df.select(retrieval.within_budget(F.col("t")).alias("x")).collect()] == [6000, 2333, 2335, 0, None]
+
+
+def test_containment_is_exact_behind_the_prefix(spark):
+    asked = spark.createDataFrame([(1, [f"w{i}" for i in range(10)]), (2, ["a", "b"]), (3, [f"x{i}" for i in range(7)])], "id long, words array<string>")
+    texts = spark.createDataFrame([(10, [f"w{i}" for i in range(1, 12)]), (11, [f"w{i}" for i in range(2, 12)]), (12, []), (13, [f"x{i}" for i in range(7)])], "id long, words array<string>")
+    got = {(r.asked_id, r.id, r.containment) for r in retrieval.contained(asked, texts).collect()}
+    assert got == {(1, 10, 0.9), (3, 13, 1.0)}
+
+
+def test_titles_in_quotes(spark):
+    df = spark.createDataFrame([("see «The Cat» and \"The  Dog\" and «The Cat», not \"abc\"",), ("none",)], "t string")
+    assert [r.x for r in df.select(retrieval.quoted_titles(F.col("t")).alias("x")).collect()] == [["The Cat", "The  Dog"], []]
