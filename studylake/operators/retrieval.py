@@ -59,9 +59,11 @@ def gate(sim: Column, exact: float = 0.85, concept: float = 0.45) -> Column:
 def fit_lists(corpus: DataFrame, lists: int = 64, sample: int = 8192, rounds: int = 8) -> np.ndarray:
     """Centres of an inverted-list index, by spherical k-means on at most `sample` vectors that the hash of the id picks."""
     rows = corpus.where(F.col("embedding").isNotNull()).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x = _unit(np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1))
+    if not rows:
+        return np.zeros((0, 0))
+    x = _unit(np.array([r.embedding for r in rows], dtype=np.float64))
     centres = x[:lists]
-    for _ in range(rounds if len(x) else 0):
+    for _ in range(rounds):
         nearest = (x @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, x)

@@ -6,8 +6,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from studylake.functions import core, text
-from studylake.operators import learning, planning, relational, retrieval, sequential
+from studylake.functions import classify, core, text
+from studylake.operators import layout, learning, planning, relational, retrieval, sequential
 from studylake.sources import files
 from studylake.streaming import mastery as stream
 
@@ -190,3 +190,68 @@ def test_containment_is_exact_behind_the_prefix(spark):
 def test_titles_in_quotes(spark):
     df = spark.createDataFrame([("see «The Cat» and \"The  Dog\" and «The Cat», not \"abc\"",), ("none",)], "t string")
     assert [r.x for r in df.select(retrieval.quoted_titles(F.col("t")).alias("x")).collect()] == [["The Cat", "The  Dog"], []]
+
+
+def test_match_needs_its_first_token_and_local_slack():
+    assert layout.match_from("a x b c".split(), 0, "a b c".split()) == (1.0, 1)
+    assert layout.match_from("x a b".split(), 0, "a b".split()) == (0.0, 0)
+    assert layout.match_from("a w x y z b".split(), 0, "a b".split()) == (0.5, 0)
+    assert layout.match_from([], 0, ["a"]) == layout.match_from(["a"], 0, []) == (0.0, 0)
+
+
+def test_alignment_is_monotone_with_bands():
+    stream = "solve the equation now later find the area of it".split()
+    assert layout.align(["solve the equation".split(), "find the area".split()], stream) == [(0, 1.0, "EXACT"), (5, 1.0, "EXACT")]
+    assert layout.align(["find the area".split(), "solve the equation".split()], stream)[1][2] == "UNRESOLVED"
+    twice = "find the area x y find the area".split()
+    assert layout.align(["find the area".split()], twice) == [(0, 1.0, "AMBIGUOUS")]
+    assert layout.align(["a b".split()], []) == [(None, 0.0, "UNRESOLVED")]
+
+
+def test_reading_order_of_columns():
+    boxes = [(0.55, 0.1, 0.9, 0.12), (0.1, 0.1, 0.45, 0.12), (0.1, 0.13, 0.45, 0.15), (0.55, 0.13, 0.9, 0.15)]
+    assert layout.reading_order(boxes) == [1, 2, 0, 3]
+    assert layout.reading_order(boxes, rtl=True) == [0, 3, 1, 2]
+    assert layout.reading_order([]) == []
+
+
+def test_label_runs_go_and_content_stays():
+    assert layout.without_label_runs("See this.\nNorth\nSouth\n\nEast\nWest\nThe map shows it all here.") == "See this.\n\nThe map shows it all here."
+    for kept in ("a\nb", "A\n→ B\nC\nD", "AUC Ile\nGGG Gly\nUUU\nCCC", "1) yes\n2) no\n3) one\n4) two"):
+        assert layout.without_label_runs(kept) == kept
+
+
+def test_soft_wraps():
+    long = "Some of this energy must be delivered to every single cell and it must"
+    assert layout.unwrapped(f"{long}\ncome from glucose.") == f"{long} come from glucose."
+    for kept in (f"{long}.\nNext", f"{long}\n1) part", f"{long}\n| a | b |", "short\nline", f"```\n{long}\nx\n```", f"$$\n{long}\nx\n$$", f"{long}\n\nx"):
+        assert layout.unwrapped(kept) == kept
+
+
+def test_page_numbers():
+    assert layout.in_sequence([1, 9, 2, None, 3]) == [True, False, True, False, True]
+    assert layout.printed_order([None, 3, None, 1, 2]) == [0, 3, 4, 1, 2]
+    assert layout.printed_order([]) == []
+
+
+def test_offsets_move_with_their_words():
+    old, new = "alpha beta gamma delta epsilon", "zero alpha  beta gamma delta epsilon"
+    assert new[layout.moved_offset(old, 11, new) :].startswith("gamma")
+    assert layout.moved_offset(old, 0, new) == 0 and layout.moved_offset(old, 99, new) == len(new)
+    assert layout.moved_offset("aa bb", 3, "cc dd") is None
+
+
+def test_visuals_of_a_group_go_together(spark):
+    rows = [("p", 1, "active", None, None, 5, True), ("p", 2, "active", "g", 2, 1, True), ("p", 3, "active", "g", 1, 3, True), ("p", 4, "active", "h", 1, 0, True), ("p", 5, "active", "h", 2, 9, False), ("p", 6, "retired", None, None, 0, True)]
+    df = spark.createDataFrame(rows, "paper string, visual_id int, status string, group_key string, group_part int, reading_order int, ok boolean")
+    assert [r.visual_id for r in layout.select_visuals(df, ["paper"], F.col("ok")).orderBy("place").collect()] == [3, 2, 1]
+
+
+@pytest.mark.parametrize(("text_", "expected"), [("", "smalltalk"), ("Ça va ?", "smalltalk"), ("What should I revise tonight?", "planning"), ("can you help me with my schedule", "planning"), ("Who are you?", "capability"), ("derive x squared", "curriculum"), ("what is this " * 12, "curriculum"), ("من أنت؟", "capability")])
+def test_intents(spark, text_, expected):
+    assert one(spark, classify.intent(classify.fold_message(F.col("t"))), t=text_) == expected
+
+
+@pytest.mark.parametrize(("text_", "expected"), [("Sujet : la liberté", ("essay", "high")), ("Discuss the text below", ("essay", "high")), ("Explain this passage", ("comprehension", "high")), ("Solve the following equation", ("concept", "low")), ("Solve x + 1 = 2", ("concept", "high")), ("استخرج من المستند", ("comprehension", "high")), ("ناقش هذا القول", ("essay", "high"))])
+def test_question_kinds(spark, text_, expected):
+    assert tuple(one(spark, classify.question_kind(classify.fold_question(F.col("t"))), t=text_)) == expected
