@@ -55,3 +55,29 @@ def language(text: Column) -> Column:
         F.when(arabic + latin == 0, None).when(arabic > latin * 2, "ar").when(arabic * 2 > latin, "mixed")
         .when(english > french, "en").when(french > english, "fr")
     )
+
+
+def title_key(title: Column) -> Column:
+    """For comparing titles: lower case, no accents, all that is no letter or digit as one space."""
+    return F.trim(F.regexp_replace(without_accents(F.lower(title)), "[^\\p{L}\\p{N}]+", " "))
+
+
+ROMAN = (("X", 10), ("IX", 9), ("V", 5), ("IV", 4), ("I", 1))
+
+
+def to_roman(n: Column) -> Column:
+    """1 to 39 as Roman numerals."""
+    out, left = F.lit(""), n
+    for letters, value in ROMAN:
+        out, left = F.concat(out, F.repeat(F.lit(letters), F.floor(left / value).cast("int"))), left % value
+    return out
+
+
+def number_of(text: Column) -> Column:
+    """The value of Western, Arabic or Persian digits, a Roman numeral up to 39, or a quarter, half or three quarters; null for others."""
+    digits = F.translate(F.translate(F.trim(text), "٠١٢٣٤٥٦٧٨٩", "0123456789"), PERSIAN_DIGITS, "0123456789")
+    upper = F.upper(digits)
+    pairs = F.regexp_count(upper, F.lit("I(?=[VX])"))
+    roman = sum((F.regexp_count(upper, F.lit(k)) * v for k, v in (("X", 10), ("V", 5), ("I", 1))), F.lit(0)) - 2 * pairs
+    part = F.when(digits == "¼", 0.25).when(digits == "½", 0.5).when(digits == "¾", 0.75)
+    return F.when(digits.rlike(r"^\d+([.,]\d+)?$"), F.replace(digits, F.lit(","), F.lit(".")).cast("double")).when(upper.rlike("^X{0,3}(IX|IV|V?I{0,3})$") & (upper != ""), roman.cast("double")).otherwise(part)

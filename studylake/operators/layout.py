@@ -195,3 +195,109 @@ def select_visuals(rows: DataFrame, by: list[str], eligible: Column) -> DataFram
     whole = active.withColumn("__all", alone | F.every("__ok").over(group)).withColumn("__at", F.when(alone, F.col("reading_order")).otherwise(F.min("reading_order").over(group)))
     order = Window.partitionBy(*by).orderBy("__at", F.coalesce("group_part", F.lit(0)), "reading_order", "visual_id")
     return whole.where("__ok and __all").withColumn("place", F.row_number().over(order)).drop("__ok", "__all", "__at")
+
+
+# Fixed values of the chunker: target, most and least characters of a chunk.
+TARGET, MOST, LEAST = 1200, 2200, 220
+FORMULA = re.compile(r"\$\$[\s\S]*?\$\$|\$[^$\n]+\$")
+BREAK = re.compile(r"[.!?؟。]\s+|[;؛]\s+|\n")
+
+
+def cut_block(block: str) -> Iterator[str]:
+    """Pieces of a long block: at the first sentence end past the target, else the last before the most, never within a formula."""
+    formulas = [m.span() for m in FORMULA.finditer(block)]
+    ends = [m.end() for m in BREAK.finditer(block) if not any(a < m.end() < b for a, b in formulas)]
+    start = 0
+    while len(block) - start > MOST:
+        reach = [e for e in ends if start < e <= start + MOST]
+        stop = next((e for e in reach if e - start >= TARGET), reach[-1] if reach else start + MOST)
+        if piece := block[start:stop].strip():
+            yield piece
+        start = stop
+    if rest := block[start:].strip():
+        yield rest
+
+
+def chunks(text: str, trail: str = "") -> list[tuple[str, int | None]]:
+    """(text, page) of retrievable passages: headings start a new one and are repeated in it, a displayed formula stays with the prose above, a short tail joins the one before."""
+    out: list[tuple[str, int | None]] = []
+    held: list[str] = []
+    heading, page, first = "", None, None
+
+    def close() -> None:
+        nonlocal first
+        body = "\n\n".join(held).strip()
+        held.clear()
+        at, first = first, None
+        if body and len(body) < LEAST and out:
+            out[-1] = (f"{out[-1][0]}\n\n{body}", out[-1][1])
+        elif body:
+            head = " — ".join(x for x in (trail, heading) if x)
+            out.append((f"{head}\n\n{body}" if head else body, at))
+
+    size = lambda: sum(map(len, held)) + 2 * max(0, len(held) - 1)
+    for block in filter(None, (b.strip() for b in re.split(r"\n{2,}", text))):
+        if mark := re.fullmatch(r"<!--\s*page\s+(\d+)\s*-->", block):
+            page = int(mark[1])
+            continue
+        if title := re.fullmatch(r"#{1,4}\s+(.*)", block):
+            close()
+            heading = title[1].strip()
+            continue
+        formula = block.startswith("$$")
+        for piece in [block] if formula else cut_block(block):
+            if not formula and size() >= LEAST and size() + len(piece) > TARGET:
+                close()
+            first = page if first is None else first
+            held.append(piece)
+            if not formula and size() > MOST:
+                close()
+    close()
+    return out
+
+
+def bind_rows(labels: Sequence[tuple[str, ...]], parts: Sequence[tuple[str, ...]]) -> list[int | None]:
+    """The part of each row, None for orphans: that with the longest label that the row's begins with; a row without label goes with the one before.
+
+    Where no part fits, the label is tried with the section of the row before, without its own section, and with letters A to H as numbers.
+    """
+
+    def longest(label: tuple[str, ...]) -> int | None:
+        fits = [i for i, p in enumerate(parts) if p and label[: len(p)] == p]
+        return max(fits, key=lambda i: (len(parts[i]), -i), default=None)
+
+    out: list[int | None] = []
+    last: int | None = None
+    for label in labels:
+        if not label:
+            out.append(last)
+            continue
+        section = next(((x,) for x in parts[last] if not x.isdigit()), ()) if last is not None else ()
+        tries = [label, section + label if section else ()]
+        if len(label) > 1:
+            tries += [label[1:] if not label[0].isdigit() else (), label[:1] + tuple(str(ord(x) - 64) if re.fullmatch("[A-H]", x) else x for x in label[1:])]
+        found = next((p for p in (longest(x) for x in tries if x) if p is not None), None)
+        out.append(found)
+        last = last if found is None else found
+    return out
+
+
+LABEL_CELL = re.compile(r"^[(\[]?(?:\d{1,2}(?:[.\-]\d{1,2})*|[IVX]{1,4}|[A-Ha-h])(?:[.\-](?:\d{1,2}|[a-h]|[IVX]{1,4}))*[.)\-\]]*$")
+MARK_CELL = re.compile(r"^\d{0,2}(?:[.,]\d{1,2}|[¼½¾])?\s*(?:pts?|points?|marks?)?\.?$", re.I)
+
+
+def oriented(table: Sequence[Sequence[str | None]]) -> list[list[str | None]] | None:
+    """The table of a marking scheme with labels first and marks last, reversed if only that reading is one; None for other tables."""
+
+    def scheme(rows: list[list[str | None]]) -> bool:
+        full = [[x.strip() for x in r if x and x.strip()] for r in rows]
+        full = [r for r in full if r]
+        labels = sum(bool(LABEL_CELL.match(r[0])) for r in full)
+        marks = sum(any(ch.isdigit() or ch in "¼½¾" for ch in r[-1]) and bool(MARK_CELL.match(r[-1])) for r in full)
+        return len(full) >= 3 and labels >= len(full) * 0.5 and marks >= len(full) * 0.4
+
+    rows = [list(r) for r in table]
+    if len(rows) < 3 or max(map(len, rows)) < 3:
+        return None
+    back = [r[::-1] for r in rows]
+    return rows if scheme(rows) else back if scheme(back) else None

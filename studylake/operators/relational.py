@@ -86,3 +86,8 @@ def overlaps(a: Column, b: Column) -> dict[str, Column]:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def small(df: DataFrame, most: int = 8 << 20) -> bool:
+    """Whether the planner's own bound of the size of a table allows a broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most

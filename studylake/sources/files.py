@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BOM = "﻿"
 
@@ -25,6 +26,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, escape='"', quoteAll=True, emptyValue="")
 
 
+def write_spreadsheet_csv(df: DataFrame, path: str) -> None:
+    """For spreadsheets: a byte order mark before each part's header, lines that end in CR LF, every field quoted.
+
+    The line end's CR is part of the last field's line, so each part is written as text: its header line first, then its rows.
+    """
+    quote = lambda x: F.concat(F.lit('"'), F.replace(F.coalesce(x.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    head = BOM + ",".join(f'"{c}"' for c in df.columns) + "\r\n"
+    line = F.concat_ws(",", *[quote(F.col(c)) for c in df.columns])
+    part = df.select(line.alias("line"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    first = part.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("i")))
+    first.select(F.concat(F.when(F.col("n") == 1, head).otherwise(""), "line", F.lit("\r")).alias("value")).write.text(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Quoted fields may hold line ends; a byte order mark goes from the first column of each row that has it."""
     df = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True, enforceSchema=True)
@@ -51,6 +65,25 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(number.cast("int").alias("page"), F.col("value").alias("text")).where(F.col("page").isNotNull())
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """page, text as files page-NNN.md: a folder of files, one a page, for tools that read such folders. Each task writes its own pages."""
+    target = path
+
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(target)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for page, text in zip(batch["page"], batch["text"], strict=True):
+                with store.open_output_stream(f"{root}/page-{page:03d}.md") as out:
+                    out.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    pages.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """path, size, sha256 and how many files have the same bytes."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

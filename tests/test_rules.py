@@ -255,3 +255,40 @@ def test_intents(spark, text_, expected):
 @pytest.mark.parametrize(("text_", "expected"), [("Sujet : la liberté", ("essay", "high")), ("Discuss the text below", ("essay", "high")), ("Explain this passage", ("comprehension", "high")), ("Solve the following equation", ("concept", "low")), ("Solve x + 1 = 2", ("concept", "high")), ("استخرج من المستند", ("comprehension", "high")), ("ناقش هذا القول", ("essay", "high"))])
 def test_question_kinds(spark, text_, expected):
     assert tuple(one(spark, classify.question_kind(classify.fold_question(F.col("t"))), t=text_)) == expected
+
+
+def test_chunks_keep_all_words_within_bounds():
+    text_ = "\n\n".join(["<!-- page 3 -->", "# One", "Word here. " * 300, "$$x^2$$", "tail", "## Two", "Short."])
+    found = layout.chunks(text_, "Book")
+    assert found[0][0].startswith("Book — One\n\nWord") and found[0][1] == 3
+    assert all(len(c) <= layout.MOST + layout.LEAST + 40 for c, _ in found)
+    assert sum(c.count("Word here.") for c, _ in found) == 300
+    assert found[-1][0].endswith("$$x^2$$\n\ntail\n\nShort.")
+    assert layout.chunks("") == []
+
+
+def test_long_block_is_not_cut_in_a_formula():
+    block = "a " * 400 + "$$" + "x. " * 300 + "$$ end. " + "b " * 400
+    assert any("$$" + "x. " * 300 + "$$" in p for p in layout.cut_block(block))
+    assert [len(p) for p in layout.cut_block("y" * 5000)] == [2200, 2200, 600]
+
+
+def test_rows_bind_to_the_longest_label():
+    parts = [("A",), ("A", "1"), ("B", "2")]
+    assert layout.bind_rows([(), ("A", "1", "c"), (), ("A", "9"), ("C",)], parts) == [None, 1, 1, 0, 0]
+    assert layout.bind_rows([("C", "A", "1"), ("B", "2")], parts) == [1, 2]
+    assert layout.bind_rows([("C",), ("1",)], parts) == [None, None]
+    numbered = [("A", "1"), ("B", "2")]
+    assert layout.bind_rows([("A", "1"), ("B", "B"), ("2",), ("Z", "Q")], numbered) == [0, 1, 1, None]
+
+
+def test_scheme_tables_are_turned():
+    rows = [["1.a", "because", "0.5"], ["1.b", "so", "1"], ["2", "thus", "2 pts"]]
+    assert layout.oriented(rows) == rows
+    assert layout.oriented([r[::-1] for r in rows]) == rows
+    assert layout.oriented([["x", "y", "z"]] * 3) is None and layout.oriented([]) is None
+
+
+@pytest.mark.parametrize(("text_", "expected"), [("٣", 3.0), ("XIV", 14.0), ("ix", 9.0), ("½", 0.5), ("1,5", 1.5), ("", None), ("abc", None)])
+def test_numerals(spark, text_, expected):
+    assert one(spark, text.number_of(F.col("t")), t=text_) == expected
