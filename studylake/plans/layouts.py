@@ -27,6 +27,13 @@ def per_text(rule):
     return F.pandas_udf(lambda s: s.map(lambda x: x if x is None else rule(x)), "string")
 
 
+def with_results(lines, result, name):
+    """lines of each order, in order, with the element of result (an array over an order's rows) that is theirs; groups are arrays, many to an Arrow batch."""
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", *[x for x in lines.columns if x not in ("l_orderkey", "l_linenumber", "l_partkey")])))
+    each = lines.groupBy("l_orderkey").agg(rows.alias("rows")).withColumn("found", result)
+    return each.select("l_orderkey", F.explode(F.arrays_zip("rows", "found")).alias("x")).select("l_orderkey", "x.rows.*", c("x.found").alias(name))
+
+
 # ---- files
 @query("a04_csv_export", "SELECT n_nationkey AS k, n_name AS name FROM nation")
 def a04_csv_export(s, d):
@@ -236,7 +243,7 @@ def k18_paper_probe(s, d):
     letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]+", "")
     probes = t(s, d, "benchmark").select("item_id", F.left(letters("text"), F.lit(60)).alias("p")).where("length(p) = 60").withColumn("g", F.left("p", F.lit(12)))
     docs = t(s, d, "documents").select("doc_id", "source", letters("text").alias("f"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("f") - 11), lambda i: F.substring(c("f"), i, F.lit(12)))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.regexp_extract_all(F.substring(c("f"), k, F.length("f")), F.lit("[a-z]{12}"), F.lit(0))))
     seen = docs.where("length(f) >= 60").select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
     pairs = seen.join(F.broadcast(probes.select("item_id", "g", "p")) if R.small(probes) else probes.select("item_id", "g", "p"), "g")
     return pairs.join(docs, "doc_id").where(F.contains("f", c("p"))).select("item_id", "doc_id", "source")
@@ -351,14 +358,12 @@ def l02_alignment(s, d):
 def l08_bound_rows(s, d):
     """Lines of an order bound to the parts that its first three name; order-dependent, tested on literals."""
 
-    def bind(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["l_linenumber", "l_partkey"])
-        parts = [("A" if k % 2 else "B", str(k % 3 + 1)) for k in rows["l_partkey"].head(3)]
-        labels = [() if k % 5 == 0 else ("A" if k % 2 else "B", str(k % 3 + 1)) for k in rows["l_partkey"]]
-        return rows[["l_orderkey", "l_linenumber", "l_partkey"]].assign(part=layout.bind_rows(labels, parts)).astype({"part": "Int64"})
+    @F.pandas_udf("array<int>")
+    def bound(keys: pd.Series) -> pd.Series:
+        named = keys.map(lambda ks: [("A" if k % 2 else "B", str(k % 3 + 1)) for k in ks])
+        return pd.Series([layout.bind_rows([() if k % 5 == 0 else x for k, x in zip(ks, n, strict=True)], n[:3]) for ks, n in zip(keys, named, strict=True)])
 
-    lines = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return lines.groupBy("l_orderkey").applyInPandas(bind, "l_orderkey long, l_linenumber int, l_partkey long, part long")
+    return with_results(t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), bound(c("rows")["l_partkey"]), "part")
 
 
 @query("l11_page_order", """
@@ -381,13 +386,13 @@ def l12_reading_order(s, d):
     y = (c("l_linenumber") % 10) * 0.09
     boxes = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", x.alias("x0"), y.alias("y0"), (x + 0.4).alias("x1"), (y + 0.05).alias("y1"))
 
-    def read(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["l_linenumber", "l_partkey"]).reset_index(drop=True)
-        order = layout.reading_order(list(rows[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
-        out = rows.loc[order, ["l_orderkey", "l_linenumber", "l_partkey"]]
-        return out.assign(place=range(1, len(out) + 1))
+    @F.pandas_udf("array<int>")
+    def places(rows: pd.Series) -> pd.Series:
+        orders = [layout.reading_order([tuple(map(float, b)) for b in boxes]) for boxes in rows]
+        return pd.Series([[p for _, p in sorted(zip(o, range(1, len(o) + 1), strict=True))] for o in orders])
 
-    return boxes.groupBy("l_orderkey").applyInPandas(read, "l_orderkey long, l_linenumber int, l_partkey long, place int")
+    flat = F.transform("rows", lambda r: F.array(r["x0"], r["y0"], r["x1"], r["y1"]))
+    return with_results(boxes, places(flat), "place").drop("x0", "y0", "x1", "y1")
 
 
 @query("l14_union_box", "SELECT l_orderkey, min(x) AS x0, min(y) AS y0, max(x + 10) AS x1, max(y + 5) AS y1 FROM (SELECT l_orderkey, l_partkey % 100 AS x, l_suppkey % 100 AS y FROM lineitem) GROUP BY 1")
