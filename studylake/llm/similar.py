@@ -1,14 +1,15 @@
-"""Near-duplicate groups of word-shingle sets at a similarity, found through covering SimHash tables.
+"""Near-duplicate groups of word-shingle sets at a similarity, exactly: every pair at the threshold is a candidate, or joined already.
 
-One fingerprint of a whole text moves by many bits when a tenth of its words change, so here sections have fingerprints: the distinct
-shingles of a text are dealt by their hash to 2^level sections of two to four on average, and each of the first `sections` has its own
-SimHash. Texts of a similarity of 0.8 share a section unchanged with a chance of over 0.4 each. The level follows from the number of
-shingles; a text whose number is near the next level is dealt at both, so similar texts always have a level in common. Covering masks
-collide all sections that differ by at most `radius` bits.
+The distinct shingles of a text are dealt by their hash to 2^level sections of two to four on average, and each section that holds any
+makes a table entry under the hash of its whole content. Two texts at a Jaccard similarity of 0.8 differ in fewer shingles than there
+are sections, so some section is the same in both. That could be an empty one only in a text with few filled sections (short texts);
+such a text has entries under the shingles of its prefix as well, of which two similar texts always share one. The level follows from
+the number of shingles; a text whose number is near the next level is dealt at both, so similar texts always have a level in common.
 
-The texts of a table entry are compared with the entry's smallest text, by the share of common hashes among the smallest hashes of both
-(exact up to SKETCH distinct shingles, beyond that with a standard error of at most 2.5 %). Entries are never expanded into pairs;
-groups join through their many entries, and copies of one text count once.
+All texts of an entry are first compared with one of them, the head: the text that shares most entries, since the original of edited
+copies shares more than they do. Then every pair of an entry that is not joined yet is compared. Where that would be too many pairs,
+the entry is dealt again by sections of another hash, as similar texts share an entry of each dealing. Comparisons are made on whole
+shingle sets. Copies of one text count once.
 
 Defined results: null, empty and wordless texts are copies of each other; fewer words than a shingle are one shingle; of each group the
 row with the smallest id stays (null ids last), of repeated rows one; an empty table gives an empty result; other columns pass through.
@@ -18,16 +19,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm._common import cut, map_slices, texts_of
-from studylake.llm.simhash import components, covering_masks, majority_bits, shingle_hashes
+from studylake.llm._common import bounded, cut, map_slices, texts_of
+from studylake.llm.simhash import components, shingle_hashes
 
-#: Hashes that a text is compared by.
-SKETCH = 256
 PER_SECTION = 4
+#: An entry of up to this many unjoined pairs (and as many again for each PAIRS_TEXTS texts) is compared pair by pair; a larger one is dealt again.
+PAIRS, PAIRS_TEXTS = 1 << 15, 512
+#: Times that an entry is dealt again; what is left is compared pair by pair.
+DEALINGS = 3
 #: Text bytes that are described at once.
 HELD_BYTES = 2 << 20
 
@@ -36,62 +38,121 @@ def _level(n: float) -> int:
     return max(0, int(np.ceil(np.log2(n / PER_SECTION))))
 
 
-def table_entries(hashes: np.ndarray, sections: int, threshold: float, masks: list[int]) -> set[int]:
-    """Keys of the table entries of one text, signed 64 bits."""
-    distinct = np.unique(hashes)
-    if not len(distinct):
-        return {0}
-    digest = xxhash.xxh64_intdigest
-    out = set()
-    for level in {_level(len(distinct)), _level(len(distinct) / threshold)}:
-        dealt = (distinct * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - level) if level else np.zeros(len(distinct), np.uint64)
-        for section in range(min(sections, 1 << level)):
-            own = distinct[dealt == section]
-            if len(own):
-                bits = majority_bits(own)
-                for table, mask in enumerate(masks):
-                    key = digest((bits & mask).to_bytes(8, "little"), level << 16 | section << 4 | table)
-                    out.add(key - (1 << 64) if key >> 63 else key)
-    return out
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sketches: sorted smallest hashes."""
-    if not len(a) and not len(b):
-        return 1.0
-    least = np.union1d(a, b)[: SKETCH if len(a) == SKETCH or len(b) == SKETCH else None]
-    return len(np.intersect1d(np.intersect1d(a, b), least)) / len(least)
-
-
-def similar_groups(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, sections: int = 8, radius: int = 1) -> DataFrame:
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A bijection of 64 bits."""
+    x = (x + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def table_entries(distinct: np.ndarray, threshold: float, dealing: int = 0) -> np.ndarray:
+    """Keys of the table entries of one text's distinct shingles, signed 64 bits."""
+    n = len(distinct)
+    if not n:
+        return np.zeros(1, np.int64)
+    mixed = np.sort(_mixed(distinct, dealing + 1))
+    content = _mixed(mixed, 11)
+    out = []
+    for level in {_level(n), _level(n / threshold + 1e-9)}:
+        section = mixed >> np.uint64(64 - level) if level else np.zeros(n, np.uint64)
+        starts = np.flatnonzero(np.r_[True, section[1:] != section[:-1]])
+        place = section[starts] << np.uint64(8) | np.uint64(level << 1)
+        out.append(_mixed(np.add.reduceat(content, starts) ^ _mixed(place, 12), 13))
+        # shingles that a similar text of this level differs in at most
+        differ = (1 - threshold) / (1 + threshold) * (n + min(n / threshold, PER_SECTION << level))
+        if len(starts) <= differ + 1e-9:
+            prefix = content[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+            out.append(_mixed(prefix ^ _mixed(np.array([level << 1 | 1], np.uint64), 12), 13))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def similar_enough(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Of two sets of distinct hashes."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= threshold * (len(a) + len(b) - common) - 1e-9
+
+
+def _shared(batches):
+    """The distinct rows of keys that have several nodes; rows come sorted by key and node. The last row waits for its key's next node."""
+    wait: tuple[int, int] | None = None
+    several = False
+    for batch in batches:
+        keys, nodes = (batch.column(i).to_numpy() for i in range(2))
+        if wait is not None:
+            keys, nodes = np.r_[wait[0], keys], np.r_[wait[1], nodes]
+        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])][: len(keys)]
+        keys, nodes = keys[fresh], nodes[fresh]
+        if not len(keys):
+            continue
+        again = keys[1:] == keys[:-1]
+        take = np.r_[several, again] | np.r_[again, False]
+        wait, several = (keys[-1], nodes[-1]), bool(np.r_[several, again][-1])
+        take[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(keys[take], pa.int64()), pa.array(nodes[take], pa.int64())], names=["key", "node"])
+    if wait is not None and several:
+        yield pa.RecordBatch.from_arrays([pa.array([wait[0]], pa.int64()), pa.array([wait[1]], pa.int64())], names=["key", "node"])
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The distinct rows (key, node) of the keys that have several nodes, in one pass over sorted partitions."""
+    return bounded(rows).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
+
+
+def similar_groups(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, pairs_at_once: int = PAIRS) -> DataFrame:
     """node, root of the texts (columns node, text) that are linked to others."""
-    masks = covering_masks(radius, list(range(64)))
 
     def entries(part: pa.RecordBatch) -> pa.RecordBatch:
-        keys, nodes = [], []
-        for node, text in dict(zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True)).items():
-            own = table_entries(shingle_hashes(text, shingle), sections, threshold, masks)
-            keys += own
-            nodes += [node] * len(own)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["key", "node"])
-
-    def sketches(part: pa.RecordBatch) -> pa.RecordBatch:
-        least = [np.unique(shingle_hashes(t, shingle))[:SKETCH].tobytes() for t in texts_of(part.column(1))]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(least, pa.binary())], names=["node", "sketch"])
-
-    def verified(batches):
-        for batch in batches:
-            keep = [similarity(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) >= threshold for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    held, _ = cut(map_slices(texts.select("node", "text"), 1, entries, "key long, node long", HELD_BYTES))
-    heads = held.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
-    pairs, _ = cut(held.join(heads, "key").where("node <> head").select("node", "head").distinct())
-    needed = pairs.select("node").union(pairs.select("head")).distinct()
-    described = map_slices(texts.select("node", "text"), 1, sketches, "node long, sketch binary", HELD_BYTES).dropDuplicates(["node"])
-    described, _ = cut(described.join(needed, "node", "left_semi"))
-    both = pairs.join(described, "node").join(described.select(F.col("node").alias("head"), F.col("sketch").alias("other")), "head").select("node", "head", "sketch", "other")
-    return components(both.mapInArrow(verified, "node long, head long").select(F.col("node").alias("a"), F.col("head").alias("b")))
+        own = {n: table_entries(np.unique(shingle_hashes(t, shingle)), threshold) for n, t in dict(zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True)).items()}
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own.values()]), pa.int64()), pa.array(np.repeat(np.array([*own], np.int64), [len(k) for k in own.values()]), pa.int64())], names=["key", "node"])
+
+    def sets(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts_of(part.column(1))], pa.binary())], names=["node", "hashes"])
+
+    def verified(part: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [similar_enough(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), threshold) for a, b in zip(part.column(2), part.column(3), strict=True)]
+        return part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def finer(dealing: int):
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            made = [_mixed(table_entries(np.frombuffer(h.as_buffer(), np.uint64), threshold, dealing).view(np.uint64) ^ np.uint64(k & (1 << 64) - 1), 14).view(np.int64) for k, h in zip(part.column(0).to_pylist(), part.column(2), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made), pa.int64()), pa.array(np.repeat(part.column(1).to_numpy(), [len(k) for k in made]), pa.int64())], names=["key", "node"])
+
+        return work
+
+    shared, _ = cut(_several(map_slices(texts.select("node", "text"), 1, entries, "key long, node long", HELD_BYTES)))
+    support = shared.groupBy("node").agg(F.count("*").alias("support"))
+    described, _ = cut(map_slices(texts.select("node", "text").join(support.select("node"), "node", "left_semi"), 1, sets, "node long, hashes binary", HELD_BYTES).dropDuplicates(["node"]))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar."""
+        one, other = described.select(F.col("node").alias("a"), "hashes"), described.select(F.col("node").alias("b"), F.col("hashes").alias("others"))
+        both = pairs.join(one, "a").join(other, "b").select("a", "b", "hashes", "others")
+        return cut(map_slices(both, 2, verified, "a long, b long", HELD_BYTES))[0]
+
+    heads = shared.join(support, "node").groupBy("key").agg(F.max(F.struct("support", "node"))["node"].alias("head"))
+    tested, _ = cut(shared.join(heads, "key").where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct())
+    links = compared(tested)
+    roots, _ = cut(components(links))
+
+    rows, found, more = shared, links, False
+    for dealing in range(1, DEALINGS + 2):
+        labelled = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        parts = labelled.groupBy("key", "root").agg(F.count("*").alias("m"))
+        sizes = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares")).where("n * n > squares")
+        open_, _ = cut(labelled.join(sizes.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("unjoined")), "key"))
+        small = F.lit(True) if dealing > DEALINGS else F.col("unjoined") <= pairs_at_once * (1 + F.col("n") / PAIRS_TEXTS)
+        mine = open_.where(small).select("key", "node", "root")
+        theirs = mine.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
+        pairs = mine.withColumnRenamed("node", "a").join(theirs, "key").where("a > b and root <> other").select("a", "b").distinct()
+        fresh = compared(cut(pairs.join(tested, ["a", "b"], "left_anti"))[0])
+        found, more = found.unionByName(fresh), more or not fresh.isEmpty()
+        large = open_.where(~small).select("key", "node")
+        if dealing > DEALINGS or large.isEmpty():
+            return components(found) if more else roots
+        rows, _ = cut(_several(map_slices(large.join(described, "node").select("key", "node", "hashes"), 2, finer(dealing), "key long, node long", HELD_BYTES)))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:

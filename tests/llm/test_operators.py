@@ -139,6 +139,58 @@ def test_similar_keeps_one_of_each_group(spark, odd):
     assert similar.keep_one(odd.limit(0)).count() == 0
 
 
+def variants(text, n, changes, seed):
+    """Copies of a text with some words each replaced by new ones."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        own = text.split()
+        for at in rnd.sample(range(len(own)), changes):
+            own[at] = f"new{seed}x{i}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def brute_groups(texts, threshold=0.8):
+    """The smallest place of the texts that each is linked to by exact Jaccard similarity, directly or through others."""
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    near = [[j for j, b in enumerate(sets) if len(a & b) >= threshold * len(a | b) - 1e-9] for a in sets]
+    root = [None] * len(texts)
+    for i in range(len(texts)):
+        stack = [i] if root[i] is None else []
+        while stack:
+            if root[at := stack.pop()] is None:
+                root[at] = i
+                stack += near[at]
+    return root
+
+
+def test_similar_star_and_shared_passages_against_brute_force(spark):
+    base, passage = words(200, 50, 100_000), words(150, 51, 100_000)
+    texts = [*variants(base, 120, 4, 52), base, *(f"{passage} {words(60, 100 + i, 100_000)}" for i in range(40))]
+    chain = words(260, 53, 100_000).split()
+    texts += [" ".join(chain[i * 8 : i * 8 + 150]) for i in range(4)]
+    texts += [t for i in range(40) for t in variants(words(6 + i, 54 + i, 100_000), 2, 1, 900 + i)]
+    expected = brute_groups(texts)
+    assert len(set(expected[:121])) == 1 and len(set(expected[121:161])) == 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == sorted(set(expected))
+    # dealt again: the same groups, however few pairs an entry may compare
+    nodes = df.select(F.xxhash64("text").alias("node"), "text")
+    groups = [{r.node: r.root for r in similar.similar_groups(nodes, pairs_at_once=n).collect()} for n in (similar.PAIRS, 0)]
+    assert groups[0] == groups[1]
+
+
+def test_similar_compares_whole_sets(spark):
+    """Texts of several thousand shingles just above and just below the threshold, where a sketch of 256 hashes is wrong in many."""
+    bases = [words(4000, 700 + i, 10**7) for i in range(24)]
+    texts = [t for i, base in enumerate(bases) for t in (base, *variants(base, 1, 88 + i % 12, 800 + i))]
+    expected = brute_groups(texts)
+    assert 24 < len(set(expected)) < 48
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == sorted(set(expected))
+
+
 # ---- 3
 STRANGE = ["", " ", "  a  b   c ", "\n\n\t", "▁x ▁▁ y", "é€😀 Σας İI", "<unk></s> <s>", "aaaa " * 9, "\x00\x01", "한국어 日本語", "x" * 3000, "﻿z", "🏳️‍🌈", "1234 5.6"]
 
