@@ -34,7 +34,7 @@ PATTERNS = {
 PATTERNS["day"] = PATTERNS["day"].replace(r"([./])", "[./]").replace(r"\SEP", "[./]")
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: No candidate is without one of these.
-NEEDED = "[0-9]{3}|@|[0-9][./][0-9]"
+NEEDED = "[0-9]{3}|@|[0-9][ ./-][0-9]|[+][0-9]|[A-Z]{2}[0-9]{2}"
 
 
 def _keyed(key: str, kind: str, turn: Column, value: Column, bits: int) -> Column:

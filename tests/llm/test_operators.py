@@ -62,6 +62,16 @@ def test_pii_formats(spark, odd):
     assert set(odd.columns) < set(pii.pseudonymise(odd, "key").columns)
 
 
+def test_pii_prefilter_passes_every_form_alone(spark):
+    forms = ["+49 30 12 34 56 78", "+44 20 79 46 09 58", "+1-23-45-67-89", "+12 34 5678", "a@b.c", "1.2.3.4", "1.1.1999", "1/1/1999", "1999-01-01", "123-45-6789", "4111 1111 1111 1", "3714 496353 98431", "1234567890123", "AB12 CDEF GHIJ", "AB12CDEFGHIJ"]
+    df = spark.createDataFrame(list(enumerate(forms)), "doc_id int, text string")
+    assert df.where(~F.col("text").rlike(pii.NEEDED) | ~F.col("text").rlike(f"^(?:{pii.PATTERN})$")).count() == 0
+    rows = pii.pseudonymise(df, "key").orderBy("doc_id").collect()
+    assert all(r.n_pseudonyms == 1 and r.text != t for r, t in zip(rows[:13], forms, strict=False))
+    lone = pii.pseudonymise(spark.createDataFrame([(1, f"at {forms[0]}"), (2, f"at {forms[0]} in 2024")], "doc_id int, text string"), "key").orderBy("doc_id").collect()
+    assert lone[1].text == f"{lone[0].text} in 2024"
+
+
 def test_pii_is_a_permutation(spark):
     n = spark.range(3000).select(F.lpad(F.col("id").cast("string"), 13, "0").alias("m"))
     assert n.select(pii.pseudonym(F.col("m"), "key").alias("p")).distinct().count() == 3000
