@@ -20,16 +20,22 @@ from pyspark.sql import functions as F
 #: Rounds of every network.
 ROUNDS = 8
 
+#: Lengths of IBANs by country (fixed values of the registry); of other countries any length is tried.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_IBANS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+
 #: Candidate formats, tried in this order at each place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:(?:{_IBANS})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "iso": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "day": r"(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\SEP[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,5}(?![0-9])",
     "number": r"(?<![A-Za-z0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
+    # ten digits with an area code, or a trunk zero with groups of two or a code and one or two groups
+    "national": r"(?<![A-Za-z0-9+./-])(?:(?:1[ .-])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|(?:\(0[0-9]{1,4}\) ?|0[1-9][0-9]{1,4}[ /-])[0-9]{3,8}(?:[ -][0-9]{3,4})?)(?![A-Za-z0-9])(?![./-][0-9])",
 }
 PATTERNS["day"] = PATTERNS["day"].replace(r"([./])", "[./]").replace(r"\SEP", "[./]")
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -160,12 +166,15 @@ def pseudonym(m: Column, key: str) -> Column:
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     digits = F.regexp_replace(rest, "[^0-9]", "")
     phone = F.when(F.length(digits).between(6, 15), F.concat(code, _refill(rest, _characters(digits, key, "phone")))).otherwise(m)
+    local_digits = F.regexp_replace(m, "[^0-9]", "")
+    national = F.when(F.length(local_digits).between(9, 12), _refill(m, _characters(local_digits, key, "national"))).otherwise(m)
     payload = F.substring(plain, F.lit(1), F.length(plain) - 1)
     card = _characters(payload, key, "card")
     number = _refill(m, F.when(F.call_function("luhn_check", plain), F.transform(F.array(card), lambda c: F.concat(c, _luhn_digit(c)))[0]).otherwise(_characters(plain, key, "number")))
     return (
         F.when(m.contains("@"), email).when(m.rlike(whole["iban"]), iban).when(m.rlike(whole["ip"]), ip).when(m.rlike(whole["iso"]), iso)
-        .when(m.rlike(whole["day"]), day).when(m.rlike(whole["ssn"]), ssn).when(m.startswith("+"), phone).otherwise(number)
+        .when(m.rlike(whole["day"]), day).when(m.rlike(whole["ssn"]), ssn).when(m.startswith("+"), phone)
+        .when(m.rlike(whole["number"]), number).when(m.rlike(whole["national"]), national).otherwise(number)
     )
 
 
