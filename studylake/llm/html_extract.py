@@ -27,7 +27,9 @@ from studylake.llm._common import id_type, map_slices
 
 # Fixed values of the HTML standard: elements by how they are parsed or shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template annotation annotation-xml desc metadata".split())
+#: The attribute that labels the elements of training pages.
+LABEL = "data-studylake-label"
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body head html legend option optgroup td th tr tbody thead tfoot".split())
 #: A start tag ends an open element of these kinds, unless one of the second kinds is between.
@@ -119,7 +121,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
                     words += CLASS_WORD.findall(value.lower())
                 elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     hidden = True
-                elif name == "data-label":
+                elif name == LABEL and value in ("0", "1"):
                     label = int(value)
         if re.search(r"(?:^|\s)hidden(?:\s|$)", m[3]):
             hidden = True
@@ -255,7 +257,7 @@ LETTERS = "aeioulnrstdméüß"
 
 
 def training_pages(n: int, seed: int) -> list[str]:
-    """Invented pages of many layouts; data-label says of each element whether its own text is main text (containers of both: of most)."""
+    """Invented pages of many layouts; LABEL says of each element whether its own text is main text (containers of both: of most)."""
     rnd = random.Random(seed)
 
     def word() -> str:
@@ -266,7 +268,7 @@ def training_pages(n: int, seed: int) -> list[str]:
 
     def tag(name: str, inner: str, label: int, cls: str = "") -> str:
         attribute = f' {rnd.choice(["class", "id"])}="{cls}"' if cls and rnd.random() < 0.8 else ""
-        return f'<{name} data-label="{label}"{attribute}>{inner}</{name}>'
+        return f'<{name} {LABEL}="{label}"{attribute}>{inner}</{name}>'
 
     def links(k: int) -> str:
         return tag("ul", "".join(tag("li", tag("a", words(1, 3), 0), 0) for _ in range(k)), 0)
@@ -325,7 +327,7 @@ def training_pages(n: int, seed: int) -> list[str]:
         page = "".join([*before, inner, *after])
         if rnd.random() < 0.2:
             page = tag("div", page, 0, rnd.choice(["page", "wrapper", "container"]))
-        out.append(f'<html data-label="0"><head data-label="0"><title data-label="0">{words(2, 8)}</title><style data-label="0">p{{}}</style></head><body data-label="0">{page}</body></html>')
+        out.append(f'<html {LABEL}="0"><head {LABEL}="0"><title {LABEL}="0">{words(2, 8)}</title><style {LABEL}="0">p{{}}</style></head><body {LABEL}="0">{page}</body></html>')
     return out
 
 

@@ -476,3 +476,12 @@ def test_pipeline_handles_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         at, empty = stage(spark, at, SMALL), stage(spark, empty, SMALL)
     assert at.count() == 4 and empty.count() == 0
+
+
+def test_html_label_attributes_and_formulas(spark):
+    page = '<html><body><nav><ul><li><a href=x>Home page</a></ul></nav><article><h1>Title of the page</h1><p>The area of a circle is <math><mi>A</mi><mo>=</mo><mi>pi</mi><msup><mi>r</mi><mn>2</mn></msup><annotation encoding="application/x-tex">A=tex</annotation></math> for every radius, as the drawing <svg viewBox="0 0 9 9"><style>p{}</style><path d="M0 0"/><text>radius r</text></svg> shows to the reader.<p>Second one with enough words for a text.</article></body></html>'
+    table = '<html><body><article><h1>Prices of the year</h1><p>All of the prices are listed here for the reader.<table><tr><td data-label="Price">12 euros for each</td></tr></table></article></body></html>'
+    rows = html_extract.extract(spark.createDataFrame([(1, "u", page), (2, "u", table)], "page_id int, url string, html string")).collect()
+    texts = [next(v for k, v in r.asDict().items() if k not in ("page_id", "url", "html") and isinstance(v, str)) for r in sorted(rows)]
+    assert "A=pir2 for every radius, as the drawing radius r shows" in texts[0] and "tex" not in texts[0].replace("text", "") and "Home" not in texts[0]
+    assert "12 euros for each" in texts[1]
