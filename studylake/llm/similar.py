@@ -67,6 +67,12 @@ def table_entries(distinct: np.ndarray, threshold: float, dealing: int = 0) -> n
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def filled_sections(distinct: np.ndarray) -> int:
+    """Sections of the first dealing that hold any of a text's shingles, at its own level."""
+    level = _level(max(1, len(distinct)))
+    return len(np.unique(_mixed(distinct, 1) >> np.uint64(64 - level))) if level else 1
+
+
 def similar_enough(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Of two sets of distinct hashes."""
     if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
@@ -109,7 +115,8 @@ def similar_groups(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, p
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own.values()]), pa.int64()), pa.array(np.repeat(np.array([*own], np.int64), [len(k) for k in own.values()]), pa.int64())], names=["key", "node"])
 
     def sets(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts_of(part.column(1))], pa.binary())], names=["node", "hashes"])
+        own = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(part.column(1))]
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in own], pa.int64()), pa.array([filled_sections(h) for h in own], pa.int64()), pa.array([h.tobytes() for h in own], pa.binary())], names=["node", "n", "filled", "hashes"])
 
     def verified(part: pa.RecordBatch) -> pa.RecordBatch:
         keep = [similar_enough(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), threshold) for a, b in zip(part.column(2), part.column(3), strict=True)]
@@ -117,14 +124,23 @@ def similar_groups(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, p
 
     def finer(dealing: int):
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            made = [_mixed(table_entries(np.frombuffer(h.as_buffer(), np.uint64), threshold, dealing).view(np.uint64) ^ np.uint64(k & (1 << 64) - 1), 14).view(np.int64) for k, h in zip(part.column(0).to_pylist(), part.column(2), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made), pa.int64()), pa.array(np.repeat(part.column(1).to_numpy(), [len(k) for k in made]), pa.int64())], names=["key", "node"])
+            made = [table_entries(np.frombuffer(h.as_buffer(), np.uint64), threshold, dealing) for h in part.column(1)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made), pa.int64()), pa.array(np.repeat(part.column(0).to_numpy(), [len(k) for k in made]), pa.int64())], names=["fine", "node"])
 
         return work
 
     shared, _ = cut(_several(map_slices(texts.select("node", "text"), 1, entries, "key long, node long", HELD_BYTES)))
     support = shared.groupBy("node").agg(F.count("*").alias("support"))
-    described, _ = cut(map_slices(texts.select("node", "text").join(support.select("node"), "node", "left_semi"), 1, sets, "node long, hashes binary", HELD_BYTES).dropDuplicates(["node"]))
+    described, _ = cut(map_slices(texts.select("node", "text").join(support.select("node"), "node", "left_semi"), 1, sets, "node long, n long, filled long, hashes binary", HELD_BYTES).dropDuplicates(["node"]))
+
+    def possible(pairs: DataFrame, whole: bool) -> DataFrame:
+        """The pairs (a, b, times) whose numbers of shingles allow the similarity; of whole counts, also those that share enough entries."""
+        numbers = lambda c: described.select(F.col("node").alias(c), F.struct("n", "filled").alias(f"of_{c}"))
+        n, m = F.least("of_a.n", "of_b.n"), F.greatest("of_a", "of_b")
+        ok = n >= threshold * m["n"] - 1e-9
+        if whole:  # each shingle that differs changes one filled section of the larger text at most
+            ok &= F.col("times") >= m["filled"] - (1 - threshold) / (1 + threshold) * (n + m["n"]) - 1e-9
+        return pairs.join(numbers("a"), "a").join(numbers("b"), "b").where(ok).select("a", "b")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
@@ -133,7 +149,8 @@ def similar_groups(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, p
         return cut(map_slices(both, 2, verified, "a long, b long", HELD_BYTES))[0]
 
     heads = shared.join(support, "node").groupBy("key").agg(F.max(F.struct("support", "node"))["node"].alias("head"))
-    tested, _ = cut(shared.join(heads, "key").where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct())
+    tested = shared.join(heads, "key").where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+    tested, _ = cut(possible(tested, False))
     links = compared(tested)
     roots, _ = cut(components(links))
 
@@ -146,13 +163,17 @@ def similar_groups(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, p
         small = F.lit(True) if dealing > DEALINGS else F.col("unjoined") <= pairs_at_once * (1 + F.col("n") / PAIRS_TEXTS)
         mine = open_.where(small).select("key", "node", "root")
         theirs = mine.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-        pairs = mine.withColumnRenamed("node", "a").join(theirs, "key").where("a > b and root <> other").select("a", "b").distinct()
+        pairs = mine.withColumnRenamed("node", "a").join(theirs, "key").where("a > b and root <> other").groupBy("a", "b").agg(F.count("*").alias("times"))
+        # the first dealing counts all entries that a pair shares, unless one is large: that is dealt again
+        pairs = possible(pairs, dealing == 1)
         fresh = compared(cut(pairs.join(tested, ["a", "b"], "left_anti"))[0])
         found, more = found.unionByName(fresh), more or not fresh.isEmpty()
         large = open_.where(~small).select("key", "node")
         if dealing > DEALINGS or large.isEmpty():
             return components(found) if more else roots
-        rows, _ = cut(_several(map_slices(large.join(described, "node").select("key", "node", "hashes"), 2, finer(dealing), "key long, node long", HELD_BYTES)))
+        mine = described.join(large.select("node").distinct(), "node", "left_semi").select("node", "hashes")
+        fine = map_slices(mine, 1, finer(dealing), "fine long, node long", HELD_BYTES)
+        rows, _ = cut(_several(large.join(fine, "node").select(F.xxhash64("key", "fine").alias("key"), "node")))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:

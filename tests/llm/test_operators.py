@@ -199,8 +199,11 @@ def test_similar_star_and_shared_passages_against_brute_force(spark):
     assert len(set(expected[:121])) == 1 and len(set(expected[121:161])) == 40
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == sorted(set(expected))
-    # dealt again: the same groups, however few pairs an entry may compare
-    nodes = df.select(F.xxhash64("text").alias("node"), "text")
+
+
+def test_similar_deals_large_entries_again(spark):
+    texts = variants(words(200, 60, 100_000), 12, 5, 61)
+    nodes = spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("node"), "text")
     groups = [{r.node: r.root for r in similar.similar_groups(nodes, pairs_at_once=n).collect()} for n in (similar.PAIRS, 0)]
     assert groups[0] == groups[1]
 
