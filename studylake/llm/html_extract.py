@@ -127,7 +127,12 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
             hidden = True
         if tag in VOID:
             continue
-        nodes.append(Element(tag, open_[-1], nodes[open_[-1]].depth + 1, tuple(words), hidden, label))
+        # shapes and styles of a drawing hold no text and say nothing of the text around
+        foreign = (m[3].endswith("/") or tag in RAW) and any(nodes[i].tag in ("svg", "math") for i in open_)
+        if foreign and m[3].endswith("/"):
+            continue
+        if not (foreign and tag in RAW):
+            nodes.append(Element(tag, open_[-1], nodes[open_[-1]].depth + 1, tuple(words), hidden, label))
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = found.end() if found else end
