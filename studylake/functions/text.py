@@ -24,6 +24,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(StringType())
+def nfd(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else unicodedata.normalize("NFD", x))
+
+
 @F.pandas_udf(StringType())
 def without_accents(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))

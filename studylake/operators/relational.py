@@ -23,6 +23,15 @@ def distinct_on(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return top_per_group(df, by, order, 1, "__rn").drop("__rn")
 
 
+def nearest_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """by and, for each name, the value whose place in order is floor((n - 1) share): over counts of distinct values, so that a group is as large as
+    its values are many, not its rows."""
+    counted = df.groupBy(*by, value).agg(F.count("*").alias("__k"))
+    w = Window.partitionBy(*by)
+    placed = counted.withColumn("__upto", F.sum("__k").over(w.orderBy(value))).withColumn("__n", F.sum("__k").over(w))
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") > F.floor((F.col("__n") - 1) * F.lit(share)), F.col(value))).alias(name) for name, share in ranks.items()])
+
+
 def latest_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Upsert: rows of new replace those of old with the same keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

@@ -2,47 +2,197 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from studylake.functions.core import half_up
+from studylake.functions.text import fold_arabic, nfd, without_accents
 from studylake.operators.relational import cosine, top_per_group
 
 #: Fixed values of the gates.
 LEXICAL_WEIGHT = 0.15
+#: Vectors of a block, about, and probes of a tile of a block's product.
+BLOCK, TILE = 8192, 512
+
+
+def _row_blocks(rows: DataFrame, scope: list[str], name: str) -> DataFrame:
+    return rows.groupBy(*scope).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
 
 
-def similarities(probes: DataFrame, corpus: DataFrame, scope: list[str]) -> DataFrame:
-    """probe_id, vec_id, sim (6 digits): cosine of each probe with the vectors of equal scope; null vectors are skipped.
+def _by_blocks(probes: DataFrame, corpus: DataFrame, scope: list[str], work: Callable, schema: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """work on every pair of a block of probes and a block of vectors of equal scope; blocks hold about BLOCK rows, however large a scope is.
 
-    The scope is the join's equality, so probes meet only their own part of the corpus; ranks are taken on rounded similarities, with ids
-    to break ties, so that they do not depend on the order of sums.
+    A block goes to as many tasks as its scope has blocks on the other side, so the rows that move grow with the number of comparisons
+    over BLOCK, and each task holds two blocks and one tile of their product. Null vectors are skipped. `work` gets the probes' ids and
+    unit vectors, the vectors' ids and unit vectors in order of id, and the columns `carried` of the vectors.
     """
-    left = probes.where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("__p"), *scope)
-    right = corpus.where(F.col("embedding").isNotNull()).select("vec_id", "embedding", *scope)
-    joined = left.join(right, scope) if scope else left.crossJoin(F.broadcast(right))
-    return joined.where("probe_id <> vec_id").select("probe_id", "vec_id", *scope, half_up(cosine(F.col("__p"), F.col("embedding")), 6).alias("sim"))
+    keys = scope or ["__all"]
+    every = [] if scope else [F.lit(0).alias("__all")]
+    left = probes.where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("probe_id"), "embedding", *scope, *every)
+    right = corpus.where(F.col("embedding").isNotNull()).select("vec_id", "embedding", *scope, *carried, *every)
+    blocks = _row_blocks(left, keys, "__lefts").join(_row_blocks(right, keys, "__rights"), keys)
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(blocks, keys).select("probe_id", "embedding", *keys, part("probe_id", "__lefts").alias("__l"), copies("__rights").alias("__r"))
+    right = right.join(blocks, keys).select("vec_id", "embedding", *carried, *keys, copies("__lefts").alias("__l"), part("vec_id", "__rights").alias("__r"))
+
+    def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.sort_by("vec_id")
+        return work(ours.column("probe_id").to_numpy(), _vectors(ours), theirs.column("vec_id").to_numpy(), _vectors(theirs), [theirs.column(c) for c in carried])
+
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come from one table
+    return left.groupBy(*keys, "__l", "__r").cogroup(right.groupBy(*keys, "__l", "__r")).applyInArrow(run, schema)
+
+
+def _vectors(rows: pa.Table) -> np.ndarray:
+    lists = rows.column("embedding").combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(lists), -1)) if len(lists) else np.zeros((0, 0))
+
+
+def _tiles(probes: np.ndarray, p: np.ndarray, ids: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of probes, their similarities with all vectors to 6 digits); a vector's own is minus infinity."""
+    for at in range(0, len(probes) if len(ids) else 0, TILE):
+        sims = np.floor(p[at : at + TILE] @ v.T * 1e6 + 0.5) / 1e6
+        sims[probes[at : at + TILE, None] == ids[None, :]] = -np.inf
+        yield np.arange(at, min(at + TILE, len(probes))), sims
+
+
+PAIR = "probe_id long, vec_id long, sim double"
+
+
+def _pair_table(probe_ids: list[np.ndarray], vec_ids: list[np.ndarray], sims: list[np.ndarray]) -> pa.Table:
+    join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+    return pa.table({"probe_id": join(probe_ids, pa.int64()), "vec_id": join(vec_ids, pa.int64()), "sim": join(sims, pa.float64())})
 
 
 def knn(probes: DataFrame, corpus: DataFrame, scope: list[str], k: int) -> DataFrame:
-    return top_per_group(similarities(probes, corpus, scope), ["probe_id"], [F.desc("sim"), F.col("vec_id")], k)
+    """probe_id, vec_id, sim, rn: the k nearest vectors of equal scope by cosine to 6 digits, ids breaking ties; each block gives its own k at most."""
+
+    def nearest(probe_ids, p, ids, v, _):
+        out: tuple[list, list, list] = ([], [], [])
+        for rows, sims in _tiles(probe_ids, p, ids, v):
+            least = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k, None] if k < len(ids) else -np.inf
+            at, of = np.nonzero((sims >= least) & (sims > -np.inf))
+            found = sims[at, of]
+            order = np.lexsort((of, -found, at))
+            at, of, found = at[order], of[order], found[order]
+            first = np.searchsorted(at, np.arange(len(rows)))
+            keep = np.arange(len(at)) - first[at] < k
+            for column, values in zip(out, (probe_ids[rows][at[keep]], ids[of[keep]], found[keep]), strict=True):
+                column.append(values)
+        return _pair_table(*out)
+
+    return top_per_group(_by_blocks(probes, corpus, scope, nearest, PAIR), ["probe_id"], [F.desc("sim"), F.col("vec_id")], k)
+
+
+def close_pairs(probes: DataFrame, corpus: DataFrame, scope: list[str], least: float) -> DataFrame:
+    """probe_id, vec_id, sim of all pairs of equal scope that are at least so similar."""
+
+    def close(probe_ids, p, ids, v, _):
+        out: tuple[list, list, list] = ([], [], [])
+        for rows, sims in _tiles(probe_ids, p, ids, v):
+            at, of = np.nonzero(sims >= least)
+            for column, values in zip(out, (probe_ids[rows][at], ids[of], sims[at, of]), strict=True):
+                column.append(values)
+        return _pair_table(*out)
+
+    return _by_blocks(probes, corpus, scope, close, PAIR)
+
+
+def best_by_group(probes: DataFrame, corpus: DataFrame, group: str) -> DataFrame:
+    """probe_id, group, best: each probe's greatest similarity in each group of all vectors; a block gives one row a probe and group."""
+
+    def best(probe_ids, p, ids, v, carried):
+        names = pa.chunked_array(carried[0]).combine_chunks().dictionary_encode() if len(ids) else None
+        who, what, most = [], [], []
+        if names is not None:
+            code = names.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+            for rows, sims in _tiles(probe_ids, p, ids, v):
+                table = np.maximum.reduceat(sims[:, order], starts, axis=1)
+                at, of = np.nonzero(table > -np.inf)
+                who.append(probe_ids[rows][at])
+                what.append(code[order][starts][of])
+                most.append(table[at, of])
+        made = names.dictionary.take(pa.array(np.concatenate(what))) if who else pa.array([], kind)
+        return pa.table({"probe_id": pa.array(np.concatenate(who) if who else [], pa.int64()), group: made.cast(kind), "best": pa.array(np.concatenate(most) if most else [], pa.float64())})
+
+    kind = to_arrow_type(corpus.schema[group].dataType)
+    schema = f"probe_id long, {group} {corpus.schema[group].dataType.simpleString()}, best double"
+    return _by_blocks(probes, corpus, [], best, schema, (group,)).groupBy("probe_id", group).agg(F.max("best").alias("best"))
+
+
+def pair_similarities(pairs: DataFrame, probes: DataFrame, corpus: DataFrame) -> DataFrame:
+    """probe_id, vec_id, sim of the given pairs (probe_id, vec_id) of vectors that are not null."""
+    left = probes.where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("__p"))
+    right = corpus.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    return pairs.join(left, "probe_id").join(right, "vec_id").select("probe_id", "vec_id", half_up(cosine(F.col("__p"), F.col("embedding")), 6).alias("sim"))
+
+
+def words_of(text: Column) -> Column:
+    """The folded words of a text, in order: letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(fold_arabic(text)), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+
+
+def search_clauses(question: Column) -> Column:
+    """array<struct<alt, no, words>> of a folded search text: quoted words are a phrase, a leading minus excludes, "or" starts another alternative.
+
+    Every clause is a phrase, a single word one of length one; clauses without a word are left out.
+    """
+    pieces = F.regexp_extract_all(question, F.lit('-?"[^"]*"|\\S+'), F.lit(0))
+    either = lambda x: F.lower(x) == "or"
+    clause = lambda x, i: F.struct(
+        F.size(F.filter(F.slice(pieces, F.lit(1), i + 1), either)).alias("alt"), x.startswith("-").alias("no"),
+        F.when(~either(x), F.regexp_extract_all(F.lower(x), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))).alias("words"),
+    )
+    return F.filter(F.transform(pieces, clause), lambda s: F.size(s["words"]) > 0)
+
 
+def occurrences(words: Column, phrase: Column) -> Column:
+    """How often a phrase stands in a text's words."""
+    one = F.size(F.filter(words, lambda w: w == phrase[0]))
+    starts = F.filter(F.sequence(F.lit(1), F.size(words) - F.size(phrase) + 1), lambda i: F.slice(words, i, F.size(phrase)) == phrase)
+    return F.when(F.size(phrase) == 1, one).when(F.size(phrase) > F.size(words), 0).otherwise(F.size(starts))
 
-def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf: the inverted index as a table."""
-    terms = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0)))
-    return docs.select(F.col(id_col).alias("id"), terms.alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
+def search(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """query_id, id, rank of the documents that satisfy any alternative of a question (columns query_id, question).
 
-def lexical(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, rank for documents that have all of a query's terms (columns query_id, term): the sum of tf / (tf + 1)."""
-    wanted = queries.distinct()
-    size = wanted.groupBy("query_id").agg(F.count("*").alias("n"))
-    found = index.join(wanted, "term").groupBy("query_id", "id").agg(F.count("*").alias("m"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("rank"))
-    return found.join(size, "query_id").where("m = n").select("query_id", "id", half_up(F.col("rank"), 6).alias("rank"))
+    An alternative is satisfied by all its clauses and none of its excluded ones; one of excluded clauses only finds nothing. The rank is
+    the sum of tf / (tf + 1) over its distinct clauses, the greatest of the alternatives. Candidates are the documents with the rarest
+    word of an alternative; only they are looked at whole.
+    """
+    parsed = questions.select("query_id", fold_arabic(F.col("question")).alias("question")).select("query_id", search_clauses(F.col("question")).alias("clauses"))
+    parts = parsed.select("query_id", "clauses", F.explode(F.array_distinct(F.transform("clauses", lambda s: s["alt"]))).alias("alt"))
+    phrases = lambda no: F.array_distinct(F.transform(F.filter("clauses", lambda s: (s["alt"] == F.col("alt")) & (s["no"] == F.lit(no))), lambda s: s["words"]))
+    parts = parts.select("query_id", "alt", phrases(False).alias("wanted"), phrases(True).alias("unwanted")).where("size(wanted) > 0")
+    texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    posted = texts.select("id", F.explode(F.array_distinct("words")).alias("w"))
+    asked = parts.select("query_id", "alt", F.explode(F.array_distinct(F.flatten("wanted"))).alias("w"))
+    counts = posted.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    rarest = asked.join(counts, "w", "left").groupBy("query_id", "alt").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))["w"].alias("w"))
+    candidates = posted.join(rarest, "w").select("query_id", "alt", "id")
+    whole = candidates.join(parts, ["query_id", "alt"]).join(texts, "id")
+    counted = whole.withColumn("tf", F.transform("wanted", lambda p: occurrences(F.col("words"), p)))
+    met = counted.where(F.forall("tf", lambda n: n > 0) & ~F.exists("unwanted", lambda p: occurrences(F.col("words"), p) > 0))
+    rank = F.aggregate("tf", F.lit(0.0), lambda s, n: s + n / (n + 1))
+    return met.groupBy("query_id", "id").agg(F.max(half_up(rank, 6)).alias("rank"))
+
+
+def long_words(text: Column, strip: bool = True) -> Column:
+    """Distinct words of over three characters; with strip, marks of decomposed letters are dropped, else they part words, as the rules of comparison have it."""
+    spread = without_accents(F.lower(text)) if strip else F.regexp_replace(nfd(F.lower(text)), "[^\\p{L}\\p{N}\\s]+", " ")
+    found = F.split(spread, "[^\\p{L}\\p{N}]+" if strip else "\\s+")
+    return F.array_distinct(F.filter(found, lambda w: F.length(w) > 3))
 
 
 def hybrid(vector: DataFrame, lex: DataFrame, k: int) -> DataFrame:
@@ -52,8 +202,20 @@ def hybrid(vector: DataFrame, lex: DataFrame, k: int) -> DataFrame:
     return top_per_group(both, ["query_id"], [F.desc("blend"), F.col("id")], k)
 
 
-def gate(sim: Column, exact: float = 0.85, concept: float = 0.45) -> Column:
-    return F.when(sim >= exact, "exact").when(sim >= concept, "concept").otherwise("refused")
+# Fixed values of the gates by provider of vectors: exact and concept; the concept gate of questions without Arabic.
+GATES = {"openai": (0.85, 0.45), "voyage": (0.85, 0.72), "local": (0.87, 0.833)}
+LATIN_GATE = 0.5
+
+
+def concept_gate(question: Column, override: Column | None = None, provider: str = "openai") -> Column:
+    """The similarity from which a question counts as covered: its one subject's own gate, else by provider and script (over three Arabic characters)."""
+    own = F.lit(GATES[provider][1])
+    by_script = F.when(F.regexp_count(question, F.lit("[\\u0600-\\u06FF]")) > 3, own).otherwise(LATIN_GATE) if provider == "openai" else own
+    return by_script if override is None else F.coalesce(override, by_script)
+
+
+def gate(sim: Column, concept: Column | float = GATES["openai"][1], provider: str = "openai") -> Column:
+    return F.when(sim >= GATES[provider][0], "exact").when(sim >= concept, "concept").otherwise("refused")
 
 
 def fit_lists(corpus: DataFrame, lists: int = 64, sample: int = 8192, rounds: int = 8) -> np.ndarray:
@@ -102,10 +264,9 @@ def index_search(probes: DataFrame, corpus: DataFrame, k: int, lists: int = 64,
 
 def candidate_pool(probes: DataFrame, corpus: DataFrame, scope: list[str], lexical: DataFrame, k: int) -> DataFrame:
     """probe_id, vec_id, sim, rn: the nearest max(3k, 30) and the lexical hits (probe_id, vec_id) together, ordered by exact cosine."""
-    sims = similarities(probes, corpus, scope)
-    near = top_per_group(sims, ["probe_id"], [F.desc("sim"), F.col("vec_id")], max(3 * k, 30)).drop("rn")
-    both = near.unionByName(sims.join(lexical.select("probe_id", "vec_id").distinct(), ["probe_id", "vec_id"], "left_semi")).distinct()
-    return top_per_group(both, ["probe_id"], [F.desc("sim"), F.col("vec_id")], k)
+    near = knn(probes, corpus, scope, max(3 * k, 30)).select("probe_id", "vec_id", "sim")
+    hits = pair_similarities(lexical.select("probe_id", "vec_id").distinct().where("probe_id <> vec_id"), probes, corpus)
+    return top_per_group(near.unionByName(hits).distinct(), ["probe_id"], [F.desc("sim"), F.col("vec_id")], k)
 
 
 def contained(asked: DataFrame, corpus: DataFrame, gate: float = 0.9, least: int = 7) -> DataFrame:

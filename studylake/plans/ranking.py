@@ -7,18 +7,11 @@ from pyspark.sql import functions as F
 from studylake.functions.core import half_up
 from studylake.operators import relational as R
 from studylake.operators import retrieval
-from studylake.plans.retrieval import ALL, BEST, COS, RANKED, labelled, per_label
+from studylake.plans.retrieval import ALL, BEST, COS, LEX, RANKED, WORDS, lexical_hits, per_label
 from studylake.registry import query
 from studylake.sources.tables import table as t
 
 c = F.col
-WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: len(w) > 3))"
-
-
-def long_words(text):
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 3))
-
-
 @query("h02_index")
 def h02_index(s, d):
     """Ten nearest by the inverted-list index, for the vectors whose id is divisible by 20 against all; its recall against the exact scan is tested."""
@@ -26,12 +19,12 @@ def h02_index(s, d):
     return retrieval.index_search(e.where("vec_id % 20 = 0"), e, 10).select("probe_id", "vec_id", "sim")
 
 
-@query("h05_pool", f"SELECT probe_id, vec_id, sim FROM (SELECT probe_id, vec_id, sim, row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, vec_id) AS k FROM ({RANKED}) WHERE rn <= 30 OR vec_id % 7 = 0) WHERE k <= 10")
+@query("h05_pool", f"""WITH v AS ({RANKED}), {LEX.strip()}
+SELECT probe_id, vec_id, sim FROM (SELECT v.probe_id, v.vec_id, sim, row_number() OVER (PARTITION BY v.probe_id ORDER BY sim DESC, v.vec_id) AS k FROM v LEFT JOIN lex ON lex.probe_id = v.probe_id AND lex.vec_id = v.vec_id WHERE v.probe_id % 20 = 0 AND (v.rn <= 120 OR rank IS NOT NULL)) WHERE k <= 40""")
 def h05_pool(s, d):
-    """The lexical hits stand in for those of the term index: vectors of the same scope whose id is divisible by seven."""
+    """The nearest and the hits of the term index together, rescored; queries are the vectors whose id is divisible by 20."""
     e = t(s, d, "embeddings")
-    lexical = e.select(c("vec_id").alias("probe_id"), "label").join(e.where("vec_id % 7 = 0").select("vec_id", "label"), "label").select("probe_id", "vec_id")
-    return retrieval.candidate_pool(e, e, ["label"], lexical, 10).select("probe_id", "vec_id", "sim")
+    return retrieval.candidate_pool(e.where("vec_id % 20 = 0"), e, ["label"], lexical_hits(s, d), 40).select("probe_id", "vec_id", "sim")
 
 
 @query("h07_provenance", f"""
@@ -61,20 +54,29 @@ def h09_private(s, d):
     return owned(s, d, 4).select("probe_id", "vec_id", "sim")
 
 
+# Words of a question that say nothing about it.
+GENERIC = ("solve", "please", "plz", "question")
+ASKED = f"list_filter({WORDS.format('text')}, lambda w: NOT list_contains({list(GENERIC)}, w))"
+
+
 @query("h15_containment", f"""
-WITH a AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark), b AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)
+WITH a AS (SELECT item_id, {ASKED} AS w FROM benchmark), b AS (SELECT doc_id, {ASKED} AS w FROM documents)
 SELECT item_id AS asked_id, doc_id AS id, floor(len(list_intersect(a.w, b.w)) / len(a.w) * 1000000 + 0.5) / 1000000 AS containment FROM a, b WHERE len(a.w) >= 7 AND len(list_intersect(a.w, b.w)) / len(a.w) >= 0.9 - 1e-9""")
 def h15_containment(s, d):
-    side = lambda name, key: t(s, d, name).select(c(key).alias("id"), long_words("text").alias("words"))
+    own = F.array_except(retrieval.long_words(c("text"), strip=False), F.array(*map(F.lit, GENERIC)))
+    side = lambda name, key: t(s, d, name).select(c(key).alias("id"), own.alias("words"))
     return retrieval.contained(side("benchmark", "item_id"), side("documents", "doc_id"))
 
 
+STRIPPED = "list_distinct(list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: len(w) > 3))"
+
+
 @query("h16_overlap", f"""
-WITH b AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark)
+WITH b AS (SELECT item_id, {STRIPPED} AS w FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS shared, len(list_intersect(a.w, b.w)) >= 0.7 * least(len(a.w), len(b.w)) AS near_copy FROM b a JOIN b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) > 0""")
 def h16_overlap(s, d):
     """Shared words of items, counted over an inverted index of them; 0.7 of the shorter makes a near copy."""
-    words = t(s, d, "benchmark").select(c("item_id"), long_words("text").alias("w")).withColumn("n", F.size("w"))
+    words = t(s, d, "benchmark").select(c("item_id"), retrieval.long_words(c("text")).alias("w")).withColumn("n", F.size("w"))
     terms = words.select("item_id", "n", F.explode("w").alias("t"))
     pairs = terms.select(c("item_id").alias("a"), c("n").alias("na"), "t").join(terms.select(c("item_id").alias("b"), c("n").alias("nb"), "t"), "t").where("a < b")
     return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).select("a", "b", "shared", (c("shared") >= 0.7 * F.least("na", "nb")).alias("near_copy"))
@@ -151,20 +153,20 @@ def h26_quoted_titles(s, d):
 def c09_theta_anti(s, d):
     """Vectors without an earlier close one in their scope."""
     e = t(s, d, "embeddings")
-    close = retrieval.similarities(e, e, ["label"]).where("probe_id > vec_id and sim >= 0.6D").select(c("probe_id").alias("vec_id"))
+    close = retrieval.close_pairs(e, e, ["label"], 0.6).where("probe_id > vec_id").select(c("probe_id").alias("vec_id"))
     return e.join(close, "vec_id", "left_anti").select("vec_id")
 
 
 @query("c13_lateral_nearest", f"SELECT vec_id, (SELECT b.probe_id FROM ({RANKED}) b WHERE b.vec_id = e.vec_id ORDER BY sim DESC, probe_id LIMIT 1) AS nearest FROM embeddings e")
 def c13_lateral_nearest(s, d):
     e = t(s, d, "embeddings")
-    best = retrieval.similarities(e, e, ["label"]).groupBy("vec_id").agg(F.max_by("probe_id", F.struct("sim", -c("probe_id"))).alias("nearest"))
+    best = retrieval.knn(e, e, ["label"], 1).select(c("probe_id").alias("vec_id"), c("vec_id").alias("nearest"))
     return e.select("vec_id").join(best, "vec_id", "left")
 
 
 @query("d10_best_by_group", f"SELECT probe_id, label, max(sim) AS best FROM ({ALL}) GROUP BY 1, 2")
 def d10_best_by_group(s, d):
-    return labelled(s, d).groupBy("probe_id", "label").agg(F.max("sim").alias("best"))
+    return per_label(s, d).select("probe_id", "label", "best")
 
 
 @query("g11_cosine", f"SELECT a.vec_id, {COS} AS sim FROM embeddings a JOIN (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) b ON true")
@@ -184,7 +186,10 @@ def k09_cross_refile(s, d):
 def k14_generated_copies(s, d):
     """A new item is rejected if an earlier one of its scope is as close as 0.8."""
     e = t(s, d, "embeddings")
-    return retrieval.similarities(e, e, ["label"]).where("vec_id < probe_id").groupBy(c("probe_id").alias("vec_id")).agg((F.max("sim") >= 0.8).alias("rejected"))
+    live = e.where("embedding is not null").select("vec_id", "label")
+    later = live.join(live.groupBy("label").agg(F.min("vec_id").alias("first")), "label").where("vec_id > first").select("vec_id")
+    copies = retrieval.close_pairs(e, e, ["label"], 0.8).where("vec_id < probe_id").select(c("probe_id").alias("vec_id"), F.lit(True).alias("copy")).distinct()
+    return later.join(copies, "vec_id", "left").select("vec_id", F.coalesce("copy", F.lit(False)).alias("rejected"))
 
 
 PARTS = f"SELECT a.vec_id // 100 AS item, b.label, max({COS}) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2"
@@ -193,7 +198,7 @@ PARTS = f"SELECT a.vec_id // 100 AS item, b.label, max({COS}) AS best FROM embed
 @query("k17_links_by_part", f"SELECT item, label, best FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY best DESC, label) AS rn FROM ({PARTS}) WHERE best >= 0.25) WHERE rn <= 2")
 def k17_links_by_part(s, d):
     """The query vectors of a hundred ids are parts of one item: the best that any part reaches counts, two links at most."""
-    best = labelled(s, d).groupBy(F.floor(c("probe_id") / 100).alias("item"), "label").agg(F.max("sim").alias("best")).where("best >= 0.25D")
+    best = per_label(s, d).groupBy(F.floor(c("probe_id") / 100).alias("item"), "label").agg(F.max("best").alias("best")).where("best >= 0.25D")
     return R.top_per_group(best, ["item"], [F.desc("best"), c("label")], 2).select("item", "label", "best")
 
 

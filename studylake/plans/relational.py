@@ -100,7 +100,7 @@ simple("d19_mean_of_ratios", "SELECT user_id, floor(avg(least(1.0, value / 500))
 simple("d20_scope_verdict", "SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) WHEN count(DISTINCT event_type) <= 3 THEN 'few' END AS scope FROM events GROUP BY 1", lambda s, d: t(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("k")).select("user_id", F.when(F.size("k") == 1, c("k")[0]).when(F.size("k") <= 3, "few").alias("scope")))
 simple("d21_recent_five", "SELECT user_id, string_agg(event_id, ',' ORDER BY ts DESC, event_id DESC) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5 GROUP BY 1", lambda s, d: R.top_per_group(t(s, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 5).groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id")), False), lambda x: x["event_id"]), ",").alias("ids")))
 simple("d22_medians", "SELECT l_suppkey, median(l_quantity) AS median, list_sort(list(l_quantity))[(count(*) // 2 + 1)::INT] AS upper_middle FROM lineitem GROUP BY 1", lambda s, d: t(s, d, "lineitem").groupBy("l_suppkey").agg(F.median("l_quantity").alias("median"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity DESC)").alias("upper_middle")))
-simple("d23_nearest_rank", "SELECT lang, list_sort(list(n_chars))[(floor((count(*) - 1) * 0.9) + 1)::INT] AS p90 FROM documents GROUP BY 1", lambda s, d: t(s, d, "documents").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars"))).withColumn("n", F.count("*").over(Window.partitionBy("lang"))).where(c("rn") == F.floor((c("n") - 1) * F.lit(0.9)) + 1).select("lang", c("n_chars").alias("p90")))
+simple("d23_nearest_rank", "SELECT lang, list_sort(list(n_chars))[(floor((count(*) - 1) * 0.9) + 1)::INT] AS p90 FROM documents GROUP BY 1", lambda s, d: R.nearest_ranks(t(s, d, "documents"), ["lang"], "n_chars", {"p90": 0.9}))
 simple("d24_word_counts", "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1", lambda s, d: t(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
 simple("d25_threshold_sweep", "SELECT th, floor(avg((value >= th)::INT) * 1000000 + 0.5) / 1000000 AS share FROM events, (SELECT unnest([100.0, 200.0, 300.0, 400.0])::DOUBLE AS th) GROUP BY 1", lambda s, d: t(s, d, "events").select("value", F.explode(F.array(*[F.lit(x) for x in (100.0, 200.0, 300.0, 400.0)])).alias("th")).groupBy("th").agg(half_up(F.avg((c("value") >= c("th")).cast("int")), 6).alias("share")))
 simple("d26_distinct", "SELECT DISTINCT lang, source FROM documents", lambda s, d: t(s, d, "documents").select("lang", "source").distinct())
