@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,34 +23,47 @@ NUMBERED = re.compile(r"^\(?(\d+(?:[-–.]\d+)*|[a-hA-H]|[IVX]{1,4})\s*[-–.)]\
 CONTENT = re.compile(r"[→⟶⇌⇒+•]|^[AUGCT]{3}\b")
 SENTENCE_END = re.compile(r"[.!?:;。！？][\"'”’)\]]?\s*$")
 OPENS_PART = re.compile(r"^\s*(\d+(\.\d+)*\s*[-.)\]]|[a-zA-Z]\s*[-.)\]]|[IVX]+\s*[-.)\]]|[-*•▪])")
+FENCE = re.compile(r"\s*(```|~~~)")
 STRUCTURAL = re.compile(r"^\s*(\||#{1,6}\s|>|-{3,}|={3,}|```|~~~|\$\$)")
 
 
-def match_from(stream: Sequence[str], start: int, probe: Sequence[str]) -> tuple[float, int]:
-    """(share of the probe found in order, tokens stepped over) for a match that begins at start; each next token lies at most three further on."""
-    if not probe or start >= len(stream) or stream[start] != probe[0]:
-        return 0.0, 0
-    at, found, skipped = start, 1, 0
-    for token in probe[1:]:
-        ahead = next((n for n, t in enumerate(stream[at + 1 : at + 2 + SLACK]) if t == token), None)
-        if ahead is not None:
-            found, skipped, at = found + 1, skipped + ahead, at + 1 + ahead
-    return found / len(probe), skipped
+class Places:
+    """Where each token of a stream stands."""
+
+    def __init__(self, stream: Sequence[str]):
+        self.of: dict[str, list[int]] = defaultdict(list)
+        for place, token in enumerate(stream):
+            self.of[token].append(place)
+
+    def follow(self, probe: Sequence[str], start: int) -> tuple[float, int]:
+        """(share of the probe found in order, tokens stepped over) from the place of its first token; each next one lies at most SLACK tokens further on."""
+        reached, hits = start, 1
+        for token in probe[1:]:
+            own = self.of.get(token, [])
+            nearest = bisect_right(own, reached)
+            if nearest < len(own) and own[nearest] <= reached + 1 + SLACK:
+                reached, hits = own[nearest], hits + 1
+        return hits / len(probe), reached - start + 1 - hits
+
+    def matches(self, probe: Sequence[str], begin: int = 0) -> list[tuple[float, int, int]]:
+        """(score, tokens stepped over, place) wherever the probe's first token stands from begin on, best first."""
+        starts = self.of.get(probe[0], []) if probe else []
+        found = [(*self.follow(probe, at), at) for at in starts[bisect_left(starts, begin) :]]
+        return sorted(found, key=lambda m: (-m[0], *m[1:]))
 
 
 def align(heads: Sequence[Sequence[str]], stream: Sequence[str]) -> list[tuple[int | None, float, str]]:
     """(place, score, band) of each head, never going back. A rival is another occurrence that does not overlap the best one."""
+    places = Places(stream)
     out: list[tuple[int | None, float, str]] = []
     begin = 0
     for head in heads:
-        tried = [(match_from(stream, s, head), s) for s in range(begin, len(stream))]
-        (score, _), place = max(tried, key=lambda x: (x[0][0], -x[0][1], -x[1]), default=((0.0, 0), 0))
-        if score < FLOOR:
-            out.append((None, round(score, 3), "UNRESOLVED"))
-            continue
-        clear = score - max((m[0] for m, s in tried if abs(s - place) >= len(head)), default=0.0) >= MARGIN
-        out.append((place, round(score, 3), "EXACT" if clear and score >= EXACT else "STRONG" if clear and score >= STRONG else "AMBIGUOUS"))
-        begin = place + 1
+        ranked = places.matches(head, begin)
+        score, _, place = ranked[0] if ranked else (0.0, 0, 0)
+        rival = next((m[0] for m in ranked if abs(m[2] - place) >= len(head)), 0.0)
+        bands = [name for name, least in (("EXACT", EXACT), ("STRONG", STRONG)) if score >= least and score - rival >= MARGIN] or ["AMBIGUOUS"]
+        out.append((place, round(score, 3), bands[0]) if score >= FLOOR else (None, round(score, 3), "UNRESOLVED"))
+        begin = place + 1 if score >= FLOOR else begin
     return out
 
 
@@ -112,20 +128,28 @@ def without_label_runs(text: str) -> str:
 
 
 def unwrapped(text: str) -> str:
-    """Text with lines joined that a printer broke: after a long line that ends no sentence, outside fences and displayed formulas."""
-    out: list[str] = []
-    fence = display = False
-    for line in text.split("\n"):
-        toggles = re.match(r"\s*(```|~~~)", line) is not None
-        before = out[-1] if out else ""
-        keeps = fence or display or toggles or not line.strip() or len(before.strip()) < WRAPPED
-        if keeps or SENTENCE_END.search(before) or OPENS_PART.match(line) or STRUCTURAL.match(line) or STRUCTURAL.match(before):
-            out.append(line)
-        else:
-            out[-1] = f"{before.rstrip()} {line.lstrip()}"
-        fence ^= toggles
-        display ^= line.count("$$") % 2 == 1
-    return "\n".join(out)
+    """Text with lines joined that a printer broke: after a long line that ends no sentence, outside fences and displayed formulas.
+
+    Lines carry flags: whether a line may go on from the one above, and whether the one above is long. A line is joined if since the last one that
+    may not go on there was a long one; joined lines share a number, the running count of lines that are not.
+    """
+    lines = text.split("\n")
+    flag = lambda rule: np.array([bool(rule(x)) for x in lines])
+    fences, formulas = flag(FENCE.match), np.array([x.count("$$") for x in lines])
+    odd_above = lambda counts: np.r_[0, np.cumsum(counts)[:-1]] % 2 > 0
+    inside = odd_above(fences) | odd_above(formulas)
+    structural, blank = flag(STRUCTURAL.match), ~flag(str.strip)
+    ends = flag(SENTENCE_END.search)
+    above = lambda own: np.r_[False, own[:-1]]
+    goes_on = ~(inside | fences | blank | flag(OPENS_PART.match) | structural | above(structural) | above(ends))
+    goes_on[0] = False
+    place = np.arange(len(lines))
+    last_long = np.maximum.accumulate(np.where(above(flag(lambda x: len(x.strip()) >= WRAPPED)), place, -1))
+    last_stop = np.maximum.accumulate(np.where(goes_on, -1, place))
+    joined = goes_on & (last_long > last_stop)
+    number = np.cumsum(~joined)
+    groups = [[lines[i] for i in own] for own in np.split(place, np.flatnonzero(np.diff(number)) + 1)]
+    return "\n".join(" ".join([g[0].rstrip() if len(g) > 1 else g[0], *(x.strip() for x in g[1:-1]), *(x.lstrip() for x in g[1:][-1:])]) for g in groups)
 
 
 def printed_order(numbers: Sequence[int | None]) -> list[int]:
@@ -146,27 +170,44 @@ def in_sequence(numbers: Sequence[int | None]) -> list[bool]:
     return [i in good for i in range(len(numbers))]
 
 
-def moved_offset(old: str, offset: int, new: str) -> int | None:
-    """Where the point at offset of the old text lies in the new: by what follows it, else by what is before it, if that is found once; white space and marks do not count."""
-    if offset <= 0:
-        return 0
-    if offset >= len(old):
-        return len(new)
-    counts = [i for i, ch in enumerate(new) if not _light(ch)]
-    flat = "".join(new[i].lower() for i in counts)
-    for n, after in [(60, True), (40, True), (25, True), (15, True), (60, False), (40, False), (25, False)]:
-        piece = "".join(ch.lower() for ch in (old[offset : offset + n] if after else old[max(0, offset - n) : offset]) if not _light(ch))
-        at = flat.find(piece) if piece else -1
-        if at < 0 or flat.find(piece, at + 1) >= 0:
-            continue
-        if after:
-            return counts[at]
-        return counts[at + len(piece) - 1] + 1
-    return None
+# Fixed values of the search for a moved point: characters after it, then before it, that must be found once; letters that count as one.
+AFTER, BEFORE = (60, 40, 25, 15), (60, 40, 25)
+LETTERS_FROM, LETTERS_TO = "أإآى", "اااي"
+#: White space and marks, which do not count.
+LIGHT = "[\\s\u064b-\u0652\u0640\u0670]"
+MARK = "[\u064b-\u0652\u0640\u0670]"
 
 
-def _light(ch: str) -> bool:
-    return ch.isspace() or "ً" <= ch <= "ْ" or ch in "ـٰ"
+def moved_offset(old: Column, offset: Column, new: Column) -> Column:
+    """Where the point at offset of the old text lies in the new: by what follows it, else by what is before it, if that is found once; null if lost.
+
+    White space and marks do not count, and letters are folded; a point behind what was found lies behind the marks of its last letter.
+    """
+    folded = lambda x: F.translate(F.lower(F.regexp_replace(x, LIGHT, "")), LETTERS_FROM, LETTERS_TO)
+    given = F.struct(folded(new).alias("flat"), F.split(new, "").alias("characters"))
+
+    def placed(given: Column) -> Column:
+        """The new text's folded letters, and the places, from 1, of the characters that count."""
+        told = F.transform(given["characters"], lambda ch, i: F.when(~ch.rlike(LIGHT), i + 1))
+        return F.struct(given["flat"].alias("flat"), F.array_compact(told).alias("counted"))
+
+    def found(text: Column) -> Column:
+        flat, counted = text["flat"], text["counted"]
+
+        def once(piece: Column) -> Column:
+            """The place, from 1, of a piece that the folded text has once."""
+            at = F.position(piece, flat)
+            return F.when((F.length(piece) > 0) & (at > 0) & (F.position(piece, flat, at + 1) == 0), at)
+
+        places = [F.element_at(counted, once(folded(F.substring(old, offset + 1, F.lit(n))))) - 1 for n in AFTER]
+        for n in BEFORE:
+            piece = folded(F.substring(old, F.greatest(offset - n, F.lit(0)) + 1, F.least(offset, F.lit(n))))
+            end = F.element_at(counted, once(piece) + F.length(piece) - 1)
+            places.append(end + F.length(F.regexp_extract(F.substring(new, end + 1, F.length(new)), f"^{MARK}*", 0)))
+        return F.coalesce(*places)
+
+    moved = F.transform(F.transform(F.array(given), placed), found)[0]
+    return F.when(offset <= 0, 0).when(offset >= F.length(old), F.length(new)).otherwise(moved).cast("int")
 
 
 def figure_owner(figures: DataFrame, parts: DataFrame, page: list[str], share: float = 0.5) -> DataFrame:

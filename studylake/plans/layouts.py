@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from studylake.functions import classify
+from studylake.functions import classify, repair
 from studylake.functions import text as X
 from studylake.functions.core import half_up
 from studylake.operators import layout
@@ -301,6 +301,49 @@ def j17_repaired_lines(s, d):
     return t(s, d, "documents").select("doc_id", per_text(layout.unwrapped)("text").alias("text"))
 
 
+#: Texts that hold symbols of a font at private code points, and what they show.
+SYMBOLS = [("a\uf0a3b", "a≤b"), ("\uf061\uf0e6x\uf0f6", "αx"), ("x\u2062y\uf0ff", "xy"), ("\uf041\uf0ce\uf031", "Α∈1"), ("plain", "plain")]
+#: Texts with formulas in other delimiters, and in dollars.
+DELIMITERS = [
+    (r"so \(x^2\) is", "so $x^2$ is"), (r"see \[y\] there", "see \n\n$$\ny\n$$\n\n there"), ("a $$z$$ b", "a $z$ b"), ("$$z$$", "$$z$$"), ("is $٣+۴$ and ٣", "is $3+4$ and ٣"),
+    (r"has $$ \begin{cases} a", "has\n\n$$\n\\begin{cases} a\n\\end{cases}\n$$"), (r"a \\[2pt] b", r"a \\[2pt] b"),
+]
+
+
+def shown(table):
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {sql_text(b)})" for i, (_, b) in enumerate(table)) + ") AS x(i, text)"
+
+
+def literals(s, table):
+    return s.createDataFrame([(i, a) for i, (a, _) in enumerate(table)], "i int, text string")
+
+
+@query("j17_symbol_font", shown(SYMBOLS))
+def j17_symbol_font(s, d):
+    return literals(s, SYMBOLS).select("i", repair.without_symbol_font(c("text")).alias("text"))
+
+
+@query("j17_delimiters", shown(DELIMITERS))
+def j17_delimiters(s, d):
+    return literals(s, DELIMITERS).select("i", repair.math_delimiters(c("text")).alias("text"))
+
+
+@query("l10_moved_offsets", """
+WITH x AS (SELECT doc_id, text AS a, 'Preface. ' || replace(text, ' ', '  ') AS b, length(text) // 2 AS o FROM documents WHERE length(text) > 200),
+y AS (SELECT *, lower(regexp_replace(b, '\\s+', '', 'g')) AS flat, string_split(b, '') AS ch FROM x),
+z AS (SELECT *, list_filter(range(1, len(ch) + 1), lambda i: NOT regexp_matches(ch[i], '\\s')) AS places FROM y),
+p AS (SELECT *, unnest([60, 40, 25, 15, -60, -40, -25]) AS n, unnest(range(1, 8)) AS step FROM z),
+q AS (SELECT *, lower(regexp_replace(CASE WHEN n > 0 THEN substr(a, o + 1, n) ELSE substr(a, greatest(o + n, 0) + 1, least(o, -n)) END, '\\s+', '', 'g')) AS piece FROM p),
+r AS (SELECT *, instr(flat, piece) AS hit FROM q WHERE length(piece) > 0),
+u AS (SELECT *, CASE WHEN n > 0 THEN places[hit] - 1 ELSE places[hit + length(piece) - 1] END AS found FROM r WHERE hit > 0 AND instr(substr(flat, hit + 1), piece) = 0)
+SELECT x.doc_id, m.place::INT AS place FROM x LEFT JOIN (SELECT doc_id, arg_min(found, step) AS place FROM u GROUP BY 1) m USING (doc_id)""")
+def l10_moved_offsets(s, d):
+    """The middle of each text found again after an edit of its spaces and its head; lost where no piece beside it is there once."""
+    docs = t(s, d, "documents").where(F.length("text") > 200)
+    new = F.concat(F.lit("Preface. "), F.replace(c("text"), F.lit(" "), F.lit("  ")))
+    return docs.select("doc_id", layout.moved_offset(c("text"), F.floor(F.length("text") / 2).cast("int"), new).alias("place"))
+
+
 @query("j19_word_bags", """
 WITH w AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark) GROUP BY 1, 2), z AS (SELECT item_id, sum(n) AS z FROM w GROUP BY 1)
 SELECT a.item_id AS a, b.item_id AS b, floor(2 * sum(least(a.n, b.n)) / (x.z + y.z) * 1000 + 0.5) / 1000 AS dice FROM w a JOIN w b ON a.w = b.w AND a.item_id < b.item_id JOIN z x ON x.item_id = a.item_id JOIN z y ON y.item_id = b.item_id GROUP BY 1, 2, x.z, y.z""")

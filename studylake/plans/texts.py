@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from studylake.functions import repair
 from studylake.functions import text as X
 from studylake.functions.core import half_up
 from studylake.operators import relational as R
@@ -56,15 +57,21 @@ def a17_ndjson(s, d):
     return files.read_ndjson(s, path, "conv_id long, turn long, role string, text string")
 
 
-@query("g04_nfkc", "SELECT doc_id, md5(text) AS h FROM documents")
+#: Texts in compatibility forms and with accents, and what the folds make of them (literals: the tables' texts have none of the former).
+FORMS = [("ﬁne ①②", "fine 12"), ("ＡＢＣ　１", "ABC 1"), ("x²½", "x21⁄2"), ("ﻼ", "لا"), ("plain", "plain"), ("Å", "Å")]
+
+
+@query("g04_nfkc", "SELECT doc_id, md5(text) AS h FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}, md5('{b}'))" for i, (_, b) in enumerate(FORMS)) + ")")
 def g04_nfkc(s, d):
-    """The tables' texts are in compatibility form already, so the fold leaves them as they are."""
-    return t(s, d, "documents").select("doc_id", F.md5(X.nfkc(c("text")).cast("binary")).alias("h"))
+    """The tables' texts are in compatibility form already, so the fold leaves them as they are; the literals are not."""
+    texts = t(s, d, "documents").select("doc_id", "text").unionByName(s.createDataFrame([(-i - 1, a) for i, (a, _) in enumerate(FORMS)], "doc_id long, text string"))
+    return texts.select("doc_id", F.md5(X.nfkc(c("text")).cast("binary")).alias("h"))
 
 
-@query("g05_accents", "SELECT doc_id, md5(strip_accents(text)) AS h FROM documents WHERE text NOT LIKE '%ß%'")
+@query("g05_accents", "SELECT doc_id, md5(replace(strip_accents(replace(text, 'ß', chr(1))), chr(1), 'ß')) AS h FROM documents")
 def g05_accents(s, d):
-    return t(s, d, "documents").where(~c("text").contains("ß")).select("doc_id", F.md5(X.without_accents(c("text")).cast("binary")).alias("h"))
+    """Marks of decomposed letters go; a letter that does not decompose stays (the SQL's function would spell ß out, so it is set aside there)."""
+    return t(s, d, "documents").select("doc_id", F.md5(X.without_accents(c("text")).cast("binary")).alias("h"))
 
 
 @query("g16_stated_marks", "SELECT item_id, try_cast(list_last(list_filter(regexp_extract_all(right(text, 220), '[0-9]+'), lambda x: len(x) < 3)) AS INT) AS marks FROM benchmark")
@@ -78,9 +85,27 @@ def j05_identity(s, d):
     return t(s, d, "documents").groupBy(F.sha2(F.concat("source", F.lit(":"), "text"), 256).alias("id")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("j06_kind", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'notice' WHEN contains(text, ' | ') THEN 'table' WHEN length(text) < 200 THEN 'fragment' ELSE 'prose' END AS kind FROM documents")
+# Fixed values of the kinds of passages, in the order in which they are tried.
+KINDS = (
+    ("definition", "\\b(definition|définition)\\b|تعريف|on appelle|est appelée?|est appelé|on dit qu|est dite?\\b|se définit|is called|is defined|we call|on nomme|يسمى|يعرف بأنه"),
+    ("theorem", "\\b(theorem|théorème|property|propriété|corollaire|corollary|lemme|lemma|axiome|axiom)\\b|نظرية|مبرهنة|خاصية|il en résulte que|on en déduit que"),
+    ("worked_example", "\\b(example|exemple|worked|application|activité|activity)\\b|مثال|تطبيق"),
+    ("formula", "[$][$]"),
+)
+#: The edge of a word of ASCII letters, digits and underscores, as the patterns mean it.
+ASCII_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: What the tables' texts are given to exercise the kinds, by the remainder of their id.
+LEADS = {0: "On appelle suite ", 1: "Le théorème de ", 2: "Worked example: ", 3: "$$x$$ ", 4: "يسمى العدد ", 5: "is calledback", 6: "propriétés "}
+LED = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LEADS.items()) + " ELSE '' END || text"
+
+
+@query("j06_kind", f"SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(x, '{p}') THEN '{k}'" for k, p in KINDS)} ELSE 'method' END AS kind FROM (SELECT doc_id, lower({LED}) AS x FROM documents)")
 def j06_kind(s, d):
-    kind = F.when(c("text").rlike("(?i)licen[cs]e"), "notice").when(c("text").contains(" | "), "table").when(F.length("text") < 200, "fragment").otherwise("prose")
+    """Kinds of passages: what each text asserts most, with leads that exercise them."""
+    text = F.lower(F.expr(LED))
+    kind = F.lit("method")
+    for name, pattern in reversed(KINDS):
+        kind = F.when(text.rlike(pattern.replace("\\b", ASCII_EDGE)), name).otherwise(kind)
     return t(s, d, "documents").select("doc_id", kind.alias("kind"))
 
 
@@ -94,41 +119,108 @@ def j09_language(s, d):
     return t(s, d, "documents").select("doc_id", X.language(c("text")).alias("language"))
 
 
-@query("j10_page_length_gate", "SELECT doc_id, n_chars < 0.3 * m AS short, n_chars > 3 * m AS long FROM (SELECT doc_id, n_chars, median(n_chars) OVER (PARTITION BY source) AS m FROM documents)")
-def j10_page_length_gate(s, d):
-    docs = t(s, d, "documents")
-    m = docs.groupBy("source").agg(F.median("n_chars").alias("m"))
-    return docs.join(m, "source").select("doc_id", (c("n_chars") < c("m") * 0.3).alias("short"), (c("n_chars") > c("m") * 3).alias("long"))
+GRAMS = "SELECT doc_id, g, count(*) AS n, any_value(z) AS z FROM (SELECT doc_id, z, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT doc_id, w, len(w) AS z, unnest(range(1, len(w) - 6)) AS i FROM (SELECT doc_id, {0} AS w FROM documents) WHERE len(w) >= 16)) GROUP BY 1, 2"
+SPLIT = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
+#: Texts with the letters that only some scripts have, by the remainder of the id, and readings of them, as the tables have none.
+PAGE = "text || CASE doc_id % 9 WHEN 0 THEN ' ـ' WHEN 1 THEN ' ﻼ' WHEN 2 THEN ' ٣' ELSE '' END"
+CONF, WEAK = "0.75 + (doc_id % 11) / 50.0D", "(doc_id % 13) / 100.0D"
+
+
+@query("j10_page_gates", f"""
+WITH p AS (SELECT doc_id, source, {PAGE} AS text, {CONF.replace('D', '::DOUBLE')} AS conf, {WEAK.replace('D', '::DOUBLE')} AS weak FROM documents),
+m AS (SELECT source, median(length(text)) AS m FROM p GROUP BY 1),
+g AS (SELECT doc_id, max(n) AS n, max(n) * 8 / any_value(z) AS cover FROM ({GRAMS.format(SPLIT).replace('FROM documents', 'FROM p')}) GROUP BY 1)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN conf < 0.85 THEN 'low-confidence' END, CASE WHEN weak > 0.08 THEN 'many-weak-tokens' END, CASE WHEN length(text) < m * 0.4 THEN 'short-page' WHEN length(text) > m * 2.5 THEN 'long-page' END,
+  CASE WHEN g.n > 3 AND cover > 0.15 THEN 'repetition-loop' END, CASE WHEN contains(text, 'ﻼ') THEN 'presentation-forms' END, CASE WHEN contains(text, 'ـ') THEN 'tatweel' END, CASE WHEN contains(text, '٣') THEN 'arabic-indic-digits' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM p JOIN m USING (source) LEFT JOIN g USING (doc_id)""")
+def j10_page_gates(s, d):
+    """Every gate of a page against the median of its source; the text is looked at where it is, and only lengths are grouped."""
+    pages = t(s, d, "documents").select("doc_id", "source", F.expr(PAGE).alias("text"), F.expr(CONF).alias("conf"), F.expr(WEAK).alias("weak"))
+    medians = pages.groupBy("source").agg(F.median(F.length("text")).alias("m"))
+    return pages.join(medians, "source").select("doc_id", F.array_join(repair.page_flags(c("text"), c("conf"), c("weak"), c("m")), ",").alias("flags"))
 
 
-@query("j11_repeated_ngram", "SELECT doc_id, max(n) AS most FROM (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents))) GROUP BY 1, 2) GROUP BY 1")
+@query("j11_repeated_ngram", f"SELECT d.doc_id, coalesce(n, 0)::INT AS most, coalesce(floor(n * 8 / z * 1000000 + 0.5) / 1000000, 0) AS coverage FROM documents d LEFT JOIN (SELECT doc_id, max(n) AS n, any_value(z) AS z FROM ({GRAMS.format(SPLIT)}) GROUP BY 1) g USING (doc_id)")
 def j11_repeated_ngram(s, d):
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(3))))
-    each = t(s, d, "documents").select("doc_id", w.alias("w")).where("size(w) > 2").select("doc_id", F.explode(grams).alias("g"))
-    return each.groupBy("doc_id", "g").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("most"))
+    """Counted within each text, without a shuffle."""
+    return t(s, d, "documents").select("doc_id", repair.repeated_gram(c("text")).alias("r")).select("doc_id", "r.most", half_up(c("r.coverage"), 6).alias("coverage"))
 
 
 @query("j12_rare_words", """
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), v AS (SELECT w, count(*) AS n FROM w GROUP BY 1)
-SELECT doc_id, count(*) FILTER (n < 3) AS rare, count(*) AS words FROM w JOIN v USING (w) GROUP BY 1""")
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents), v AS (SELECT w, count(*) AS n FROM w GROUP BY 1),
+o AS (SELECT doc_id, floor(count(*) FILTER (n < 2) / count(*) * 1000 + 0.5) / 1000 AS odd FROM w JOIN v USING (w) GROUP BY 1),
+k AS (SELECT doc_id, source, len(regexp_extract_all(text, '[\\x{0600}-\\x{06FF}]')) AS a, len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]')) AS l FROM documents),
+b AS (SELECT source, sum(a) > sum(l) AS arabic FROM k GROUP BY 1),
+r AS (SELECT doc_id, source, odd, floor(CASE WHEN arabic THEN l ELSE a END / (a + l) * 1000 + 0.5) / 1000 AS script FROM k JOIN b USING (source) JOIN o USING (doc_id) WHERE a + l > 0)
+SELECT source, doc_id, odd, script FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY floor((odd * 2 + script) * 1000 + 0.5) DESC, doc_id) AS rn FROM r) WHERE rn <= 12""")
 def j12_rare_words(s, d):
-    w = t(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("k"))
-    v = w.groupBy("w").agg(F.sum("k").alias("n"))
-    return w.join(v, "w").groupBy("doc_id").agg(F.coalesce(F.sum(F.when(c("n") < 3, c("k"))), F.lit(0)).alias("rare"), F.sum("k").alias("words"))
+    """The twelve worst pages of each source: share of words that the corpus has once, and of letters of the other script.
 
-
-@query("j14_monitor", "SELECT doc_id, 'oversized' AS code FROM documents WHERE n_chars > 5000 UNION ALL SELECT doc_id, 'placeholder' FROM documents WHERE n_chars < 20 UNION ALL SELECT doc_id, 'damage' FROM documents WHERE regexp_matches(text, '[#$%&*]{3}')")
-def j14_monitor(s, d):
+    A word that stands once has one document, so the documents need no join with the vocabulary.
+    """
     docs = t(s, d, "documents")
-    rules = {"oversized": c("n_chars") <= 5000, "placeholder": c("n_chars") >= 20, "damage": ~c("text").rlike("[#$%&*]{3}")}
-    return R.violations(docs, rules, "doc_id").withColumnRenamed("rule", "code")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))
+    once = docs.select("doc_id", F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("rare"))
+    letters = lambda p: F.regexp_count("text", F.lit(p))
+    pages = docs.select("doc_id", "source", F.size(words).alias("n"), letters("[\\u0600-\\u06FF]").alias("a"), letters("[A-Za-zÀ-ÿ]").alias("l")).where("n > 0 and a + l > 0")
+    book = pages.groupBy("source").agg((F.sum("a") > F.sum("l")).alias("arabic"))
+    told = pages.join(once, "doc_id", "left").join(book, "source")
+    told = told.select("source", "doc_id", half_up(F.coalesce("rare", F.lit(0)) / c("n"), 3).alias("odd"), half_up(F.when(c("arabic"), c("l")).otherwise(c("a")) / (c("a") + c("l")), 3).alias("script"))
+    return R.top_per_group(told, ["source"], [F.desc(F.floor((c("odd") * 2 + c("script")) * 1000 + 0.5)), c("doc_id")], 12).select("source", "doc_id", "odd", "script")
+
+
+#: Chapters, items and passages made of the tables: what the monitor looks for is put into some texts, by the remainder of the id.
+CHAPTER = "doc_id % 53"
+ITEM_TEXT = "CASE doc_id % 17 WHEN 0 THEN 'Relevez dans le texte deux mots. ' WHEN 1 THEN 'Flux financiers et PIB. ' WHEN 2 THEN 'prix de lâ€™eau ' WHEN 3 THEN 'وزارة التربية والتعليم العالي ' WHEN 4 THEN 'see هذا النص العربي الطويل ' ELSE '' END || text"
+ANSWER = "CASE doc_id % 7 WHEN 0 THEN 'No official answer was recorded.' WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE 'because' END"
+
+
+@query("j14_monitor", f"""
+WITH ch AS (SELECT k AS chapter, 'T' || k % 3 AS track, CASE k % 4 WHEN 0 THEN 'Francais' ELSE 'S' || k % 4 END AS subject, CASE WHEN k % 4 = 1 THEN 'ar' ELSE 'fr' END AS language FROM (SELECT unnest(range(0, 60)) AS k) WHERE k % 10 <> 9),
+it AS (SELECT {CHAPTER} AS chapter, doc_id::VARCHAR AS item_id, {ITEM_TEXT} AS text, {ANSWER} AS official, doc_id % 5 = 0 AS rejected FROM documents WHERE source <> 'web'),
+pa AS (SELECT conv_id % 57 AS chapter, conv_id || '-' || turn AS item_id, CASE WHEN turn % 5 = 1 THEN 'lâ€™eau ' ELSE '' END || text AS text FROM conversations),
+j AS (SELECT * FROM it JOIN ch USING (chapter)),
+x AS (
+  SELECT 'no_textbook_material' AS code, track, subject, chapter, chapter::VARCHAR AS item_id FROM ch WHERE chapter NOT IN (SELECT chapter FROM pa)
+  UNION ALL SELECT 'no_practice', track, subject, chapter, chapter::VARCHAR FROM ch WHERE chapter NOT IN (SELECT chapter FROM it)
+  UNION ALL SELECT 'broken_encoding', track, subject, chapter, item_id FROM j WHERE contains(text, 'â€™')
+  UNION ALL SELECT 'foreign_cover', track, subject, chapter, item_id FROM j WHERE language <> 'ar' AND contains(text, 'وزارة التربية')
+  UNION ALL SELECT 'foreign_script', track, subject, chapter, item_id FROM j WHERE language <> 'ar' AND contains(text, 'هذا النص العربي')
+  UNION ALL SELECT 'placeholder_answer', track, subject, chapter, item_id FROM j WHERE official LIKE 'No %'
+  UNION ALL SELECT 'invalid_french_exercise', track, subject, chapter, item_id FROM j WHERE subject = 'Francais' AND (contains(text, 'Flux financiers et PIB') OR length(text) > 800 AND len(regexp_extract_all(text, '(?:^|\n)\\s*[0-9]{{1,2}}\\s*[-.)]')) >= 4)
+  UNION ALL SELECT 'missing_passage', track, subject, chapter, item_id FROM j WHERE contains(text, 'dans le texte')
+  UNION ALL SELECT 'missing_answer', track, subject, chapter, item_id FROM j WHERE NOT rejected AND trim(coalesce(official, '')) = ''
+  UNION ALL SELECT 'oversized_item', track, subject, chapter, item_id FROM j WHERE length(text) > 5000
+  UNION ALL SELECT 'broken_textbook_text', track, subject, chapter, item_id FROM pa JOIN ch USING (chapter) WHERE contains(text, 'lâ€™eau'))
+SELECT CASE WHEN code IN ('no_textbook_material', 'no_practice', 'missing_answer', 'oversized_item') THEN 'warning' ELSE 'critical' END AS severity, * FROM x""")
+def j14_monitor(s, d):
+    """All codes of the content monitor; sorted, it reads critical first, then by track, subject, chapter and code."""
+    k = c("id")
+    chapters = s.range(60).select(k.alias("chapter"), F.concat(F.lit("T"), (k % 3).cast("string")).alias("track"), F.when(k % 4 == 0, "Francais").otherwise(F.concat(F.lit("S"), (k % 4).cast("string"))).alias("subject"), F.when(k % 4 == 1, "ar").otherwise("fr").alias("language"), (k % 10 == 9).alias("cancelled"))
+    none = F.lit(None).cast("string")
+    items = t(s, d, "documents").where("source <> 'web'").select(F.expr(CHAPTER).alias("chapter"), c("doc_id").alias("item_id"), F.expr(ITEM_TEXT).alias("text"), none.alias("latex"), none.alias("passage"), F.expr(ANSWER).alias("official"), none.alias("model"), (c("doc_id") % 5 == 0).alias("rejected"))
+    passages = t(s, d, "conversations").select((c("conv_id") % 57).alias("chapter"), F.concat_ws("-", "conv_id", "turn").alias("item_id"), F.concat(F.when(c("turn") % 5 == 1, "lâ€™eau ").otherwise(""), "text").alias("text"))
+    return repair.monitor(chapters, items, passages).orderBy("severity", "track", "subject", "chapter", "code")
+
+
+#: What ends a paper or stands between its lines, by the remainder of the id, and what of it stays.
+TAILS = {0: "(2 points)|(0.5 pt)|Page 2 of 3||", 1: "(2 points)|Session ordinaire 2019", 2: "1/2", 3: "الاستثنائيّة|٣ علامات|علامتان ونصف", 4: "Name:", 5: "plain end"}
+KEPT = {0: "", 1: "(2 points)", 2: "", 3: "", 4: "", 5: "plain end"}
+INSIDE = "Ordinary session of 2020"
+
+
+def _cases(values):
+    own = " ".join(f"WHEN {k} THEN " + " || chr(10) || ".join(f"'{x}'" for x in v.split("|")) for k, v in values.items())
+    return f"CASE doc_id % 6 {own} END"
 
 
-@query("j15_line_filter", "SELECT doc_id, md5(string_agg(l, chr(10) ORDER BY i)) AS h FROM (SELECT doc_id, unnest(x) AS l, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE length(l) > 20 GROUP BY 1")
-def j15_line_filter(s, d):
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) > 20)
-    return t(s, d, "documents").select("doc_id", lines.alias("x")).where("size(x) > 0").select("doc_id", F.md5(F.array_join("x", "\n").cast("binary")).alias("h"))
+@query("j15_furniture", f"""
+SELECT doc_id, md5(CASE WHEN e = '' THEN regexp_replace(text, '(?:^|\n)\\s*$', '') ELSE text || chr(10) || e END) AS h FROM (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS text, {_cases(KEPT)} AS e FROM documents WHERE length(text) > 100)""")
+def j15_furniture(s, d):
+    """Texts with furniture between their first line and the rest and at their end lose it, a lone mark excepted."""
+    flat = F.regexp_replace("text", "\\s+", " ")
+    paper = F.concat(F.lit(INSIDE + "\n"), flat, F.lit("\n"), F.expr(_cases(TAILS)))
+    return t(s, d, "documents").where(F.length("text") > 100).select("doc_id", F.md5(repair.without_furniture(paper).cast("binary")).alias("h"))
 
 
 @query("j21_content_key", "SELECT doc_id, md5(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS k FROM documents")

@@ -193,10 +193,11 @@ def test_titles_in_quotes(spark):
 
 
 def test_match_needs_its_first_token_and_local_slack():
-    assert layout.match_from("a x b c".split(), 0, "a b c".split()) == (1.0, 1)
-    assert layout.match_from("x a b".split(), 0, "a b".split()) == (0.0, 0)
-    assert layout.match_from("a w x y z b".split(), 0, "a b".split()) == (0.5, 0)
-    assert layout.match_from([], 0, ["a"]) == layout.match_from(["a"], 0, []) == (0.0, 0)
+    assert layout.Places("a x b c".split()).matches("a b c".split()) == [(1.0, 1, 0)]
+    assert layout.Places("x a b".split()).matches("a b".split()) == [(1.0, 0, 1)]
+    assert layout.Places("a w x y z b".split()).matches("a b".split()) == [(0.5, 0, 0)]
+    assert layout.Places("a b a b".split()).matches("a b".split(), 1) == [(1.0, 0, 2)]
+    assert layout.Places([]).matches(["a"]) == layout.Places(["a"]).matches([]) == []
 
 
 def test_alignment_is_monotone_with_bands():
@@ -234,11 +235,26 @@ def test_page_numbers():
     assert layout.printed_order([]) == []
 
 
-def test_offsets_move_with_their_words():
-    old, new = "alpha beta gamma delta epsilon", "zero alpha  beta gamma delta epsilon"
-    assert new[layout.moved_offset(old, 11, new) :].startswith("gamma")
-    assert layout.moved_offset(old, 0, new) == 0 and layout.moved_offset(old, 99, new) == len(new)
-    assert layout.moved_offset("aa bb", 3, "cc dd") is None
+@pytest.mark.parametrize(("old", "offset", "new", "expected"), [
+    ("alpha beta gamma delta epsilon", 11, "zero alpha  beta gamma delta epsilon", 17), ("alpha", 0, "zero", 0), ("alpha", 99, "zero", 4), ("aa bb", 3, "cc dd", None),
+    ("قال أحمد الكتاب", 4, "مقدمة قال احمد الكتاب", 10), ("end of it", 7, "the end ofَ xx", 11),
+])
+def test_offsets_move_with_their_words(spark, old, offset, new, expected):
+    assert one(spark, layout.moved_offset(F.col("a"), F.col("o"), F.col("b")), a=old, o=offset, b=new) == expected
+
+
+def test_questions_are_searched_by_phrase_exclusion_and_alternative(spark):
+    docs = spark.createDataFrame([(1, "La photosynthèse est un processus"), (2, "un processus est long"), (3, "قال الأستاذ: الطاقة الشمسية"), (4, "La tasse est là, la photosynthèse non"), (5, None), (6, "")], "doc_id int, text string")
+    asked = [("phrase", '"est un processus"'), ("not", "photosynthèse -tasse"), ("or", "long or tasse"), ("arabic", "الاستاذ الطاقه"), ("none", "-processus"), ("empty", ""), ("all", "est processus")]
+    found = retrieval.search(docs, spark.createDataFrame(asked, "query_id string, question string")).collect()
+    got = {q: sorted(r.id for r in found if r.query_id == q) for q, _ in asked}
+    assert got == {"phrase": [1], "not": [1], "or": [2, 4], "arabic": [3], "none": [], "empty": [], "all": [1, 2]}
+    assert {r.rank for r in found if r.query_id == "all"} == {1.0}
+
+
+def test_concept_gates(spark):
+    gate = lambda text_, own: one(spark, retrieval.concept_gate(F.col("t"), F.col("g")), t=text_, g=own)
+    assert gate("what is energy", None) == 0.5 and gate("ما هي الطاقة", None) == 0.45 and gate("ما هي الطاقة", 0.7) == 0.7
 
 
 def test_visuals_of_a_group_go_together(spark):
