@@ -199,10 +199,10 @@ def moved_offset(old: Column, offset: Column, new: Column) -> Column:
             at = F.position(piece, flat)
             return F.when((F.length(piece) > 0) & (at > 0) & (F.position(piece, flat, at + 1) == 0), at)
 
-        places = [F.element_at(counted, once(folded(F.substring(old, offset + 1, F.lit(n))))) - 1 for n in AFTER]
+        places = [F.try_element_at(counted, once(folded(F.substring(old, offset + 1, F.lit(n))))) - 1 for n in AFTER]
         for n in BEFORE:
             piece = folded(F.substring(old, F.greatest(offset - n, F.lit(0)) + 1, F.least(offset, F.lit(n))))
-            end = F.element_at(counted, once(piece) + F.length(piece) - 1)
+            end = F.try_element_at(counted, once(piece) + F.length(piece) - 1)
             places.append(end + F.length(F.regexp_extract(F.substring(new, end + 1, F.length(new)), f"^{MARK}*", 0)))
         return F.coalesce(*places)
 
