@@ -46,6 +46,12 @@ def fold_arabic_inline(text: Column) -> Column:
     return F.when(text.rlike("[\\u0600-\\u06FF]"), F.trim(F.regexp_replace(folded, "[ \\t]+", " "))).otherwise(text)
 
 
+def fold_for_search(text: Column) -> Column:
+    """The loader's fold: like the index's for letters and digits of both kinds, with hamza carriers kept; only runs of spaces and tabs collapse."""
+    plain = F.regexp_replace(nfkc(text), MARKS, "")
+    return F.regexp_replace(F.translate(plain, "أإآٱىة٠١٢٣٤٥٦٧٨٩" + PERSIAN_DIGITS, "اااايه" + "0123456789" * 2), "[ \\t]{2,}", " ")
+
+
 def content_key(text: Column) -> Column:
     return F.regexp_replace(text, "\\s+", "")
 

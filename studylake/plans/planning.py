@@ -9,7 +9,7 @@ from studylake.functions.core import half_up
 from studylake.operators import planning as P
 from studylake.operators import relational as R
 from studylake.operators import sequential
-from studylake.plans.learning import MASTERY, mastered
+from studylake.plans.learning import MASTERY, READINESS, i07_readiness, mastered
 from studylake.registry import query
 from studylake.sources.tables import table as t
 
@@ -73,11 +73,15 @@ def i11_credit_chapter(s, d):
     return t(s, d, "lineitem").groupBy("l_orderkey").agg(F.when(among(claimed), claimed).when(among(home), home).otherwise(F.min("l_partkey")).alias("chapter"))
 
 
-@query("i12_snapshot_batch", f"SELECT user_id, DATE '2024-02-01' AS day, floor(avg(mastery) * count(*) / 5 * 1000 + 0.5) / 1000 AS covered, sum(attempts)::BIGINT AS attempts FROM ({MASTERY}) GROUP BY 1 HAVING sum(attempts) >= 10")
+STORED = "SELECT c_custkey AS user_id, DATE '2024-01-01' AS day, 0.5::DOUBLE AS readiness FROM customer WHERE c_custkey <= 40"
+
+
+@query("i12_snapshot_batch", f"WITH fresh AS (SELECT user_id, DATE '2024-02-01' AS day, readiness FROM ({READINESS}) WHERE reportable) SELECT * FROM fresh UNION ALL SELECT * FROM ({STORED}) WHERE user_id NOT IN (SELECT user_id FROM fresh)")
 def i12_snapshot_batch(s, d):
-    """One grouped job for all active learners."""
-    each = mastered(s, d).groupBy("user_id").agg(half_up(F.avg("mastery") * F.count("*") / 5, 3).alias("covered"), F.sum("attempts").alias("attempts"))
-    return each.where("attempts >= 10").select("user_id", F.lit("2024-02-01").cast("date").alias("day"), "covered", "attempts")
+    """Readiness of all learners in one grouped job, over the stored snapshot: reportable ones replace theirs, others stay."""
+    fresh = i07_readiness(s, d).where("reportable").select("user_id", F.lit("2024-02-01").cast("date").alias("day"), "readiness")
+    stored = t(s, d, "customer").where("c_custkey <= 40").select(c("c_custkey").alias("user_id"), F.lit("2024-01-01").cast("date").alias("day"), F.lit(0.5).alias("readiness"))
+    return R.latest_wins(stored, fresh, ["user_id"])
 
 
 @query("i19_repeated_criteria", "SELECT user_id, event_type AS criterion, count(*) AS times FROM events WHERE value < 100 AND event_type IN ('click', 'error') GROUP BY 1, 2 HAVING count(*) >= 2")

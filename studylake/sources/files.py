@@ -13,9 +13,11 @@ BOM = "﻿"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; in a temporary one only where spark.checkpoint.dir is unset."""
+    """A new path in the folder that driver and executors share; in local mode a temporary one where spark.checkpoint.dir is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -84,6 +86,32 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.mapInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
+def write_guarded(df: DataFrame, target: str, confirm: str) -> None:
+    """Write only where the target is the one that was meant."""
+    if target != confirm:
+        raise ValueError(f"not written: {target} is not the confirmed {confirm}")
+    df.write.parquet(target)
+
+
+def publish(tables: dict[str, DataFrame], path: str) -> str:
+    """Write tables beside those that are there, then a version that points to them all; readers take the latest version, so they see all or none."""
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/data/{version}/{name}")
+    names = [(name, version) for name in sorted(tables)]
+    spark.createDataFrame(names, "name string, version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return path
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the latest version; a version is one small file, written in one step."""
+    versions = spark.read.parquet(f"{path}/versions")
+    latest = versions.groupBy("version").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "version").first()["version"]
+    names = versions.where(F.col("version") == latest).select("name").collect()  # the tables of one version
+    return {r["name"]: spark.read.parquet(f"{path}/data/{latest}/{r['name']}") for r in names}
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """path, size, sha256 and how many files have the same bytes."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
