@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count, islice
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes that one slice of an Arrow batch holds at most, unless a single text is longer.
@@ -17,19 +19,30 @@ SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch at most: texts can be long, and a batch is held several times on its way to a worker and back.
 BATCH_ROWS = 1000
 
+#: join_hot: a key is hot with over a HOT_SHAREth of the rows; it is dealt to SALTS tasks. Under HOT_ROWS rows none is.
+HOT_SHARE, SALTS, HOT_ROWS = 1000, 64, 800
+
 #: Maps A-Z to a-z and leaves every other byte of UTF-8 as it is.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where all is one machine, a temporary one if it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def spare(df: DataFrame, n: int) -> list[str]:
+    """n names that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((name for i in count() if (name := f"__{i}") not in taken), n))
+
+
 def cut(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back, so that a lost executor costs no recomputation. Gives its path too."""
     spark = df.sparkSession
@@ -45,6 +58,23 @@ def forget(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined to table by keys that a large share of the rows may have: those of over a HOT_SHAREth of rows, of which there can be no more
+    than HOT_SHARE, are dealt to SALTS tasks each, and their rows of table copied to all of these. counts: keys and n, if they are known."""
+    total = rows.count()
+    if total < HOT_ROWS:
+        return rows.join(table, [*keys], how)
+    flag, salt = spare(rows.join(table, [*keys]), 2)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    hot, _ = cut(counts.where(F.col("n") > max(total // HOT_SHARE, HOT_ROWS // 4)).select(*keys, F.lit(True).alias(flag)))
+    if hot.isEmpty():
+        return rows.join(table, [*keys], how)
+    is_hot = F.coalesce(F.col(flag), F.lit(False))
+    dealt = rows.join(F.broadcast(hot), [*keys], "left").withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int"))
+    copied = table.join(F.broadcast(hot), [*keys], "left").withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop(flag).join(copied.drop(flag), [*keys, salt], how).drop(salt)
+
+
 def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts in column number `text` hold at most `limit` bytes together."""
     start, held = 0, 0

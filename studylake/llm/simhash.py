@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm._common import LOWER_AZ, cut, forget, id_type, map_slices, texts_of
+from studylake.llm._common import LOWER_AZ, cut, forget, id_type, join_hot, map_slices, texts_of
 
 #: Seed of XXH64 over a shingle's UTF-8.
 SEED = 42
@@ -118,7 +118,7 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFra
         sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
         counted, path = cut(sizes)
         written.append(path)
-        small = rows.join(counted.where(F.col("n") <= bucket), ["t", "k"]).groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
+        small = join_hot(rows, counted.where(F.col("n") <= bucket), "t", "k").groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
         found = small.select("fps").mapInArrow(verified, "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
         large = counted.where(F.col("n") > bucket)
@@ -133,7 +133,7 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFra
                 number = (t + 1) << (radius + 1) | v
                 finer[number] = kept[t] | m
                 again.append((t, number, kept[t] | m))
-        large_rows = rows.join(large.select("t", "k"), ["t", "k"]).select("fp", "t")
+        large_rows = join_hot(rows, large.select("t", "k"), "t", "k").select("fp", "t")
         parts = [dealt(large_rows.where(F.col("t") == t).select("fp"), [(n, m) for u, n, m in again if u == t]) for t in tables]
         rows = parts[0]
         for part in parts[1:]:
@@ -141,11 +141,12 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFra
         kept = finer
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component of the edges (a, b), by alternating large-star and small-star.
 
-    Each round moves every neighbour to the smallest one by grouped minima, which are partly aggregated before the shuffle, so a hub
-    with a third of all edges sends one row a task. Rounds are written to the shared folder; the last is kept.
+    Each round moves every neighbour to the smallest one by grouped minima, which are partly aggregated before the shuffle, and joins them
+    back with a hub's rows dealt to several tasks. Rounds go on until nothing moves, a logarithm of the longest path in practice; each is
+    written to the shared folder, and the last is kept.
     """
     spark = edges.sparkSession
 
@@ -155,16 +156,17 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     now, path = cut(canonical(edges))
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small_least, "a")
+        large = join_hot(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large, large_path = cut(large)
+        joined = join_hot(large, large.groupBy("a").agg(F.min("b").alias("m")), "a")
         step = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         new, new_path = cut(canonical(step))
         same = new.count() == now.count() and new.exceptAll(now).isEmpty()
         forget(spark, path)
+        forget(spark, large_path)
         now, path = new, new_path
         if same:
             break
@@ -175,14 +177,13 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """id_col, fp, component_id (the smallest id reachable by links of at most `radius` bits), one row per input row."""
     fps, _ = cut(fingerprints(df, id_col, text_col, shingle))
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("first_id"))
-    nodes, _ = cut(distinct)
+    nodes, _ = cut(fps.groupBy("fp").agg(F.min("id").alias("first_id")))
     roots = components(links(nodes.select("fp"), radius))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     labelled, _ = cut(labelled)
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = labelled.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    by_fp, _ = cut(join_hot(labelled, least, "root").select("fp", "component_id"))
+    return join_hot(fps, by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def fingerprint_hex(fp: F.Column) -> F.Column:
