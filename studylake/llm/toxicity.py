@@ -1,12 +1,15 @@
 """Toxicity categories by a chain of linear classifiers.
 
-The categories are predicted in a fixed order; each model sees the words and the probabilities of the categories before it. In training
-those earlier probabilities are out of fold, so that a later model learns how far to trust what it will really see.
+The categories are predicted in a fixed order; each model sees the text's features and the probabilities of the categories before it. In
+training those earlier probabilities are out of fold, so that a later model learns how far to trust what it will really see.
 
-Training uses one of each group of copies among at most `max_rows` labelled documents, those whose hashed ids are smallest; scoring covers every document. The categories
-before the last are weak labels: a document labelled toxic that has one of the category's seed words. The last is the label itself.
+Training uses one of each group of copies among at most `max_rows` labelled documents, those whose hashed ids are smallest; scoring
+covers every document. The categories before the last are label columns of the caller's, or else kinds found in the data: groups of the
+documents labelled toxic that share features. The last category is the label itself, and the threshold at which a document is
+rejected is the one at which the out-of-fold probabilities find most, with at most MAX_FALSE of the clean documents rejected.
 
-Features: presence of words whose frequency among labelled documents differs between the label's values by over MIN_Z standard errors.
+Features: words and beginnings of words (a stem marks all its inflections and compounds, also unseen ones), as the logarithm of their
+number; of those the ones whose frequency among labelled documents differs between a category's values by over MIN_Z standard errors.
 
 Defined results: null, empty and wordless texts have no features and get the base rates; without a positive label every probability is 0
 and nothing is rejected; labels that are null are left out; a document with several labels counts once for each; repeated rows are
@@ -16,8 +19,8 @@ scored alike; empty tables give empty results. Scores come after the given colum
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,50 +29,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studylake.llm._common import bounded, cut, map_slices, slices, texts_of
+from studylake.llm._common import bounded, cut, forget, map_slices, slices, texts_of
 from studylake.llm.decontaminate import words_of
 
-#: Labelled documents that are trained on, at most; words that models see, at most.
+#: Labelled documents that are trained on, at most; features that models see, at most.
 MAX_ROWS, MAX_WORDS = 12_000, 4_000
-#: Words that a task counts before it hands the counts on.
-HELD_WORDS = 100_000
-MIN_Z, MIN_DOCS = 4.0, 5
-#: Share of the documents with one of the label's values that must have a word, so that the vocabulary of one subject is no evidence.
-MIN_SHARE = 0.05
+#: Features that a task counts before it hands the counts on; words whose features a worker keeps.
+HELD_WORDS, KEPT_WORDS = 100_000, 300_000
+MIN_Z, MIN_DOCS = 3.0, 5
+#: Characters of the beginnings of words.
+STEMS = range(3, 9)
 FOLDS = 5
-#: A document is rejected if the last category is at least so likely.
-THRESHOLD = 0.5
-#: Seed words of the weakly labelled categories, in the order of the chain.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting"),
-}
+#: Kinds of toxic documents that are looked for where the caller has no category columns.
+KINDS = 2
+#: Share of the clean training documents that may be rejected, and the thresholds that are tried.
+MAX_FALSE, THRESHOLDS = 0.003, [n / 20 for n in range(19, 3, -1)]
 FINAL = "toxic"
 
 
+def features_of(word: bytes) -> list[bytes]:
+    """A word and its beginnings; no word holds an asterisk."""
+    text = word.decode("utf-8", "ignore")
+    return [word, *[text[:n].encode() + b"*" for n in STEMS if n <= len(text)]]
+
+
+class Reader:
+    """Numbers of the known features of texts; keeps those of words seen before."""
+
+    def __init__(self, known: dict[bytes, int]):
+        self.known, self.kept = known, {}
+        #: First characters that all features of a word begin with.
+        self.starts = {f.removesuffix(b"*").decode("utf-8", "ignore")[: STEMS.start] for f in known}
+
+    def read(self, text: bytes) -> dict[int, int]:
+        """How often each known feature is in the text."""
+        found: dict[int, int] = defaultdict(int)
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        for word, times in Counter(words_of(text)).items():
+            own = self.kept.get(word)
+            if own is None:
+                begun = word.decode("utf-8", "ignore")[: STEMS.start] in self.starts
+                own = self.kept[word] = [self.known[f] for f in features_of(word) if f in self.known] if begun else ()
+            for f in own:
+                found[f] += times
+        return found
+
+
+@dataclass
+class Sparse:
+    """Documents x features: document numbers in ascending order, feature numbers and values."""
+
+    rows: np.ndarray
+    at: np.ndarray
+    values: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, found: list[dict[int, int]]) -> Sparse:
+        rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        at = np.fromiter((w for f in found for w in f), np.int64, len(rows))
+        return cls(rows, at, np.log1p(np.fromiter((n for f in found for n in f.values()), float, len(rows))), len(found))
+
+    def part(self, inside: np.ndarray) -> Sparse:
+        mine = inside[self.rows]
+        return Sparse((np.cumsum(inside) - 1)[self.rows[mine]], self.at[mine], self.values[mine], int(inside.sum()))
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights[self.at] * self.values, self.n)
+
+
 @dataclass
 class Chain:
     names: list[str]
     words: dict[bytes, int]
-    #: One row per model: weights of the words, of earlier categories, bias.
+    #: One row per model: weights of the features, of earlier categories, bias.
     weights: np.ndarray
+    threshold: float = 0.5
+    #: Share of toxic documents found and of clean ones kept, out of fold.
+    figures: tuple[float, float] = field(default=(0.0, 1.0))
 
-    def probabilities(self, found: list[list[int]]) -> np.ndarray:
+    def probabilities(self, found: list[dict[int, int]]) -> np.ndarray:
         """documents x categories."""
         out = np.zeros((len(found), len(self.names)))
-        if not len(self.weights):
-            return out
-        n = len(self.words)
-        own = np.array([i for i, f in enumerate(found) for _ in f], np.int64)
-        at = np.array([w for f in found for w in f], np.int64)
+        x, n = Sparse.of(found), len(self.words)
         for k, weight in enumerate(self.weights):
-            logit = np.bincount(own, weight[at], len(found)) if len(at) else np.zeros(len(found))
-            out[:, k] = 1 / (1 + np.exp(-(logit + out[:, :k] @ weight[n : n + k] + weight[-1])))
+            out[:, k] = 1 / (1 + np.exp(-(x.logits(weight) + out[:, :k] @ weight[n : n + k] + weight[-1])))
         return out
 
 
-def _fit(rows: np.ndarray, words: np.ndarray, extra: np.ndarray, y: np.ndarray, n_words: int, steps: int = 300) -> np.ndarray:
-    """L2-regularised logistic regression on sparse words and dense extra columns, by Adam over all rows."""
+def _fit(x: Sparse, extra: np.ndarray, y: np.ndarray, n_words: int, steps: int = 200) -> np.ndarray:
+    """L2-regularised logistic regression on sparse features and dense extra columns, by Adam over all rows."""
     size = n_words + extra.shape[1] + 1
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     if y.min() == y.max():
@@ -77,22 +127,20 @@ def _fit(rows: np.ndarray, words: np.ndarray, extra: np.ndarray, y: np.ndarray,
         return w
     w[-1] = np.log(y.mean() / (1 - y.mean()))
     for step in range(1, steps + 1):
-        logit = np.bincount(rows, w[words], len(y)) + extra @ w[n_words:-1] + w[-1]
-        error = 1 / (1 + np.exp(-logit)) - y
-        g = np.r_[np.bincount(words, error[rows], n_words), error @ extra, error.sum()] / len(y)
+        error = 1 / (1 + np.exp(-(x.logits(w) + extra @ w[n_words:-1] + w[-1]))) - y
+        g = np.r_[np.bincount(x.at, error[x.rows] * x.values, n_words), error @ extra, error.sum()] / len(y)
         g[:-1] += 1e-4 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w
 
 
-def fit_chain(found: list[list[int]], folds: np.ndarray, labels: np.ndarray, words: dict[bytes, int], names: list[str]) -> Chain:
+def fit_chain(found: list[dict[int, int]], folds: np.ndarray, labels: np.ndarray, words: dict[bytes, int], names: list[str]) -> Chain:
     """labels: documents x categories, in the chain's order."""
     n, k = labels.shape
     if not n or not labels[:, -1].any():
         return Chain(names, words, np.zeros((0, 0)))
-    rows = np.array([i for i, f in enumerate(found) for _ in f], np.int64)
-    at = np.array([w for f in found for w in f], np.int64)
+    x = Sparse.of(found)
     outside = np.zeros((n, k))  # out-of-fold probabilities
     weights = np.zeros((k, len(words) + k))
     for c in range(k):
@@ -101,15 +149,39 @@ def fit_chain(found: list[list[int]], folds: np.ndarray, labels: np.ndarray, wor
             inside = folds != fold
             if not inside.any():
                 inside = ~inside
-            number = np.cumsum(inside) - 1
-            mine = inside[rows]
-            w = _fit(number[rows[mine]], at[mine], extra[inside], y[inside], len(words))
-            logit = np.bincount(rows, w[at], n) + extra @ w[len(words) : -1] + w[-1]
+            w = _fit(x.part(inside), extra[inside], y[inside], len(words))
+            logit = x.logits(w) + extra @ w[len(words) : -1] + w[-1]
             outside[folds == fold, c] = 1 / (1 + np.exp(-logit[folds == fold]))
-        w = _fit(rows, at, extra, y, len(words))
+        w = _fit(x, extra, y, len(words))
         weights[c, : len(words) + c] = w[:-1]
         weights[c, -1] = w[-1]
-    return Chain(names, words, weights)
+    bad = labels[:, -1].astype(bool)
+    found_, false_ = ([float((outside[own, -1] >= t).mean()) if own.any() else 0.0 for t in THRESHOLDS] for own in (bad, ~bad))
+    best = max(range(len(THRESHOLDS)), key=lambda i: (false_[i] <= MAX_FALSE, found_[i] if false_[i] <= MAX_FALSE else -false_[i], THRESHOLDS[i]))
+    return Chain(names, words, weights, THRESHOLDS[best], (found_[best], 1 - false_[best]))
+
+
+def kinds(found: list[dict[int, int]], bad: np.ndarray, n_words: int, k: int = KINDS, rounds: int = 10) -> np.ndarray:
+    """documents x kinds: the toxic documents dealt to k groups by shared features (spherical k-means from far apart starts)."""
+    out = np.zeros((len(bad), k), bool)
+    own = np.flatnonzero(bad)
+    own = own[[bool(found[i]) for i in own]]
+    if not len(own) or not n_words:
+        return out
+    x = np.zeros((len(own), n_words), np.float32)
+    for row, i in enumerate(own):
+        x[row, list(found[i])] = 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    starts = [int(np.argmax(x @ x.sum(0)))]
+    while len(starts) < k:
+        starts.append(int(np.argmin((x @ x[starts].T).max(1))))
+    centres = x[starts]
+    for _ in range(rounds):
+        group = np.argmax(x @ centres.T, axis=1)
+        sums = np.stack([x[group == c].sum(0) if (group == c).any() else centres[c] for c in range(k)])
+        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    out[own, group] = True
+    return out
 
 
 def _without_copies(rows: DataFrame, size: int = 5, keys: int = 4) -> DataFrame:
@@ -121,83 +193,98 @@ def _without_copies(rows: DataFrame, size: int = 5, keys: int = 4) -> DataFrame:
             words = words_of(text)
             shingles = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
             least.append([min(xxhash.xxh64_intdigest(s, seed) for s in shingles) >> 1 for seed in range(keys)])
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.list_(pa.int64()))], names=["text", "bad", "least"])
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.list_(pa.int64()))], names=["text", "flags", "least"])
 
-    marked = map_slices(rows, 0, work, "text string, bad boolean, least array<bigint>")
+    marked = map_slices(rows, 0, work, "text string, flags array<boolean>, least array<bigint>")
     for k in range(keys):
-        first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "bad", "least")).alias("r")
-        marked = marked.groupBy(F.col("least")[k].alias("k")).agg(first).select("r.text", "r.bad", "r.least")
-    return marked.select("text", "bad")
+        first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "flags", "least")).alias("r")
+        marked = marked.groupBy(F.col("least")[k].alias("k")).agg(first).select("r.text", "r.flags", "r.least")
+    return marked.select("text", "flags")
+
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", categories: tuple[str, ...] = (), max_rows: int = MAX_ROWS) -> Chain:
+    """Fit the chain on labelled documents. categories: columns of labels (0 or less and null: no) in the chain's order; none: kinds from the data."""
+    names = [*(categories or [f"kind_{i + 1}" for i in range(KINDS)]), FINAL]
+    flags = F.array(*[F.coalesce(F.col(c) > 0, F.lit(False)) for c in (*categories, label_col)])
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), flags.alias("flags"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id", "flags").limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "flags")  # max_rows bounds it
+    sample, path = cut(_without_copies(rows))
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", categories: dict[str, tuple[str, ...]] | None = None, max_rows: int = MAX_ROWS) -> Chain:
-    """Fit the chain on labelled documents."""
-    categories = CATEGORIES if categories is None else categories
-    names = [*categories, FINAL]
-    seeds = [frozenset(s.encode() for s in words) for words in categories.values()]
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("bad"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "bad").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "bad")  # max_rows bounds it
-    sample, _ = cut(_without_copies(rows))
+    n_flags = len(categories) + 1
 
     def count(batches):
-        counts: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+        counts: dict[bytes, np.ndarray] = defaultdict(lambda: np.zeros(1 + n_flags, np.int64))
 
         def give() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["w", "bad", "good"])
+            table = np.array([*counts.values()], np.int64).reshape(len(counts), 1 + n_flags)
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *[pa.array(c) for c in table.T]], names=fields.names)
             counts.clear()
             return made
 
         for batch in batches:
             for part in slices(batch, 0):
-                for text, bad in zip(texts_of(part.column(0)), part.column(1).to_pylist(), strict=True):
-                    counts[b""][bad] += 1  # the number of documents; no word is empty
-                    for w in set(words_of(text)):
-                        counts[w][bad] += 1
+                for text, own in zip(texts_of(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    mine = np.array([1, *own], np.int64)
+                    counts[b""] += mine  # the number of documents; no feature is empty
+                    for f in {f for w in set(words_of(text)) for f in features_of(w)}:
+                        counts[f] += mine
                 if len(counts) > HELD_WORDS:
                     yield give()
         yield give()
 
-    counted = bounded(sample).mapInArrow(count, "w binary, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    fields = T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.LongType()), *[T.StructField(f"with_{i}", T.LongType()) for i in range(n_flags)]])
+    counted = bounded(sample).mapInArrow(count, fields).groupBy("w").agg(*[F.sum(c).alias(c) for c in fields.names[1:]])
+    counted, counts_path = cut(counted.where((F.length("w") == 0) | (F.col("n") >= MIN_DOCS)))
     totals = counted.where(F.length("w") == 0).first()
-    bad_n, good_n = (totals.bad, totals.good) if totals else (0, 0)
-    if not bad_n:
+    if not totals or not totals[f"with_{n_flags - 1}"]:
         return Chain(names, {}, np.zeros((0, 0)))
-    p, q = (F.col("bad") + 0.5) / (bad_n + 1.0), (F.col("good") + 0.5) / (good_n + 1.0)
-    z = F.abs(p - q) / F.sqrt(p * (1 - p) / (bad_n + 1.0) + q * (1 - q) / (good_n + 1.0))
-    best = counted.where((F.length("w") > 0) & (F.col("bad") + F.col("good") >= MIN_DOCS) & (F.greatest(p, q) >= MIN_SHARE)).select("w", z.alias("z")).where(F.col("z") > MIN_Z).orderBy(F.desc("z"), "w").limit(MAX_WORDS).collect()
+
+    def evidence(flag: str) -> F.Column:
+        bad_n, good_n = totals[flag], totals["n"] - totals[flag]
+        p, q = (F.col(flag) + 0.5) / (bad_n + 1.0), (F.col("n") - F.col(flag) + 0.5) / (good_n + 1.0)
+        return F.abs(p - q) / F.sqrt(p * (1 - p) / (bad_n + 1.0) + q * (1 - q) / (good_n + 1.0))
+
+    z = F.greatest(*[evidence(f"with_{i}") for i in range(n_flags)], F.lit(0.0))
+    best = counted.where(F.length("w") > 0).select("w", z.alias("z")).where(F.col("z") > MIN_Z).orderBy(F.desc("z"), "w").limit(MAX_WORDS).collect()
     words = {bytes(r.w): i for i, r in enumerate(best)}
     shared = docs.sparkSession.sparkContext.broadcast(words)  # at most MAX_WORDS
 
     def describe(part: pa.RecordBatch) -> pa.RecordBatch:
-        known = shared.value
-        found, folds, flags = [], [], []
-        for text, bad in zip(texts_of(part.column(0)), part.column(1).to_pylist(), strict=True):
-            own = set(words_of(text))
-            found.append(sorted(known[w] for w in own & known.keys()))
-            folds.append(zlib.crc32(text) % FOLDS)  # copies share a fold
-            flags.append([bool(bad and own & s) for s in seeds] + [bool(bad)])
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(folds, pa.int32()), pa.array(flags, pa.list_(pa.bool_()))], names=["found", "fold", "flags"])
-
-    told = map_slices(sample, 0, describe, "found array<int>, fold int, flags array<boolean>").collect()  # at most max_rows short rows
-    told.sort(key=lambda r: (r.fold, r.found, r.flags))
-    return fit_chain([list(r.found) for r in told], np.array([r.fold for r in told]), np.array([list(r.flags) for r in told]).reshape(len(told), len(names)), words, names)
-
-
-def score(df: DataFrame, chain: Chain, text_col: str = "text", columns: list[str] | None = None, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+        reader = Reader(shared.value)
+        texts = texts_of(part.column(0))
+        found = [sorted(reader.read(t).items()) for t in texts]
+        kinds_ = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([[f for f, _ in own] for own in found], kinds_), pa.array([[n for _, n in own] for own in found], kinds_), pa.array([zlib.crc32(t) % FOLDS for t in texts], pa.int32()), part.column(1)], names=["found", "times", "fold", "flags"])
+
+    told = map_slices(sample, 0, describe, "found array<int>, times array<int>, fold int, flags array<boolean>").collect()  # at most max_rows short rows
+    forget(docs.sparkSession, path)
+    forget(docs.sparkSession, counts_path)
+    told.sort(key=lambda r: (r.fold, r.found, r.times, r.flags))
+    found = [dict(zip(r.found, r.times, strict=True)) for r in told]
+    flags = np.array([r.flags for r in told], bool).reshape(len(told), len(categories) + 1)
+    if not categories:
+        flags = np.c_[kinds(found, flags[:, -1], len(words)), flags]
+    return fit_chain(found, np.array([r.fold for r in told]), flags, words, names)
+
+
+def score(df: DataFrame, chain: Chain, text_col: str = "text", columns: list[str] | None = None, threshold: float | None = None, prefix: str = "") -> DataFrame:
     """The given columns of df (all by default), then p_<category> for each category and rejected, each named with the prefix."""
     names = [f"{prefix}p_{n}" for n in chain.names] + [prefix + "rejected"]
     kept = [c for c in columns or df.columns if c not in names]
+    limit = chain.threshold if threshold is None else threshold
     shared = df.sparkSession.sparkContext.broadcast(chain)  # at most MAX_WORDS weights a category
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
         chain = shared.value
-        known = chain.words
-        p = chain.probabilities([[known[w] for w in known.keys() & set(words_of(t))] for t in texts_of(part.column(0))])
-        made = [pa.array(np.round(p[:, k], 6)) for k in range(len(chain.names))]
-        return pa.RecordBatch.from_arrays([*part.columns[1:], *made, pa.array(p[:, -1] >= threshold)], names=fields.names)
+        reader = Reader(chain.words)
+        for batch in batches:
+            for part in slices(batch, 0):
+                p = chain.probabilities([reader.read(t) for t in texts_of(part.column(0))])
+                made = [pa.array(np.round(p[:, k], 6)) for k in range(len(chain.names))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made, pa.array(p[:, -1] >= limit)], names=fields.names)
 
     state = df.select(F.col(text_col).alias("__text"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(kept)])
     fields = T.StructType([*state.schema.fields[1:], *[T.StructField(f"__p{i}", T.DoubleType()) for i in range(len(chain.names))], T.StructField("__rejected", T.BooleanType())])
-    out = map_slices(state, 0, work, fields)
+    out = bounded(state).mapInArrow(run, fields)
     return out.select(*[F.col(f.name).alias(c) for f, c in zip(fields, [*kept, *names], strict=True)])
