@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import secrets
+import warnings
 import zlib
 from collections.abc import Callable
 
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 
 from studylake.llm import decontaminate, html_extract, license_scan, pii, sentencepiece_bpe, simhash, substring_dedup, tiff_media, token_counts, toxicity
 
-#: The key of pseudonyms, from the environment in production.
-KEY_VARIABLE, DEFAULT_KEY = "STUDYLAKE_PII_KEY", "studylake"
+#: The environment variable that holds the key of pseudonyms.
+KEY_VARIABLE = "STUDYLAKE_PII_KEY"
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,8 +26,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def _fresh_key() -> str:
+    warnings.warn(f"{KEY_VARIABLE} is unset: pseudonyms are linked within this process only", stacklevel=3)
+    return secrets.token_hex(32)
+
+
 def pii_key() -> str:
-    return os.environ.get(KEY_VARIABLE, DEFAULT_KEY)
+    """The key of pseudonyms; where none is set, a secret one that this process makes and forgets."""
+    return os.environ.get(KEY_VARIABLE) or _fresh_key()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
