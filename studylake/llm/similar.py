@@ -1,15 +1,16 @@
-"""Near-duplicate groups of word-shingle sets at a similarity, exactly: every pair at the threshold is a candidate, or joined already.
+"""Near-duplicate groups of word-shingle sets at a similarity: SimHash tables, MinHash tables for what they cannot reach, exact comparison.
 
-The distinct shingles of a text are dealt by their hash to 2^level sections of two to four on average, and each section that holds any
-makes a table entry under the hash of its whole content. Two texts at a Jaccard similarity of 0.8 differ in fewer shingles than there
-are sections, so some section is the same in both. That could be an empty one only in a text with few filled sections (short texts);
-such a text has entries under the shingles of its prefix as well, of which two similar texts always share one. The level follows from
-the number of shingles; a text whose number is near the next level is dealt at both, so similar texts always have a level in common.
+Each text has entries in two families of tables. The covering tables of simhash.py over its whole-text fingerprint bring together, with
+certainty, every pair within RADIUS bits. At a Jaccard similarity of 0.8 fingerprints differ in 4 to 15 bits, which would take up to 2^16
+covering tables; so BANDS tables of ROWS minimum hashes each reach the pairs that lie further apart: one of a similarity s is in none of
+them with a probability of (1 - s^ROWS)^BANDS, 4 in 10 million at 0.8 and less above it, whatever the lengths and numbers of texts.
 
-All texts of an entry are first compared with one of them, the head: the text that shares most entries, since the original of edited
-copies shares more than they do. Then every pair of an entry that is not joined yet is compared. Where that would be too many pairs,
-the entry is dealt again by sections of another hash, as similar texts share an entry of each dealing. Comparisons are made on whole
-shingle sets. Copies of one text count once.
+Tables only suggest: links are pairs whose whole shingle sets were compared. Each entry has a head, the text that shares most entries,
+since the original of edited copies shares more than they do; a text is first compared with the first of the heads of its entries. What
+an entry then still holds of different groups has to be compared among itself: texts that such entries connect form a cluster, and a cluster is compared block
+by block, with one matrix product a pair of blocks and only the links that join groups as output, so pairs are never rows. A cluster of
+over CLUSTER texts is first dealt again by tables of more hashes (FINE_BANDS of FINE_ROWS: one of 0.8 is missed with a probability
+below one in a million), which part texts that are only half alike. Copies of one text count once; texts are told apart by two hashes of 64 bits.
 
 Defined results: null, empty and wordless texts are copies of each other; fewer words than a shingle are one shingle; of each group the
 row with the smallest id stays (null ids last), of repeated rows one; an empty table gives an empty result; other columns pass through.
@@ -22,20 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm._common import bounded, cut, map_slices, texts_of
-from studylake.llm.simhash import components, shingle_hashes
+from studylake.llm._common import bounded, cut, forget, join_hot, map_slices, spare, texts_of
+from studylake.llm.simhash import components, covering_masks, majority_bits, shingle_hashes
 
-PER_SECTION = 4
-#: An entry of up to this many unjoined pairs (and as many again for each PAIRS_TEXTS texts) is compared pair by pair; a larger one is dealt again.
-PAIRS, PAIRS_TEXTS = 1 << 15, 512
-#: Times that an entry is dealt again; what is left is compared pair by pair.
-DEALINGS = 3
-#: Text bytes that are described at once.
-HELD_BYTES = 2 << 20
-
-
-def _level(n: float) -> int:
-    return max(0, int(np.ceil(np.log2(n / PER_SECTION))))
+#: Bits of fingerprints that the covering tables reach; tables of minimum hashes, and hashes of each.
+RADIUS, BANDS, ROWS = 2, 28, 4
+#: Tables of more hashes, for clusters of over CLUSTER texts; texts of a block, and columns of a product.
+FINE_BANDS, FINE_ROWS, CLUSTER = 200, 12, 8192
+BLOCK, COLUMNS = 256, 8192
+#: Text bytes that are described at once; hashes that are permuted at once.
+HELD_BYTES, HELD_HASHES = 2 << 20, 1024
+_MASKS = np.array(covering_masks(RADIUS, list(range(64))), np.uint64)
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -46,31 +44,31 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def table_entries(distinct: np.ndarray, threshold: float, dealing: int = 0) -> np.ndarray:
-    """Keys of the table entries of one text's distinct shingles, signed 64 bits."""
-    n = len(distinct)
-    if not n:
-        return np.zeros(1, np.int64)
-    mixed = np.sort(_mixed(distinct, dealing + 1))
-    content = _mixed(mixed, 11)
-    out = []
-    for level in {_level(n), _level(n / threshold + 1e-9)}:
-        section = mixed >> np.uint64(64 - level) if level else np.zeros(n, np.uint64)
-        starts = np.flatnonzero(np.r_[True, section[1:] != section[:-1]])
-        place = section[starts] << np.uint64(8) | np.uint64(level << 1)
-        out.append(_mixed(np.add.reduceat(content, starts) ^ _mixed(place, 12), 13))
-        # shingles that a similar text of this level differs in at most
-        differ = (1 - threshold) / (1 + threshold) * (n + min(n / threshold, PER_SECTION << level))
-        if len(starts) <= differ + 1e-9:
-            prefix = content[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
-            out.append(_mixed(prefix ^ _mixed(np.array([level << 1 | 1], np.uint64), 12), 13))
-    return np.unique(np.concatenate(out)).view(np.int64)
-
-
-def filled_sections(distinct: np.ndarray) -> int:
-    """Sections of the first dealing that hold any of a text's shingles, at its own level."""
-    level = _level(max(1, len(distinct)))
-    return len(np.unique(_mixed(distinct, 1) >> np.uint64(64 - level))) if level else 1
+def minimum_hashes(distinct: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n least values of the hashes, each under a permutation of its own."""
+    number = np.arange(n, dtype=np.uint64)
+    add, factor = _mixed(number, seed)[:, None], (_mixed(number, seed + 1) | np.uint64(1))[:, None]
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), HELD_HASHES):
+        least = np.minimum(least, ((distinct[None, at : at + HELD_HASHES] ^ add) * factor).min(axis=1))
+    return least
+
+
+def band_entries(distinct: np.ndarray, fine: bool = False) -> np.ndarray:
+    """Keys of the MinHash tables' entries of one text's distinct shingles, 64 bits; texts without any share one entry."""
+    if not len(distinct):
+        return np.zeros(1, np.uint64)
+    bands, rows = (FINE_BANDS, FINE_ROWS) if fine else (BANDS, ROWS)
+    key = np.arange(bands, dtype=np.uint64)
+    for column in minimum_hashes(distinct, bands * rows, 31 if fine else 21).reshape(bands, rows).T:
+        key = _mixed(key ^ column, 23)
+    return key
+
+
+def table_entries(hashes: np.ndarray) -> np.ndarray:
+    """Keys of all entries of one text, given the hashes of its shingles, repeats included; signed 64 bits."""
+    covering = _mixed((np.uint64(majority_bits(hashes)) & _MASKS) ^ _mixed(np.arange(len(_MASKS), dtype=np.uint64), 24), 25)
+    return np.unique(np.r_[band_entries(np.unique(hashes)), covering]).view(np.int64)
 
 
 def similar_enough(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -107,83 +105,137 @@ def _several(rows: DataFrame) -> DataFrame:
     return bounded(rows).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
 
 
-def similar_groups(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, pairs_at_once: int = PAIRS) -> DataFrame:
+def _common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b: products of their membership matrices, COLUMNS distinct hashes at a time."""
+    values, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    total = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(values), COLUMNS):
+        mine = slice(*np.searchsorted(at, (low, low + COLUMNS)))
+        member = np.zeros((len(a) + len(b), min(COLUMNS, len(values) - low)), np.float32)
+        member[row[mine], at[mine] - low] = 1
+        total += member[: len(a)] @ member[len(a) :].T
+    return total
+
+
+def _block_links(threshold: float):
+    """Of one pair of blocks (columns node, root, own, hashes): links between groups, as few as join what is similar."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        own = rows.column("own").to_numpy()
+        sides = [np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())]
+        sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows.column("hashes")]
+        size = np.array([len(x) for x in sets])
+        nodes, (_, group) = rows.column("node").to_numpy(), np.unique(rows.column("root").to_numpy(), return_inverse=True)
+        common = _common_counts(*([sets[i] for i in side] for side in sides))
+        n, m = size[sides[0]][:, None], size[sides[1]][None, :]
+        alike = (common >= threshold * (n + m - common) - 1e-6) & (group[sides[0]][:, None] != group[sides[1]][None, :])
+        left, right = [], []
+        for i, j in np.argwhere(alike):
+            i, j = sides[0][i], sides[1][j]
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                left.append(nodes[i])
+                right.append(nodes[j])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return work
+
+
+def similar_groups(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, cluster: int = CLUSTER) -> DataFrame:
     """node, root of the texts (columns node, text) that are linked to others."""
+    written: list[str] = []
 
     def entries(part: pa.RecordBatch) -> pa.RecordBatch:
-        own = {n: table_entries(np.unique(shingle_hashes(t, shingle)), threshold) for n, t in dict(zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True)).items()}
+        own = {n: table_entries(shingle_hashes(t, shingle)) for n, t in dict(zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True)).items()}
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own.values()]), pa.int64()), pa.array(np.repeat(np.array([*own], np.int64), [len(k) for k in own.values()]), pa.int64())], names=["key", "node"])
 
     def sets(part: pa.RecordBatch) -> pa.RecordBatch:
         own = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(part.column(1))]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in own], pa.int64()), pa.array([filled_sections(h) for h in own], pa.int64()), pa.array([h.tobytes() for h in own], pa.binary())], names=["node", "n", "filled", "hashes"])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in own], pa.int64()), pa.array([h.tobytes() for h in own], pa.binary())], names=["node", "n", "hashes"])
 
     def verified(part: pa.RecordBatch) -> pa.RecordBatch:
         keep = [similar_enough(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), threshold) for a, b in zip(part.column(2), part.column(3), strict=True)]
         return part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def finer(dealing: int):
-        def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            made = [table_entries(np.frombuffer(h.as_buffer(), np.uint64), threshold, dealing) for h in part.column(1)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made), pa.int64()), pa.array(np.repeat(part.column(0).to_numpy(), [len(k) for k in made]), pa.int64())], names=["fine", "node"])
-
-        return work
-
-    shared, _ = cut(_several(map_slices(texts.select("node", "text"), 1, entries, "key long, node long", HELD_BYTES)))
-    support = shared.groupBy("node").agg(F.count("*").alias("support"))
-    described, _ = cut(map_slices(texts.select("node", "text").join(support.select("node"), "node", "left_semi"), 1, sets, "node long, n long, filled long, hashes binary", HELD_BYTES).dropDuplicates(["node"]))
-
-    def possible(pairs: DataFrame, whole: bool) -> DataFrame:
-        """The pairs (a, b, times) whose numbers of shingles allow the similarity; of whole counts, also those that share enough entries."""
-        numbers = lambda c: described.select(F.col("node").alias(c), F.struct("n", "filled").alias(f"of_{c}"))
-        n, m = F.least("of_a.n", "of_b.n"), F.greatest("of_a", "of_b")
-        ok = n >= threshold * m["n"] - 1e-9
-        if whole:  # each shingle that differs changes one filled section of the larger text at most
-            ok &= F.col("times") >= m["filled"] - (1 - threshold) / (1 + threshold) * (n + m["n"]) - 1e-9
-        return pairs.join(numbers("a"), "a").join(numbers("b"), "b").where(ok).select("a", "b")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar."""
+    def finer(part: pa.RecordBatch) -> pa.RecordBatch:
+        made = [band_entries(np.frombuffer(h.as_buffer(), np.uint64), True).view(np.int64) for h in part.column(1)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made), pa.int64()), pa.array(np.repeat(part.column(0).to_numpy(), [len(k) for k in made]), pa.int64())], names=["key", "node"])
+
+    def kept(df: DataFrame) -> DataFrame:
+        df, path = cut(df)
+        written.append(path)
+        return df
+
+    shared = kept(_several(map_slices(texts.select("node", "text"), 1, entries, "key long, node long", HELD_BYTES)))
+    nodes = kept(shared.select("node").distinct())  # a table, whose size decides how texts are joined to it
+    alike = texts.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    described = kept(map_slices(alike, 1, sets, "node long, n long, hashes binary", HELD_BYTES))
+
+    def head_links(rows: DataFrame) -> DataFrame:
+        """Links (a, b) between texts and the first of the heads of their entries (key, node), one pair a text."""
+        support = rows.groupBy("node").agg(F.count("*").alias("support"))
+        heads = rows.join(support, "node").groupBy("key").agg(F.max(F.struct("support", "node")).alias("head"))
+        first = join_hot(rows, heads, "key").where("node <> head.node").groupBy("node").agg(F.max("head")["node"].alias("head"))
+        pairs = first.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+        numbers = lambda c: described.select(F.col("node").alias(c), F.col("n").alias(f"of_{c}"))
+        fits = F.least("of_a", "of_b") >= threshold * F.greatest("of_a", "of_b") - 1e-9
+        pairs = kept(kept(pairs).join(numbers("a"), "a").join(numbers("b"), "b").where(fits).select("a", "b"))
         one, other = described.select(F.col("node").alias("a"), "hashes"), described.select(F.col("node").alias("b"), F.col("hashes").alias("others"))
-        both = pairs.join(one, "a").join(other, "b").select("a", "b", "hashes", "others")
-        return cut(map_slices(both, 2, verified, "a long, b long", HELD_BYTES))[0]
-
-    heads = shared.join(support, "node").groupBy("key").agg(F.max(F.struct("support", "node"))["node"].alias("head"))
-    tested = shared.join(heads, "key").where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    tested, _ = cut(possible(tested, False))
-    links = compared(tested)
-    roots, _ = cut(components(links))
-
-    rows, found, more = shared, links, False
-    for dealing in range(1, DEALINGS + 2):
-        labelled = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        parts = labelled.groupBy("key", "root").agg(F.count("*").alias("m"))
-        sizes = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares")).where("n * n > squares")
-        open_, _ = cut(labelled.join(sizes.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("unjoined")), "key"))
-        small = F.lit(True) if dealing > DEALINGS else F.col("unjoined") <= pairs_at_once * (1 + F.col("n") / PAIRS_TEXTS)
-        mine = open_.where(small).select("key", "node", "root")
-        theirs = mine.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-        pairs = mine.withColumnRenamed("node", "a").join(theirs, "key").where("a > b and root <> other").groupBy("a", "b").agg(F.count("*").alias("times"))
-        # the first dealing counts all entries that a pair shares, unless one is large: that is dealt again
-        pairs = possible(pairs, dealing == 1)
-        fresh = compared(cut(pairs.join(tested, ["a", "b"], "left_anti"))[0])
-        found, more = found.unionByName(fresh), more or not fresh.isEmpty()
-        large = open_.where(~small).select("key", "node")
-        if dealing > DEALINGS or large.isEmpty():
-            return components(found) if more else roots
-        mine = described.join(large.select("node").distinct(), "node", "left_semi").select("node", "hashes")
-        fine = map_slices(mine, 1, finer(dealing), "fine long, node long", HELD_BYTES)
-        rows, _ = cut(_several(large.join(fine, "node").select(F.xxhash64("key", "fine").alias("key"), "node")))
+        both = join_hot(join_hot(pairs, one, "a"), other, "b").select("a", "b", "hashes", "others")
+        return kept(map_slices(both, 2, verified, "a long, b long", HELD_BYTES))
+
+    def clusters(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """node, root, cluster, size of the texts that entries of several groups connect."""
+        labelled = kept(rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+        several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first")).where("low <> high").select("key", "first")
+        held = kept(join_hot(labelled, several, "key").select("node", "root", "first"))
+        names = components(held.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "cluster")
+        found = kept(held.select("node", "root").distinct().join(names, "node"))
+        return found.join(found.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+
+    def blockwise(found: DataFrame) -> DataFrame:
+        """Links between the groups of each cluster; a text goes to as many pairs of blocks as its cluster has blocks."""
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = found.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("cluster", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        whole = dealt.join(described.select("node", "hashes"), "node")
+        return kept(whole.groupBy("cluster", "i", "j").applyInArrow(_block_links(threshold), "a long, b long"))
+
+    links = head_links(shared)
+    roots = kept(components(links))
+    found = kept(clusters(shared, roots))
+    large = found.where(F.col("size") > cluster)
+    if not large.isEmpty():
+        mine = described.join(large.select("node"), "node", "left_semi").select("node", "hashes")
+        fine = kept(_several(map_slices(mine, 1, finer, "key long, node long", HELD_BYTES)))
+        more = head_links(fine)
+        closer = clusters(fine, kept(components(links.unionByName(more))))
+        links = links.unionByName(more).unionByName(blockwise(kept(closer)))
+    links = links.unionByName(blockwise(found.where(F.col("size") <= cluster)))
+    out, _ = cut(components(links))
+    for path in written:
+        forget(texts.sparkSession, path)
+    return out
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """df with one row of each group of similar texts."""
+    node, row, own = spare(df, 3)
     hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    marked = df.withColumn("__node", F.xxhash64(text_col)).withColumn("__row", F.xxhash64(*hashed))
-    roots = similar_groups(marked.select(F.col("__node").alias("node"), F.col(text_col).alias("text")), shingle, threshold)
-    rows = marked.select(F.col(id_col).alias("id"), F.col("__node").alias("node"), F.col("__row").alias("row"))
+    marked = df.withColumn(node, F.xxhash64(text_col)).withColumn(row, F.xxhash64(*hashed))
+    twin = F.xxhash64(F.concat(F.lit("~"), text_col))
+    # different texts of one hash, hardly ever any, are numbered by both hashes
+    clashes, _ = cut(marked.groupBy(node).agg(F.min(twin).alias("low"), F.max(twin).alias("high")).where("low <> high").select(node, F.lit(True).alias(own)))
+    if not clashes.isEmpty():
+        marked = marked.join(clashes, node, "left").withColumn(node, F.when(F.col(own), F.xxhash64(node, twin)).otherwise(F.col(node))).drop(own)
+    roots = similar_groups(marked.select(F.col(node).alias("node"), F.col(text_col).alias("text")), shingle, threshold)
+    rows = marked.select(F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(row).alias("row"))
     grouped = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "id", "row")
-    stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.row").alias("__row"))
+    stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("r")).select(F.col("r.id").alias(own), F.col("r.row").alias(row))
     stays, _ = cut(stays)
-    kept = marked.join(stays, "__row").where(F.col(id_col).eqNullSafe(F.col("__id"))).dropDuplicates(["__row", "__id"])
+    kept = marked.join(stays, row).where(F.col(id_col).eqNullSafe(F.col(own))).dropDuplicates([row, own])
     return kept.select(*df.columns)
