@@ -4,11 +4,14 @@ Words that occur once in the text and once in the template anchor the alignment;
 places keeps their order; the gaps between anchors are aligned in the same way, and what remains at their rims word by word. Coverage is
 the share of the template's words that are aligned.
 
-A text is looked at only if it has enough of a template's distinct words to reach the coverage at all, which misses nothing. Repeated
-notices are separated at the template's pivot, its word that is rarest in the text, so that each copy is aligned on its own.
-
-Defined results: null, empty and wordless texts have no licence; of equal coverages the longer template, then the first by name is the
-best; repeated rows are scanned alike; an empty table gives an empty result. Only the id and text columns are read.
+A copy may lack words up to the coverage, but no word that names a licence or its version, and may have foreign words between its own: up to
+FOREIGN for each word of the template, so that the words of a long text do not add up to a notice. A text is looked at only if it has
+enough of a template's distinct words to reach the coverage at all, which misses nothing. Copies are sought around each place of a pivot,
+a word that the template has once, as far as a copy can reach; with more pivots than words that a copy may lack, one of them is in
+every copy. Where copies of several templates overlap, that with the best coverage counts, then the longer, then the first by name.
+
+Defined results: null, empty and wordless texts have no licence; of several copies the best by coverage, then length of the template,
+then name names the text; repeated rows are scanned alike; an empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from studylake.llm._common import id_type, map_slices, texts_of
 from studylake.llm.decontaminate import words_of
 
-#: Share of a template's words that must be aligned.
-COVERAGE = 0.8
+#: Share of a template's words that must be aligned; foreign words inside a copy for each word of the template.
+COVERAGE, FOREIGN = 0.8, 4
+#: Words that name licences (fixed values); these and numbers must be aligned wherever a template has them.
+NAMING = frozenset(b"mit apache gpl gnu lesser affero mozilla mpl bsd isc eclipse cc0 creative commons cc by nc sa attribution sharealike noncommercial neither unencumbered misrepresented library".split())
 
 #: Template texts (fixed values): public notices, by SPDX identifier and form.
 TEMPLATES = {
@@ -36,7 +41,18 @@ TEMPLATES = {
     "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-4.0/short": "Licensed under CC BY 4.0",
     "CC-BY-SA-4.0/notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-NC-4.0/notice": "Licensed under CC BY-NC 4.0",
 }
@@ -92,40 +108,60 @@ class Template:
         self.name = name
         self.words = words_of(text.encode())
         self.distinct = frozenset(self.words)
+        self.naming = frozenset(w for w in self.distinct if w in NAMING or w.isdigit())
         self.once = {w: self.words.index(w) for w, n in Counter(self.words).items() if n == 1}
 
     def find(self, words: list[bytes], have: set[bytes], coverage: float) -> list[tuple[float, int, int]]:
-        """Coverage, first and last word of each copy of the template in the text that reaches the coverage."""
+        """Coverage, first and last word of each copy of the template in the text that reaches the coverage; they do not overlap."""
         size = len(self.words)
-        missing = len(self.distinct) - len(self.distinct & have)
-        if missing > size * (1 - coverage) + 1e-9:
+        lacking = int(size * (1 - coverage) + 1e-9)
+        if not self.naming <= have or len(self.distinct) - len(self.distinct & have) > lacking:
             return []
         counts = Counter(w for w in words if w in self.once)
-        if not counts:
-            return []
-        out = []
-        tried: list[tuple[int, int]] = []
-        # a copy may lack some pivots; with more pivots than words it may lack, one of them is in every copy
-        lacking = int(size * (1 - coverage) + 1e-9)
+        reach = size * (1 + FOREIGN)
+        found: list[tuple[float, int, int]] = []
         for pivot in sorted(counts, key=lambda w: (counts[w], w))[: lacking + 1]:
             at = [i for i, w in enumerate(words) if w == pivot]
             for n, i in enumerate(at):
-                if any(first <= i <= last for first, last in tried):
+                if any(first <= i <= last for _, first, last in found):
                     continue
-                place, spare = self.once[pivot], size // 2 + 2
-                first = max(i - place - spare, at[n - 1] + 1 if n else 0)
-                last = min(i + size - place + spare, at[n + 1] if n + 1 < len(at) else len(words))
-                pairs = align(self.words, words[first:last])
-                share = len(pairs) / size
-                if share >= coverage - 1e-9:
-                    found = (first + pairs[0][1], first + pairs[-1][1])
-                    tried.append(found)
-                    out.append((share, *found))
-        return sorted(out, key=lambda f: f[1:])
+                first = max(i - reach, at[n - 1] + 1 if n else 0)
+                last = min(i + reach, at[n + 1] if n + 1 < len(at) else len(words))
+                if copy := self.copy(words, first, i, last, coverage):
+                    found.append(copy)
+        return kept_apart(found, lambda f: (-f[0], f[1]), lambda f: f[1:])
+
+    def copy(self, words: list[bytes], first: int, pivot: int, last: int, coverage: float) -> tuple[float, int, int] | None:
+        """The copy around a place: aligned words left and right of the pivot, less those at the rims until it is no longer than a copy can be."""
+        place = self.once[words[pivot]]
+        before = [(i, first + j) for i, j in align(self.words[:place][::-1], words[first:pivot][::-1])]
+        pairs = [(place - 1 - i, pivot - 1 - (j - first)) for i, j in before][::-1] + [(place, pivot)]
+        pairs += [(place + 1 + i, pivot + 1 + j) for i, j in align(self.words[place + 1 :], words[pivot + 1 : last])]
+        low, high = 0, len(pairs) - 1
+        while pairs[high][1] - pairs[low][1] + 1 - (high - low + 1) > FOREIGN * len(self.words):
+            # the rim with the wider gap to its neighbour goes
+            if pairs[low + 1][1] - pairs[low][1] >= pairs[high][1] - pairs[high - 1][1]:
+                low += 1
+            else:
+                high -= 1
+        own = pairs[low : high + 1]
+        named = self.naming <= {self.words[i] for i, _ in own}
+        return (len(own) / len(self.words), own[0][1], own[-1][1]) if named and len(own) >= coverage * len(self.words) - 1e-9 else None
+
+
+def kept_apart(found: list, order, span) -> list:
+    """The best by the order, then the next that does not overlap it, and so on; in the order of their places."""
+    out: list = []
+    for f in sorted(found, key=order):
+        first, last = span(f)
+        if all(last < a or first > b for a, b in map(span, out)):
+            out.append(f)
+    return sorted(out, key=span)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """id_col, license (the best match, null without), coverage, n_matches, matches (array of name, coverage, first and last word)."""
+    best_first = lambda x: (-x[1][0], -len(x[0].words), x[0].name, x[1][1])
     made = [Template(n, t) for n, t in (templates or TEMPLATES).items()]
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -133,8 +169,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
         for text in texts_of(part.column(1)):
             words = words_of(text)
             have = set(words)
-            all_ = [(t, f) for t in made for f in t.find(words, have, coverage)]
-            top = min(all_, key=lambda x: (-x[1][0], -len(x[0].words), x[0].name), default=None)
+            all_ = kept_apart([(t, f) for t in made for f in t.find(words, have, coverage)], best_first, lambda x: x[1][1:])
+            top = min(all_, key=best_first, default=None)
             best.append(top and top[0].name)
             share.append(round(top[1][0], 6) if top else 0.0)
             found.append([{"name": t.name, "coverage": round(f[0], 6), "first": f[1], "last": f[2]} for t, f in all_])
