@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from studylake.llm._common import bounded, id_type, slices
 
 # Fixed values of the TIFF 6.0 specification: tags, compressions, bytes of a value by field type.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, FILL_ORDER = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 266
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
+#: Each byte with its bits the other way round, for files that fill bytes from the low end.
+REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+#: Samples that one batch of pages holds at most, unless a page has more.
+DECODED_BYTES = 8 << 20
 #: Samples of one row of a stored payload, rows of one page and of one strip or tile.
 ROW, PAGE_ROWS, PART_ROWS = 64, 4096, 64
 
@@ -202,20 +206,26 @@ class Page:
         columns, rows = -(-width // across), -(-height // down)
         if len(offsets) < columns * rows or len(sizes) < columns * rows:
             raise ValueError("strips or tiles are missing")
-        if width * height * per * dtype.itemsize > max(1 << 20, 1100 * len(self.data)):
-            raise ValueError("the image is larger than its file can hold")
-        image = np.zeros((height, width, per), dtype.newbyteorder("="))
+        fill = self.one(FILL_ORDER, 1)
+        if fill not in (1, 2):
+            raise ValueError("this order of bits is not read")
+        # all parts are decoded before the image is made, so what is held is what the file really has
+        parts = []
         for i in range(columns * rows):
-            top, left = i // columns * down, i % columns * across
-            high = down if tiled else min(down, height - top)
+            high = down if tiled else min(down, height - i // columns * down)
             size = high * across * per * dtype.itemsize
-            raw = decompress(kind, self.data[offsets[i] : offsets[i] + sizes[i]], size)
+            stored = self.data[offsets[i] : offsets[i] + sizes[i]]
+            raw = decompress(kind, stored.translate(REVERSED) if fill == 2 else stored, size)
             if len(raw) < size:
                 raise ValueError("a strip or tile ends early")
-            part = np.frombuffer(raw, dtype).reshape(high, across, per).astype(image.dtype)
+            parts.append(np.frombuffer(raw, dtype, high * across * per).reshape(high, across, per))
+        image = np.zeros((height, width, per), dtype.newbyteorder("="))
+        for i, part in enumerate(parts):
+            top, left = i // columns * down, i % columns * across
+            part = part.astype(image.dtype)
             if predictor == 2:
                 part = np.cumsum(part, axis=1, dtype=image.dtype)
-            image[top : top + high, left : left + across] = part[: height - top, : width - left]
+            image[top : top + len(part), left : left + across] = part[: height - top, : width - left]
         return image
 
 
@@ -313,17 +323,24 @@ def decode_pages(df: DataFrame, media_col: str = "media", columns: list[str] | N
     if clash := set(names) & set(kept):
         raise ValueError(f"columns named as the pages' own: {sorted(clash)}")
 
+    def give(part: pa.RecordBatch, own: list[int], rows: list[dict]) -> pa.RecordBatch:
+        columns = [c.take(pa.array(own, pa.int64())) for c in part.columns[1:]]
+        made = [pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, *made], names=[*kept, *names])
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, 0, 1 << 20):
-                own, rows = [], []
+                own, rows, held = [], [], 0
                 for i, data in enumerate(part.column(0).to_pylist()):
                     for row in pages(data) if data is not None else ():
                         own.append(i)
                         rows.append(row)
-                columns = [c.take(pa.array(own, pa.int64())) for c in part.columns[1:]]
-                made = [pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*kept, *names])
+                        held += len(row["samples"] or b"")
+                        if held > DECODED_BYTES:
+                            yield give(part, own, rows)
+                            own, rows, held = [], [], 0
+                yield give(part, own, rows)
 
     types = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
