@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -42,10 +43,11 @@ CLASS_WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "words", "hidden", "chars", "links", "label")
+    __slots__ = ("tag", "parent", "depth", "words", "hidden", "linked", "chars", "links", "label")
 
-    def __init__(self, tag: str, parent: int, depth: int, words: tuple[str, ...] = (), hidden: bool = False, label: int = -1):
+    def __init__(self, tag: str, parent: int, depth: int, words: tuple[str, ...] = (), hidden: bool = False, label: int = -1, linked: bool = False):
         self.tag, self.parent, self.depth, self.words, self.hidden = tag, parent, depth, words, hidden
+        self.linked = linked or tag == "a"
         self.chars = self.links = 0
         self.label = label
 
@@ -55,6 +57,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
     nodes = [Element("#root", -1, 0)]
     runs: list[tuple[int, str | None]] = []
     open_: list[int] = [0]
+    opened: Counter[str] = Counter()  # by tag, so that a long way down is only gone where there is something to find
     at, end = 0, len(page)
 
     def text(raw: str) -> None:
@@ -64,7 +67,9 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
     def close(to: int) -> None:
         """Leave elements down to place `to` of the open ones."""
         while len(open_) > to:
-            if nodes[open_.pop()].tag in BLOCK:
+            left = nodes[open_.pop()].tag
+            opened[left] -= 1
+            if left in BLOCK:
                 runs.append((open_[-1] if open_ else 0, None))
 
     while at < end:
@@ -80,18 +85,18 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(nodes[i].tag == "p" for i in open_):
+            if tag == "p" and not opened["p"]:
                 runs.append((open_[-1], None))
             elif tag == "br":
                 runs.append((open_[-1], " "))
-            for place in range(len(open_) - 1, 0, -1):
+            for place in range(len(open_) - 1 if opened[tag] else 0, 0, -1):
                 if nodes[open_[place]].tag == tag:
                     close(place)
                     break
                 if nodes[open_[place]].tag in ("td", "th", "table") and tag not in BLOCK:
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for place in range(len(open_) - 1, 0, -1):
                 if nodes[open_[place]].tag == "p":
                     close(place)
@@ -100,7 +105,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
                     break
         if tag in ENDS:
             ended, stop = ENDS[tag]
-            for place in range(len(open_) - 1, 0, -1):
+            for place in range(len(open_) - 1 if any(opened[t] for t in ended) else 0, 0, -1):
                 if nodes[open_[place]].tag in stop:
                     break
                 if nodes[open_[place]].tag in ended:
@@ -128,17 +133,18 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
         if tag in VOID:
             continue
         # shapes and styles of a drawing hold no text and say nothing of the text around
-        foreign = (m[3].endswith("/") or tag in RAW) and any(nodes[i].tag in ("svg", "math") for i in open_)
+        foreign = (m[3].endswith("/") or tag in RAW) and (opened["svg"] or opened["math"])
         if foreign and m[3].endswith("/"):
             continue
         if not (foreign and tag in RAW):
-            nodes.append(Element(tag, open_[-1], nodes[open_[-1]].depth + 1, tuple(words), hidden, label))
+            nodes.append(Element(tag, open_[-1], nodes[open_[-1]].depth + 1, tuple(words), hidden, label, nodes[open_[-1]].linked))
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = found.end() if found else end
             continue
         if not m[3].endswith("/") or tag in BLOCK:
             open_.append(len(nodes) - 1)
+            opened[tag] += 1
     return nodes, runs
 
 
@@ -157,7 +163,7 @@ def features(nodes: list[Element], runs: list[tuple[int, str | None]]) -> list[t
     for holder, run in runs:
         if run is not None and not run.isspace():
             nodes[holder].chars += len(run)
-            if any_link(nodes, holder):
+            if nodes[holder].linked:
                 nodes[holder].links += len(run)
     total = [n.chars for n in nodes]
     linked = [n.links for n in nodes]
@@ -179,14 +185,6 @@ def features(nodes: list[Element], runs: list[tuple[int, str | None]]) -> list[t
     return out
 
 
-def any_link(nodes: list[Element], i: int) -> bool:
-    while i > 0:
-        if nodes[i].tag == "a":
-            return True
-        i = nodes[i].parent
-    return False
-
-
 def marginals(unary: np.ndarray, parent: np.ndarray, depth: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(content) of each node by sum-product, and the expected number of edges by labels.
 
@@ -194,7 +192,8 @@ def marginals(unary: np.ndarray, parent: np.ndarray, depth: np.ndarray, pair: np
     """
     n = len(unary)
     compat = np.exp(pair - pair.max())
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1 if n else 0)]
+    order = np.argsort(depth, kind="stable")
+    levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if n else []
     inside = unary.astype(np.float64).copy()
     up = np.zeros((n, 2))
     for level in reversed(levels[1:]):
@@ -278,6 +277,9 @@ def training_pages(n: int, seed: int) -> list[str]:
     def links(k: int) -> str:
         return tag("ul", "".join(tag("li", tag("a", words(1, 3), 0), 0) for _ in range(k)), 0)
 
+    def row_of_links(k: int) -> str:
+        return rnd.choice(["<br>", " | ", " / ", " "]).join(tag("a", words(1, 3), 0) for _ in range(k))
+
     def inline(label: int) -> str:
         return words(3, 40) + rnd.choice(["", tag(rnd.choice(["b", "i", "em", "a", "strong", "span", "code"]), words(1, 4), label) + words(2, 15)])
 
@@ -305,6 +307,7 @@ def training_pages(n: int, seed: int) -> list[str]:
             lambda: tag(rnd.choice(["section", "div"]), tag("h3", words(1, 3), 0) + "".join(tag(rnd.choice(["div", "p", "article", "li"]), rnd.choice([tag("span", words(1, 2), 0, "author"), ""]) + tag("p", inline(0), 0), 0, rnd.choice(["comment", "comment reply", ""])) for _ in range(rnd.randint(1, 5))), 0, rnd.choice(["comments", "comments discussion", "comment list", "disqus"])),
             lambda: tag("nav", links(rnd.randint(2, 7)), 0, rnd.choice(["", "menu", "breadcrumb", "pagination pager"])),
             lambda: tag("div", links(rnd.randint(3, 8)), 0, rnd.choice(["menu", "nav", "navigation", "toolbar"])),
+            lambda: tag(rnd.choice(["div", "p"]), row_of_links(rnd.randint(2, 6)), 0, rnd.choice(["", "top", "menu", "share social", "skip"])),
             lambda: tag("noscript", words(3, 10), 0) + tag("script", "var x='<p>';", 0) + "<!-- " + words(1, 5) + " -->",
             lambda: tag("p", words(4, 20), 0, rnd.choice(["notice", "advert", "copyright legal", "sponsored"])),
         ])()
@@ -314,6 +317,13 @@ def training_pages(n: int, seed: int) -> list[str]:
         body = [tag(rnd.choice(["h1", "h1", "h2"]), words(2, 10), 1, rnd.choice(["", "", "title"]))] + [block(1) for _ in range(rnd.choice([0, 1, 1, 2, 3, 5, 8, 14]))]
         if rnd.random() < 0.3:
             body.insert(rnd.randint(1, len(body)), noise())
+        byline = lambda: tag(rnd.choice(["p", "div", "span"]), words(2, 6) + rnd.choice(["", tag("time", words(1, 3), 0), tag("a", words(1, 2), 0)]), 0, rnd.choice(["", "byline", "author", "meta date"]))
+        if rnd.random() < 0.25:
+            body[0] = tag("header", rnd.choice([body[0] + byline(), byline()]), 0) + ("" if rnd.random() < 0.5 else body[0])
+        elif rnd.random() < 0.15:
+            body.insert(1, byline())
+        if rnd.random() < 0.25:
+            body.append(tag("footer", words(1, 12) + rnd.choice(["", byline(), links(2), tag("a", words(1, 2), 0)]), 0, rnd.choice(["", "", "tags", "meta"])))
         wrap = rnd.random()
         inner = "".join(body)
         if wrap < 0.5:
@@ -329,9 +339,16 @@ def training_pages(n: int, seed: int) -> list[str]:
         before += [noise() for _ in range(rnd.randint(0, 3))]
         after = [noise() for _ in range(rnd.randint(0, 3))]
         after += [tag("footer", words(2, 20) + rnd.choice(["", links(3)]), 0, rnd.choice(["", "footer", "copyright"]))] if rnd.random() < 0.8 else [tag("div", words(2, 12), 0, rnd.choice(["footer", "copyright legal", "foot"]))]
+        if rnd.random() < 0.12:  # laid out by a table
+            bar = lambda: tag("td", rnd.choice([links(rnd.randint(2, 6)), row_of_links(rnd.randint(2, 6)), words(2, 12)]), 0, rnd.choice(["", "menu", "nav", "sidebar"]))
+            cells = [bar() if rnd.random() < 0.7 else "", tag("td", inner, 1, rnd.choice(["", "content", "main", "text"])), bar() if rnd.random() < 0.4 else ""]
+            inner = tag("table", tag("tbody" if rnd.random() < 0.3 else "tr", "".join(cells), 0), 0)
         page = "".join([*before, inner, *after])
         if rnd.random() < 0.2:
             page = tag("div", page, 0, rnd.choice(["page", "wrapper", "container"]))
+        if rnd.random() < 0.15:  # a fragment
+            out.append(page + rnd.choice(["", f'<template {LABEL}="0">{words(1, 4)}</template>']))
+            continue
         out.append(f'<html {LABEL}="0"><head {LABEL}="0"><title {LABEL}="0">{words(2, 8)}</title><style {LABEL}="0">p{{}}</style></head><body {LABEL}="0">{page}</body></html>')
     return out
 
