@@ -80,10 +80,13 @@ class Vocabulary:
         """The ids of one chunk, by the agenda; pairs: its neighbouring characters.
 
         A symbol is a span of the chunk: at[i] is where the one that starts at i stops, 0 once it is merged away. An entry of the agenda
-        is one number: the joined piece's rank by score, its start, its length; so the order is by score, then from the left.
+        is one number: the joined piece's rank by score, its start, its length, in fields as wide as the chunk needs; so the order is by score, then
+        from the left.
         """
         ranks, size = self.ranks.get, len(chunk)
-        agenda = [r << 48 | i << 24 | 2 for i, r in enumerate(map(ranks, pairs)) if r is not None]
+        wide = max(24, size.bit_length())
+        mask, far = (1 << wide) - 1, 2 * wide
+        agenda = [r << far | i << wide | 2 for i, r in enumerate(map(ranks, pairs)) if r is not None]
         if not agenda:
             return [x for c in chunk for x in self.alone(c)]
         at = list(range(1, size + 2))
@@ -91,8 +94,8 @@ class Vocabulary:
         heapify(agenda)
         while agenda:
             entry = heappop(agenda)
-            left = entry >> 24 & 0xFFFFFF
-            stop = left + (entry & 0xFFFFFF)
+            left = entry >> wide & mask
+            stop = left + (entry & mask)
             middle = at[left]
             if at[middle] != stop or not middle:
                 continue
@@ -102,11 +105,11 @@ class Vocabulary:
             if stop < size:
                 after = at[stop]
                 if (r := ranks(chunk[left:after])) is not None:
-                    heappush(agenda, r << 48 | left << 24 | after - left)
+                    heappush(agenda, r << far | left << wide | after - left)
             if left:
                 ahead = before[left]
                 if (r := ranks(chunk[ahead:stop])) is not None:
-                    heappush(agenda, r << 48 | ahead << 24 | stop - ahead)
+                    heappush(agenda, r << far | ahead << wide | stop - ahead)
         out: list[int] = []
         ids, i = self.ids.get, 0
         while i < size:

@@ -13,6 +13,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from studylake.llm._common import id_type, map_slices
 KEPT_WORDS = 1_000_000
 #: Symbols of the pre-tokens that are merged together.
 BATCH_SYMBOLS = 1 << 19
+#: Bytes from which a pre-token is merged by itself.
+LONG = 4096
 #: White space as the Unicode property has it; str.split() takes the four separators x1C to x1F besides.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -97,6 +100,61 @@ class Merges:
             symbols, owner = symbols[keep], owner[keep]
         return counts
 
+    def survivors_of_long(self, token: bytes) -> int:
+        """The same for one long pre-token: the places of each rank's pairs are kept, and only pairs beside a merge are looked up anew."""
+        raw = np.frombuffer(token, np.uint8)
+        symbols = self.inner[raw]
+        symbols[-1] = self.last[raw[-1]]
+        size = len(symbols)
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        there = np.ones(size + 1, bool)
+        none = len(self.keys)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            keys = symbols[left] * self.size + symbols[right]
+            at = np.searchsorted(self.keys, keys)
+            at[at == none] = 0
+            return np.where(self.keys[at] == keys, self.ranks[at], none)
+
+        waiting: dict[int, list[np.ndarray]] = {}
+        agenda: list[int] = []
+
+        def note(left: np.ndarray) -> None:
+            found = ranks(left, after[left])
+            left, found = left[found < none], found[found < none]
+            order = np.argsort(found, kind="stable")
+            left, found = left[order], found[order]
+            for places, rank in zip(np.split(left, np.flatnonzero(np.diff(found)) + 1), found[np.r_[True, found[1:] != found[:-1]][: len(found)]].tolist(), strict=False):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heappush(agenda, rank)
+                waiting[rank].append(places)
+
+        note(np.arange(size - 1))
+        count = size
+        while agenda:
+            rank = heappop(agenda)
+            left = np.unique(np.concatenate(waiting.pop(rank)))
+            left = left[there[left]]
+            left = left[after[left] < size]
+            left = left[ranks(left, after[left]) == rank]
+            if not len(left):
+                continue
+            # in a run of overlapping pairs of equal symbols every other one merges, from the left
+            index = np.arange(len(left))
+            begins = np.r_[True, after[left[:-1]] != left[1:]]
+            left = left[(index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0]
+            right = after[left]
+            symbols[left] = self.made[rank]
+            there[right] = False
+            after[left] = after[right]
+            inside = after[left] < size
+            before[after[left][inside]] = left[inside]
+            count -= len(left)
+            ahead = before[left]
+            note(np.unique(np.r_[ahead[ahead >= 0], left[inside]]))
+        return count
+
     def pretokens(self, word: str) -> list[bytes]:
         text = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
         return [t.encode() for t in self.split.findall(text)]
@@ -111,8 +169,8 @@ class Merges:
         counts = np.zeros(len(tokens), np.int64)
         group, held, first = [], 0, 0
         for t in [*tokens, None]:
-            if group and (t is None or held + len(t) > BATCH_SYMBOLS):
-                counts[first : first + len(group)] = self.survivors(group)
+            if group and (t is None or held + len(t) > BATCH_SYMBOLS or len(t) > LONG or len(group[0]) > LONG):
+                counts[first : first + len(group)] = self.survivors_of_long(group[0]) if len(group[0]) > LONG else self.survivors(group)
                 first += len(group)
                 group, held = [], 0
             if t is not None:
