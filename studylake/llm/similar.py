@@ -195,7 +195,8 @@ def similar_groups(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, c
         held = kept(join_hot(labelled, several, "key").select("node", "root", "first"))
         names = components(held.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "cluster")
         found = kept(held.select("node", "root").distinct().join(names, "node"))
-        return found.join(found.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+        sizes = found.groupBy("cluster").agg(F.count("*").alias("n"))
+        return join_hot(found, sizes.withColumnRenamed("n", "size"), "cluster", counts=sizes)
 
     def blockwise(found: DataFrame) -> DataFrame:
         """Links between the groups of each cluster; a text goes to as many pairs of blocks as its cluster has blocks."""
