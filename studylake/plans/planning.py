@@ -132,17 +132,46 @@ def i30_study_plan(s, d):
     return P.plans(queue(s, d, total).join(late, ["user_id", "chapter"]), "user_id", "chapter", open_days)
 
 
-@query("i31_interleaved_slots", f"""
-WITH p AS (SELECT user_id, chapter, (1 - mastery) * (0.5 + 0.5 * least(1.0, attempts / 5.0)) AS p FROM ({MASTERY})),
-n AS (SELECT user_id, chapter, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, chapter) AS place, greatest(1, floor(p / (floor(sum(p) OVER (PARTITION BY user_id) * 1000000 + 0.5) / 1000000) * 28 + 0.5))::INT AS slots FROM p)
-SELECT user_id, slot, chapter, ((slot - 1) // 2)::INT AS day FROM (SELECT user_id, chapter, row_number() OVER (PARTITION BY user_id ORDER BY k, place)::INT AS slot FROM n, generate_series(1, 28) g(k) WHERE k <= slots) WHERE slot <= 22""")
-def i31_interleaved_slots(s, d):
-    """Two sessions a day for eleven days of fourteen (the last three consolidate): chapters take turns, as often as their priority gives."""
-    p = mastered(s, d).select("user_id", "chapter", ((1 - c("mastery")) * (0.5 + 0.5 * F.least(F.lit(1.0), c("attempts") / 5.0))).alias("p"))
-    total = half_up(F.sum("p").over(Window.partitionBy("user_id")), 6)
-    n = p.withColumn("slots", F.greatest(F.lit(1), F.floor(c("p") / total * 28 + 0.5))).withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("p"), "chapter")))
-    turns = n.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(28), c("slots")).cast("int"))))
-    return R.top_per_group(turns, ["user_id"], [c("k"), c("place")], 22, "slot").select("user_id", "slot", "chapter", F.floor((c("slot") - 1) / 2).cast("int").alias("day"))
+# Fixed values of the older plan: days, sessions a day, last days that consolidate, minutes of new, consolidating and card sessions.
+DAYS, A_DAY, TAIL = 14, 2, 3
+MINUTES = {"weak": 60, "uncovered": 60, "consolidate": 45, "flashcards": 20}
+#: Days with cards due and days with a session of the learner's own, by learner.
+CARDS, BUSY = "(user_id + day) % 5 = 0", "(user_id * 3 + day) % 7 = 0"
+
+
+@query("i31_older_plan", f"""
+WITH c AS (SELECT u.user_id, e.chapter, coalesce(m.attempts, 0) AS attempts, CASE WHEN coalesce(m.attempts, 0) = 0 THEN 1.5 ELSE (1 - mastery) * (0.5 + 0.5 * least(1.0, attempts / 5.0)) END AS p
+  FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT event_type AS chapter FROM events) e LEFT JOIN ({MASTERY}) m ON m.user_id = u.user_id AND m.chapter = e.chapter),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, chapter) AS place, count(*) OVER (PARTITION BY user_id) AS size,
+  greatest(1, floor(p / (floor(sum(p) OVER (PARTITION BY user_id) * 1000000 + 0.5) / 1000000) * {DAYS * A_DAY} + 0.5))::INT AS slots FROM c),
+q AS (SELECT user_id, chapter, attempts, row_number() OVER (PARTITION BY user_id ORDER BY k, place) AS number FROM n, generate_series(1, {DAYS * A_DAY}) g(k) WHERE k <= slots),
+d AS (SELECT user_id, size, day, {CARDS} AS cards, {A_DAY} - ({CARDS})::INT - ({BUSY})::INT AS free FROM (SELECT DISTINCT user_id, size FROM n), (SELECT unnest(range(0, {DAYS})) AS day)),
+w AS (SELECT user_id, day, slot, row_number() OVER (PARTITION BY user_id ORDER BY day, slot) AS number FROM d, (SELECT unnest(range(0, {A_DAY})) AS slot) WHERE slot < free AND day < {DAYS - TAIL})
+SELECT w.user_id, w.day, w.slot, q.chapter, CASE WHEN q.attempts = 0 THEN 'uncovered' ELSE 'weak' END AS rationale, {MINUTES['weak']} AS minutes FROM w JOIN q USING (user_id, number)
+UNION ALL SELECT d.user_id, day, slot, chapter, 'consolidate', {MINUTES['consolidate']} FROM d, (SELECT unnest(range(0, {A_DAY})) AS slot), n WHERE slot < free AND day >= {DAYS - TAIL} AND n.user_id = d.user_id AND place = d.size - (day + slot) % d.size
+UNION ALL SELECT user_id, day, -1, NULL, 'flashcards', {MINUTES['flashcards']} FROM d WHERE cards""")
+def i31_older_plan(s, d):
+    """Two sessions a day, fewer where cards are due or the learner has a session: chapters take turns, as often as their priority gives; the last days go
+    back over the strongest."""
+    events = t(s, d, "events")
+    chapters = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # the few chapters
+    every = events.select("user_id").distinct().select("user_id", F.explode(F.array(*map(F.lit, chapters))).alias("chapter"))
+    known = every.join(mastered(s, d), ["user_id", "chapter"], "left").select("user_id", "chapter", F.coalesce("attempts", F.lit(0)).alias("attempts"), "mastery")
+    p = known.withColumn("p", F.when(c("attempts") == 0, 1.5).otherwise((1 - c("mastery")) * (0.5 + 0.5 * F.least(F.lit(1.0), c("attempts") / 5.0))))
+    own = Window.partitionBy("user_id")
+    slots = F.greatest(F.lit(1), F.floor(c("p") / half_up(F.sum("p").over(own), 6) * (DAYS * A_DAY) + 0.5)).cast("int")
+    n = p.withColumn("slots", F.least(F.lit(DAYS * A_DAY), slots)).withColumn("place", F.row_number().over(own.orderBy(F.desc("p"), "chapter"))).withColumn("size", F.count("*").over(own))
+    queue = n.withColumn("k", F.explode(F.sequence(F.lit(1), "slots"))).withColumn("number", F.row_number().over(own.orderBy("k", "place"))).select("user_id", "number", "chapter", "attempts")
+    days = n.select("user_id", "size").distinct().withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))))
+    days = days.withColumn("cards", F.expr(CARDS)).withColumn("free", A_DAY - c("cards").cast("int") - F.expr(BUSY).cast("int"))
+    free = days.where("free > 0").withColumn("slot", F.explode(F.sequence(F.lit(0), c("free") - 1)))
+    work = free.where(c("day") < DAYS - TAIL).withColumn("number", F.row_number().over(own.orderBy("day", "slot"))).join(queue, ["user_id", "number"])
+    tail = free.where(c("day") >= DAYS - TAIL).withColumn("place", (c("size") - (c("day") + c("slot")) % c("size")).cast("int")).join(n.select("user_id", "place", "chapter"), ["user_id", "place"])
+    cards = days.where("cards").withColumn("slot", F.lit(-1)).withColumn("chapter", F.lit(None).cast("string"))
+    row = lambda df, why: df.select("user_id", "day", "slot", "chapter", why.alias("rationale"))
+    plan = row(work, F.when(c("attempts") == 0, "uncovered").otherwise("weak")).unionByName(row(tail, F.lit("consolidate"))).unionByName(row(cards, F.lit("flashcards")))
+    minutes = F.create_map(*[F.lit(x) for pair in MINUTES.items() for x in pair])
+    return plan.withColumn("minutes", minutes[c("rationale")])
 
 
 @query("i32_reconciled", "SELECT s.event_id AS session_id, count(a.event_id) AS answers, count(a.event_id) > 0 AS done FROM events s LEFT JOIN events a ON s.user_id = a.user_id AND a.event_type = 'purchase' AND a.ts >= s.ts AND a.ts < s.ts + INTERVAL 48 HOUR WHERE s.event_type = 'signup' GROUP BY 1")

@@ -178,3 +178,56 @@ def h22_expanded(s, d):
     near = retrieval.knn(e.where("vec_id % 20 < 2"), e, ["label"], 10).withColumn("asked", c("probe_id") - c("probe_id") % 20)
     best = near.groupBy("asked", "vec_id").agg(F.max("sim").alias("sim"))
     return R.top_per_group(best, ["asked"], [F.desc("sim"), c("vec_id")], 5).select("asked", "vec_id", "sim")
+
+
+# ---- rules of lines and orders, on literals with what they give
+LABELS = [("See this.\nNorth\nSouth\n\nEast\nWest\nThe map shows it all here.", "See this.\n\nThe map shows it all here."), ("A\n→ B\nC\nD", "A\n→ B\nC\nD"), ("AUC Ile\nGGG Gly\nUUU\nCCC", "AUC Ile\nGGG Gly\nUUU\nCCC"), ("a\nb", "a\nb"), ("1) yes\n2) no\n3) one\n4) two", "1) yes\n2) no\n3) one\n4) two")]
+LONG = "Some of this energy must be delivered to every single cell and it must"
+WRAPS = [(f"{LONG}\ncome from glucose.", f"{LONG} come from glucose."), (f"{LONG}.\nNext", f"{LONG}.\nNext"), (f"{LONG}\n1) part", f"{LONG}\n1) part"), (f"$$\n{LONG}\nx\n$$", f"$$\n{LONG}\nx\n$$"), (f"{LONG}\nof it\nand of that", f"{LONG} of it and of that"), ("short\nline", "short\nline")]
+STREAMS = [("solve the equation|find the area", "solve the equation now later find the area of it", [(0, 1.0, "EXACT"), (5, 1.0, "EXACT")]), ("find the area", "find the area x y find the area", [(0, 1.0, "AMBIGUOUS")]), ("a b", "c d", [(None, 0.0, "UNRESOLVED")]), ("find it here|the end now", "find x it y here the end", [(0, 1.0, "EXACT"), (5, 0.667, "STRONG")])]
+BOXES = [([(0.55, 0.1, 0.9, 0.12), (0.1, 0.1, 0.45, 0.12), (0.1, 0.13, 0.45, 0.15), (0.55, 0.13, 0.9, 0.15)], [1, 2, 0, 3]), ([(0.1, 0.5, 0.9, 0.6), (0.1, 0.1, 0.9, 0.2)], [1, 0]), ([(0.0, 0.0, 1.0, 1.0)], [0])]
+LABELLED = [("|A.1.c||A.9|C", "A|A.1|B.2", [None, 1, 1, 0, 0]), ("C.A.1|B.2", "A|A.1|B.2", [1, 2]), ("A.1|B.B|2|Z.Q", "A.1|B.2", [0, 1, 1, None])]
+
+
+def rule_cases(name, table, rule):
+    @query(name, values([(i, b) for i, (_, b) in enumerate(table)], ["i", "text"]).replace("\n", "' || chr(10) || '"))
+    def cases(s, d):
+        return literals(s, table).select("i", F.pandas_udf(lambda x: x.map(rule), "string")("text").alias("text"))
+
+
+rule_cases("j16_label_cases", LABELS, layout.without_label_runs)
+rule_cases("j17_wrap_cases", WRAPS, layout.unwrapped)
+
+
+@query("l02_alignment_cases", values([(i, n, *row) for i, (_, _, rows) in enumerate(STREAMS) for n, row in enumerate(rows)], ["i", "head", "place", "score", "band"]))
+def l02_alignment_cases(s, d):
+    import pandas as pd
+
+    def aligned(heads: pd.Series, streams: pd.Series) -> pd.Series:
+        found = [layout.align([h.split() for h in hs.split("|")], x.split()) for hs, x in zip(heads, streams, strict=True)]
+        return pd.Series([[dict(zip(("place", "score", "band"), f, strict=True)) for f in fs] for fs in found])
+
+    aligned.__annotations__ = {"heads": pd.Series, "streams": pd.Series, "return": pd.Series}
+    rows = s.createDataFrame([(i, h, x) for i, (h, x, _) in enumerate(STREAMS)], "i int, heads string, stream string")
+    return rows.select("i", F.posexplode(F.pandas_udf(aligned, "array<struct<place:int,score:double,band:string>>")("heads", "stream")).alias("head", "f")).select("i", "head", "f.*")
+
+
+@query("l12_order_cases", values([(i, n, p) for i, (_, order) in enumerate(BOXES) for n, p in enumerate(order)], ["i", "n", "box"]))
+def l12_order_cases(s, d):
+    rows = s.createDataFrame([(i, [list(b) for b in boxes]) for i, (boxes, _) in enumerate(BOXES)], "i int, boxes array<array<double>>")
+    order = F.pandas_udf(lambda x: x.map(lambda boxes: layout.reading_order([tuple(map(float, b)) for b in boxes])), "array<int>")
+    return rows.select("i", F.posexplode(order("boxes")).alias("n", "box"))
+
+
+@query("l08_binding_cases", values([(i, n, p) for i, (_, _, bound) in enumerate(LABELLED) for n, p in enumerate(bound)], ["i", "n", "part"]))
+def l08_binding_cases(s, d):
+    import pandas as pd
+
+    split = lambda x: [tuple(y.split(".")) if y else () for y in x.split("|")]
+
+    def bound(labels: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([layout.bind_rows(split(a), split(b)) for a, b in zip(labels, parts, strict=True)])
+
+    bound.__annotations__ = {"labels": pd.Series, "parts": pd.Series, "return": pd.Series}
+    rows = s.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(LABELLED)], "i int, labels string, parts string")
+    return rows.select("i", F.posexplode(F.pandas_udf(bound, "array<int>")("labels", "parts")).alias("n", "part"))
