@@ -308,8 +308,8 @@ def explaining_first(sim: Column, text: Column, kind: Column) -> Column:
 def share_vocabulary(hits: DataFrame, by: list[str], words: str, text: str, place: str, keep: int = 4) -> DataFrame:
     """hits with shared (words of the question that occur in the text), at most so many: most shared first, then as placed; all if none shares any."""
     shared = hits.withColumn("shared", F.size(F.filter(F.array_distinct(words), lambda w: F.contains(F.col(text), w))))
-    best = F.max("shared").over(Window.partitionBy(*by))
-    return top_per_group(shared.withColumn("__any", best).where((F.col("shared") > 0) | (F.col("__any") == 0)), by, [F.desc("shared"), F.col(place)], keep).drop("__any")
+    best = shared.groupBy(*by).agg(F.max("shared").alias("__any"))
+    return top_per_group(shared.join(best, by).where((F.col("shared") > 0) | (F.col("__any") == 0)), by, [F.desc("shared"), F.col(place)], keep).drop("__any")
 
 
 def within_budget(text: Column, budget: float = 7000.0, longest: int = 6000) -> Column:

@@ -202,18 +202,19 @@ def k17_links_by_part(s, d):
     return R.top_per_group(best, ["item"], [F.desc("best"), c("label")], 2).select("item", "label", "best")
 
 
-@query("m05_subject_gates", """
-WITH x AS (SELECT source, floor(doc_id % 97 / 97 * 1000 + 0.5) / 1000 AS v, doc_id % 3 <> 0 AS on_ FROM documents),
-g AS (SELECT source, list_sort(list(v) FILTER (on_)) AS a, max(v) FILTER (NOT on_) / 4 AS w FROM x GROUP BY 1),
-p AS (SELECT source, a[1 + floor((len(a) - 1) * 0.1)::INT] AS p10, greatest(0.3, floor((w + 0.02) * 1000 + 0.5) / 1000) AS safe FROM g WHERE len(a) >= 3 AND w IS NOT NULL)
-SELECT source, CASE WHEN safe <= p10 THEN least(0.5, greatest(p10, safe)) ELSE 0.5 END AS gate FROM p""")
+@query("m05_subject_gates", f"""
+WITH b AS ({BEST}), i AS (SELECT mine, list_sort(list(best)) AS a FROM b WHERE label = mine GROUP BY 1), o AS (SELECT mine, max(best) AS w FROM b WHERE label <> mine GROUP BY 1),
+p AS (SELECT mine, a[1 + floor((len(a) - 1) * 0.1)::INT] AS p10, greatest(0.3, floor((w + 0.02) * 1000000 + 0.5) / 1000000) AS safe FROM i JOIN o USING (mine) WHERE len(a) >= 3)
+SELECT mine, CASE WHEN safe <= p10 THEN least(0.5, greatest(p10, safe)) ELSE 0.5 END AS gate FROM p""")
 def m05_subject_gates(s, d):
-    """A gate for each source from scores on and off the syllabus; 0.5 stays where they overlap."""
-    v = half_up(c("doc_id") % 97 / 97, 3)
-    off = c("doc_id") % 3 == 0
-    g = t(s, d, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.when(~off, v))).alias("a"), (F.max(F.when(off, v)) / 4).alias("w")).where("size(a) >= 3 and w is not null")
-    p10, safe = F.element_at("a", F.floor((F.size("a") - 1) * 0.1).cast("int") + 1), F.greatest(F.lit(0.3), half_up(c("w") + 0.02, 3))
-    return g.select("source", F.when(safe <= p10, F.least(F.lit(0.5), F.greatest(p10, safe))).otherwise(0.5).alias("gate"))
+    """A gate for each label from the scores that its questions reach in it and elsewhere; 0.5 stays where they overlap."""
+    best = per_label(s, d)
+    own = best.where("label = mine")
+    low = R.nearest_ranks(own, ["mine"], "best", {"p10": 0.1}).join(own.groupBy("mine").agg(F.count("*").alias("n")).where("n >= 3"), "mine")
+    worst = best.where("label <> mine").groupBy("mine").agg(F.max("best").alias("w"))
+    safe = F.greatest(F.lit(0.3), half_up(c("w") + 0.02, 6))
+    gates = low.join(worst, "mine")
+    return gates.select("mine", F.when(safe <= c("p10"), F.least(F.lit(0.5), F.greatest(c("p10"), safe))).otherwise(0.5).alias("gate"))
 
 
 @query("m07_helpfulness", "SELECT source, count(*) AS judged, floor(avg(quality) * 1000 + 0.5) / 1000 AS helpful FROM labels JOIN documents USING (doc_id) GROUP BY 1")
