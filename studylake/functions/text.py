@@ -34,21 +34,27 @@ def without_accents(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 
 
+def compatible(text: Column) -> Column:
+    """Compatibility forms folded; texts of ASCII and accented Latin letters have none, and are not sent to Python."""
+    plain = text.rlike("^[\\x00-\\x7F\\u00C0-\\u00FF]*$")
+    return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))
+
+
 def fold_arabic(text: Column) -> Column:
     """The index's fold: compatibility forms, letters, digits, no marks, all white space as one space."""
-    folded = F.regexp_replace(F.translate(nfkc(text), ARABIC_FROM, ARABIC_TO), MARKS, "")
+    folded = F.regexp_replace(F.translate(compatible(text), ARABIC_FROM, ARABIC_TO), MARKS, "")
     return F.trim(F.regexp_replace(folded, "(?U)\\s+", " "))
 
 
 def fold_arabic_inline(text: Column) -> Column:
     """The query's fold: nothing without Arabic letters; Persian digits too; only runs of spaces and tabs collapse."""
-    folded = F.regexp_replace(F.translate(F.translate(nfkc(text), ARABIC_FROM, ARABIC_TO), PERSIAN_DIGITS, "0123456789"), MARKS, "")
+    folded = F.regexp_replace(F.translate(F.translate(compatible(text), ARABIC_FROM, ARABIC_TO), PERSIAN_DIGITS, "0123456789"), MARKS, "")
     return F.when(text.rlike("[\\u0600-\\u06FF]"), F.trim(F.regexp_replace(folded, "[ \\t]+", " "))).otherwise(text)
 
 
 def fold_for_search(text: Column) -> Column:
     """The loader's fold: like the index's for letters and digits of both kinds, with hamza carriers kept; only runs of spaces and tabs collapse."""
-    plain = F.regexp_replace(nfkc(text), MARKS, "")
+    plain = F.regexp_replace(compatible(text), MARKS, "")
     return F.regexp_replace(F.translate(plain, "أإآٱىة٠١٢٣٤٥٦٧٨٩" + PERSIAN_DIGITS, "اااايه" + "0123456789" * 2), "[ \\t]{2,}", " ")
 
 

@@ -157,11 +157,16 @@ def search_clauses(question: Column) -> Column:
     return F.filter(F.transform(pieces, clause), lambda s: F.size(s["words"]) > 0)
 
 
-def occurrences(words: Column, phrase: Column) -> Column:
-    """How often a phrase stands in a text's words."""
-    one = F.size(F.filter(words, lambda w: w == phrase[0]))
-    starts = F.filter(F.sequence(F.lit(1), F.size(words) - F.size(phrase) + 1), lambda i: F.slice(words, i, F.size(phrase)) == phrase)
-    return F.when(F.size(phrase) == 1, one).when(F.size(phrase) > F.size(words), 0).otherwise(F.size(starts))
+def spaced(words: Column) -> Column:
+    """Words as one text, each between two spaces of its own, so that neighbours share none."""
+    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+
+
+def occurrences(text: Column, phrase: Column) -> Column:
+    """How often a phrase stands in a spaced text; overlapping ones count."""
+    needle = spaced(phrase)
+    one = ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("int")
+    return F.when(~F.contains(text, needle), 0).when(F.size(phrase) == 1, one).otherwise(F.regexp_count(text, F.concat(F.lit("(?="), needle, F.lit(")"))))
 
 
 def search(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,12 +182,12 @@ def search(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_c
     parts = parts.select("query_id", "alt", phrases(False).alias("wanted"), phrases(True).alias("unwanted")).where("size(wanted) > 0")
     texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
     posted = texts.select("id", F.explode(F.array_distinct("words")).alias("w"))
+    whole = texts.select("id", spaced(F.col("words")).alias("words"))
     asked = parts.select("query_id", "alt", F.explode(F.array_distinct(F.flatten("wanted"))).alias("w"))
     counts = posted.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
     rarest = asked.join(counts, "w", "left").groupBy("query_id", "alt").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))["w"].alias("w"))
     candidates = posted.join(rarest, "w").select("query_id", "alt", "id")
-    whole = candidates.join(parts, ["query_id", "alt"]).join(texts, "id")
-    counted = whole.withColumn("tf", F.transform("wanted", lambda p: occurrences(F.col("words"), p)))
+    counted = candidates.join(parts, ["query_id", "alt"]).join(whole, "id").withColumn("tf", F.transform("wanted", lambda p: occurrences(F.col("words"), p)))
     met = counted.where(F.forall("tf", lambda n: n > 0) & ~F.exists("unwanted", lambda p: occurrences(F.col("words"), p) > 0))
     rank = F.aggregate("tf", F.lit(0.0), lambda s, n: s + n / (n + 1))
     return met.groupBy("query_id", "id").agg(F.max(half_up(rank, 6)).alias("rank"))

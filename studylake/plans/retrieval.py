@@ -95,7 +95,8 @@ i AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({LEX_WOR
 SELECT query_id, id, floor(sum(tf / (tf + 1)) * 1000000 + 0.5) / 1000000 AS rank FROM i JOIN q USING (term) JOIN n USING (query_id) GROUP BY query_id, id, n.n HAVING count(*) = n.n""")
 def h03_lexical(s, d):
     """Whole items ask; documents must have all their words."""
-    plain = F.regexp_replace("text", "[^\\p{L}\\p{N}]+", " ")
+    words = F.regexp_extract_all("text", F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    plain = F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ")  # in quotes, "or" is a word
     return retrieval.search(t(s, d, "documents"), t(s, d, "benchmark").select(c("item_id").alias("query_id"), plain.alias("question")))
 
 
@@ -113,7 +114,7 @@ def h04_lexical_rank(s, d):
     w = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
     at = lambda i: c("w")[i - 1]
     asked = t(s, d, "benchmark").select(c("item_id").alias("query_id"), w.alias("w")).where("size(w) >= 7")
-    text = F.concat(F.lit('"'), at(1), F.lit(" "), at(2), F.lit('" -'), at(4), F.lit(" or "), at(5), F.lit(' "'), at(6), F.lit(" "), at(7), F.lit('"'))
+    text = F.concat(F.lit('"'), at(1), F.lit(" "), at(2), F.lit('" -'), at(4), F.lit(' or "'), at(5), F.lit('" "'), at(6), F.lit(" "), at(7), F.lit('"'))
     found = retrieval.search(t(s, d, "documents"), asked.select("query_id", text.alias("question")))
     return R.top_per_group(found, ["query_id"], [F.desc("rank"), c("id")], 10).select("query_id", "id", "rank")
 
@@ -132,7 +133,7 @@ def lexical_hits(s, d):
     docs = t(s, d, "documents").join(e.withColumnRenamed("vec_id", "doc_id"), "doc_id")
     w = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
     asked = docs.where("doc_id % 20 = 0").select(c("doc_id").alias("query_id"), w.alias("w")).where("size(w) >= 3")
-    question = F.concat(F.lit('"'), c("w")[0], F.lit(" "), c("w")[1], F.lit('" '), c("w")[2])
+    question = F.concat(F.lit('"'), c("w")[0], F.lit(" "), c("w")[1], F.lit('" "'), c("w")[2], F.lit('"'))
     found = retrieval.search(docs, asked.select("query_id", question.alias("question"))).where("query_id <> id")
     mine = e.select(c("vec_id").alias("query_id"), c("label").alias("mine"))
     return found.join(mine, "query_id").join(e.select(c("vec_id").alias("id"), "label"), "id").where("mine = label").select(c("query_id").alias("probe_id"), c("id").alias("vec_id"), "rank")
