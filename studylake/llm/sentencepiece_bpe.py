@@ -84,8 +84,10 @@ class Vocabulary:
         from the left.
         """
         ranks, size = self.ranks.get, len(chunk)
-        wide = max(24, size.bit_length())
-        mask, far = (1 << wide) - 1, 2 * wide
+        wide, mask, far = 24, 0xFFFFFF, 48
+        if size > mask:
+            wide = size.bit_length()
+            mask, far = (1 << wide) - 1, 2 * wide
         agenda = [r << far | i << wide | 2 for i, r in enumerate(map(ranks, pairs)) if r is not None]
         if not agenda:
             return [x for c in chunk for x in self.alone(c)]
