@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import secrets
+import uuid
 import warnings
 import zlib
 from collections.abc import Callable
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import decontaminate, html_extract, license_scan, pii, sentencepiece_bpe, simhash, substring_dedup, tiff_media, token_counts, toxicity
+from studylake.llm import decontaminate, html_extract, license_scan, periodic_runs, pii, sentencepiece_bpe, simhash, substring_dedup, tiff_media, token_counts, token_files, toxicity, whitening
+from studylake.llm._common import id_type, map_slices, shared_dir, texts_of
 
 #: The environment variable that holds the key of pseudonyms.
 KEY_VARIABLE = "STUDYLAKE_PII_KEY"
@@ -133,8 +135,48 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: the texts of a tenth of the documents, chosen by the CRC-32 of their decimal ids, repeat a stretch of theirs to the end."""
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for doc, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+            g, last = divmod(zlib.crc32(str(doc).encode()), 10)
+            words = text.split() if last == 0 else []
+            if n := len(words):
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                text = b" ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
+            out.append(text.decode())
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    return map_slices(docs.select("doc_id", "text"), 1, work, f"doc_id {id_type(docs, 'doc_id')}, text string")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(with_periods(table(spark, sf_dir, "documents")), least=12)
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("top.col2"), F.col("top.length"), -F.col("top.col3")
+    milli = F.expr("top.length * 1000 div -top.col3")
+    return best.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    token_files.write(docs, tokenizer_path("byte_bpe_50k.json"), 2, folder)
+    return token_files.read(spark, folder, id_type(docs, "doc_id"), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_sentencepiece, op4_token_counts, op5_decontaminate, op6_toxicity, op7_substring_dedup, op8_license_scan, op9_tiff_media, op10_html_extract)}
+    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_sentencepiece, op4_token_counts, op5_decontaminate, op6_toxicity, op7_substring_dedup, op8_license_scan, op9_tiff_media, op10_html_extract, op11_whitening, op12_periodic_runs, op13_token_files)}
 
 
 _OP5 = r"""

@@ -33,7 +33,7 @@ LONG = 4096
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def _byte_characters() -> dict[int, str]:
+def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one from U+0100."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = [b for b in range(256) if b not in own]
@@ -52,7 +52,7 @@ class Merges:
             raise ValueError(f"{path} is not a lower-casing BPE vocabulary with word ends")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.size = max(vocab.values()) + 1
-        letters = _byte_characters()
+        letters = byte_characters()
         self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int64)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
