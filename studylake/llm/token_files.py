@@ -11,7 +11,7 @@ piece begins with it. The library encodes each new piece, with its space, and a
 encodes whole texts.
 
 Defined results: a null or empty text has the end id only; documents of equal id (null comes first) stand in the order of a hash of their
-ids, repeated rows beside each other; an empty table gives a data set without shards and reads as no rows. Only the id and text columns are read.
+texts, repeated rows beside each other; an empty table gives a data set without shards and reads as no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import json
 import os
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm._common import bounded, cut, forget, id_type, map_slices
+from studylake.llm._common import bounded, id_type, map_slices
 from studylake.llm.token_counts import byte_characters
 
 #: A space that a text may be cut at.
@@ -40,12 +41,17 @@ GAP = re.compile(r" (?<=\S )(?=\S)")
 #: White space of all alphabets for a pattern without such a class; texts with some of it beside a space, or a space at an end.
 WHITE = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 UNSAFE = f"[{WHITE}] | [{WHITE}]|^ | $"
-#: A piece of a word and marks behind it: two pre-tokens.
-WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6]+)([.,;:!?]*)")
+#: Words with marks behind them, one to a line: the pre-tokens are each word, each run of marks and each line end. Marks that can begin a contraction
+#: or a special token are none.
+LETTER, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]", "[!-&(-/:;=?@\\[-`{}~]"
+PLAIN = re.compile(f" ?{LETTER}+{MARKS}*(?:\n{LETTER}+{MARKS}*)*")
+PRE_TOKEN = re.compile(f" ?{LETTER}+|{MARKS}+|\n")
 #: Ids of pieces that a worker keeps, about; then its table starts anew.
 KEPT_IDS = 6_000_000
 #: Bytes of a shard, about, and documents and ids that are read at a time.
 SHARD_BYTES, READ_DOCS, READ_IDS = 256 << 20, 1000, 1 << 20
+#: Bytes of texts that are encoded together, and rows a shard that its bounds are taken from.
+ENCODED_BYTES, SAMPLED = 8 << 20, 64
 
 #: The character that stands for each byte in byte-level vocabularies.
 LETTERS = byte_characters()
@@ -71,19 +77,35 @@ class Pieces:
     def _fresh(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.seen = np.zeros(1 << 16, np.int32)
+
+    def _forget_rare(self) -> None:
+        """Keep the pieces that more than one call asked for; all go if they take half of the room."""
+        often = np.flatnonzero(self.seen[: len(self.known)] > 1)
+        lengths = self.starts[often + 1] - self.starts[often]
+        if not len(often) or (total := int(lengths.sum())) > KEPT_IDS // 2:
+            return self._fresh()
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        names = [*self.known]
+        self.flat = self.flat[np.arange(total) + np.repeat(self.starts[often] - ends[:-1], lengths)]
+        self.known, self.starts, self.used = {names[i]: k for k, i in enumerate(often.tolist())}, ends, total
+        self.seen = np.ones(len(often), np.int32)
+        return None
 
     def _add(self, pieces: list[str]) -> None:
         """Number new pieces (with their spaces); ids go behind those that are there."""
         made: list[list[int] | None] = []
-        shape, model, marks = WORD.fullmatch, self.library.model.tokenize, {"": []}
+        plain, cuts, model, known = PLAIN.fullmatch, PRE_TOKEN.findall, self.library.model.tokenize, {}
         for p in pieces if self.splits else []:
-            if (found := shape(p)) is None:
+            if plain(p) is None:
                 made.append(None)
                 continue
-            word, mark = found.groups()
-            if (tail := marks.get(mark)) is None:
-                tail = marks[mark] = [t.id for t in model(mark)]
-            made.append([t.id for t in model(word.encode().decode("latin-1").translate(LETTERS))] + tail)
+            ids: list[int] = []
+            for x in cuts(p):
+                if (own := known.get(x)) is None:
+                    own = known[x] = [t.id for t in model(x.encode().decode("latin-1").translate(LETTERS))]
+                ids += own
+            made.append(ids)
         made = made or [None] * len(pieces)
         rest = [i for i, m in enumerate(made) if m is None]
         for i, x in zip(rest, self.library.encode_batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
@@ -93,6 +115,8 @@ class Pieces:
             self.flat = np.concatenate([self.flat, np.zeros(ends[-1], np.int32)])
         self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(made), np.int32, int(ends[-1]) - self.used)
         self.known |= zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True)
+        if len(self.known) > len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros(len(self.known), np.int32)])
         self.starts, self.used = np.concatenate([self.starts, ends]), int(ends[-1])
 
     def _pieces(self, texts: pa.Array) -> pa.ListArray:
@@ -111,30 +135,32 @@ class Pieces:
         if not len(texts):
             return []
         if self.used > KEPT_IDS:
-            self._fresh()
+            self._forget_rare()
         cuts = self._pieces(texts.cast(pa.string()))
         at = cuts.offsets.to_numpy().astype(np.int64)
         coded = cuts.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at -= at[0]
-        first = np.zeros(at[-1], np.int64)
-        first[at[:-1][np.diff(at) > 0]] = 1
-        # a number for each distinct piece as a first one and as one with a space
-        code, which = np.unique(coded.indices.to_numpy() * 2 + 1 - first, return_inverse=True)
-        names = coded.dictionary.to_pylist()
-        pieces = [" " + names[c >> 1] if c & 1 else names[c >> 1] for c in code.tolist()]
-        self._add_new(pieces)
-        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[which]
+        number = self._numbers(pc.binary_join_element_wise("", coded.dictionary, " ").to_pylist())[coded.indices.to_numpy()]
+        first = at[:-1][np.diff(at) > 0]
+        number[first] = self._numbers(coded.dictionary.take(coded.indices.take(pa.array(first))).to_pylist())
         lengths = self.starts[number + 1] - self.starts[number]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[number] - ends[:-1], lengths)]
         return np.split(ids, ends[at[1:-1]])
 
-    def _add_new(self, pieces: list[str]) -> None:
-        new = [*dict.fromkeys(p for p in pieces if p not in self.known)]
-        gc.disable()  # many short lists, none in a cycle
-        for i in range(0, len(new), 100_000):
-            self._add(new[i : i + 100_000])
-        gc.enable()
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces; new ones get theirs."""
+        codes = [*map(self.known.get, pieces)]
+        if None in codes:
+            new = [*dict.fromkeys(p for p, c in zip(pieces, codes, strict=True) if c is None)]
+            gc.disable()  # many short lists, none in a cycle
+            for i in range(0, len(new), 100_000):
+                self._add(new[i : i + 100_000])
+            gc.enable()
+            codes = [self.known[p] if c is None else c for p, c in zip(pieces, codes, strict=True)]
+        own = np.array(codes, np.int64)
+        self.seen[own] += 1
+        return own
 
 
 @lru_cache(maxsize=2)
@@ -147,17 +173,19 @@ def width_of(size: int) -> int:
     return 2 if size <= 1 << 16 else 4
 
 
-def encode(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids (binary: little-endian unsigned, as the files have them), with end_id after each document's own."""
+def encode(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, n_ids, ids (binary: little-endian unsigned, as the files have them), with end_id after each document's own."""
     size = max(pieces_of(tokenizer).size, end_id + 1)
     width = width_of(size)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         end = np.array([end_id], f"<u{width}").tobytes()
-        made = [ids.astype(f"<u{width}").tobytes() + end for ids in pieces_of(tokenizer).encode(pc.fill_null(part.column(1), ""))]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(m) // width for m in made], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n_ids", "ids"])
+        made = [ids.astype(f"<u{width}").tobytes() + end for ids in pieces_of(tokenizer).encode(pc.fill_null(part.column(0), ""))]
+        return pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len(m) // width for m in made], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", *carried, "n_ids", "ids"])
 
-    return map_slices(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), 1, work, f"doc_id {id_type(df, id_col)}, n_ids long, ids binary")
+    rows = df.select(F.col(text_col).alias("__text"), F.col(id_col).alias("doc_id"), *carried)
+    kinds = ", ".join(f"{c} {id_type(df, c)}" for c in carried)
+    return map_slices(rows, 0, work, f"doc_id {id_type(df, id_col)}, {kinds + ', ' if kinds else ''}n_ids long, ids binary", ENCODED_BYTES)
 
 
 def _store(folder: str):
@@ -166,47 +194,83 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def bounds(rows: DataFrame, shards: int, keys: list[str]) -> list[tuple]:
+    """Keys between shards, from a sample of SAMPLED rows a shard that hashes pick; they change only how full shards are, not what a result is."""
+    order = F.xxhash64(*keys[1:])
+    found = rows.select(*keys).orderBy(order, *keys).limit(SAMPLED * shards).collect()
+    placed = sorted((r[0] is not None, 0 if r[0] is None else r[0], r[1], r[2]) for r in found)
+    return [placed[len(placed) * i // shards] for i in range(1, shards)] if placed else []
+
+
 def write(df: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode df and write a data set to folder, a path that driver and executors share."""
+    """Encode df and write a data set to folder, a path that driver and executors share.
+
+    A document's shard follows from its id before it is encoded, so it is encoded once and meets its shard by one shuffle; rows of one id are dealt by
+    hashes of their texts and of their places, so a frequent id fills several shards.
+    """
     spark = df.sparkSession
     width = width_of(max(pieces_of(tokenizer).size, end_id + 1))
-    coded, path = cut(encode(df, tokenizer, end_id, id_col, text_col))  # the range exchange looks at its input twice
-    total = coded.agg(F.sum("n_ids")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * width // SHARD_BYTES))
     keys = ["doc_id", "__hash", "__row"]
-    dealt = coded.withColumns({"__hash": F.xxhash64("ids"), "__row": F.monotonically_increasing_id()}).repartitionByRange(shards, *keys).sortWithinPartitions(*keys)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t")).withColumns({"__hash": F.xxhash64("__t"), "__row": F.xxhash64(F.monotonically_increasing_id())})
+    total = rows.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(2 * tasks, -(-total * width // (3 * SHARD_BYTES)))
+    edges = bounds(rows, shards, keys)
+
+    @F.arrow_udf("int")
+    def shard_of(ids: pa.Array, hashes: pa.Array, places: pa.Array) -> pa.Array:
+        rows = zip(ids.to_pylist(), hashes.to_pylist(), places.to_pylist(), strict=True)
+        return pa.array([bisect_right(edges, (i is not None, 0 if i is None else i, h, p)) for i, h, p in rows], pa.int32())
+
+    coded = encode(rows.withColumn("shard", shard_of(*keys)), tokenizer, end_id, "doc_id", "__t", ("shard", "__hash", "__row"))
+    dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", *keys)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        store, root = _store(folder)
-        name, offsets, ids_file, docs_file, writer = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}", [np.zeros(1, np.int64)], None, None, None
+        attempt, out, done = TaskContext.get().taskAttemptId(), None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if ids_file is None:
-                store.create_dir(root, recursive=True)
-                ids_file, docs_file = (store.open_output_stream(f"{root}/{name}.{x}") for x in ("ids", "docs"))
-                writer = pa.ipc.new_file(docs_file, pa.schema([batch.schema.field(0)]))
-            for ids in batch.column(1):
-                ids_file.write(ids.as_buffer())
-            offsets.append(offsets[-1][-1] + np.cumsum(batch.column(2).to_numpy()))
-            writer.write_batch(pa.RecordBatch.from_arrays([batch.column(0)], names=["doc_id"]))
-        if ids_file is not None:
-            writer.close()
-            for f in (ids_file, docs_file):
-                f.close()
-            places = np.concatenate(offsets)
-            with store.open_output_stream(f"{root}/{name}.offsets") as f:
-                f.write(places.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "name": [name], "n_docs": pa.array([len(places) - 1], pa.int64()), "n_ids": pa.array([places[-1]], pa.int64())})
+            shards_of = batch.column(0).to_numpy()
+            ends = [*(np.flatnonzero(np.diff(shards_of)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for start, end in zip([0, *ends], ends, strict=False):
+                if out is None or out.shard != shards_of[start]:
+                    done += [out.close()] if out else []
+                    out = _Writer(folder, int(shards_of[start]), attempt, batch.schema.field(1))
+                out.add(batch.slice(start, end - start))
+        done += [out.close()] if out else []
+        if done:
+            yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     # one row a shard, whatever the number of documents
-    done = sorted(bounded(dealt.select("doc_id", "ids", "n_ids")).mapInArrow(put, "shard int, name string, n_docs long, n_ids long").collect())
+    done = sorted(bounded(dealt.select("shard", "doc_id", "ids", "n_ids")).mapInArrow(put, "shard int, name string, n_docs long, n_ids long").collect())
     bases = [0, *accumulate(r["n_ids"] for r in done)]
-    rows = [(r["shard"], r["name"], width, r["n_docs"], r["n_ids"], base) for r, base in zip(done, bases, strict=False)]
+    table = [(r["shard"], r["name"], width, r["n_docs"], r["n_ids"], base) for r, base in zip(done, bases, strict=False)]
     _drop_losers(folder, {r["name"] for r in done})
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{folder.rstrip('/')}/manifest")
-    forget(spark, path)
+    spark.createDataFrame(table, MANIFEST).coalesce(1).write.parquet(f"{folder.rstrip('/')}/manifest")
+
+
+class _Writer:
+    """The files of one shard, written by one attempt of a task."""
+
+    def __init__(self, folder: str, shard: int, attempt: int, id_field: pa.Field):
+        self.store, self.root = _store(folder)
+        self.store.create_dir(self.root, recursive=True)
+        self.shard, self.name, self.offsets = shard, f"shard-{shard:06d}-{attempt}", [np.zeros(1, np.int64)]
+        self.ids, self.docs = (self.store.open_output_stream(f"{self.root}/{self.name}.{x}") for x in ("ids", "docs"))
+        self.table = pa.ipc.new_file(self.docs, pa.schema([pa.field("doc_id", id_field.type)]))
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        for ids in rows.column(2):
+            self.ids.write(ids.as_buffer())
+        self.offsets.append(self.offsets[-1][-1] + np.cumsum(rows.column(3).to_numpy()))
+        self.table.write_batch(pa.RecordBatch.from_arrays([rows.column(1)], names=["doc_id"]))
+
+    def close(self) -> dict:
+        self.table.close()
+        for f in (self.ids, self.docs):
+            f.close()
+        places = np.concatenate(self.offsets)
+        with self.store.open_output_stream(f"{self.root}/{self.name}.offsets") as f:
+            f.write(places.astype("<i8").tobytes())
+        return {"shard": self.shard, "name": self.name, "n_docs": len(places) - 1, "n_ids": int(places[-1])}
 
 
 def _drop_losers(folder: str, names: set[str]) -> None:
