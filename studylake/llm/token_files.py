@@ -47,11 +47,11 @@ LETTER, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]", "[!-&(-/:;=?@
 PLAIN = re.compile(f" ?{LETTER}+{MARKS}*(?:\n{LETTER}+{MARKS}*)*")
 PRE_TOKEN = re.compile(f" ?{LETTER}+|{MARKS}+|\n")
 #: Ids of pieces that a worker keeps, about; then its table starts anew.
-KEPT_IDS = 6_000_000
+KEPT_IDS = 4_000_000
 #: Bytes of a shard, about, and documents and ids that are read at a time.
 SHARD_BYTES, READ_DOCS, READ_IDS = 256 << 20, 1000, 1 << 20
 #: Bytes of texts that are encoded together, and rows a shard that its bounds are taken from.
-ENCODED_BYTES, SAMPLED = 8 << 20, 64
+ENCODED_BYTES, SAMPLED = 4 << 20, 64
 
 #: The character that stands for each byte in byte-level vocabularies.
 LETTERS = byte_characters()
@@ -173,19 +173,25 @@ def width_of(size: int) -> int:
     return 2 if size <= 1 << 16 else 4
 
 
-def encode(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the carried columns, n_ids, ids (binary: little-endian unsigned, as the files have them), with end_id after each document's own."""
+def encode(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", edges: list[tuple] | None = None) -> DataFrame:
+    """doc_id, n_ids, ids (binary: little-endian unsigned, as the files have them), with end_id after each document's own. With edges (as bounds() gives
+    them, for columns __hash and __row of df) those columns and the number of the shard too."""
     size = max(pieces_of(tokenizer).size, end_id + 1)
     width = width_of(size)
+    carried = ["__hash", "__row"] if edges is not None else []
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         end = np.array([end_id], f"<u{width}").tobytes()
         made = [ids.astype(f"<u{width}").tobytes() + end for ids in pieces_of(tokenizer).encode(pc.fill_null(part.column(0), ""))]
-        return pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len(m) // width for m in made], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", *carried, "n_ids", "ids"])
+        columns = [*part.columns[1:], pa.array([len(m) // width for m in made], pa.int64()), pa.array(made, pa.binary())]
+        if carried:
+            rows = zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)
+            columns.append(pa.array([bisect_right(edges, (i is not None, 0 if i is None else i, h, p)) for i, h, p in rows], pa.int32()))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", *carried, "n_ids", "ids", *["shard"] * bool(carried)])
 
     rows = df.select(F.col(text_col).alias("__text"), F.col(id_col).alias("doc_id"), *carried)
-    kinds = ", ".join(f"{c} {id_type(df, c)}" for c in carried)
-    return map_slices(rows, 0, work, f"doc_id {id_type(df, id_col)}, {kinds + ', ' if kinds else ''}n_ids long, ids binary", ENCODED_BYTES)
+    more = ("__hash long, __row long, ", ", shard int") if carried else ("", "")
+    return map_slices(rows, 0, work, f"doc_id {id_type(df, id_col)}, {more[0]}n_ids long, ids binary{more[1]}", ENCODED_BYTES)
 
 
 def _store(folder: str):
@@ -215,14 +221,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str =
     total = rows.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(2 * tasks, -(-total * width // (3 * SHARD_BYTES)))
-    edges = bounds(rows, shards, keys)
-
-    @F.arrow_udf("int")
-    def shard_of(ids: pa.Array, hashes: pa.Array, places: pa.Array) -> pa.Array:
-        rows = zip(ids.to_pylist(), hashes.to_pylist(), places.to_pylist(), strict=True)
-        return pa.array([bisect_right(edges, (i is not None, 0 if i is None else i, h, p)) for i, h, p in rows], pa.int32())
-
-    coded = encode(rows.withColumn("shard", shard_of(*keys)), tokenizer, end_id, "doc_id", "__t", ("shard", "__hash", "__row"))
+    coded = encode(rows, tokenizer, end_id, "doc_id", "__t", bounds(rows, shards, keys))
     dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", *keys)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
