@@ -51,7 +51,7 @@ KEPT_IDS = 4_000_000
 #: Bytes of a shard, about, and documents and ids that are read at a time.
 SHARD_BYTES, READ_DOCS, READ_IDS = 256 << 20, 1000, 1 << 20
 #: Bytes of texts that are encoded together, and rows a shard that its bounds are taken from.
-ENCODED_BYTES, SAMPLED = 4 << 20, 64
+ENCODED_BYTES, SAMPLED = 4 << 20, 32
 
 #: The character that stands for each byte in byte-level vocabularies.
 LETTERS = byte_characters()
@@ -200,10 +200,10 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def bounds(rows: DataFrame, shards: int, keys: list[str]) -> list[tuple]:
-    """Keys between shards, from a sample of SAMPLED rows a shard that hashes pick; they change only how full shards are, not what a result is."""
-    order = F.xxhash64(*keys[1:])
-    found = rows.select(*keys).orderBy(order, *keys).limit(SAMPLED * shards).collect()
+def bounds(rows: DataFrame, n: int, shards: int, keys: list[str]) -> list[tuple]:
+    """Keys between shards, from about SAMPLED of the n rows a shard that hashes pick; they change only how full shards are, not what a result is."""
+    share = min(1.0, SAMPLED * shards / max(n, 1))
+    found = rows.select(*keys).where(F.pmod(F.xxhash64(*keys[1:]), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
     placed = sorted((r[0] is not None, 0 if r[0] is None else r[0], r[1], r[2]) for r in found)
     return [placed[len(placed) * i // shards] for i in range(1, shards)] if placed else []
 
@@ -218,10 +218,10 @@ def write(df: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str =
     width = width_of(max(pieces_of(tokenizer).size, end_id + 1))
     keys = ["doc_id", "__hash", "__row"]
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t")).withColumns({"__hash": F.xxhash64("__t"), "__row": F.xxhash64(F.monotonically_increasing_id())})
-    total = rows.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__t")), F.lit(0))).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(2 * tasks, -(-total * width // (3 * SHARD_BYTES)))
-    coded = encode(rows, tokenizer, end_id, "doc_id", "__t", bounds(rows, shards, keys))
+    coded = encode(rows, tokenizer, end_id, "doc_id", "__t", bounds(rows, n, shards, keys))
     dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", *keys)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
