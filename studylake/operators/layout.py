@@ -52,18 +52,59 @@ class Places:
         return sorted(found, key=lambda m: (-m[0], *m[1:]))
 
 
-def align(heads: Sequence[Sequence[str]], stream: Sequence[str]) -> list[tuple[int | None, float, str]]:
-    """(place, score, band) of each head, never going back. A rival is another occurrence that does not overlap the best one."""
+def align(heads: Sequence[Sequence[Sequence[str]]], stream: Sequence[str], line_of: Sequence[int] | None = None) -> list[tuple[int | None, float, int, str]]:
+    """(place, score, tokens stepped over, band) of each head in a stream of tokens; places rise from head to head.
+
+    A head is several probes (its first words, the words that follow); each place where a probe's first token stands and at least FLOOR of the probe
+    follows is a candidate, moved to the start of its line (line_of: the line of each token), and has the best score that any probe gives it. Of all
+    chains of candidates, one for each head or none, that with the greatest sum of scores is taken, of equal ones that which steps over the fewest
+    tokens, then the one that ends earliest. The best chain up to a place is kept in a tree of prefixes: n log n for n candidates.
+
+    A rival is a candidate of the same head that does not overlap the one taken; within MARGIN of its score the head is AMBIGUOUS.
+    """
     places = Places(stream)
-    out: list[tuple[int | None, float, str]] = []
-    begin = 0
-    for head in heads:
-        ranked = places.matches(head, begin)
-        score, _, place = ranked[0] if ranked else (0.0, 0, 0)
-        rival = next((m[0] for m in ranked if abs(m[2] - place) >= len(head)), 0.0)
-        bands = [name for name, least in (("EXACT", EXACT), ("STRONG", STRONG)) if score >= least and score - rival >= MARGIN] or ["AMBIGUOUS"]
-        out.append((place, round(score, 3), bands[0]) if score >= FLOOR else (None, round(score, 3), "UNRESOLVED"))
-        begin = place + 1 if score >= FLOOR else begin
+    begins: dict[int, int] = {}
+    for i, line in enumerate(line_of or ()):
+        begins.setdefault(line, i)
+    best: list[tuple[float, int, int, int]] = [(0.0, 0, 0, -1)] * (len(stream) + 2)  # (sum, -stepped, -last place, node) of chains that end before
+    nodes: list[tuple[int, int, int]] = []  # head, place, node before
+
+    def up_to(place: int) -> tuple[float, int, int, int]:
+        """The best chain whose last place lies before this one."""
+        top, i = best[0], place
+        while i > 0:
+            top, i = max(top, best[i]), i & (i - 1)
+        return top
+
+    candidates: list[dict[int, tuple[float, int, int]]] = []
+    for head, probes in enumerate(heads):
+        found: dict[int, tuple[float, int, int]] = {}
+        for probe in probes:
+            for score, stepped, place in places.matches(probe):
+                if score >= FLOOR:
+                    at = begins[line_of[place]] if line_of else place
+                    found[at] = max(found.get(at, (0.0, 0, 0)), (round(score, 6), -stepped, len(probe)))
+        candidates.append(found)
+        chains = [(up_to(place), score, stepped, place) for place, (score, stepped, _) in found.items()]
+        for (total, less, _, node), score, stepped, place in sorted(chains, key=lambda x: x[3]):
+            nodes.append((head, place, node))
+            made, i = (round(total + score, 6), less + stepped, -place, len(nodes) - 1), place + 1
+            while i < len(best):
+                best[i], i = max(best[i], made), i + (i & -i)
+    taken: dict[int, int] = {}
+    node = up_to(len(stream) + 1)[3]
+    while node >= 0:
+        head, place, node = nodes[node]
+        taken[head] = place
+    out: list[tuple[int | None, float, int, str]] = []
+    for head, found in enumerate(candidates):
+        if (place := taken.get(head)) is None:
+            out.append((None, 0.0, 0, "UNRESOLVED"))
+            continue
+        score, stepped, size = found[place]
+        rival = max((s for p, (s, _, _) in found.items() if abs(p - place) >= size), default=0.0)
+        band = next((name for name, least in (("EXACT", EXACT), ("STRONG", STRONG)) if score >= least and score - rival >= MARGIN), "AMBIGUOUS")
+        out.append((place, round(score, 3), -stepped, band))
     return out
 
 

@@ -250,17 +250,6 @@ def k18_paper_probe(s, d):
 
 
 # ---- texts
-@query("j01_arabic_fold", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS folded FROM documents")
-def j01_arabic_fold(s, d):
-    return t(s, d, "documents").select("doc_id", X.fold_arabic(c("text")).alias("folded"))
-
-
-@query("j02_arabic_fold_inline", "SELECT doc_id, text AS folded FROM documents")
-def j02_arabic_fold_inline(s, d):
-    """Nothing changes without Arabic letters; the fold itself is tested on literals."""
-    return t(s, d, "documents").select("doc_id", X.fold_arabic_inline(c("text")).alias("folded"))
-
-
 FOLDED = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 KIND = " ".join(f"WHEN regexp_matches(f, {sql_text('(?i)' + p)}) THEN '{k}'" for p, k in ((classify.ESSAY_HEADER, "essay high"), (classify.ESSAY_ORDER, "essay high"), (classify.DOCUMENT, "comprehension high"), (classify.POINTING, "concept low")))
 
@@ -289,45 +278,12 @@ def j04_chunks(s, d):
     return parts.select("doc_id", "seq", "c.text", "c.page")
 
 
-@query("j16_label_runs")
-def j16_label_runs(s, d):
-    """Texts without runs of figure labels; a rule of lines, tested on literals."""
-    return t(s, d, "documents").select("doc_id", per_text(layout.without_label_runs)("text").alias("text"))
-
-
 @query("j17_repaired_lines")
 def j17_repaired_lines(s, d):
     """Soft-wrapped lines joined; a rule of lines, tested on literals."""
     return t(s, d, "documents").select("doc_id", per_text(layout.unwrapped)("text").alias("text"))
 
 
-#: Texts that hold symbols of a font at private code points, and what they show.
-SYMBOLS = [("a\uf0a3b", "a≤b"), ("\uf061\uf0e6x\uf0f6", "αx"), ("x\u2062y\uf0ff", "xy"), ("\uf041\uf0ce\uf031", "Α∈1"), ("plain", "plain")]
-#: Texts with formulas in other delimiters, and in dollars.
-DELIMITERS = [
-    (r"so \(x^2\) is", "so $x^2$ is"), (r"see \[y\] there", "see \n\n$$\ny\n$$\n\n there"), ("a $$z$$ b", "a $z$ b"), ("$$z$$", "$$z$$"), ("is $٣+۴$ and ٣", "is $3+4$ and ٣"),
-    (r"has $$ \begin{cases} a", "has\n\n$$\n\\begin{cases} a\n\\end{cases}\n$$"), (r"a \\[2pt] b", r"a \\[2pt] b"),
-]
-
-
-def shown(table):
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {sql_text(b)})" for i, (_, b) in enumerate(table)) + ") AS x(i, text)"
-
-
-def literals(s, table):
-    return s.createDataFrame([(i, a) for i, (a, _) in enumerate(table)], "i int, text string")
-
-
-@query("j17_symbol_font", shown(SYMBOLS))
-def j17_symbol_font(s, d):
-    return literals(s, SYMBOLS).select("i", repair.without_symbol_font(c("text")).alias("text"))
-
-
-@query("j17_delimiters", shown(DELIMITERS))
-def j17_delimiters(s, d):
-    return literals(s, DELIMITERS).select("i", repair.math_delimiters(c("text")).alias("text"))
-
-
 @query("l10_moved_offsets", """
 WITH x AS (SELECT doc_id, text AS a, 'Preface. ' || replace(text, ' ', '  ') AS b, length(text) // 2 AS o FROM documents WHERE length(text) > 200),
 y AS (SELECT *, lower(regexp_replace(b, '\\s+', '', 'g')) AS flat, string_split(b, '') AS ch FROM x),
@@ -383,23 +339,12 @@ def l04_owner_level(s, d):
     return layout.owner_level(refs, ["l_partkey"])
 
 
-@query("l02_alignment")
-def l02_alignment(s, d):
-    """Each conversation's turns, by their first six words, aligned to its whole stream of words; an ordered search, tested on literals."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
-    turns = t(s, d, "conversations").select("conv_id", "turn", words.alias("w"))
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn")
-        found = layout.align([list(w[:6]) for w in rows["w"]], [x for w in rows["w"] for x in w])
-        return pd.DataFrame([(k, n, *f) for k, n, f in zip(rows["conv_id"], rows["turn"], found, strict=True)], columns=["conv_id", "turn", "place", "score", "band"]).astype({"place": "Int64"})
-
-    return turns.groupBy("conv_id").applyInPandas(place, "conv_id long, turn long, place long, score double, band string")
-
-
-@query("l08_bound_rows")
+@query("l08_bound_rows", """
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS n, l_partkey % 5 = 0 AS bare, l_partkey % 2 || '.' || l_partkey % 3 AS name FROM lineitem),
+f AS (SELECT *, CASE WHEN NOT bare THEN (SELECT min(p.n) FROM r p WHERE p.l_orderkey = r.l_orderkey AND p.n < 3 AND p.name = r.name) END AS own FROM r)
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN bare THEN last_value(own IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY n) ELSE own END AS INTEGER) AS part FROM f""")
 def l08_bound_rows(s, d):
-    """Lines of an order bound to the parts that its first three name; order-dependent, tested on literals."""
+    """Lines of an order bound to the parts that its first three name; a row without a label goes with the one before, one of no part with none."""
 
     @F.pandas_udf("array<int>")
     def bound(keys: pd.Series) -> pd.Series:

@@ -1,15 +1,11 @@
-"""Queries of papers' structure, LaTeX, batch forms of transactional work, and matches; literals stand where the tables have no such texts."""
+"""Queries of matches, batch forms of transactional work, and expansions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from studylake.functions import structure
-from studylake.functions import text as X
-from studylake.functions.core import half_up
 from studylake.operators import layout, retrieval
 from studylake.operators import relational as R
-from studylake.plans.layouts import literals, sql_text
 from studylake.plans.retrieval import COS
 from studylake.registry import query
 from studylake.sources import files
@@ -18,63 +14,6 @@ from studylake.sources.tables import table as t
 c = F.col
 
 
-def values(rows, names):
-    """SQL of literal rows."""
-    show = lambda v: "NULL" if v is None else sql_text(v) if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS x({', '.join(names)})"
-
-
-# ---- structure
-PAPERS = [
-    ("Session 2019\nExercise 1 (7 points)\n1) Define energy. (2 pts)\n2. Show that x = 2\na) for n = 1 (1.5 point)\nExercice II : 6,5 points\n1- Expliquer le terme.\nText that goes on", ""),
-    ("no parts here", ""), ("1) before any head (3 marks)", ""),
-]
-PARTS = [(0, 0, "1", "1", "Define energy.", 2.0), (0, 1, "1", "2", "Show that x = 2", None), (0, 2, "1", "a", "for n = 1", 1.5), (0, 3, "II", "1", "Expliquer le terme.", None), (2, 0, None, "1", "before any head", 3.0)]
-
-
-@query("l06_paper_parts", values(PARTS, ["i", "place", "exercise", "part", "text", "marks"]))
-def l06_paper_parts(s, d):
-    found = literals(s, PAPERS).select("i", F.posexplode(structure.paper_parts(c("text"))).alias("place", "p"))
-    return found.select("i", "place", "p.*")
-
-
-CELLS = [([["1.a", "because it is hot", "0.5"], ["1.b", "so it melts", "1"], ["2", "thus", "2 pts"]], 0), ([["0.5", "because", "1.a"], ["1", "so", "1.b"], ["2 pts", "thus", "2"], ["", "more of it", ""]], 1), ([["x", "y", "z"]] * 3, 2)]
-SCHEME = [(0, 0, "1.a", "because it is hot", "0.5"), (0, 1, "1.b", "so it melts", "1"), (0, 2, "2", "thus", "2 pts"), (1, 0, "1.a", "because", "0.5"), (1, 1, "1.b", "so", "1"), (1, 2, "2", "thus", "2 pts"), (1, 3, "", "more of it", "")]
-
-
-@query("l07_scheme_rows", values(SCHEME, ["i", "place", "label", "answer", "mark"]))
-def l07_scheme_rows(s, d):
-    """Rows of marking schemes, labels first; a table that is a scheme only from right to left is turned, others have no rows."""
-    turned = F.pandas_udf(lambda tables: tables.map(lambda rows: layout.oriented([list(r) for r in rows])), "array<array<string>>")
-    rows = s.createDataFrame([(i, cells) for cells, i in CELLS], "i int, cells array<array<string>>").select("i", F.posexplode(turned("cells")).alias("place", "r"))
-    return rows.select("i", "place", c("r")[0].alias("label"), c("r")[1].alias("answer"), c("r")[2].alias("mark"))
-
-
-BOOKS = [("Contents\n1. Energy and work ........ 12\n1.2 Heat   15\nIndex\t240\nno page here", ""), ("Préface … 3\n2) Ondes ... 30", "")]
-LINES = [(0, 0, "1", "Energy and work", 12), (0, 1, "1.2", "Heat", 15), (0, 2, None, "Index", 240), (1, 0, None, "Préface", 3), (1, 1, "2", "Ondes", 30)]
-
-
-@query("l09_contents", values(LINES, ["i", "place", "number", "title", "page"]))
-def l09_contents(s, d):
-    found = literals(s, BOOKS).select("i", F.posexplode(structure.contents(c("text"))).alias("place", "p"))
-    return found.select("i", "place", "p.*")
-
-
-CAPTIONS = [("Figure 2a. The heart", ""), ("Doc. 3", ""), ("Table 1 and graph 4", "")]
-QUESTIONS = [("Use figure 2 and document 3 to answer.", ""), ("From Fig. 2b, explain.", ""), ("Read tableau 1.", ""), ("No figure.", "")]
-OWNERS = [(0, 0), (1, 0), (2, 2)]
-
-
-@query("l04_named_owners", values(OWNERS, ["caption", "question"]))
-def l04_named_owners(s, d):
-    """Captions joined with the questions that name them, by kind and number, unless their suffixes differ."""
-    side = lambda rows, name: literals(s, rows).select(c("i").alias(name), F.explode(structure.figures_named(c("text"))).alias(f"{name}_of"))
-    a, b = side(CAPTIONS, "caption"), side(QUESTIONS, "question")
-    key = lambda x, n: x.withColumn("k", F.struct(c(f"{n}_of.kind"), c(f"{n}_of.number")))
-    met = key(a, "caption").join(key(b, "question"), "k").where(structure.names_match(c("caption_of"), c("question_of")))
-    return met.select("caption", "question").distinct()
-
-
 STREAM = "SELECT conv_id, list(w ORDER BY turn, k) AS ws FROM (SELECT conv_id, turn, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM conversations)) GROUP BY 1"
 
 
@@ -98,43 +37,6 @@ def l01_matches(s, d):
     return streams.select("conv_id", F.explode(found("x")).alias("m")).select("conv_id", "m.turn", "m.score", "m.skipped", "m.place")
 
 
-# ---- texts
-FOLDED = [("الأستاذ  إلى", "الاستاذ الي"), ("مـــدرسة", "مدرسه"), ("ﻼ ٣", "لا 3"), ("plain  text\t\tx", "plain text x"), ("a\nb", "a\nb")]
-
-
-@query("j03_fold_for_search", values([(i, b) for i, (_, b) in enumerate(FOLDED)], ["i", "text"]).replace("a\nb", "a' || chr(10) || 'b"))
-def j03_fold_for_search(s, d):
-    """The loader's fold: every text, letters and digits, runs of spaces and tabs as one space."""
-    return literals(s, FOLDED).select("i", X.fold_for_search(c("text")).alias("text"))
-
-
-LATEX = [
-    (r"\title{A book} \author{X} \section{One} see $x_{1}$ \label{a}", "# A book\n## One\n see $x_{1}$"), (r"\begin{itemize} \item first \item[b)] second \end{itemize}", "- first b) second"),
-    (r"\begin{tabular}{|c|c|} \hline a & b \\ \hline $1$ & 2 \\ \end{tabular}", "| a | b |\n| --- | --- |\n| $1$ | 2 |"), (r"$$\hline$$ \hline end", r"$$\hline$$  end"), ("plain", "plain"),
-    (r"\includegraphics[width=1]{https://x.org/a.png} \subsection*{Two}", "[figure: not extracted]\n### Two"),
-]
-
-
-@query("j20_latex_markdown", values([(i, b) for i, (_, b) in enumerate(LATEX)], ["i", "text"]))
-def j20_latex_markdown(s, d):
-    return literals(s, LATEX).select("i", structure.markdown(c("text")).alias("text"))
-
-
-@query("j18_accepted_tables", """
-SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'kept' ELSE 'converted' END AS verdict FROM part""")
-def j18_accepted_tables(s, d):
-    """Tables converted to pipes where the bag of words keeps its recall of 0.85 and precision of 0.80; a conversion that loses words is not taken."""
-    name = c("p_name")
-    latex = F.concat(F.lit(r"\begin{tabular}{cc} a & b \\ "), name, F.lit(r" & one two three \\ \end{tabular}"))
-    made = F.when(c("p_partkey") % 4 == 0, F.lit("| a | b |")).otherwise(structure.markdown(latex))
-    parts = t(s, d, "part").select("p_partkey", latex.alias("old"), made.alias("new"))
-    bag = lambda x: F.filter(F.split(F.lower(F.regexp_replace(x, r"\\begin\{tabular\}\{[^}]*\}|\\end\{tabular\}", " ")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    both = parts.select("p_partkey", bag(c("old")).alias("a"), bag(c("new")).alias("b"))
-    common = F.aggregate(F.array_distinct("a"), F.lit(0), lambda n, w: n + F.least(F.size(F.filter("a", lambda x: x == w)), F.size(F.filter("b", lambda x: x == w))))
-    taken = (common / F.size("a") >= 0.85) & (common / F.size("b") >= 0.80)
-    return both.select("p_partkey", F.when(taken, "converted").otherwise("kept").alias("verdict"))
-
-
 # ---- batch forms of transactional work
 @query("n04_single_use", "SELECT user_id AS token, min(event_id) AS used_by, count(*) - 1 AS refused FROM events WHERE event_type = 'click' GROUP BY 1")
 def n04_single_use(s, d):
@@ -178,56 +80,3 @@ def h22_expanded(s, d):
     near = retrieval.knn(e.where("vec_id % 20 < 2"), e, ["label"], 10).withColumn("asked", c("probe_id") - c("probe_id") % 20)
     best = near.groupBy("asked", "vec_id").agg(F.max("sim").alias("sim"))
     return R.top_per_group(best, ["asked"], [F.desc("sim"), c("vec_id")], 5).select("asked", "vec_id", "sim")
-
-
-# ---- rules of lines and orders, on literals with what they give
-LABELS = [("See this.\nNorth\nSouth\n\nEast\nWest\nThe map shows it all here.", "See this.\n\nThe map shows it all here."), ("A\n→ B\nC\nD", "A\n→ B\nC\nD"), ("AUC Ile\nGGG Gly\nUUU\nCCC", "AUC Ile\nGGG Gly\nUUU\nCCC"), ("a\nb", "a\nb"), ("1) yes\n2) no\n3) one\n4) two", "1) yes\n2) no\n3) one\n4) two")]
-LONG = "Some of this energy must be delivered to every single cell and it must"
-WRAPS = [(f"{LONG}\ncome from glucose.", f"{LONG} come from glucose."), (f"{LONG}.\nNext", f"{LONG}.\nNext"), (f"{LONG}\n1) part", f"{LONG}\n1) part"), (f"$$\n{LONG}\nx\n$$", f"$$\n{LONG}\nx\n$$"), (f"{LONG}\nof it\nand of that", f"{LONG} of it and of that"), ("short\nline", "short\nline")]
-STREAMS = [("solve the equation|find the area", "solve the equation now later find the area of it", [(0, 1.0, "EXACT"), (5, 1.0, "EXACT")]), ("find the area", "find the area x y find the area", [(0, 1.0, "AMBIGUOUS")]), ("a b", "c d", [(None, 0.0, "UNRESOLVED")]), ("find it here|the end now", "find x it y here the end", [(0, 1.0, "EXACT"), (5, 0.667, "STRONG")])]
-BOXES = [([(0.55, 0.1, 0.9, 0.12), (0.1, 0.1, 0.45, 0.12), (0.1, 0.13, 0.45, 0.15), (0.55, 0.13, 0.9, 0.15)], [1, 2, 0, 3]), ([(0.1, 0.5, 0.9, 0.6), (0.1, 0.1, 0.9, 0.2)], [1, 0]), ([(0.0, 0.0, 1.0, 1.0)], [0])]
-LABELLED = [("|A.1.c||A.9|C", "A|A.1|B.2", [None, 1, 1, 0, 0]), ("C.A.1|B.2", "A|A.1|B.2", [1, 2]), ("A.1|B.B|2|Z.Q", "A.1|B.2", [0, 1, 1, None])]
-
-
-def rule_cases(name, table, rule):
-    @query(name, values([(i, b) for i, (_, b) in enumerate(table)], ["i", "text"]).replace("\n", "' || chr(10) || '"))
-    def cases(s, d):
-        return literals(s, table).select("i", F.pandas_udf(lambda x: x.map(rule), "string")("text").alias("text"))
-
-
-rule_cases("j16_label_cases", LABELS, layout.without_label_runs)
-rule_cases("j17_wrap_cases", WRAPS, layout.unwrapped)
-
-
-@query("l02_alignment_cases", values([(i, n, *row) for i, (_, _, rows) in enumerate(STREAMS) for n, row in enumerate(rows)], ["i", "head", "place", "score", "band"]))
-def l02_alignment_cases(s, d):
-    import pandas as pd
-
-    def aligned(heads: pd.Series, streams: pd.Series) -> pd.Series:
-        found = [layout.align([h.split() for h in hs.split("|")], x.split()) for hs, x in zip(heads, streams, strict=True)]
-        return pd.Series([[dict(zip(("place", "score", "band"), f, strict=True)) for f in fs] for fs in found])
-
-    aligned.__annotations__ = {"heads": pd.Series, "streams": pd.Series, "return": pd.Series}
-    rows = s.createDataFrame([(i, h, x) for i, (h, x, _) in enumerate(STREAMS)], "i int, heads string, stream string")
-    return rows.select("i", F.posexplode(F.pandas_udf(aligned, "array<struct<place:int,score:double,band:string>>")("heads", "stream")).alias("head", "f")).select("i", "head", "f.*")
-
-
-@query("l12_order_cases", values([(i, n, p) for i, (_, order) in enumerate(BOXES) for n, p in enumerate(order)], ["i", "n", "box"]))
-def l12_order_cases(s, d):
-    rows = s.createDataFrame([(i, [list(b) for b in boxes]) for i, (boxes, _) in enumerate(BOXES)], "i int, boxes array<array<double>>")
-    order = F.pandas_udf(lambda x: x.map(lambda boxes: layout.reading_order([tuple(map(float, b)) for b in boxes])), "array<int>")
-    return rows.select("i", F.posexplode(order("boxes")).alias("n", "box"))
-
-
-@query("l08_binding_cases", values([(i, n, p) for i, (_, _, bound) in enumerate(LABELLED) for n, p in enumerate(bound)], ["i", "n", "part"]))
-def l08_binding_cases(s, d):
-    import pandas as pd
-
-    split = lambda x: [tuple(y.split(".")) if y else () for y in x.split("|")]
-
-    def bound(labels: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([layout.bind_rows(split(a), split(b)) for a, b in zip(labels, parts, strict=True)])
-
-    bound.__annotations__ = {"labels": pd.Series, "parts": pd.Series, "return": pd.Series}
-    rows = s.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(LABELLED)], "i int, labels string, parts string")
-    return rows.select("i", F.posexplode(F.pandas_udf(bound, "array<int>")("labels", "parts")).alias("n", "part"))

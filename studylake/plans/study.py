@@ -104,8 +104,10 @@ def h08_knn_with_scheme(s, d):
 
 @query("h20_hand_over", f"SELECT probe_id, vec_id FROM ({RANKED}) WHERE rn <= CASE WHEN label < 5 THEN 12 ELSE 20 END")
 def h20_hand_over(s, d):
+    """Twelve passages for questions of the first five labels, twenty for others."""
     e = t(s, d, "embeddings")
-    return retrieval.knn(e, e, ["label"], 20).where(c("rn") <= F.when(c("label") < 5, 12).otherwise(20)).select("probe_id", "vec_id")
+    near = retrieval.knn(e, e, ["label"], 20).join(e.select(c("vec_id").alias("probe_id"), "label"), "probe_id")
+    return near.where(c("rn") <= F.when(c("label") < 5, 12).otherwise(20)).select("probe_id", "vec_id")
 
 
 @query("h23_apply_order", "SELECT label, string_agg(vec_id, ',' ORDER BY coalesce(list_position([9, 3, 7], vec_id % 10), 99), vec_id) AS ids FROM embeddings GROUP BY 1")

@@ -200,15 +200,6 @@ def test_match_needs_its_first_token_and_local_slack():
     assert layout.Places([]).matches(["a"]) == layout.Places(["a"]).matches([]) == []
 
 
-def test_alignment_is_monotone_with_bands():
-    stream = "solve the equation now later find the area of it".split()
-    assert layout.align(["solve the equation".split(), "find the area".split()], stream) == [(0, 1.0, "EXACT"), (5, 1.0, "EXACT")]
-    assert layout.align(["find the area".split(), "solve the equation".split()], stream)[1][2] == "UNRESOLVED"
-    twice = "find the area x y find the area".split()
-    assert layout.align(["find the area".split()], twice) == [(0, 1.0, "AMBIGUOUS")]
-    assert layout.align(["a b".split()], []) == [(None, 0.0, "UNRESOLVED")]
-
-
 def test_reading_order_of_columns():
     boxes = [(0.55, 0.1, 0.9, 0.12), (0.1, 0.1, 0.45, 0.12), (0.1, 0.13, 0.45, 0.15), (0.55, 0.13, 0.9, 0.15)]
     assert layout.reading_order(boxes) == [1, 2, 0, 3]

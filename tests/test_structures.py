@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from studylake.functions import repair, structure
+from studylake.functions import latex, repair
 from studylake.sources import files
 
 
@@ -12,15 +12,9 @@ def one(spark, expression, **columns):
     return row.select(expression.alias("x")).first().x
 
 
-@pytest.mark.parametrize("text_", ["", "no structure", "\n\n"])
-def test_texts_without_structure(spark, text_):
-    assert one(spark, structure.paper_parts(F.col("t")), t=text_) == [] == one(spark, structure.contents(F.col("t")), t=text_) == one(spark, structure.figures_named(F.col("t")), t=text_)
-    assert one(spark, structure.markdown(F.col("t")), t=text_) == text_.strip()
-
-
 def test_nulls_stay_null(spark):
     df = spark.createDataFrame([(None,)], "t string")
-    for rule in (structure.markdown, repair.without_furniture, repair.math_delimiters, repair.without_symbol_font):
+    for rule in (latex.markdown, repair.without_furniture, latex.math_delimiters, repair.without_symbol_font):
         assert df.select(rule(F.col("t")).alias("x")).first().x is None
 
 
