@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,12 +27,12 @@ def _row_blocks(rows: DataFrame, scope: list[str], name: str) -> DataFrame:
     return rows.groupBy(*scope).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
 
 
-def _by_blocks(probes: DataFrame, corpus: DataFrame, scope: list[str], work: Callable, schema: str, carried: tuple[str, ...] = ()) -> DataFrame:
+def _by_blocks(probes: DataFrame, corpus: DataFrame, scope: list[str], work: Callable, schema: str, carried: tuple[str, ...] = (), decode: Callable[[pa.Table], np.ndarray] | None = None) -> DataFrame:
     """work on every pair of a block of probes and a block of vectors of equal scope; blocks hold about BLOCK rows, however large a scope is.
 
     A block goes to as many tasks as its scope has blocks on the other side, so the rows that move grow with the number of comparisons
     over BLOCK, and each task holds two blocks and one tile of their product. Null vectors are skipped. `work` gets the probes' ids and
-    unit vectors, the vectors' ids and unit vectors in order of id, and the columns `carried` of the vectors.
+    unit vectors, the vectors' ids and unit vectors in order of id, and the columns `carried` of the vectors; `decode` makes vectors of what the corpus has.
     """
     keys = scope or ["__all"]
     every = [] if scope else [F.lit(0).alias("__all")]
@@ -45,7 +46,7 @@ def _by_blocks(probes: DataFrame, corpus: DataFrame, scope: list[str], work: Cal
 
     def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         theirs = theirs.sort_by("vec_id")
-        return work(ours.column("probe_id").to_numpy(), _vectors(ours), theirs.column("vec_id").to_numpy(), _vectors(theirs), [theirs.column(c) for c in carried])
+        return work(ours.column("probe_id").to_numpy(), _vectors(ours), theirs.column("vec_id").to_numpy(), (decode or _vectors)(theirs), [theirs.column(c) for c in carried])
 
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come from one table
     return left.groupBy(*keys, "__l", "__r").cogroup(right.groupBy(*keys, "__l", "__r")).applyInArrow(run, schema)
@@ -73,8 +74,8 @@ def _pair_table(probe_ids: list[np.ndarray], vec_ids: list[np.ndarray], sims: li
     return pa.table({"probe_id": join(probe_ids, pa.int64()), "vec_id": join(vec_ids, pa.int64()), "sim": join(sims, pa.float64())})
 
 
-def knn(probes: DataFrame, corpus: DataFrame, scope: list[str], k: int) -> DataFrame:
-    """probe_id, vec_id, sim, rn: the k nearest vectors of equal scope by cosine to 6 digits, ids breaking ties; each block gives its own k at most."""
+def _nearest(k: int) -> Callable:
+    """The work on a pair of blocks that gives each probe's k nearest of the block at most."""
 
     def nearest(probe_ids, p, ids, v, _):
         out: tuple[list, list, list] = ([], [], [])
@@ -90,7 +91,12 @@ def knn(probes: DataFrame, corpus: DataFrame, scope: list[str], k: int) -> DataF
                 column.append(values)
         return _pair_table(*out)
 
-    return top_per_group(_by_blocks(probes, corpus, scope, nearest, PAIR), ["probe_id"], [F.desc("sim"), F.col("vec_id")], k)
+    return nearest
+
+
+def knn(probes: DataFrame, corpus: DataFrame, scope: list[str], k: int) -> DataFrame:
+    """probe_id, vec_id, sim, rn: the k nearest vectors of equal scope by cosine to 6 digits, ids breaking ties; each block gives its own k at most."""
+    return top_per_group(_by_blocks(probes, corpus, scope, _nearest(k), PAIR), ["probe_id"], [F.desc("sim"), F.col("vec_id")], k)
 
 
 def close_pairs(probes: DataFrame, corpus: DataFrame, scope: list[str], least: float) -> DataFrame:
@@ -223,48 +229,87 @@ def gate(sim: Column, concept: Column | float = GATES["openai"][1], provider: st
     return F.when(sim >= GATES[provider][0], "exact").when(sim >= concept, "concept").otherwise("refused")
 
 
-def fit_lists(corpus: DataFrame, lists: int = 64, sample: int = 8192, rounds: int = 8) -> np.ndarray:
-    """Centres of an inverted-list index, by spherical k-means on at most `sample` vectors that the hash of the id picks."""
-    rows = corpus.where(F.col("embedding").isNotNull()).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    if not rows:
-        return np.zeros((0, 0))
-    x = _unit(np.array([r.embedding for r in rows], dtype=np.float64))
-    centres = x[:lists]
-    for _ in range(rounds):
-        nearest = (x @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, x)
-        centres = np.where((np.abs(sums).sum(axis=1) > 0)[:, None], _unit(sums), centres)
-    return centres
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def lists_of(vector: Column, centres: np.ndarray, n: int) -> Column:
-    """Numbers of the n nearest lists; the centres are a few kilobytes, whatever the corpus."""
+class Index(NamedTuple):
+    """Centres of lists, and of each part of a vector's dimensions the centres that codes stand for; some hundred kilobytes, whatever the table."""
 
-    @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
-        near = np.argsort(-(np.stack(v.to_numpy()).astype(np.float64) @ centres.T), axis=1, kind="stable")[:, :n]
-        return pd.Series(list(near.astype(np.int32)))
+    lists: np.ndarray
+    parts: list[np.ndarray]
+    cuts: list[slice]
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """A byte for each part: its nearest centre."""
+        return np.stack([(x[:, c] @ p.T - (p * p).sum(axis=1) / 2).argmax(axis=1) for p, c in zip(self.parts, self.cuts, strict=True)], axis=1).astype(np.uint8)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([p[codes[:, i]] for i, p in enumerate(self.parts)], axis=1)
 
-    return nearest(vector)
 
+#: Dimensions of a part, centres of a part, and vectors of the sample for each list at least.
+PART, CENTRES, PER_LIST = 4, 256, 16
 
-def index_search(probes: DataFrame, corpus: DataFrame, k: int, lists: int = 64, visits: int = 40) -> DataFrame:
-    """probe_id, vec_id, sim, rn: the k nearest among the vectors of the lists that each probe visits; every vector is in the list of its nearest centre.
 
-    Forty of 64 lists are what a recall of 0.9 takes on vectors without structure (0.95 measured); clustered ones need far fewer.
+def _means(x: np.ndarray, k: int, rounds: int, unit: bool) -> np.ndarray:
+    """Centres by k-means, from the first k vectors; a centre that loses its vectors stays where it is."""
+    centres = x[:k].copy()
+    for _ in range(rounds):
+        near = (x @ centres.T - (0 if unit else (centres * centres).sum(axis=1) / 2)).argmax(axis=1)
+        n = np.bincount(near, minlength=k)
+        sums = np.stack([np.bincount(near, x[:, j], k) for j in range(x.shape[1])], axis=1)
+        centres = np.where(n[:, None] > 0, _unit(sums) if unit else sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def fit_index(corpus: DataFrame, sample: int = 8192, rounds: int = 8) -> Index | None:
+    """An index fitted on at most `sample` vectors that the hash of the id picks; its lists grow with the root of the number of vectors, up to a sixteenth
+    of the sample. None without any vector."""
+    live = corpus.where(F.col("embedding").isNotNull())
+    n = live.count()
+    rows = live.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    if not rows:
+        return None
+    x = _unit(np.array([r.embedding for r in rows], dtype=np.float64))
+    lists = _means(x, int(min(max(1, round(n**0.5)), max(1, len(x) // PER_LIST))), rounds, unit=True)
+    d = x.shape[1]
+    cuts = [slice(a, min(a + PART, d)) for a in range(0, d, PART)]
+    return Index(lists, [_means(x[:, c], min(CENTRES, len(x)), rounds, unit=False) for c in cuts], cuts)
+
+
+def index_search(probes: DataFrame, corpus: DataFrame, k: int, share: float = 0.65, rerank: int = 20) -> DataFrame:
+    """probe_id, vec_id, sim, rn: the k nearest by an index. Every vector is in the list of its nearest centre, as a code of a byte for four dimensions; a
+    probe visits the given share of lists, the nearest first, and the exact similarity orders the rerank * k codes that come nearest to it.
+
+    Codes, a sixteenth of the vectors, meet the probes in blocks; whole vectors are read for the rerank * k candidates of a probe alone. A share of
+    0.65 is for vectors without structure, whose nearest lie in any list; clustered ones need a small one.
     """
-    centres = fit_lists(corpus, lists)
-    if not len(centres):
+    index = fit_index(corpus)
+    if index is None:
         return knn(probes, corpus, [], k)
+    visits = max(1, round(len(index.lists) * share))
+
+    @F.pandas_udf("list int, code binary")
+    def stored(v: pd.Series) -> pd.DataFrame:
+        x = _unit(np.stack(v.to_numpy()).astype(np.float64)) if len(v) else np.zeros((0, index.lists.shape[1]))
+        return pd.DataFrame({"list": (x @ index.lists.T).argmax(axis=1).astype(np.int32), "code": [c.tobytes() for c in index.encode(x)]})
+
+    @F.pandas_udf("array<int>")
+    def visited(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, index.lists.shape[1]))
+        return pd.Series(list(np.argsort(-(x @ index.lists.T), axis=1, kind="stable")[:, :visits].astype(np.int32)))
+
     live = lambda df: df.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    stored = live(corpus).withColumn("list", lists_of(F.col("embedding"), centres, 1)[0])
-    asked = live(probes).withColumn("list", F.explode(lists_of(F.col("embedding"), centres, visits)))
-    return knn(asked, stored, ["list"], k)
+    codes = live(corpus).select("vec_id", stored("embedding").alias("s")).select("vec_id", "s.list", F.col("s.code").alias("embedding"))
+    asked = live(probes).withColumn("list", F.explode(visited("embedding")))
+
+    def decoded(rows: pa.Table) -> np.ndarray:
+        raw = b"".join(rows.column("embedding").to_pylist())
+        return _unit(index.decode(np.frombuffer(raw, np.uint8).reshape(rows.num_rows, -1))) if rows.num_rows else np.zeros((0, 0))
+
+    near = top_per_group(_by_blocks(asked, codes, ["list"], _nearest(rerank * k), PAIR, decode=decoded), ["probe_id"], [F.desc("sim"), F.col("vec_id")], rerank * k)
+    return top_per_group(pair_similarities(near.select("probe_id", "vec_id"), probes, corpus), ["probe_id"], [F.desc("sim"), F.col("vec_id")], k)
 
 
 def candidate_pool(probes: DataFrame, corpus: DataFrame, scope: list[str], lexical: DataFrame, k: int) -> DataFrame:

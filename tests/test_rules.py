@@ -170,7 +170,11 @@ def test_index_recall_and_edges(spark):
     probes = e.where("vec_id % 20 = 0")
     near = lambda df: {(r.probe_id, r.vec_id) for r in df.collect()}
     exact = near(retrieval.knn(probes, e, [], 10))
-    assert len(exact & near(retrieval.index_search(probes, e, 10))) / len(exact) >= 0.9
+    found = retrieval.index_search(probes, e, 10)
+    assert len(exact & near(found)) / len(exact) >= 0.9
+    assert found.join(retrieval.pair_similarities(found.select("probe_id", "vec_id"), probes, e).withColumnRenamed("sim", "own"), ["probe_id", "vec_id"]).where("sim <> own").count() == 0
+    index = retrieval.fit_index(e)
+    assert 20 * 10 <= e.count() / 10 and len(index.encode(index.lists)[0]) * 16 == 64 * 4  # whole vectors that a probe reads; a code is a sixteenth of a vector
     assert retrieval.index_search(probes, e.limit(0), 10).count() == 0
     assert retrieval.index_search(probes.limit(0), e, 10).count() == 0
 
