@@ -14,9 +14,11 @@ it; repeated rows give equal texts; an empty table gives an empty result. Only t
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +39,9 @@ CLOSES_P = BLOCK - frozenset("body head html legend option optgroup td th tr tbo
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tr td th tbody thead", "table"), "tfoot": ("tr td th tbody", "table")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 
+#: An end tag of a phrase does not reach out of these; an open paragraph within these is not ended from inside.
+CELLS, SHIELDS = ("td", "th", "table"), ("table", "td", "th", "button")
+
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 CLASS_WORD = re.compile(r"[a-z]+")
@@ -57,9 +62,13 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
     nodes = [Element("#root", -1, 0)]
     runs: list[tuple[int, str | None]] = []
     open_: list[int] = [0]
-    opened: Counter[str] = Counter()  # by tag, so that a long way down is only gone where there is something to find
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where elements of each tag are among the open ones
     at, end = 0, len(page)
 
+    def last(tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags; 0 for none."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     def text(raw: str) -> None:
         if raw:
             runs.append((open_[-1], entities.unescape(raw) if "&" in raw else raw))
@@ -68,7 +77,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
         """Leave elements down to place `to` of the open ones."""
         while len(open_) > to:
             left = nodes[open_.pop()].tag
-            opened[left] -= 1
+            places[left].pop()
             if left in BLOCK:
                 runs.append((open_[-1] if open_ else 0, None))
 
@@ -85,33 +94,21 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not opened["p"]:
+            if tag == "p" and not places["p"]:
                 runs.append((open_[-1], None))
             elif tag == "br":
                 runs.append((open_[-1], " "))
-            for place in range(len(open_) - 1 if opened[tag] else 0, 0, -1):
-                if nodes[open_[place]].tag == tag:
-                    close(place)
-                    break
-                if nodes[open_[place]].tag in ("td", "th", "table") and tag not in BLOCK:
-                    break
+            if (place := last((tag,))) and (tag in BLOCK or place >= last(CELLS)):
+                close(place)
             continue
-        if tag in CLOSES_P and opened["p"]:
-            for place in range(len(open_) - 1, 0, -1):
-                if nodes[open_[place]].tag == "p":
-                    close(place)
-                    break
-                if nodes[open_[place]].tag in ("table", "td", "th", "button"):
-                    break
+        if tag in CLOSES_P and (place := last(("p",))) > last(SHIELDS):
+            close(place)
         if tag in ENDS:
             ended, stop = ENDS[tag]
-            for place in range(len(open_) - 1 if any(opened[t] for t in ended) else 0, 0, -1):
-                if nodes[open_[place]].tag in stop:
+            while (place := last(ended)) > last(stop):
+                close(place)
+                if tag != "tr":
                     break
-                if nodes[open_[place]].tag in ended:
-                    close(place)
-                    if tag != "tr":
-                        break
         if tag == "br":
             runs.append((open_[-1], " "))
         if tag in BLOCK:
@@ -133,7 +130,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
         if tag in VOID:
             continue
         # shapes and styles of a drawing hold no text and say nothing of the text around
-        foreign = (m[3].endswith("/") or tag in RAW) and (opened["svg"] or opened["math"])
+        foreign = (m[3].endswith("/") or tag in RAW) and (places["svg"] or places["math"])
         if foreign and m[3].endswith("/"):
             continue
         if not (foreign and tag in RAW):
@@ -143,18 +140,20 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
             at = found.end() if found else end
             continue
         if not m[3].endswith("/") or tag in BLOCK:
+            places[tag].append(len(open_))
             open_.append(len(nodes) - 1)
-            opened[tag] += 1
     return nodes, runs
 
 
 #: Words of class, id and role attributes that are features of their own; others share one (fixed values).
 CLASS_WORDS = tuple(sorted("article content main post entry body story text page nav menu breadcrumb breadcrumbs navigation header head masthead banner footer foot copyright legal sidebar side aside widget related recommended popular share social ad ads advert advertisement promo sponsor sponsored cookie cookies notice consent gdpr alert popup modal newsletter subscribe signup login form search comment comments reply discussion disqus author byline meta date tags title caption toolbar pagination pager skip".split()))
 TAGS = tuple(sorted("#root html head body div p span a b i em strong h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th tbody thead nav header footer aside article main section form button select option label input fieldset figure figcaption blockquote pre code script style title noscript iframe textarea svg template small time address details summary".split()))
-AREAS = ("article", "main", "nav", "header", "footer", "aside", "form", "head")
+#: Tags and class words of elements that hold main text, and of those that hold what is around it (fixed values).
+HOLDS_MAIN = frozenset("article main content post entry body story text".split())
+HOLDS_OTHER = frozenset("nav aside footer form button menu breadcrumb breadcrumbs navigation masthead banner foot copyright legal sidebar widget related recommended popular share social ad ads advert advertisement promo sponsor sponsored cookie cookies notice consent gdpr alert popup modal newsletter subscribe signup login search comment comments reply discussion disqus pagination pager toolbar".split())
 _TAG = {t: i for i, t in enumerate(TAGS)}
 _WORD = {w: i for i, w in enumerate(CLASS_WORDS)}
-NUMBERS = 8
+NUMBERS = 14
 WIDTH = len(TAGS) + 1 + len(CLASS_WORDS) + 1 + NUMBERS
 
 
@@ -171,6 +170,12 @@ def features(nodes: list[Element], runs: list[tuple[int, str | None]]) -> list[t
         total[nodes[i].parent] += total[i]
         linked[nodes[i].parent] += linked[i]
     whole = max(1, total[0])
+    main, other = [False] * len(nodes), [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        own = {n.tag, *n.words} if n.tag != "body" else set(n.words)
+        if i:
+            main[i], other[i] = main[n.parent] or bool(own & HOLDS_MAIN), other[n.parent] or bool(own & HOLDS_OTHER)
+    some = any(m and not o and t for m, o, t in zip(main, other, total, strict=True))
     out = []
     base = len(TAGS) + len(CLASS_WORDS) + 2
     for i, n in enumerate(nodes):
@@ -180,11 +185,17 @@ def features(nodes: list[Element], runs: list[tuple[int, str | None]]) -> list[t
             index.append(len(TAGS) + 1 + _WORD.get(w, len(CLASS_WORDS)))
             value.append(1.0)
         index += range(base, base + NUMBERS)
-        value += [1.0, float(np.log1p(total[i])) / 8, linked[i] / max(1, total[i]), total[i] / whole, float(n.hidden), min(n.depth, 12) / 12, float(total[i] == 0), float(n.chars > 80)]
+        value += [1.0, float(np.log1p(total[i])) / 8, linked[i] / max(1, total[i]), total[i] / whole, float(n.hidden), min(n.depth, 12) / 12, float(total[i] == 0), float(n.chars > 80), float(main[i] and not other[i]), float(other[i]), float(some and not main[i]), float(not some and not other[i]), float(i == 0 and n.chars > 0), float(not some and not other[i] and not n.words and n.tag in PROSE)]
         out.append((index, value))
     return out
 
 
+#: Elements of running text (fixed values).
+PROSE = frozenset("p h1 h2 h3 h4 blockquote pre ul ol li b i em strong code table tr td th".split())
+#: Levels of so few nodes are worked on node by node.
+FEW = 4
+
+
 def marginals(unary: np.ndarray, parent: np.ndarray, depth: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(content) of each node by sum-product, and the expected number of edges by labels.
 
@@ -192,11 +203,20 @@ def marginals(unary: np.ndarray, parent: np.ndarray, depth: np.ndarray, pair: np
     """
     n = len(unary)
     compat = np.exp(pair - pair.max())
+    (c00, c01), (c10, c11) = compat.tolist()
     order = np.argsort(depth, kind="stable")
     levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if n else []
     inside = unary.astype(np.float64).copy()
     up = np.zeros((n, 2))
     for level in reversed(levels[1:]):
+        if len(level) <= FEW:
+            for i in level.tolist():
+                a, b = inside[i].tolist()
+                top = max(a, b)
+                a, b = math.exp(a - top), math.exp(b - top)
+                up[i] = message = math.log(a * c00 + b * c01), math.log(a * c10 + b * c11)
+                inside[parent[i]] += message
+            continue
         x = inside[level]
         x = np.exp(x - x.max(1, keepdims=True))
         message = np.log(x @ compat.T)
@@ -205,6 +225,19 @@ def marginals(unary: np.ndarray, parent: np.ndarray, depth: np.ndarray, pair: np
     down = np.zeros((n, 2))
     edges = np.zeros((2, 2))
     for level in levels[1:]:
+        if len(level) <= FEW:
+            for i in level.tolist():
+                r0, r1 = (inside[parent[i]] + down[parent[i]] - up[i]).tolist()
+                top = max(r0, r1)
+                r0, r1 = math.exp(r0 - top), math.exp(r1 - top)
+                down[i] = math.log(r0 * c00 + r1 * c10), math.log(r0 * c01 + r1 * c11)
+                o0, o1 = inside[i].tolist()
+                top = max(o0, o1)
+                o0, o1 = math.exp(o0 - top), math.exp(o1 - top)
+                four = r0 * c00 * o0, r0 * c01 * o1, r1 * c10 * o0, r1 * c11 * o1
+                all_ = sum(four)
+                edges += ((four[0] / all_, four[1] / all_), (four[2] / all_, four[3] / all_))
+            continue
         rest = inside[parent[level]] + down[parent[level]] - up[level]
         rest = np.exp(rest - rest.max(1, keepdims=True))
         down[level] = np.log(rest @ compat)
@@ -334,6 +367,12 @@ def training_pages(n: int, seed: int) -> list[str]:
             inner = tag("div", inner, 1, rnd.choice(["content", "main content", "article body", "post entry", "story text", "page content"]))
         else:
             inner = tag("main", tag("article", inner, 1), 1)
+        if rnd.random() < 0.2:  # a lone text, with or without a body
+            lone = rnd.choice(["".join(body), block(1), words(2, 40), words(2, 12), words(2, 30) + tag("b", words(1, 3), 1) + words(1, 9), words(1, 8) + tag("i", words(1, 3), 1)])
+            out.append(rnd.choice([lone, lone, lone, f'<body {LABEL}="{int(not lone.startswith("<"))}">{lone}</body>']))
+            continue
+        if rnd.random() < 0.2:  # blocks of the body itself
+            inner = "".join(body)
         before = [tag("header", tag("div", words(1, 4), 0, "banner") + rnd.choice(["", tag("nav", links(4), 0)]), 0, rnd.choice(["", "masthead"]))] if rnd.random() < 0.5 else []
         before += [tag("nav", links(rnd.randint(3, 8)), 0, rnd.choice(["", "menu"]))] if rnd.random() < 0.7 else []
         before += [noise() for _ in range(rnd.randint(0, 3))]
@@ -354,7 +393,7 @@ def training_pages(n: int, seed: int) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def trained(n: int = 400, seed: int = 7, steps: int = 200) -> Model:
+def trained(n: int = 600, seed: int = 7, steps: int = 300) -> Model:
     """All potentials together by maximum likelihood: features and label pairs as expected under the marginals meet those of the labels."""
     index, value, row, labels, parent, depth = [], [], [], [], [], []
     observed = np.zeros((2, 2))
@@ -362,7 +401,9 @@ def trained(n: int = 400, seed: int = 7, steps: int = 200) -> Model:
     for nodes, runs in map(parse, training_pages(n, seed)):
         own = [max(0, e.label) for e in nodes]
         first = at
-        for i, (ix, vs) in enumerate(features(nodes, runs)):
+        told = features(nodes, runs)
+        own[0] = int(nodes[0].chars > 0)  # only lone texts have words outside of all elements
+        for i, (ix, vs) in enumerate(told):
             index += ix
             value += vs
             row += [at] * len(ix)

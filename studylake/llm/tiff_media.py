@@ -152,6 +152,9 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 def decompress(kind: int, data: bytes, size: int) -> bytes:
+    """Up to `size` bytes, one at least, of what was stored."""
+    if size <= 0:
+        raise ValueError("nothing is stored there")
     if kind == NONE:
         return data[:size]
     if kind == LZW:
@@ -177,7 +180,7 @@ class Page:
         for i in range(count):
             tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
             form = {1: "B", 3: "H", 4: "I"}.get(kind)
-            if form is None:
+            if form is None or not n:
                 continue
             size = TYPE_BYTES[kind] * n
             place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
@@ -201,8 +204,9 @@ class Page:
         dtype = np.dtype("u1" if bits == {8} else self.order + "u2")
         tiled = TILE_OFFSETS in self.tags
         across, down = (self.one(TILE_WIDTH), self.one(TILE_HEIGHT)) if tiled else (width, min(self.one(ROWS_PER_STRIP, height), height))
-        offsets = self.tags[TILE_OFFSETS if tiled else STRIP_OFFSETS]
-        sizes = self.tags[TILE_BYTES if tiled else STRIP_BYTES]
+        offsets, sizes = self.tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), self.tags.get(TILE_BYTES if tiled else STRIP_BYTES, ())
+        if min(width, height, per, across, down) <= 0:
+            raise ValueError("a length of zero")
         columns, rows = -(-width // across), -(-height // down)
         if len(offsets) < columns * rows or len(sizes) < columns * rows:
             raise ValueError("strips or tiles are missing")
@@ -245,11 +249,11 @@ def pages(data: bytes) -> Iterator[dict]:
             row = fields | {"page": number, "width": page.one(WIDTH), "height": page.one(HEIGHT), "samples_per_pixel": page.one(SAMPLES, 1), "bits": page.one(BITS, 1), "compression": page.one(COMPRESSION, NONE), "predictor": page.one(PREDICTOR, 1), "tiled": TILE_OFFSETS in page.tags}
             try:
                 row["samples"] = page.samples().tobytes()
-            except (ValueError, KeyError, struct.error, zlib.error) as e:
+            except (ValueError, IndexError, struct.error, zlib.error) as e:
                 row["error"] = str(e) or "broken"
             yield row
             number, at = number + 1, page.next
-    except (ValueError, KeyError, struct.error) as e:
+    except (ValueError, IndexError, struct.error) as e:
         yield fields | {"page": -1, "error": str(e) or "broken"}
 
 

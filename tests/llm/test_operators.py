@@ -749,3 +749,50 @@ def test_html_label_attributes_and_formulas(spark):
     texts = [next(v for k, v in r.asDict().items() if k not in ("page_id", "url", "html") and isinstance(v, str)) for r in sorted(rows)]
     assert "A=pir2 for every radius, as the drawing radius r shows" in texts[0] and "tex" not in texts[0].replace("text", "") and "Home" not in texts[0]
     assert "12 euros for each" in texts[1]
+
+
+PAGES_BY_HAND = [
+    ('<html><body><article><h1>My title here</h1><p>First para of the article text.</p><section class="comments"><p>Great post I like it</p></section></article></body></html>', "My title here First para of the article text."),
+    ('<body><div id="main"><p>Some words &amp; more words in this para of the page.</p><p>Second one too.</p></div><div class="footer">Copyright 2020</div></body>', "Some words & more words in this para of the page. Second one too."),
+    ("<body><p>First para of text that is long enough.</p><p>Ok.</p></body>", "First para of text that is long enough. Ok."),
+    ("<p>Hello there world</p>", "Hello there world"),
+    ('<body><div id="main"><p>Some words &amp; more words in this para of the page.</p><p>More.</p></div><div class="promo">Buy now</div><footer>c 2020</footer></body>', "Some words & more words in this para of the page. More."),
+    ("Plain words without any markup at all.", "Plain words without any markup at all."), ("plain <b>bold</b> words", "plain bold words"), ("", ""), ("<script>x</script>", ""),
+    ("<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><h1>Head</h1><p>One para.</p><p>Two para.</p><footer>Foot</footer></body></html>", "Head One para. Two para."),
+    ('<div class="wrapper"><div class="nav"><ul><li><a>Home</a></li><li><a>Blog</a></li></ul></div><div class="post"><h2>Short</h2><p>Just one line.</p></div><div id="comments"><h3>2 comments</h3><ul><li><p>nice one</p></li><li><p>agreed indeed</p></li></ul></div></div>', "Short Just one line."),
+    ('<body><div class="cookie">We use cookies <button>OK</button></div><main><p>Only sentence.</p></main><aside>Related <a>x</a></aside></body>', "Only sentence."),
+]
+
+
+@pytest.mark.parametrize("page", range(len(PAGES_BY_HAND)))
+def test_html_short_and_bare_pages(page):
+    html, text = PAGES_BY_HAND[page]
+    assert html_extract.trained().texts([html]) == [text]
+
+
+@pytest.mark.parametrize("page", ["<p><button>" + "<div>" * 20_000, "<b><table><tr><td>" + "<i>x</b>" * 20_000, "<div>" * 20_000 + "x", "<table><tr><td>" * 7000, "<a><p>" * 10_000, "<b>" * 20_000 + "</b>" * 20_000])
+def test_html_is_linear_in_depth(page):
+    import time
+
+    model = html_extract.trained()
+    began = time.process_time()
+    model.texts([page])
+    assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize("value", [0, 1, 2, 255, 65_535, 2**31, 2**32 - 1])
+@pytest.mark.parametrize("tiled", [False, True])
+def test_tiff_tags_with_any_value(value, tiled):
+    """Each tag of a page in turn with another value, another count and another type: pages or an error, never an exception."""
+    data = tiff_media.write(bytes(range(256)) * 4, tiff_media.DEFLATE, 2, tiled)
+    (at,) = struct.unpack_from("<I", data, 4)
+    (count,) = struct.unpack_from("<H", data, at)
+    for i in range(count):
+        entry = at + 2 + 12 * i
+        for field, form in ((0, "<H"), (2, "<H"), (4, "<I"), (8, "<I")):
+            bad = bytearray(data)
+            struct.pack_into(form, bad, entry + field, value & (0xFFFF if form == "<H" else 0xFFFFFFFF))
+            for page in tiff_media.pages(bytes(bad)):
+                assert page["error"] or page["samples"] is not None
+    with pytest.raises(ValueError):
+        tiff_media.decompress(tiff_media.DEFLATE, zlib.compress(b"x" * 1000), 0)
