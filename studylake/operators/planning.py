@@ -36,25 +36,32 @@ def chapter_weight(mastery: Column, attempts: Column, days_out: Column | None =
     return F.when(days_out.isNotNull() & (days_out <= FOCUS_DAYS), known * focus_ramp(days_out)).otherwise(base)
 
 
+def focus_pulls(days_out: Column) -> Column:
+    """Chapters that a subject gives in a turn: up to three of the one under examination (days_out: to its exam, null for others)."""
+    return F.coalesce(F.greatest(F.lit(1), F.floor(focus_ramp(days_out) + 0.5)), F.lit(1)).cast("int")
+
+
 def daily_capacity(days_out: Column, base: Column) -> Column:
     """Minutes of a day: flat, then up to one and a half times in the last fortnight, in steps of five; no exam: flat."""
     ramped = F.floor(base * (1 + (RAMP_DAYS - days_out) / RAMP_DAYS * (RAMP_MOST - 1)) / 5 + 0.5) * 5
     return F.when((days_out > 0) & (days_out <= RAMP_DAYS), ramped).otherwise(base).cast("long")
 
 
-def session_queue(chapters: DataFrame, by: list[str], weight: str, subject: str, chapter: str, minutes: Column) -> DataFrame:
+def session_queue(chapters: DataFrame, by: list[str], weight: str, subject: str, chapter: str, minutes: Column, pulls: Column | None = None) -> DataFrame:
     """chapters with sessions (their share of the minutes in quizzes, one at least) and place: subjects take turns, heaviest chapters first.
 
-    A chapter's place in its subject is its turn; within a turn subjects go by their heaviest chapter. Ties end in the chapter's name.
+    A chapter's place in its subject, over the chapters that the subject gives in a turn (pulls, one by default), is its turn; within a turn subjects go
+    by their heaviest chapter. Ties end in the chapter's name.
     """
     live = chapters.where(F.col(weight) > 0)
     total = half_up(F.sum(weight).over(Window.partitionBy(*by)), 6)
     order = [F.desc(weight), F.col(chapter)]
     first = F.min(F.struct((-F.col(weight)).alias("w"), F.col(chapter).alias("c"))).over(Window.partitionBy(*by, subject))
-    turns = live.withColumn("__turn", F.row_number().over(Window.partitionBy(*by, subject).orderBy(*order))).withColumn("__first", first)
-    placed = turns.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("__turn", "__first", chapter)))
+    turns = live.withColumn("__n", F.row_number().over(Window.partitionBy(*by, subject).orderBy(*order))).withColumn("__first", first)
+    turn = F.ceil(F.col("__n") / (F.lit(1) if pulls is None else pulls))
+    placed = turns.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(turn, "__first", "__n", chapter)))
     share = F.col(weight) / total * minutes / MINUTES["quiz"]
-    return placed.withColumn("sessions", F.greatest(F.lit(1), F.floor(share + 0.5)).cast("int")).drop("__turn", "__first")
+    return placed.withColumn("sessions", F.greatest(F.lit(1), F.floor(share + 0.5)).cast("int")).drop("__n", "__first")
 
 
 @dataclass

@@ -158,11 +158,6 @@ def h19_merge_hits(s, d):
     return retrieval.knn(e, e, ["label"], 3).groupBy("vec_id").agg(F.max("sim").alias("sim"))
 
 
-@query("h27_session_search", "SELECT conv_id, min(turn) AS turn FROM conversations WHERE text ILIKE '%the%' GROUP BY 1")
-def h27_session_search(s, d):
-    return t(s, d, "conversations").where(c("text").ilike("%the%")).groupBy("conv_id").agg(F.min("turn").alias("turn"))
-
-
 @query("k06_superseded", f"SELECT DISTINCT greatest(probe_id, vec_id) AS loser FROM ({PAIRS}) WHERE sim >= 0.8")
 def k06_superseded(s, d):
     e = t(s, d, "embeddings")

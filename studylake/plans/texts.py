@@ -276,12 +276,6 @@ def l13_majority_offset(s, d):
     return R.distinct_on(votes, ["source"], [F.desc("n"), F.abs("o"), c("o")]).select("source", "o")
 
 
-@query("n01_backup_then_update", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal, s_acctbal < 0 AS changed FROM supplier")
-def n01_backup_then_update(s, d):
-    old = t(s, d, "supplier")
-    return old.select("s_suppkey", F.when(c("s_acctbal") < 0, 0.0).otherwise(c("s_acctbal")).alias("s_acctbal"), (c("s_acctbal") < 0).alias("changed"))
-
-
 @query("n02_insert_missing", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT * FROM (VALUES (100, 'NEW')) v")
 def n02_insert_missing(s, d):
     new = s.createDataFrame([(1, "OTHER"), (100, "NEW")], "n_nationkey int, n_name string")

@@ -13,7 +13,7 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("learning", "relational", "retrieval", "texts", "study", "planning", "ranking", "layouts", "structures", "papers", "composed", "archives")
+MODULES = ("learning", "relational", "retrieval", "texts", "study", "planning", "ranking", "layouts", "structures", "papers", "composed", "archives", "upkeep")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

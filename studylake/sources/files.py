@@ -93,23 +93,67 @@ def write_guarded(df: DataFrame, target: str, confirm: str) -> None:
     df.write.parquet(target)
 
 
-def publish(tables: dict[str, DataFrame], path: str) -> str:
-    """Write tables beside those that are there, then a version that points to them all; readers take the latest version, so they see all or none."""
+def publish(tables: dict[str, DataFrame], path: str) -> int:
+    """Write tables beside those that are there, then a version that points to them; the tables of earlier versions that are not written now stay.
+
+    Readers take the latest whole version, so they see all tables or none. Versions are numbered: a writer takes the next number by creating its file,
+    which only one of several writers can, so clocks do not matter.
+    """
     spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
+    folder = uuid.uuid4().hex
     for name, table in tables.items():
-        table.write.parquet(f"{path}/data/{version}/{name}")
-    names = [(name, version) for name in sorted(tables)]
-    spark.createDataFrame(names, "name string, version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/versions")
-    return path
+        table.write.parquet(f"{path}/data/{folder}/{name}")
+    claims = _hadoop_path(spark, f"{path}/versions")
+    store = claims.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(claims)
+    number = max(_versions(spark, path), default=0) + 1
+    while not store.createNewFile(_hadoop_path(spark, f"{path}/versions/{number:012d}.claim")):
+        number += 1
+    held = _pointers(spark, path, before=number)
+    rows = sorted((held | {name: folder for name in tables}).items())
+    spark.createDataFrame(rows, "name string, folder string").coalesce(1).write.parquet(f"{path}/versions/{number:012d}")
+    return number
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that are whole."""
+    root = _hadoop_path(spark, f"{path}/versions")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(root)]
+    return sorted(int(n) for n in names if n.isdigit() and store.exists(_hadoop_path(spark, f"{path}/versions/{n}/_SUCCESS")))
+
+
+def _pointers(spark: SparkSession, path: str, before: int | None = None) -> dict[str, str]:
+    """Folders by table of the latest version, or of the latest before a number."""
+    known = [n for n in _versions(spark, path) if before is None or n < before]
+    return {r["name"]: r["folder"] for r in spark.read.parquet(f"{path}/versions/{known[-1]:012d}").collect()} if known else {}  # the tables of one version
 
 
 def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of the latest version; a version is one small file, written in one step."""
-    versions = spark.read.parquet(f"{path}/versions")
-    latest = versions.groupBy("version").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "version").first()["version"]
-    names = versions.where(F.col("version") == latest).select("name").collect()  # the tables of one version
-    return {r["name"]: spark.read.parquet(f"{path}/data/{latest}/{r['name']}") for r in names}
+    """The tables of the latest version."""
+    return {name: spark.read.parquet(f"{path}/data/{folder}/{name}") for name, folder in _pointers(spark, path).items()}
+
+
+def backup_then_update(spark: SparkSession, path: str, name: str, updates: DataFrame, keys: list[str], backup: str) -> int:
+    """Update rows of a published table after a backup of what they were: the new table and the backup appear together. An existing backup is an error."""
+    tables = published(spark, path)
+    if backup in tables:
+        raise ValueError(f"the backup {backup} is there already")
+    old = tables[name]
+    before = old.join(updates.select(*keys), keys, "left_semi")
+    after = old.join(updates.select(*keys), keys, "left_anti").unionByName(updates.join(before.select(*keys), keys, "left_semi").select(*old.columns))
+    return publish({name: after, backup: before}, path)
+
+
+def undone(table: DataFrame, backup: DataFrame, keys: list[str]) -> DataFrame:
+    """A table with the rows of a backup as they were."""
+    return table.join(backup.select(*keys), keys, "left_anti").unionByName(backup.select(*table.columns))
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studylake.functions import latex, repair
+from studylake.operators import upkeep
 from studylake.sources import files
 
 
@@ -34,9 +35,46 @@ def test_repeated_gram(spark):
 
 def test_readers_follow_the_latest_version(spark, tmp_path):
     path = f"file://{tmp_path}/p"
-    files.publish({"a": spark.range(3)}, path)
-    files.publish({"a": spark.range(5), "b": spark.range(1)}, path)
+    assert files.published(spark, path) == {}
+    assert files.publish({"a": spark.range(3)}, path) == 1
+    assert files.publish({"a": spark.range(5), "b": spark.range(1)}, path) == 2
     assert {k: v.count() for k, v in files.published(spark, path).items()} == {"a": 5, "b": 1}
+    (tmp_path / "p/versions/000000000003.claim").touch()  # a writer that took the number and has not written
+    assert files.publish({"b": spark.range(7)}, path) == 4
+    assert {k: v.count() for k, v in files.published(spark, path).items()} == {"a": 5, "b": 7}
+
+
+def test_backup_brings_the_old_table_back(spark, tmp_path):
+    path = f"file://{tmp_path}/p"
+    files.publish({"t": spark.createDataFrame([(1, 1.0), (2, -2.0), (3, None)], "k int, v double")}, path)
+    files.backup_then_update(spark, path, "t", spark.createDataFrame([(2, 0.0), (3, 9.0), (4, 4.0)], "k int, v double"), ["k"], "b")
+    parts = files.published(spark, path)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(parts["t"]) == [(1, 1.0), (2, 0.0), (3, 9.0)] and rows(parts["b"]) == [(2, -2.0), (3, None)]
+    assert rows(files.undone(parts["t"], parts["b"], ["k"])) == [(1, 1.0), (2, -2.0), (3, None)]
+    with pytest.raises(ValueError):
+        files.backup_then_update(spark, path, "t", parts["b"], ["k"], "b")
+
+
+def test_single_use(spark):
+    state = spark.createDataFrame([("a", None), ("b", 9), ("c", None)], "token string, used_by long")
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "nobody"), (5, None)], "at long, token string")
+    after, outcome = upkeep.use_once(state, asked, "token", "at")
+    assert sorted(map(tuple, after.collect()), key=str) == [("a", 1), ("b", 9), ("c", None)]
+    assert [r.granted for r in outcome.orderBy("at").collect()] == [True, False, False, False, False]
+
+
+def test_duplicates_and_strays(spark):
+    rows = spark.createDataFrame([(1, "s", "x"), (2, "s", "x"), (3, "s", "x"), (4, "t", "x"), (5, "s", "y"), (6, "s", "y")], "id int, subject string, name string")
+    allowed = spark.createDataFrame([("x", 2)], "name string, n long")
+    merged = upkeep.duplicates(rows, ["subject", "name"], "id", allowed)
+    assert sorted((r.loser, r.survivor) for r in merged.collect()) == [(3, 1), (6, 5)]
+    links = spark.createDataFrame([(1, "q", 1), (3, "q", 7), (3, "r", 8), (6, "r", 9), (2, "q", 5)], "id int, question string, score int")
+    assert sorted(map(tuple, upkeep.moved_links(links, merged, "id", "question").select("id", "question", "score", "moved").collect())) == [(1, "q", 1, False), (1, "r", 8, True), (2, "q", 5, False), (5, "r", 9, True)]
+    long = "abcdefghij" * 12
+    texts = [(1, long), (2, f"pt. 3 {long}"), (3, "x" * 30 + long), (4, "short"), (5, "pt short"), (6, None), (7, ""), (8, "klmnopqrstuvwxyzklmnop"), (9, "12 ab klmnop-qrstuvwxyz klmnop!")]
+    df = spark.createDataFrame([(i, "s", x) for i, x in texts], "id int, source string, text string")
+    assert sorted(r.id for r in upkeep.contained_strays(df, df, ["source"], "id", "text").collect()) == [2, 9]
 
 
 def test_guarded_writes(spark, tmp_path):
