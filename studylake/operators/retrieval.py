@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from studylake.functions.core import half_up
 from studylake.functions.text import fold_arabic, nfd, without_accents
-from studylake.operators.relational import cosine, top_per_group
+from studylake.operators.relational import cosine, small, top_per_group
+from studylake.sources.files import shared_path
 
 #: Fixed values of the gates.
 LEXICAL_WEIGHT = 0.15
@@ -163,16 +164,25 @@ def search_clauses(question: Column) -> Column:
     return F.filter(F.transform(pieces, clause), lambda s: F.size(s["words"]) > 0)
 
 
-def spaced(words: Column) -> Column:
-    """Words as one text, each between two spaces of its own, so that neighbours share none."""
-    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+def postings(docs: DataFrame, words: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """w, id, places (where the word stands among the text's words) of the asked words (column w, distinct), written once to the shared folder.
+
+    Words are told apart in the rows of their texts and meet the asked ones before anything is shuffled, so what moves is what was asked for.
+    """
+    spark = docs.sparkSession
+    asked = F.broadcast(words) if small(words) else words
+    each = docs.select(F.col(id_col).alias("id"), F.posexplode(words_of(F.col(text_col))).alias("place", "w")).join(asked, "w", "left_semi")
+    made = each.groupBy("w", "id").agg(F.collect_list("place").alias("places"))
+    path = shared_path(spark, "postings")
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
-def occurrences(text: Column, phrase: Column) -> Column:
-    """How often a phrase stands in a spaced text; overlapping ones count."""
-    needle = spaced(phrase)
-    one = ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("int")
-    return F.when(~F.contains(text, needle), 0).when(F.size(phrase) == 1, one).otherwise(F.regexp_count(text, F.concat(F.lit("(?="), needle, F.lit(")"))))
+def phrase_count(phrase: Column, places: Column) -> Column:
+    """How often a phrase (array of words) stands in a text whose words have places (a map); overlapping ones count."""
+    starts = lambda w, i: F.transform(F.coalesce(places[w], F.array().cast("array<int>")), lambda p: p - i)
+    first = F.coalesce(places[phrase[0]], F.array().cast("array<int>"))
+    return F.size(F.aggregate(F.sequence(F.lit(0), F.size(phrase) - 1), first, lambda held, i: F.array_intersect(held, starts(F.get(phrase, i), i))))
 
 
 def search(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,21 +190,24 @@ def search(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_c
 
     An alternative is satisfied by all its clauses and none of its excluded ones; one of excluded clauses only finds nothing. The rank is
     the sum of tf / (tf + 1) over its distinct clauses, the greatest of the alternatives. Candidates are the documents with the rarest
-    word of an alternative; only they are looked at whole.
+    word of an alternative; phrases are tested on the places of their words, so no text is copied to a candidate.
     """
     parsed = questions.select("query_id", fold_arabic(F.col("question")).alias("question")).select("query_id", search_clauses(F.col("question")).alias("clauses"))
     parts = parsed.select("query_id", "clauses", F.explode(F.array_distinct(F.transform("clauses", lambda s: s["alt"]))).alias("alt"))
     phrases = lambda no: F.array_distinct(F.transform(F.filter("clauses", lambda s: (s["alt"] == F.col("alt")) & (s["no"] == F.lit(no))), lambda s: s["words"]))
     parts = parts.select("query_id", "alt", phrases(False).alias("wanted"), phrases(True).alias("unwanted")).where("size(wanted) > 0")
-    texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    posted = texts.select("id", F.explode(F.array_distinct("words")).alias("w"))
-    whole = texts.select("id", spaced(F.col("words")).alias("words"))
     asked = parts.select("query_id", "alt", F.explode(F.array_distinct(F.flatten("wanted"))).alias("w"))
-    counts = posted.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    needed = parts.select("query_id", "alt", F.explode(F.array_distinct(F.flatten(F.concat("wanted", "unwanted")))).alias("w"))
+    posted = postings(docs, needed.select("w").distinct(), id_col, text_col)
+    counts = posted.groupBy("w").agg(F.count("*").alias("df"))
     rarest = asked.join(counts, "w", "left").groupBy("query_id", "alt").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))["w"].alias("w"))
-    candidates = posted.join(rarest, "w").select("query_id", "alt", "id")
-    counted = candidates.join(parts, ["query_id", "alt"]).join(whole, "id").withColumn("tf", F.transform("wanted", lambda p: occurrences(F.col("words"), p)))
-    met = counted.where(F.forall("tf", lambda n: n > 0) & ~F.exists("unwanted", lambda p: occurrences(F.col("words"), p) > 0))
+    candidates = posted.select("w", "id").join(rarest, "w").select("query_id", "alt", "id")
+    # a candidate takes the places of the alternative's words, and is dropped where a wanted one is missing before any phrase is tested
+    words = candidates.join(needed, ["query_id", "alt"]).join(posted, ["w", "id"])
+    held = words.groupBy("query_id", "alt", "id").agg(F.map_from_entries(F.collect_list(F.struct("w", "places"))).alias("places"))
+    counted = held.join(parts, ["query_id", "alt"]).where(F.forall(F.flatten("wanted"), lambda w: F.map_contains_key("places", w)))
+    counted = counted.withColumn("tf", F.transform("wanted", lambda p: phrase_count(p, F.col("places"))))
+    met = counted.where(F.forall("tf", lambda n: n > 0) & ~F.exists("unwanted", lambda p: phrase_count(p, F.col("places")) > 0))
     rank = F.aggregate("tf", F.lit(0.0), lambda s, n: s + n / (n + 1))
     return met.groupBy("query_id", "id").agg(F.max(half_up(rank, 6)).alias("rank"))
 
