@@ -7,8 +7,8 @@ the share of the template's words that are aligned.
 A copy may lack words up to the coverage, but no word that names a licence or its version, and may have foreign words between its own: up to
 FOREIGN for each word of the template, so that the words of a long text do not add up to a notice. A text is looked at only if it has
 enough of a template's distinct words to reach the coverage at all, which misses nothing. Copies are sought around each place of a pivot,
-a word that the template has once, as far as a copy can reach; with more pivots than words that a copy may lack, one of them is in
-every copy. Where copies of several templates overlap, that with the best coverage counts, then the longer, then the first by name.
+a word that the template has once: between the pivot's neighbouring places first, then further and further, as far as a copy can reach; with more
+pivots than words that a copy may lack, one of them is in every copy. Where copies of several templates overlap, that with the best coverage counts, then the longer, then the first by name.
 
 Defined results: null, empty and wordless texts have no licence; of several copies the best by coverage, then length of the template,
 then name names the text; repeated rows are scanned alike; an empty table gives an empty result. Only the id and text columns are read.
@@ -16,7 +16,7 @@ then name names the text; repeated rows are scanned alike; an empty table gives
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -111,24 +111,40 @@ class Template:
         self.naming = frozenset(w for w in self.distinct if w in NAMING or w.isdigit())
         self.once = {w: self.words.index(w) for w, n in Counter(self.words).items() if n == 1}
 
-    def find(self, words: list[bytes], have: set[bytes], coverage: float) -> list[tuple[float, int, int]]:
-        """Coverage, first and last word of each copy of the template in the text that reaches the coverage; they do not overlap."""
+    def find(self, words: list[bytes], places: dict[bytes, list[int]], coverage: float) -> list[tuple[float, int, int]]:
+        """Coverage, first and last word of each copy of the template in the text that reaches the coverage; they do not overlap.
+
+        places: where each word stands. Around a place of a pivot the region between the pivot's neighbouring places is aligned first, for copies that
+        follow one another; then, as long as no copy is found, the regions that reach over one, two, … neighbours on both sides, on the left and on
+        the right alone, up to all that a copy can reach, for copies whose foreign words are words of the template.
+        """
         size = len(self.words)
         lacking = int(size * (1 - coverage) + 1e-9)
-        if not self.naming <= have or len(self.distinct) - len(self.distinct & have) > lacking:
+        if not all(w in places for w in self.naming) or sum(w not in places for w in self.distinct) > lacking:
             return []
-        counts = Counter(w for w in words if w in self.once)
         reach = size * (1 + FOREIGN)
-        found: list[tuple[float, int, int]] = []
-        for pivot in sorted(counts, key=lambda w: (counts[w], w))[: lacking + 1]:
-            at = [i for i, w in enumerate(words) if w == pivot]
+        found, taken = [], _Apart()
+        for pivot in sorted((w for w in self.once if w in places), key=lambda w: (len(places[w]), w))[: lacking + 1]:
+            at = places[pivot]
             for n, i in enumerate(at):
-                if any(first <= i <= last for _, first, last in found):
+                if taken.holds(i, i):
                     continue
-                first = max(i - reach, at[n - 1] + 1 if n else 0)
-                last = min(i + reach, at[n + 1] if n + 1 < len(at) else len(words))
-                if copy := self.copy(words, first, i, last, coverage):
-                    found.append(copy)
+                low, high = max(i - reach, 0), min(i + reach, len(words))
+                left = [low if x < 0 else max(low, at[x] + 1) for x in range(n - 1, bisect_left(at, low) - 2, -1)]
+                right = [high if x >= len(at) else min(high, at[x]) for x in range(n + 1, bisect_left(at, high) + 1)]
+                left, right = left or [low], right or [high]
+                if left[-1] != low:
+                    left.append(low)
+                if right[-1] != high:
+                    right.append(high)
+                steps = max(len(left), len(right))
+                tries = [(left[min(k, len(left) - 1)], right[min(k, len(right) - 1)]) for k in range(steps)]
+                tries += [(x, right[0]) for x in left[1:]] + [(left[0], x) for x in right[1:]]
+                for first, last in dict.fromkeys(tries):
+                    if copy := self.copy(words, first, i, last, coverage):
+                        found.append(copy)
+                        taken.add(*copy[1:])
+                        break
         return kept_apart(found, lambda f: (-f[0], f[1]), lambda f: f[1:])
 
     def copy(self, words: list[bytes], first: int, pivot: int, last: int, coverage: float) -> tuple[float, int, int] | None:
@@ -149,12 +165,31 @@ class Template:
         return (len(own) / len(self.words), own[0][1], own[-1][1]) if named and len(own) >= coverage * len(self.words) - 1e-9 else None
 
 
+class _Apart:
+    """Spans of words that do not overlap, by their starts."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, first: int, last: int) -> bool:
+        """Whether a span meets one of these."""
+        at = bisect_right(self.starts, last)
+        return at > 0 and self.ends[at - 1] >= first
+
+    def add(self, first: int, last: int) -> None:
+        """Add a span; those that it meets are joined with it."""
+        low, high = bisect_left(self.ends, first), bisect_right(self.starts, last)
+        first, last = min([first, *self.starts[low:high]]), max([last, *self.ends[low:high]])
+        self.starts[low:high], self.ends[low:high] = [first], [last]
+
+
 def kept_apart(found: list, order, span) -> list:
     """The best by the order, then the next that does not overlap it, and so on; in the order of their places."""
-    out: list = []
+    out, taken = [], _Apart()
     for f in sorted(found, key=order):
-        first, last = span(f)
-        if all(last < a or first > b for a, b in map(span, out)):
+        if not taken.holds(*span(f)):
+            taken.add(*span(f))
             out.append(f)
     return sorted(out, key=span)
 
@@ -163,13 +198,17 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     """id_col, license (the best match, null without), coverage, n_matches, matches (array of name, coverage, first and last word)."""
     best_first = lambda x: (-x[1][0], -len(x[0].words), x[0].name, x[1][1])
     made = [Template(n, t) for n, t in (templates or TEMPLATES).items()]
+    sought = frozenset(w for t in made for w in t.distinct)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         best, share, found = [], [], []
         for text in texts_of(part.column(1)):
             words = words_of(text)
-            have = set(words)
-            all_ = kept_apart([(t, f) for t in made for f in t.find(words, have, coverage)], best_first, lambda x: x[1][1:])
+            places: dict[bytes, list[int]] = {}
+            for i, w in enumerate(words):
+                if w in sought:
+                    places.setdefault(w, []).append(i)
+            all_ = kept_apart([(t, f) for t in made for f in t.find(words, places, coverage)], best_first, lambda x: x[1][1:])
             top = min(all_, key=best_first, default=None)
             best.append(top and top[0].name)
             share.append(round(top[1][0], 6) if top else 0.0)

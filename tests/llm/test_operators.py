@@ -37,6 +37,13 @@ def docs(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
 
 
+def places_of(words):
+    out = {}
+    for i, w in enumerate(words):
+        out.setdefault(w, []).append(i)
+    return out
+
+
 def both(a, b):
     return sorted(map(str, a)) == sorted(map(str, b))
 
@@ -569,7 +576,35 @@ def test_license_copies_with_foreign_words(gap):
         words = foreign[:100] + template.words[:cut] + foreign[200 : 200 + gap] + template.words[cut:] + foreign[500:]
         brute = license_scan.align(template.words, words)
         assert len(brute) == len(template.words)
-        assert template.find(words, set(words), 0.8) == [(1.0, 100, 99 + len(template.words) + gap)]
+        assert template.find(words, places_of(words), 0.8) == [(1.0, 100, 99 + len(template.words) + gap)]
+
+
+def test_license_copies_with_words_of_their_own():
+    """Foreign words that are the template's own, shuffled or drawn, in the middle: what an alignment of the whole text finds is found."""
+    rnd = random.Random(3)
+    for name in ("MIT", "Apache-2.0", "BSD-3-Clause"):
+        template = license_scan.Template(name, license_scan.TEMPLATES[name])
+        for trial in range(8):
+            foreign = template.words[:] if trial == 0 else [rnd.choice(template.words) for _ in range(rnd.randrange(2 * len(template.words)))]
+            rnd.shuffle(foreign)
+            cut = len(template.words) // 2 if trial == 0 else rnd.randrange(1, len(template.words))
+            words = [b"x"] * 3 + template.words[:cut] + foreign + template.words[cut:]
+            if len(license_scan.align(template.words, words)) >= 0.8 * len(template.words):
+                assert template.find(words, places_of(words), 0.8)
+
+
+def test_license_scan_of_a_megabyte_of_notices(spark):
+    import time
+
+    notice, template = license_scan.TEMPLATES["MIT"], license_scan.Template("MIT", license_scan.TEMPLATES["MIT"])
+    texts = [notice + " " * (i % 2) + "\n" for i in range(2000)] + ["Released under the MIT License. "] * 8000
+    rnd = random.Random(1)
+    near = [" ".join(w for w in notice.split() if rnd.random() > 0.02) for _ in range(500)]
+    began = time.process_time()
+    for text in ("".join(texts), "\n".join(near)):
+        words = license_scan.words_of(text.encode())
+        assert template.find(words, places_of(words), 0.8)
+    assert time.process_time() - began < 5
 
 
 def test_licenses_are_told_apart(spark):
