@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from studylake.functions.core import half_up
@@ -391,3 +393,45 @@ QUOTED = "[«\"“]\\s*([^«»\"“”\\n]{4,80}?)\\s*[»\"”]"
 def quoted_titles(text: Column) -> Column:
     """Distinct quoted titles of 4 to 80 characters, in order."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)), F.trim))
+
+
+#: Probes that one pass over the texts looks for; more take several passes.
+PROBES = 100_000
+
+
+def holders(docs: DataFrame, probes: DataFrame, text: str, key: str, probe: str) -> DataFrame:
+    """docs without its text, with the key of each probe (a piece of text, not empty) that stands in the text: one row a text and probe.
+
+    Each pass takes a block of probes, of a bounded number, to all tasks as one automaton and goes once over each text; nothing is shuffled.
+    """
+    live = probes.where(F.length(probe) > 0).select(key, F.col(probe).alias("__p"))
+    blocks = max(1, -(-live.count() // PROBES))
+    kept = [c for c in docs.columns if c != text]
+    schema = StructType([*docs.select(*kept).schema.fields, live.schema[key]])
+    state = docs.select(F.col(text).alias("__text"), *kept)
+
+    def one_pass(block: int) -> DataFrame:
+        rows = live.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).collect()  # PROBES of them, about
+        named: dict[str, list] = {}
+        for r in rows:
+            named.setdefault(r["__p"], []).append(r[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for p, keys in named.items():
+                machine.add_word(p, keys)
+            machine.make_automaton()
+            for batch in batches:
+                at, keys = [], []
+                for i, x in enumerate(batch.column(0).to_pylist() if named else []):
+                    found = {k for _, own in machine.iter(x or "") for k in own}
+                    at += [i] * len(found)
+                    keys += found
+                part = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(keys, to_arrow_type(schema[key].dataType))], names=schema.names)
+
+        return state.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, [one_pass(b) for b in range(blocks)])

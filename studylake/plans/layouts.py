@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from studylake.functions import classify, repair
 from studylake.functions import text as X
 from studylake.functions.core import half_up
-from studylake.operators import layout
+from studylake.operators import layout, retrieval
 from studylake.operators import relational as R
 from studylake.registry import query
 from studylake.sources import files
@@ -235,18 +235,11 @@ def k16_wrong_language(s, d):
 WITH d AS (SELECT doc_id, source, regexp_replace(lower(text), '[^a-z]+', '', 'g') AS f FROM documents)
 SELECT i.item_id, d.doc_id, d.source FROM (SELECT item_id, left(regexp_replace(lower(text), '[^a-z]+', '', 'g'), 60) AS p FROM benchmark) i JOIN d ON length(p) = 60 AND contains(d.f, p)""")
 def k18_paper_probe(s, d):
-    """Which documents hold the first sixty letters of an item.
-
-    Candidates come by a join of the probe's leading twelve letters with the distinct 12-letter windows of each text, and containment is then
-    verified; the probes are broadcast where the planner's bound of their size allows it, so that windows without a probe are not shuffled.
-    """
+    """Which documents hold the first sixty letters of an item, by one pass over the documents' letters."""
     letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]+", "")
-    probes = t(s, d, "benchmark").select("item_id", F.left(letters("text"), F.lit(60)).alias("p")).where("length(p) = 60").withColumn("g", F.left("p", F.lit(12)))
-    docs = t(s, d, "documents").select("doc_id", "source", letters("text").alias("f"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.regexp_extract_all(F.substring(c("f"), k, F.length("f")), F.lit("[a-z]{12}"), F.lit(0))))
-    seen = docs.where("length(f) >= 60").select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
-    pairs = seen.join(F.broadcast(probes.select("item_id", "g", "p")) if R.small(probes) else probes.select("item_id", "g", "p"), "g")
-    return pairs.join(docs, "doc_id").where(F.contains("f", c("p"))).select("item_id", "doc_id", "source")
+    probes = t(s, d, "benchmark").select("item_id", F.left(letters("text"), F.lit(60)).alias("p")).where("length(p) = 60")
+    docs = t(s, d, "documents").select("doc_id", "source", letters("text").alias("f")).where("length(f) >= 60")
+    return retrieval.holders(docs, probes, "f", "item_id", "p").select("item_id", "doc_id", "source")
 
 
 # ---- texts

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from studylake.functions.core import half_up
 from studylake.operators import layout, retrieval
 from studylake.operators import relational as R
 from studylake.plans.retrieval import COS
@@ -14,27 +15,34 @@ from studylake.sources.tables import table as t
 c = F.col
 
 
-STREAM = "SELECT conv_id, list(w ORDER BY turn, k) AS ws FROM (SELECT conv_id, turn, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM conversations)) GROUP BY 1"
+#: The words of each turn, and their places in the conversation's stream, in which a word that no turn has stands after every second word of a turn.
+STREAM = r"""w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations),
+b AS (SELECT *, coalesce(sum(len(w) + len(w) // 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM w),
+s AS (SELECT conv_id, list(x ORDER BY turn, k) AS ws, list(base + k - 1 + (k - 1) // 2 ORDER BY turn, k) AS places FROM (SELECT conv_id, turn, base, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM b) GROUP BY 1)"""
 
 
 @query("l01_matches", f"""
-WITH s AS ({STREAM}), h AS (SELECT conv_id, turn, list_slice(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), 1, 6) AS p FROM conversations)
-SELECT conv_id, turn, 1.0::DOUBLE AS score, 0 AS skipped, (SELECT min(i) FROM (SELECT unnest(range(1, len(ws) - len(p) + 2)) AS i) WHERE list_slice(ws, i, i + len(p) - 1) = p) - 1 AS place FROM h JOIN s USING (conv_id) WHERE len(p) > 0""")
+WITH {STREAM}, h AS (SELECT conv_id, turn, list_slice(w, 1, 7) AS p FROM w WHERE len(w) > 0),
+found AS (SELECT conv_id, turn, len(p) AS n, places[i] AS place, places[i + len(p) - 1] - places[i] + 1 - len(p) AS skipped FROM (SELECT *, unnest(range(1, len(ws) - len(p) + 2)) AS i FROM h JOIN s USING (conv_id)) WHERE list_slice(ws, i, i + len(p) - 1) = p)
+SELECT conv_id, turn, floor(n / (n + turn % 2) * 1000 + 0.5) / 1000 AS score, CAST(skipped AS INTEGER) AS skipped, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY skipped, place) AS k FROM found) WHERE k = 1""")
 def l01_matches(s, d):
-    """The best place of each turn's first six words in its conversation's stream of words, found through an index of places."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
-    turns = t(s, d, "conversations").select("conv_id", "turn", words.alias("w"))
+    """The best place of each turn's first seven words in its conversation's stream, in which foreign words stand between them; every second turn's probe
+    ends in a word that the stream has not, so it is not found whole. Found through an index of places."""
+    split = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    turns = t(s, d, "conversations").select("conv_id", "turn", split.alias("w"))
     streams = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "w"))).alias("x"))
 
     def best(rows):
         for turns in rows:
-            places = layout.Places([w for turn in turns for w in turn["w"]])
-            yield [{"turn": int(turn["turn"]), **dict(zip(("score", "skipped", "place"), places.matches(list(turn["w"][:6]))[0], strict=True))} for turn in turns if len(turn["w"])]
+            places = layout.Places([x for turn in turns for k, w in enumerate(turn["w"]) for x in ([w, "\x00"] if k % 2 else [w])])
+            probes = ((turn["turn"], [*turn["w"][:7], *["\x01"] * (turn["turn"] % 2)]) for turn in turns if len(turn["w"]))
+            yield [{"turn": int(turn), **dict(zip(("score", "skipped", "place"), places.matches(probe)[0], strict=True))} for turn, probe in probes]
 
     import pandas as pd
 
     found = F.pandas_udf(lambda rows: pd.Series(list(best(rows))), "array<struct<turn:long,score:double,skipped:int,place:long>>")
-    return streams.select("conv_id", F.explode(found("x")).alias("m")).select("conv_id", "m.turn", "m.score", "m.skipped", "m.place")
+    told = streams.select("conv_id", F.explode(found("x")).alias("m"))
+    return told.select("conv_id", "m.turn", half_up(c("m.score"), 3).alias("score"), "m.skipped", c("m.place").cast("int").alias("place"))
 
 
 # ---- batch forms of transactional work

@@ -9,6 +9,7 @@ from studylake.functions import repair
 from studylake.functions import text as X
 from studylake.functions.core import half_up
 from studylake.operators import relational as R
+from studylake.operators import words
 from studylake.registry import query
 from studylake.sources import files
 from studylake.sources.tables import table as t
@@ -158,13 +159,11 @@ def j12_rare_words(s, d):
 
     A word that stands once has one document, so the documents need no join with the vocabulary.
     """
-    docs = t(s, d, "documents")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))
-    once = docs.select("doc_id", F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("rare"))
-    letters = lambda p: F.regexp_count("text", F.lit(p))
-    pages = docs.select("doc_id", "source", F.size(words).alias("n"), letters("[\\u0600-\\u06FF]").alias("a"), letters("[A-Za-zÀ-ÿ]").alias("l")).where("n > 0 and a + l > 0")
+    pages, once = words.counts_and_single_words(t(s, d, "documents"), "doc_id", "text", ["source"])
+    rare = once.groupBy("doc_id").agg(F.count("*").alias("rare"))
+    pages = pages.where("n > 0 and a + l > 0")
     book = pages.groupBy("source").agg((F.sum("a") > F.sum("l")).alias("arabic"))
-    told = pages.join(once, "doc_id", "left").join(book, "source")
+    told = pages.join(rare, "doc_id", "left").join(book, "source")
     told = told.select("source", "doc_id", half_up(F.coalesce("rare", F.lit(0)) / c("n"), 3).alias("odd"), half_up(F.when(c("arabic"), c("l")).otherwise(c("a")) / (c("a") + c("l")), 3).alias("script"))
     return R.top_per_group(told, ["source"], [F.desc(F.floor((c("odd") * 2 + c("script")) * 1000 + 0.5)), c("doc_id")], 12).select("source", "doc_id", "odd", "script")
 

@@ -80,3 +80,24 @@ def test_duplicates_and_strays(spark):
 def test_guarded_writes(spark, tmp_path):
     with pytest.raises(ValueError):
         files.write_guarded(spark.range(1), f"file://{tmp_path}/x", confirm="file:///elsewhere")
+
+
+def test_single_words_and_letters(spark):
+    from studylake.operators import words
+
+    rows = [(1, "One two TWO", "x"), (2, "three one ²5 سلام", "y"), (3, None, "x"), (None, "alone", "z"), (4, "", "y")]
+    pages, once = words.counts_and_single_words(spark.createDataFrame(rows, "id int, text string, source string"), "id", "text", ["source"])
+    assert sorted(map(str, map(tuple, pages.collect()))) == sorted(map(str, [(1, "x", 3, 0, 9), (2, "y", 3, 4, 8), (3, "x", 0, 0, 0), (None, "z", 1, 0, 5), (4, "y", 0, 0, 0)]))
+    assert sorted(map(str, map(tuple, once.collect()))) == sorted(map(str, [("three", 2), ("سلام", 2), ("alone", None)]))
+
+
+@pytest.mark.parametrize("block", [2, 100])
+def test_texts_that_hold_probes(spark, monkeypatch, block):
+    from studylake.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PROBES", block)
+    docs = spark.createDataFrame([(1, "abcabc", "s"), (2, None, "s"), (3, "", "s"), (4, "bca", "t")], "id int, text string, source string")
+    probes = spark.createDataFrame([(10, "abc"), (11, "bca"), (12, "abc"), (13, ""), (14, None), (15, "zz")], "k int, p string")
+    found = retrieval.holders(docs, probes, "text", "k", "p")
+    assert sorted(map(tuple, found.collect())) == [(1, "s", 10), (1, "s", 11), (1, "s", 12), (4, "t", 11)]
+    assert retrieval.holders(docs, probes.limit(0), "text", "k", "p").collect() == []
