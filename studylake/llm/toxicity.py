@@ -6,7 +6,9 @@ training those earlier probabilities are out of fold, so that a later model lear
 Training uses one of each group of copies among at most `max_rows` labelled documents, those whose hashed ids are smallest; scoring
 covers every document. The categories before the last are label columns of the caller's, or else kinds found in the data: groups of the
 documents labelled toxic that share features. The last category is the label itself, and the threshold at which a document is
-rejected is the one at which the out-of-fold probabilities find most, with at most MAX_FALSE of the clean documents rejected.
+rejected is the one at which the out-of-fold probabilities find most, with at most MAX_FALSE of the clean documents rejected. Features and
+kinds are chosen on all training documents, so another chain is made without the held-out fifth of them, choices included: its figures on that
+fifth are the chain's, and the threshold rises if they ask for it.
 
 Features: words and beginnings of words (a stem marks all its inflections and compounds, also unseen ones), as the logarithm of their
 number; of those the ones whose frequency among labelled documents differs between a category's values by over MIN_Z standard errors.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +42,8 @@ HELD_WORDS, KEPT_WORDS = 100_000, 300_000
 MIN_Z, MIN_DOCS = 3.0, 5
 #: Characters of the beginnings of words.
 STEMS = range(3, 9)
-FOLDS = 5
+#: Folds of documents, by their texts, and the one that is held out to judge the chain.
+FOLDS, HELD_OUT = 5, 0
 #: Kinds of toxic documents that are looked for where the caller has no category columns.
 KINDS = 2
 #: Share of the clean training documents that may be rejected, and the thresholds that are tried.
@@ -47,6 +51,10 @@ MAX_FALSE, THRESHOLDS = 0.003, [n / 20 for n in range(19, 3, -1)]
 FINAL = "toxic"
 
 
+def fold_of(text: bytes) -> int:
+    return zlib.crc32(text) % FOLDS
+
+
 def features_of(word: bytes) -> list[bytes]:
     """A word and its beginnings; no word holds an asterisk."""
     text = word.decode("utf-8", "ignore")
@@ -106,9 +114,17 @@ class Chain:
     #: One row per model: weights of the features, of earlier categories, bias.
     weights: np.ndarray
     threshold: float = 0.5
-    #: Share of toxic documents found and of clean ones kept, out of fold.
+    #: Share of toxic documents found and of clean ones kept at the threshold: out of fold, or on documents held out from all choices.
     figures: tuple[float, float] = field(default=(0.0, 1.0))
 
+    def judge(self, probability: np.ndarray, bad: np.ndarray) -> None:
+        """Figures on held-out documents. If there are clean ones enough to tell MAX_FALSE and more of them would be rejected, the threshold rises."""
+        shares = lambda own, t: float((probability[own] >= t).mean()) if own.any() else 0.0
+        if len(self.weights) and (~bad).sum() * MAX_FALSE >= 1:
+            held = [t for t in sorted(THRESHOLDS) if t >= self.threshold and shares(~bad, t) <= MAX_FALSE]
+            self.threshold = held[0] if held else max(THRESHOLDS)
+        self.figures = shares(bad, self.threshold), 1 - shares(~bad, self.threshold)
+
     def probabilities(self, found: list[dict[int, int]]) -> np.ndarray:
         """documents x categories."""
         out = np.zeros((len(found), len(self.names)))
@@ -212,12 +228,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample, path = cut(_without_copies(rows))
 
     n_flags = len(categories) + 1
+    width = 1 + n_flags
 
     def count(batches):
-        counts: dict[bytes, np.ndarray] = defaultdict(lambda: np.zeros(1 + n_flags, np.int64))
+        """Features with the number of documents that have them and of those with each flag, then the same of the held-out ones alone."""
+        counts: dict[bytes, np.ndarray] = defaultdict(lambda: np.zeros(2 * width, np.int64))
 
         def give() -> pa.RecordBatch:
-            table = np.array([*counts.values()], np.int64).reshape(len(counts), 1 + n_flags)
+            table = np.array([*counts.values()], np.int64).reshape(len(counts), 2 * width)
             made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *[pa.array(c) for c in table.T]], names=fields.names)
             counts.clear()
             return made
@@ -226,6 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part in slices(batch, 0):
                 for text, own in zip(texts_of(part.column(0)), part.column(1).to_pylist(), strict=True):
                     mine = np.array([1, *own], np.int64)
+                    mine = np.concatenate([mine, mine * (fold_of(text) == HELD_OUT)])
                     counts[b""] += mine  # the number of documents; no feature is empty
                     for f in {f for w in set(words_of(text)) for f in features_of(w)}:
                         counts[f] += mine
@@ -233,39 +252,63 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     yield give()
         yield give()
 
-    fields = T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.LongType()), *[T.StructField(f"with_{i}", T.LongType()) for i in range(n_flags)]])
+    names_ = ["n", *[f"with_{i}" for i in range(n_flags)]]
+    fields = T.StructType([T.StructField("w", T.BinaryType()), *[T.StructField(f"{p}{c}", T.LongType()) for p in ("", "held_") for c in names_]])
     counted = bounded(sample).mapInArrow(count, fields).groupBy("w").agg(*[F.sum(c).alias(c) for c in fields.names[1:]])
     counted, counts_path = cut(counted.where((F.length("w") == 0) | (F.col("n") >= MIN_DOCS)))
     totals = counted.where(F.length("w") == 0).first()
     if not totals or not totals[f"with_{n_flags - 1}"]:
         return Chain(names, {}, np.zeros((0, 0)))
 
-    def evidence(flag: str) -> F.Column:
-        bad_n, good_n = totals[flag], totals["n"] - totals[flag]
-        p, q = (F.col(flag) + 0.5) / (bad_n + 1.0), (F.col("n") - F.col(flag) + 0.5) / (good_n + 1.0)
-        return F.abs(p - q) / F.sqrt(p * (1 - p) / (bad_n + 1.0) + q * (1 - q) / (good_n + 1.0))
+    def chosen_words(number: Callable[[str], F.Column], total: Callable[[str], int]) -> list[bytes]:
+        """The features that say most of any flag, by the counts that `number` and `total` give."""
+
+        def evidence(flag: str) -> F.Column:
+            bad_n, good_n = total(flag), total("n") - total(flag)
+            p, q = (number(flag) + 0.5) / (bad_n + 1.0), (number("n") - number(flag) + 0.5) / (good_n + 1.0)
+            return F.abs(p - q) / F.sqrt(p * (1 - p) / (bad_n + 1.0) + q * (1 - q) / (good_n + 1.0))
+
+        z = F.greatest(*[evidence(f"with_{i}") for i in range(n_flags)], F.lit(0.0))
+        best = counted.where((F.length("w") > 0) & (number("n") >= MIN_DOCS)).select("w", z.alias("z")).where(F.col("z") > MIN_Z)
+        return [bytes(r.w) for r in best.orderBy(F.desc("z"), "w").limit(MAX_WORDS).collect()]
 
-    z = F.greatest(*[evidence(f"with_{i}") for i in range(n_flags)], F.lit(0.0))
-    best = counted.where(F.length("w") > 0).select("w", z.alias("z")).where(F.col("z") > MIN_Z).orderBy(F.desc("z"), "w").limit(MAX_WORDS).collect()
-    words = {bytes(r.w): i for i, r in enumerate(best)}
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # at most MAX_WORDS
+    every = chosen_words(F.col, totals.__getitem__)
+    rest = chosen_words(lambda c: F.col(c) - F.col(f"held_{c}"), lambda c: totals[c] - totals[f"held_{c}"])
+    union = {w: i for i, w in enumerate(dict.fromkeys(every + rest))}
+    shared = docs.sparkSession.sparkContext.broadcast(union)  # at most twice MAX_WORDS
 
     def describe(part: pa.RecordBatch) -> pa.RecordBatch:
         reader = Reader(shared.value)
         texts = texts_of(part.column(0))
         found = [sorted(reader.read(t).items()) for t in texts]
         kinds_ = pa.list_(pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([[f for f, _ in own] for own in found], kinds_), pa.array([[n for _, n in own] for own in found], kinds_), pa.array([zlib.crc32(t) % FOLDS for t in texts], pa.int32()), part.column(1)], names=["found", "times", "fold", "flags"])
+        return pa.RecordBatch.from_arrays([pa.array([[f for f, _ in own] for own in found], kinds_), pa.array([[n for _, n in own] for own in found], kinds_), pa.array([fold_of(t) for t in texts], pa.int32()), part.column(1)], names=["found", "times", "fold", "flags"])
 
     told = map_slices(sample, 0, describe, "found array<int>, times array<int>, fold int, flags array<boolean>").collect()  # at most max_rows short rows
     forget(docs.sparkSession, path)
     forget(docs.sparkSession, counts_path)
     told.sort(key=lambda r: (r.fold, r.found, r.times, r.flags))
-    found = [dict(zip(r.found, r.times, strict=True)) for r in told]
-    flags = np.array([r.flags for r in told], bool).reshape(len(told), len(categories) + 1)
-    if not categories:
-        flags = np.c_[kinds(found, flags[:, -1], len(words)), flags]
-    return fit_chain(found, np.array([r.fold for r in told]), flags, words, names)
+    flags = np.array([r.flags for r in told], bool).reshape(len(told), n_flags)
+    folds = np.array([r.fold for r in told])
+
+    def by(words: list[bytes], rows: np.ndarray) -> tuple[dict[bytes, int], list[dict[int, int]]]:
+        """Numbers of the given features, and those of the given rows."""
+        known = {union[w]: i for i, w in enumerate(words)}
+        return {w: i for i, w in enumerate(words)}, [{known[f]: n for f, n in zip(told[r].found, told[r].times, strict=True) if f in known} for r in rows]
+
+    def fitted(words: list[bytes], rows: np.ndarray) -> Chain:
+        numbers, found = by(words, rows)
+        own = flags[rows]
+        if not categories:
+            own = np.c_[kinds(found, own[:, -1], len(words)), own]
+        return fit_chain(found, folds[rows], own, numbers, names)
+
+    chain, held = fitted(every, np.arange(len(told))), np.flatnonzero(folds == HELD_OUT)
+    if len(held) and len(held) < len(told):
+        # a chain whose features, kinds and weights have not seen the held-out fold tells what to expect
+        probability = fitted(rest, np.flatnonzero(folds != HELD_OUT)).probabilities(by(rest, held)[1])[:, -1]
+        chain.judge(probability, flags[held, -1])
+    return chain
 
 
 def score(df: DataFrame, chain: Chain, text_col: str = "text", columns: list[str] | None = None, threshold: float | None = None, prefix: str = "") -> DataFrame:

@@ -488,6 +488,17 @@ def test_toxicity_chain_of_label_columns(spark):
     assert sum(r.rejected == bool(r.toxic) for r in held) >= 0.97 * len(held)
 
 
+def test_toxicity_of_shuffled_labels(spark):
+    """Labels that say nothing of the texts: the chain's own figures must not promise more than fresh texts give."""
+    rnd = random.Random(9)
+    rows = [(i, words(60, i, 3000), int(rnd.random() < 0.15)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.train(df.select("doc_id", "text"), df.where("doc_id < 1500").select("doc_id", "toxic"))
+    fresh = toxicity.score(df, chain).where("doc_id >= 1500")
+    rejected = fresh.agg(F.avg(F.col("rejected").cast("double"))).first()[0]
+    assert chain.figures[0] <= 0.04 and rejected <= 0.01
+
+
 def test_toxicity_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     for labels in (none, spark.createDataFrame([(1, 0), (5, None), (None, 1)], "doc_id long, toxic int")):
