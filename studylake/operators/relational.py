@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from studylake.sources.files import shared_path
+
 
 def in_list(column: Column, values: list) -> Column:
     """Membership; an empty list matches nothing."""
@@ -32,6 +34,26 @@ def nearest_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, flo
     return placed.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") > F.floor((F.col("__n") - 1) * F.lit(share)), F.col(value))).alias(name) for name, share in ranks.items()])
 
 
+def row_numbers(df: DataFrame, by: list[str], order: list[str], rank: str = "rn") -> DataFrame:
+    """row_number() over few or hot groups; `order` (names of columns, ascending) ends in a unique key.
+
+    Rows are dealt by ranges of group and order, so a group takes as many tasks as it needs; each range numbers its own rows, and what a range
+    lies behind is a sum over the counts of ranges, a small table. The ranges are written once, so that a lost task finds the same ones.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id())
+    path = shared_path(spark, "ranges")
+    dealt.write.parquet(path)
+    cut = spark.read.schema(dealt.schema).parquet(path)
+    counts = cut.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    behind = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__range").alias("__of"), behind.alias("__base"))
+    local = cut.withColumn("__rn", F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)))
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"__{k}")), by, F.col("__range") == F.col("__of"))
+    met = local.join(F.broadcast(bases) if small(bases) else bases, same)
+    return met.select(*df.columns, (F.col("__base") + F.col("__rn")).alias(rank))
+
+
 def latest_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Upsert: rows of new replace those of old with the same keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

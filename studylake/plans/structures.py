@@ -57,7 +57,7 @@ def n04_single_use(s, d):
 def n05_work_claims(s, d):
     """Open work dealt to workers by key and to batches by age: no two claim one row, and none waits for another."""
     rows = t(s, d, "orders").where("o_orderstatus = 'O'").withColumn("worker", c("o_custkey") % 8)
-    placed = R.top_per_group(rows, ["worker"], [c("o_orderdate"), c("o_orderkey")], 1 << 62)
+    placed = R.row_numbers(rows, ["worker"], ["o_orderdate", "o_orderkey"])
     return placed.select("o_orderkey", "worker", F.ceil(c("rn") / 100).alias("batch"))
 
 

@@ -110,9 +110,9 @@ def h20_hand_over(s, d):
     return near.where(c("rn") <= F.when(c("label") < 5, 12).otherwise(20)).select("probe_id", "vec_id")
 
 
-@query("h23_apply_order", "SELECT label, string_agg(vec_id, ',' ORDER BY coalesce(list_position([9, 3, 7], vec_id % 10), 99), vec_id) AS ids FROM embeddings GROUP BY 1")
+@query("h23_apply_order", "SELECT label, row_number() OVER (PARTITION BY label ORDER BY coalesce(list_position([9, 3, 7], vec_id % 10), 99), vec_id) AS place, vec_id FROM embeddings")
 def h23_apply_order(s, d):
     """Rows that the given order names come first, in its order; the others follow as they were."""
     place = F.array_position(F.array(F.lit(9), F.lit(3), F.lit(7)).cast("array<bigint>"), c("vec_id") % 10)
-    rows = t(s, d, "embeddings").select("label", F.struct(F.when(place > 0, place).otherwise(99).alias("at"), "vec_id").alias("r"))
-    return rows.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["vec_id"].cast("string")), ",").alias("ids"))
+    rows = t(s, d, "embeddings").select("label", "vec_id", F.when(place > 0, place).otherwise(99).alias("at"))
+    return R.row_numbers(rows, ["label"], ["at", "vec_id"], "place").select("label", "place", "vec_id")

@@ -101,3 +101,15 @@ def test_texts_that_hold_probes(spark, monkeypatch, block):
     found = retrieval.holders(docs, probes, "text", "k", "p")
     assert sorted(map(tuple, found.collect())) == [(1, "s", 10), (1, "s", 11), (1, "s", 12), (4, "t", 11)]
     assert retrieval.holders(docs, probes.limit(0), "text", "k", "p").collect() == []
+
+
+def test_row_numbers_over_hot_groups(spark):
+    from pyspark.sql.window import Window
+
+    from studylake.operators import relational
+
+    df = spark.range(5000).select(F.when(F.col("id") % 7 > 0, F.lit("hot")).when(F.col("id") % 2 == 0, F.lit("cold")).alias("k"), (F.col("id") * 37 % 101).alias("at"), "id").repartition(5)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("at", "id")))
+    got = relational.row_numbers(df, ["k"], ["at", "id"])
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    assert relational.row_numbers(df.limit(0), ["k"], ["at", "id"]).collect() == []
