@@ -249,10 +249,19 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
+#: Requests to one source that are answered together, about.
+ANSWERED = 4096
+
+
 def _unlike(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """The requests (columns REQUEST) that their source's words do not answer; a source takes a list of its distinct requests."""
-    asked = requests.distinct().groupBy("source", "source_row").agg(F.collect_list(F.struct(*REQUEST[2:])).alias("asked"))
-    sources = docs.select(F.col("id").alias("source"), F.col("row").alias("source_row"), "text").join(cut(asked)[0], ["source", "source_row"])
+    """The requests (columns REQUEST) that their source's words do not answer; a source takes its distinct requests in lists of about ANSWERED."""
+    place = ["source", "source_row"]
+    each, _ = cut(requests.distinct())
+    lists = each.groupBy(*place).agg(F.ceil(F.count("*") / ANSWERED).cast("int").alias("lists")).where("lists > 1")
+    number = F.coalesce(F.pmod(F.xxhash64("source_start", "words"), F.col("lists")), F.lit(0)).alias("list")
+    dealt = each.join(lists, place, "left").select(*REQUEST, number)
+    asked = dealt.groupBy(*place, "list").agg(F.collect_list(F.struct(*REQUEST[2:])).alias("asked"))
+    sources = docs.select(F.col("id").alias("source"), F.col("row").alias("source_row"), "text").join(cut(asked)[0], place)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         wrong = []

@@ -548,13 +548,16 @@ def test_paths_are_compacted(spark):
     assert both([(r.head, r.total) for r in substring_dedup.compacted(pieces).collect()], [(1, 10), (11, 1), (12, 1), (13, 1), (21, 1), (22, 3)])
 
 
-def test_spans_are_compared_with_their_source(spark):
+def test_spans_are_compared_with_their_source(spark, monkeypatch):
     """A request that the source's words do not answer is found; hashes that clash are tried again under another seed."""
     docs = spark.createDataFrame([(1, "a b c d e")], "id long, text string").withColumn("row", F.xxhash64("text"))
     row = docs.first()["row"]
     good, bad = (1, row, 1, 2, hashlib.sha256(b"b c").digest()), (1, row, 1, 3, hashlib.sha256(b"b c x").digest())
     asked = lambda rows: spark.createDataFrame(rows, "source long, source_row long, source_start int, words int, digest binary")
     assert substring_dedup._unlike(docs, asked([good])).isEmpty() and not substring_dedup._unlike(docs, asked([good, bad])).isEmpty()
+    # many requests to one source are dealt to several lists
+    monkeypatch.setattr(substring_dedup, "ANSWERED", 1)
+    assert substring_dedup._unlike(docs, asked([good] * 3)).isEmpty() and not substring_dedup._unlike(docs, asked([good, bad])).isEmpty()
     seeds = [substring_dedup.Rolling(np.arange(9, dtype=np.uint64), 0, n).spans(np.array([0]), np.array([9]))[0] for n in range(3)]
     assert len(set(seeds)) == 3
 
