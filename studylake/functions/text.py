@@ -40,10 +40,15 @@ def compatible(text: Column) -> Column:
     return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))
 
 
+def fold_letters(text: Column) -> Column:
+    """Compatibility forms, Arabic letters and digits folded, no marks; texts without Arabic are left after the first step."""
+    plain = compatible(text)
+    return F.when(plain.rlike("[\\u0600-\\u06FF]"), F.regexp_replace(F.translate(plain, ARABIC_FROM, ARABIC_TO), MARKS, "")).otherwise(plain)
+
+
 def fold_arabic(text: Column) -> Column:
-    """The index's fold: compatibility forms, letters, digits, no marks, all white space as one space."""
-    folded = F.regexp_replace(F.translate(compatible(text), ARABIC_FROM, ARABIC_TO), MARKS, "")
-    return F.trim(F.regexp_replace(folded, "(?U)\\s+", " "))
+    """The index's fold: letters as above, all white space as one space."""
+    return F.trim(F.regexp_replace(fold_letters(text), "(?U)\\s+", " "))
 
 
 def fold_arabic_inline(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from studylake.functions.core import half_up
-from studylake.functions.text import fold_arabic, nfd, without_accents
+from studylake.functions.text import fold_arabic, fold_letters, nfd, without_accents
 from studylake.operators.relational import cosine, small, top_per_group
 from studylake.sources.files import shared_path
 
@@ -149,7 +149,7 @@ def pair_similarities(pairs: DataFrame, probes: DataFrame, corpus: DataFrame) ->
 
 def words_of(text: Column) -> Column:
     """The folded words of a text, in order: letters and digits of any script."""
-    return F.regexp_extract_all(F.lower(fold_arabic(text)), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(fold_letters(text)), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
 def search_clauses(question: Column) -> Column:
