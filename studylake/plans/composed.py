@@ -143,3 +143,22 @@ def _aligned(turns):
         line_of += [i] * len(spread)
         heads.append([p for p in (w[:8], w[8:16]) if len(p) >= 3])
     return [{"turn": int(turn["turn"]), "place": place, "score": score} for turn, (place, score, _, _) in zip(turns, layout.align(heads, stream, line_of), strict=True)]
+
+
+# ---- J17: lines of eleven words, headings, parts, blank lines and ends of sentences among them
+PLAIN = "translate(x, chr(92) || '{}$&[]%`~', 'xxxxxxxxxxx')"
+WRAPPED_LINE = f"CASE (doc_id + i) % 7 WHEN 0 THEN CASE i % 3 WHEN 0 THEN '# ' || i ELSE '' END WHEN 1 THEN i % 9 || ') ' || {PLAIN} WHEN 2 THEN {PLAIN} || '.' ELSE {PLAIN} END"
+
+
+@query("j17_wrapped_lines", rf"""
+WITH {sql_lines(WRAPPED_LINE, 11)},
+told AS (SELECT *, regexp_matches(line, '^\s*(\||#{{1,6}}\s|>|-{{3,}}|={{3,}}|```|~~~|\$\$)') AS structural, trim(line) = '' AS blank, regexp_matches(line, '[.!:?;。！？]["''”’)\]]?\s*$') AS ends,
+  regexp_matches(line, '^\s*(\d+(\.\d+)*\s*[-.)\]]|[a-zA-Z]\s*[-.)\]]|[IVX]+\s*[-.)\]]|[-*•▪])') AS opens, length(trim(line)) >= 55 AS long FROM lines),
+flags AS (SELECT *, i > 0 AND NOT (blank OR opens OR structural OR lag(structural) OVER w OR lag(ends) OVER w) AS goes_on, coalesce(lag(long) OVER w, false) AS after_long FROM told WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+state AS (SELECT *, goes_on AND coalesce(max(i) FILTER (after_long) OVER w, -1) > coalesce(max(i) FILTER (NOT goes_on) OVER w, -1) AS joined FROM flags WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT *, count(*) FILTER (NOT joined) OVER (PARTITION BY doc_id ORDER BY i) AS number FROM state)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY number)) AS h FROM (SELECT doc_id, number, string_agg(line, ' ' ORDER BY i) AS line FROM numbered GROUP BY ALL) GROUP BY doc_id""")
+def j17_wrapped_lines(s, d):
+    """Soft-wrapped lines of composed texts joined."""
+    sent = F.pandas_udf(lambda x: x.map(lambda v: None if v is None else layout.unwrapped(v)), "string")
+    return whole(composed(s, d, WRAPPED_LINE, 11)).select("doc_id", F.md5(sent("paper").cast("binary")).alias("h"))
