@@ -176,7 +176,7 @@ ANSWER = "CASE doc_id % 7 WHEN 0 THEN 'No official answer was recorded.' WHEN 1
 
 @query("j14_monitor", f"""
 WITH ch AS (SELECT k AS chapter, 'T' || k % 3 AS track, CASE k % 4 WHEN 0 THEN 'Francais' ELSE 'S' || k % 4 END AS subject, CASE WHEN k % 4 = 1 THEN 'ar' ELSE 'fr' END AS language FROM (SELECT unnest(range(0, 60)) AS k) WHERE k % 10 <> 9),
-it AS (SELECT {CHAPTER} AS chapter, doc_id::VARCHAR AS item_id, {ITEM_TEXT} AS text, {ANSWER} AS official, doc_id % 5 = 0 AS rejected FROM documents WHERE source <> 'web'),
+it AS (SELECT {CHAPTER} AS chapter, doc_id::VARCHAR AS item_id, {ITEM_TEXT} AS text, {ANSWER} AS official, doc_id % 5 = 0 AS rejected FROM documents),
 pa AS (SELECT conv_id % 57 AS chapter, conv_id || '-' || turn AS item_id, CASE WHEN turn % 5 = 1 THEN 'lâ€™eau ' ELSE '' END || text AS text FROM conversations),
 j AS (SELECT * FROM it JOIN ch USING (chapter)),
 x AS (
@@ -197,7 +197,7 @@ def j14_monitor(s, d):
     k = c("id")
     chapters = s.range(60).select(k.alias("chapter"), F.concat(F.lit("T"), (k % 3).cast("string")).alias("track"), F.when(k % 4 == 0, "Francais").otherwise(F.concat(F.lit("S"), (k % 4).cast("string"))).alias("subject"), F.when(k % 4 == 1, "ar").otherwise("fr").alias("language"), (k % 10 == 9).alias("cancelled"))
     none = F.lit(None).cast("string")
-    items = t(s, d, "documents").where("source <> 'web'").select(F.expr(CHAPTER).alias("chapter"), c("doc_id").alias("item_id"), F.expr(ITEM_TEXT).alias("text"), none.alias("latex"), none.alias("passage"), F.expr(ANSWER).alias("official"), none.alias("model"), (c("doc_id") % 5 == 0).alias("rejected"))
+    items = t(s, d, "documents").select(F.expr(CHAPTER).alias("chapter"), c("doc_id").alias("item_id"), F.expr(ITEM_TEXT).alias("text"), none.alias("latex"), none.alias("passage"), F.expr(ANSWER).alias("official"), none.alias("model"), (c("doc_id") % 5 == 0).alias("rejected"))
     passages = t(s, d, "conversations").select((c("conv_id") % 57).alias("chapter"), F.concat_ws("-", "conv_id", "turn").alias("item_id"), F.concat(F.when(c("turn") % 5 == 1, "lâ€™eau ").otherwise(""), "text").alias("text"))
     return repair.monitor(chapters, items, passages).orderBy("severity", "track", "subject", "chapter", "code")
 
