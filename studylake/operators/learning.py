@@ -23,8 +23,9 @@ def readiness(now: DataFrame, before: DataFrame, user: str, chapter: str, chapte
     old = before.select(user, chapter, F.col("mastery").alias("__old"))
     each = now.join(old, [user, chapter], "left").groupBy(user).agg(
         F.avg("mastery").alias("m"), (F.count("*") / chapters).alias("coverage"), (F.count(F.when(F.col("attempts") >= 5, 1)) / chapters).alias("deep"),
-        F.coalesce(F.avg("mastery") - F.avg("__old"), F.lit(0.0)).alias("delta"), F.sum("attempts").alias("attempts"),
+        half_up(F.coalesce(F.avg("mastery") - F.avg("__old"), F.lit(0.0)), 9).alias("delta"), F.sum("attempts").alias("attempts"),
     )
     score = 0.5 * F.col("m") * F.col("coverage") + 0.3 * F.col("deep") + 0.2 * clamp01(0.5 + F.col("delta") / 0.2 * 0.5)
     trend = F.when(F.col("delta") > 0.02, "up").when(F.col("delta") < -0.02, "down").otherwise("flat")
-    return each.select(user, half_up(score, 3).alias("readiness"), trend.alias("trend"), (F.col("attempts") >= 10).alias("reportable"))
+    # to 9 digits first, so that the order of a sum does not decide a half
+    return each.select(user, half_up(half_up(score, 9), 3).alias("readiness"), trend.alias("trend"), (F.col("attempts") >= 10).alias("reportable"))

@@ -53,8 +53,8 @@ def i06_weak_chapters(spark, sf_dir):
 
 READINESS = f"""
 WITH n AS ({MASTERY}), b AS ({MASTERY.replace('FROM events', "FROM events WHERE ts < TIMESTAMP '2024-01-04'").replace("2024-02-01", "2024-01-04")}),
-x AS (SELECT n.user_id, avg(n.mastery) AS m, count(*) / 5.0 AS coverage, count(*) FILTER (n.attempts >= 5) / 5.0 AS deep, avg(n.mastery) - avg(b.mastery) AS delta, sum(n.attempts) AS attempts FROM n LEFT JOIN b USING (user_id, chapter) GROUP BY 1)
-SELECT user_id, floor((0.5 * m * coverage + 0.3 * deep + 0.2 * greatest(0.0, least(1.0, 0.5 + coalesce(delta, 0) / 0.2 * 0.5))) * 1000 + 0.5) / 1000 AS readiness,
+x AS (SELECT n.user_id, avg(n.mastery) AS m, count(*) / 5.0 AS coverage, count(*) FILTER (n.attempts >= 5) / 5.0 AS deep, floor((avg(n.mastery) - avg(b.mastery)) * 1000000000 + 0.5) / 1000000000 AS delta, sum(n.attempts) AS attempts FROM n LEFT JOIN b USING (user_id, chapter) GROUP BY 1)
+SELECT user_id, floor(floor((0.5 * m * coverage + 0.3 * deep + 0.2 * greatest(0.0, least(1.0, 0.5 + coalesce(delta, 0) / 0.2 * 0.5))) * 1000000000 + 0.5) / 1000000000 * 1000 + 0.5) / 1000 AS readiness,
   CASE WHEN coalesce(delta, 0) > 0.02 THEN 'up' WHEN coalesce(delta, 0) < -0.02 THEN 'down' ELSE 'flat' END AS trend, attempts >= 10 AS reportable FROM x"""
 
 
