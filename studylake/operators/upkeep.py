@@ -31,18 +31,24 @@ def moved_links(links: DataFrame, merged: DataFrame, key: str, other: str) -> Da
 def contained_strays(rows: DataFrame, originals: DataFrame, by: list[str], key: str, text: str, head: int = 80, window: int = 100, least: int = 20) -> DataFrame:
     """Keys of rows in whose first `window` letters the first `head` letters of an original of equal `by`, another row, stand.
 
-    Only letters count. An original of under `least` letters matches nothing. A row offers the hash of each stretch of its window that is as long as an
-    original's head (lengths from least to head, so the offers of a row are bounded); equal hashes meet and are compared as texts.
+    Only letters count. An original of under `least` letters matches nothing. A row offers the hash of each stretch of `least` letters of its window, and
+    where an original's head begins with one, the hashes of the stretches from there that are as long as the heads that begin so; equal ones meet and are
+    compared as texts. So a row moves once for each letter of its window, however the lengths of heads are spread.
     """
-    letters = lambda n: F.left(F.regexp_replace(text, r"[^\p{L}]+", ""), F.lit(n))
+    # a text is read up to its last letter that counts
+    letters = lambda n: F.regexp_replace(F.regexp_extract(text, r"^(?:[^\p{L}]*+\p{L}){0,%d}" % n, 0), r"[^\p{L}]+", "")
     heads = originals.select(*by, F.col(key).alias("__original"), letters(head).alias("__head")).withColumn("__n", F.length("__head")).where(F.col("__n") >= least)
     # an original's key is needed only to tell it from the row itself: two of each head are enough
-    known = heads.groupBy(*by, "__n", "__head").agg(F.min("__original").alias("__low"), F.max("__original").alias("__high")).withColumn("__h", F.xxhash64("__head"))
-    sizes = heads.groupBy(*by).agg(F.collect_set("__n").alias("__sizes"))  # head - least + 1 numbers at most
-    wide = rows.select(*by, key, letters(window).alias("__w")).join(sizes, by)
-    cuts = F.flatten(F.transform("__sizes", lambda n: F.when(F.length("__w") >= n, F.transform(F.sequence(F.lit(1), F.length("__w") - n + 1), lambda i: F.struct(n.alias("n"), F.xxhash64(F.substring(F.col("__w"), i, n)).alias("h")))).otherwise(F.array())))
-    offered = wide.select(*by, key, "__w", F.explode(F.array_distinct(cuts)).alias("__c")).select(*by, key, "__w", F.col("__c.n").alias("__n"), F.col("__c.h").alias("__h"))
-    met = offered.join(known, [*by, "__n", "__h"]).where(F.contains("__w", "__head") & ((F.col("__low") != F.col(key)) | (F.col("__high") != F.col(key))))
+    known = heads.groupBy(*by, "__n", "__head").agg(F.min("__original").alias("__low"), F.max("__original").alias("__high")).withColumn("__h", F.xxhash64(*by, "__head"))
+    starts = heads.groupBy(F.xxhash64(*by, F.left("__head", F.lit(least))).alias("__s")).agg(F.collect_set("__n").alias("__sizes"))  # head - least + 1 numbers at most
+    wide = rows.select(*by, key, letters(window).alias("__w"))
+    at = F.sequence(F.lit(1), F.length("__w") - least + 1)
+    # hashes of groups too, so that names of groups do not move with each stretch
+    offered = wide.where(F.length("__w") >= least).select(*by, key, F.explode(at).alias("__i"), "__w").select(F.xxhash64(*by, key).alias("__k"), "__i", F.xxhash64(*by, F.substring("__w", F.col("__i"), F.lit(least))).alias("__s"))
+    begun = offered.join(starts, "__s").select("__k", "__i", F.explode("__sizes").alias("__n"))
+    cut = wide.withColumn("__k", F.xxhash64(*by, key)).join(begun, "__k").where(F.col("__i") + F.col("__n") - 1 <= F.length("__w"))
+    cut = cut.withColumn("__c", F.substring("__w", F.col("__i"), F.col("__n"))).select(*by, key, "__n", "__c", F.xxhash64(*by, "__c").alias("__h"))
+    met = cut.join(known, [*by, "__n", "__h"]).where((F.col("__c") == F.col("__head")) & ((F.col("__low") != F.col(key)) | (F.col("__high") != F.col(key))))
     return met.select(key).distinct()
 
 
