@@ -3,7 +3,10 @@
 import random
 import time
 
+import duckdb
+
 from studylake.operators import upkeep
+from studylake.plans import planning
 
 
 def letters(n, seed):
@@ -20,3 +23,14 @@ def test_strays_move_a_row_once_a_letter(spark):
     found = upkeep.contained_strays(originals.unionByName(spark.createDataFrame(strays, originals.schema)), originals, ["source"], "id", "text").collect()
     assert {r.id for r in found} == {100_000 + i for i in range(0, 10_000, 50)}
     assert time.time() - start < 45
+
+
+def test_mastery_of_ties_as_in_sql(spark, tmp_path):
+    """One attempt each, whose credit times a thousand ends in a half: the weight decides the digit, so its days and their exp must be SQL's."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds((i * 7919 * 1000003) % 259199999999) AS ts, i AS user_id, 'view' AS event_type, i % 1000 / 2 + 0.25 AS value, '' AS props
+      FROM range(20000) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    ours = {r.user_id: r.mastery for r in planning.earlier(spark, str(tmp_path)).collect()}
+    theirs = dict(con.execute(f"SELECT user_id, mastery FROM ({planning.EARLIER})").fetchall())
+    assert [u for u, m in theirs.items() if ours[u] != m] == []
