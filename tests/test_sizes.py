@@ -5,7 +5,7 @@ import time
 
 import duckdb
 
-from studylake.operators import upkeep
+from studylake.operators import retrieval, upkeep
 from studylake.plans import planning
 
 
@@ -34,3 +34,15 @@ def test_mastery_of_ties_as_in_sql(spark, tmp_path):
     ours = {r.user_id: r.mastery for r in planning.earlier(spark, str(tmp_path)).collect()}
     theirs = dict(con.execute(f"SELECT user_id, mastery FROM ({planning.EARLIER})").fetchall())
     assert [u for u, m in theirs.items() if ours[u] != m] == []
+
+
+def test_shared_vocabulary_goes_once_over_a_text(spark):
+    """Thousands of words of a question in thousands of texts: a search for each word of each text took minutes."""
+    words = [letters(9, i) for i in range(4000)]
+    texts = [(i, "a", " ".join(words[i % 1000 : i % 1000 + 400])) for i in range(2000)] + [(9001, "b", None), (9000, "b", "zz"), (9002, "c", "abc")]
+    asked = spark.createDataFrame([("a", [*words, words[0]]), ("b", ["xyz"]), ("d", ["abc"]), (None, ["q"])], "s string, w array<string>")
+    hits = spark.createDataFrame(texts, "id int, s string, t string")
+    start = time.time()
+    found = retrieval.share_vocabulary(hits, asked, "s", "w", "t", "id", 2).select("s", "id", "shared").collect()
+    assert sorted(map(tuple, found)) == [("a", 0, 400), ("a", 1, 400), ("b", 9000, 0), ("b", 9001, 0)]
+    assert time.time() - start < 30
