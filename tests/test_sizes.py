@@ -4,9 +4,13 @@ import random
 import time
 
 import duckdb
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from studylake.operators import retrieval, upkeep
 from studylake.plans import planning
+from studylake.sources.files import BATCH_ROWS
+from studylake.sources.tables import table
 
 
 def letters(n, seed):
@@ -46,3 +50,11 @@ def test_shared_vocabulary_goes_once_over_a_text(spark):
     found = retrieval.share_vocabulary(hits, asked, "s", "w", "t", "id", 2).select("s", "id", "shared").collect()
     assert sorted(map(tuple, found)) == [("a", 0, 400), ("a", 1, 400), ("b", 9000, 0), ("b", 9001, 0)]
     assert time.time() - start < 30
+
+
+def test_texts_go_to_python_in_bounded_batches(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    spark.createDataFrame([(i, "Ⅳ é") for i in range(5000)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = F.pandas_udf(lambda x: x.map(lambda _: len(x)), LongType())
+    assert table(spark, str(tmp_path), "documents").select(sizes("text").alias("n")).agg(F.max("n")).first()[0] == BATCH_ROWS
