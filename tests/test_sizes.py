@@ -58,3 +58,12 @@ def test_texts_go_to_python_in_bounded_batches(spark, tmp_path):
     spark.createDataFrame([(i, "Ⅳ é") for i in range(5000)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     sizes = F.pandas_udf(lambda x: x.map(lambda _: len(x)), LongType())
     assert table(spark, str(tmp_path), "documents").select(sizes("text").alias("n")).agg(F.max("n")).first()[0] == BATCH_ROWS
+
+
+def test_search_of_pairs_alone(spark):
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "red fox sits, fox"), (3, "blue fox"), (4, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, '"red fox"'), (8, "fox -red")], "query_id long, question string")
+    every = {tuple(r) for r in retrieval.search(docs, asked).collect()}
+    assert {r[:2] for r in every} == {(7, 1), (7, 2), (8, 3)}
+    pairs = spark.createDataFrame([(7, 2), (7, 3), (7, 4), (8, 1), (8, 3), (9, 1)], "query_id long, id long")
+    assert {tuple(r) for r in retrieval.search(docs, asked, pairs=pairs).collect()} == {r for r in every if r[:2] in {(7, 2), (8, 3)}}
