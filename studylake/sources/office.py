@@ -7,11 +7,12 @@
 
 Paths are folders that driver and executors share, on any file system that Arrow opens by its address. A task writes files whose names hold the
 attempt; commit() keeps those of the attempts that won and deletes others, abort() deletes all. Overwriting empties the folder of such files at the
-commit. Characters that XML can't hold are written as _xHHHH_, as the format has it, in both kinds of files.
+commit. A workbook goes to its file row by row, so a task holds a row and the texts that it shares, SHARED characters at most; further texts stand in
+their cells. Characters that XML can't hold are written as _xHHHH_, as the format has it, in both kinds of files.
 
 Defined results: null is a cell that is not there; an empty text stays one; a sheet's first row holds the names of columns, in any order; columns that a
 sheet has not are null and those that nobody asked for are left out; a value that is not of its column's type is null. A sheet holds 1,048,576 rows
-at most, so a task with more writes several; a cell holds 32,767 characters at most, and a longer text is an error. Texts that are read may
+and SHEET_BYTES at most, so a task with more writes several; a cell holds 32,767 characters at most, and a longer text is an error. Texts that are read may
 be shared, inline or rich.
 """
 
@@ -22,6 +23,7 @@ import re
 import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -31,6 +33,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Fixed values of the formats: rows of a sheet, characters of a cell, names of parts and namespaces.
 SHEET_ROWS, CELL_CHARACTERS = 1 << 20, 32_767
+#: Bytes of a sheet, well under the 2 GB of a part of unknown size, and characters of the texts that a workbook shares, with so many more for each text.
+SHEET_BYTES, SHARED, EACH_SHARED = 1 << 30, 16 << 20, 64
+#: Bytes that go to a part at once.
+BUFFER = 1 << 18
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -141,7 +147,7 @@ class _SheetReader(DataSourceReader):
         if not path:
             return
         with _archive(self.folder, path) as archive:
-            shared = [_texts(x) for x in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in archive.namelist() else []
+            shared = self._shared(archive) if "xl/sharedStrings.xml" in archive.namelist() else []
             names: list[str | None] = []
             with archive.open(part) as stream:
                 for row in self._rows(stream, shared):
@@ -151,6 +157,19 @@ class _SheetReader(DataSourceReader):
                     cells = dict(zip(names, row, strict=False))
                     yield tuple(None if (v := cells.get(f.name)) is None else _as(v, f.dataType) for f in self.schema)
 
+    @staticmethod
+    def _shared(archive: zipfile.ZipFile) -> list[str]:
+        """The shared texts as they come; what has been read is cleared."""
+        out = []
+        with archive.open("xl/sharedStrings.xml") as stream:
+            events = ElementTree.iterparse(stream, events=("start", "end"))
+            _, root = next(events)
+            for event, x in events:
+                if event == "end" and x.tag == f"{{{MAIN}}}si":
+                    out.append(_texts(x))
+                    root.clear()
+        return out
+
     @staticmethod
     def _rows(stream, shared: list[str]) -> Iterator[list]:
         """Rows of a sheet as they come; each is cleared when it has been read."""
@@ -187,10 +206,13 @@ class _FolderWriter(DataSourceWriter):
     def __init__(self, folder: str, overwrite: bool, ending: str):
         self.folder, self.overwrite, self.ending, self.job = folder, overwrite, ending, uuid.uuid4().hex[:12]
 
-    def _store(self, name: str, made: bytes) -> str:
+    def _stream(self, name: str):
         store, root = _open(self.folder)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{name}") as out:
+        return store.open_output_stream(f"{root}/{name}")
+
+    def _store(self, name: str, made: bytes) -> str:
+        with self._stream(name) as out:
             out.write(made)
         return name
 
@@ -226,20 +248,20 @@ class _SheetWriter(_FolderWriter):
         self.names, self.inline = schema.names, inline
 
     def write(self, rows: Iterator) -> _Written:
-        attempt, names, sheet = _attempt(), [], []
-        for row in rows:
-            sheet.append(row)
-            if len(sheet) == SHEET_ROWS - 1:
-                names.append(self._book(sheet, attempt, len(names)))
-                sheet = []
-        if sheet:
-            names.append(self._book(sheet, attempt, len(names)))
+        attempt, names, rows = _attempt(), [], iter(rows)
+        while (first := next(rows, None)) is not None:
+            name, left = self._book(chain([first], rows), attempt, len(names))
+            names.append(name)
+            rows = chain(left, rows)
         return _Written(names)
 
-    def _book(self, rows: list, attempt: str, number: int) -> str:
+    def _book(self, rows: Iterator, attempt: str, number: int) -> tuple[str, list]:
+        """Write one workbook of as many rows as a sheet takes; its name and the row, if any, that came and did not fit."""
         numbers: dict[str, int] = {}
+        letters, room, left = [_letters(k) for k in range(len(self.names))], SHARED, []
 
         def cell(place: str, value: object) -> str:
+            nonlocal room
             if value is None:
                 return ""
             if isinstance(value, bool):
@@ -249,12 +271,13 @@ class _SheetWriter(_FolderWriter):
             text = str(value)
             if len(text) > CELL_CHARACTERS:
                 raise ValueError(f"a cell holds {CELL_CHARACTERS} characters, not {len(text)}")
-            if self.inline:
+            if not self.inline and text not in numbers and len(text) + EACH_SHARED <= room:
+                room -= len(text) + EACH_SHARED
+                numbers[text] = len(numbers)
+            if text not in numbers:
                 return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{to_xml(text)}</t></is></c>'
-            return f'<c r="{place}" t="s"><v>{numbers.setdefault(text, len(numbers))}</v></c>'
+            return f'<c r="{place}" t="s"><v>{numbers[text]}</v></c>'
 
-        lines = [f'<row r="{i}">{"".join(cell(f"{_letters(k)}{i}", v) for k, v in enumerate(row))}</row>' for i, row in enumerate([self.names, *rows], 1)]
-        shared = "".join(f'<si><t xml:space="preserve">{to_xml(x)}</t></si>' for x in numbers)
         types = "application/vnd.openxmlformats-officedocument.spreadsheetml."
         kind = f"{OFFICE}/"
         parts = {
@@ -263,10 +286,28 @@ class _SheetWriter(_FolderWriter):
             "_rels/.rels": f'<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="rId1" Type="{kind}officeDocument" Target="xl/workbook.xml"/></Relationships>',
             "xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{OFFICE}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
             "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="rId1" Type="{kind}worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{kind}sharedStrings" Target="sharedStrings.xml"/></Relationships>',
-            "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{MAIN}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
-            "xl/sharedStrings.xml": f'<sst xmlns="{MAIN}">{shared}</sst>',
         }
-        return self._store(f"part-{self.job}-{attempt}-{number}.xlsx", _zip(parts))
+        name = f"part-{self.job}-{attempt}-{number}.xlsx"
+        with self._stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for part, xml in parts.items():
+                archive.writestr(part, HEAD + xml)
+            with io.BufferedWriter(archive.open("xl/worksheets/sheet1.xml", "w"), BUFFER) as sheet:
+                size = sheet.write(f'{HEAD}<worksheet xmlns="{MAIN}"><sheetData>'.encode())
+                for i, row in enumerate(chain([self.names], rows), 1):
+                    line = f'<row r="{i}">{"".join(cell(f"{at}{i}", v) for at, v in zip(letters, row, strict=True))}</row>'.encode()
+                    if i > 2 and size + len(line) > SHEET_BYTES:
+                        left = [row]
+                        break
+                    size += sheet.write(line)
+                    if i == SHEET_ROWS:
+                        break
+                sheet.write(b"</sheetData></worksheet>")
+            with io.BufferedWriter(archive.open("xl/sharedStrings.xml", "w"), BUFFER) as texts:
+                texts.write(f'{HEAD}<sst xmlns="{MAIN}">'.encode())
+                for text in numbers:
+                    texts.write(f'<si><t xml:space="preserve">{to_xml(text)}</t></si>'.encode())
+                texts.write(b"</sst>")
+        return name, left
 
 
 def _zip(parts: dict[str, str]) -> bytes:

@@ -2,13 +2,17 @@
 
 import random
 import time
+import tracemalloc
+from itertools import islice
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from studylake.operators import retrieval, upkeep
 from studylake.plans import planning
+from studylake.sources import office
 from studylake.sources.files import BATCH_ROWS
 from studylake.sources.tables import table
 
@@ -67,3 +71,33 @@ def test_search_of_pairs_alone(spark):
     assert {r[:2] for r in every} == {(7, 1), (7, 2), (8, 3)}
     pairs = spark.createDataFrame([(7, 2), (7, 3), (7, 4), (8, 1), (8, 3), (9, 1)], "query_id long, id long")
     assert {tuple(r) for r in retrieval.search(docs, asked, pairs=pairs).collect()} == {r for r in every if r[:2] in {(7, 2), (8, 3)}}
+
+
+@pytest.mark.parametrize("inline", [False, True])
+def test_workbooks_hold_a_row_at_a_time(tmp_path, monkeypatch, inline):
+    """100,000 rows of their own texts: a task that keeps a sheet's rows, or all of its shared texts, holds tens of megabytes."""
+    monkeypatch.setattr(office, "_attempt", lambda: "00000-1")
+    monkeypatch.setattr(office, "SHARED", 1 << 20)
+    folder, schema = f"file://{tmp_path}", StructType([StructField("a", LongType()), StructField("b", StringType())])
+    office._SheetWriter(folder, False, schema, inline).write(iter([(0, "")]))
+    tracemalloc.start()
+    office._SheetWriter(folder, False, schema, inline).write((i, f"text & number {i}") for i in range(100_000))
+    reader = office._SheetReader(folder, schema)
+    read = max(reader.partitions(), key=lambda p: (tmp_path / p.value[0].rpartition("/")[2]).stat().st_size)
+    rows = reader.read(read)
+    assert list(islice(rows, 2)) == [(0, "text & number 0"), (1, "text & number 1")]
+    assert sum(i * (text == f"text & number {i}") for i, text in rows) == sum(range(2, 100_000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 << 20
+
+
+def test_sheets_have_a_limit_of_bytes(tmp_path, monkeypatch):
+    monkeypatch.setattr(office, "_attempt", lambda: "00000-1")
+    monkeypatch.setattr(office, "SHEET_BYTES", 700)
+    folder, schema = f"file://{tmp_path}", StructType([StructField("a", LongType()), StructField("b", StringType())])
+    rows = [(i, "x" * (i * 40)) for i in range(30)]
+    names = office._SheetWriter(folder, False, schema, True).write(iter(rows)).names
+    assert len(names) > 10
+    reader = office._SheetReader(folder, schema)
+    assert sorted(r for p in reader.partitions() for r in reader.read(p)) == rows
