@@ -40,6 +40,7 @@ CAPABILITY = (
 )
 COURTESY_WORDS, MESSAGE_WORDS = 4, 30
 
+EDGE = r"\b"
 # Fixed values of the question classifier: patterns, and Arabic phrases without spaces.
 ESSAY_HEADER = r"\bsujets?\s*[:：]|\b(?:premier|premi[èe]re|deuxi[èe]me|troisi[èe]me|quatri[èe]me)\s+sujet\b|\bdissertation\b|\bproduction\s+[ée]crite\b|\btopics?\s*[:：]|\bessay\b"
 ESSAY_ORDER = (
@@ -87,13 +88,22 @@ def fold_question(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(plain, "(?U)\\s+", " ")))
 
 
+#: The letters that alternatives of the patterns above begin with.
+OPENING = {ESSAY_HEADER: "spdqte", ESSAY_ORDER: "pdcqàareitw", DOCUMENT: "lcdapty", POINTING: "ct"}
+
+
+def at_words(pattern: str) -> str:
+    """A pattern whose alternatives each begin at a word's edge, for folded texts: one look at the letter and one at the edge for all of them."""
+    return f"(?=[{OPENING[pattern]}])\\b(?:{pattern.removeprefix(EDGE).replace('|' + EDGE, '|')})"
+
+
 def question_kind(folded: Column) -> Column:
     """kind (essay, comprehension, concept) and confidence of a folded question; the first rule that holds decides."""
     tight = F.regexp_replace(folded, " ", "")
-    found = lambda p: folded.rlike("(?i)" + p)
+    found = lambda p: folded.rlike(at_words(p))
     answer = lambda kind, sure="high": F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"))
     return (
         F.when(found(ESSAY_HEADER) | holds_any(tight, ARABIC_ESSAY) | found(ESSAY_ORDER), answer("essay"))
-        .when(found(DOCUMENT) | found(ARABIC_DOCUMENT_WORD) | holds_any(tight, ARABIC_DOCUMENT), answer("comprehension"))
+        .when(found(DOCUMENT) | folded.rlike(ARABIC_DOCUMENT_WORD) | holds_any(tight, ARABIC_DOCUMENT), answer("comprehension"))
         .when(found(POINTING) | holds_any(tight, ARABIC_POINTING), answer("concept", "low")).otherwise(answer("concept"))
     )

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from studylake.functions import classify
+from studylake.functions import text as X
 from studylake.operators import papers, retrieval, upkeep
 from studylake.plans import planning
 from studylake.sources import office
@@ -114,3 +116,16 @@ def test_owners_of_names_grow_with_the_lines(spark):
     expected |= {(2, 1, "figure", 1, "b"): 2, (2, 1, "figure", 1, "a"): 0, (2, 1, "figure", 1, ""): 0, (2, 3, "table", 1, ""): None, (None, 1, "table", 1, ""): None}
     assert found == expected
     assert time.time() - start < 30
+
+
+def test_question_patterns_look_once_at_a_word(spark):
+    """Each alternative looked for its own word's edge at each letter; one look for all of them must find the same texts."""
+    pick = random.Random(4)
+    pieces = ["sujet", "sujets :", "premier sujet", "essay", "essai argumentatif", "ce jugement", "à votre avis", "a votre avis", "write an essay", "to what extent", "le texte", "l'auteur", "l. 3", "ligne 2", "this", "article", "lines 4",
+              "according to the", "your author", "ci-dessus", "the", "above", "cette", "question", "exercise", "d’après le passage", "x", "é", "1", "_", "-", " ", " ", ".", "the problematic", "dissertation", "dans le corpus", "celle-ci"]
+    texts = spark.createDataFrame([("".join(pick.choice(pieces) for _ in range(pick.randrange(1, 6))),) for _ in range(5000)], "f string")
+    patterns = list(classify.OPENING)
+    for plain, quick in [(p, classify.at_words(p)) for p in patterns]:
+        assert quick.count(r"|\b") == 0 < plain.count(r"|\b")
+        kept = texts.select(F.col("f").rlike("(?i)" + plain).alias("a"), F.col("f").rlike(quick).alias("b")).groupBy("a", "b").count().collect()
+        assert {(r.a, r.b) for r in kept} == {(True, True), (False, False)}
