@@ -68,15 +68,15 @@ def content_key(text: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """ar, en, fr, mixed or null by script share and stop words."""
-    own = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    count = lambda stops: F.size(F.filter(own, lambda w: w.isin(*stops)))
-    arabic, latin = F.regexp_count(text, F.lit("[\\u0600-\\u06FF]")), F.regexp_count(text, F.lit("[A-Za-zÀ-ÿ]"))
-    english, french = count(ENGLISH), count(FRENCH)
-    return (
-        F.when(arabic + latin == 0, None).when(arabic > latin * 2, "ar").when(arabic * 2 > latin, "mixed")
-        .when(english > french, "en").when(french > english, "fr")
-    )
+    """ar, en, fr, mixed or null by script share and stop words. Texts are cut to words once, and Latin letters counted only where there are Arabic ones."""
+    stops = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.isin(*ENGLISH, *FRENCH))
+    lead = lambda own: 2 * F.size(F.filter(own, lambda w: w.isin(*ENGLISH))) - F.size(own)
+    by_words = F.transform(F.array(stops), lambda own: F.sign(lead(own)))[0]
+    worded = F.element_at(F.array(F.lit("fr"), F.lit(None), F.lit("en")), by_words.cast("int") + 2)
+    arabic, latin = F.regexp_count(text, F.lit("[\\u0600-\\u06FF]")), F.length(F.regexp_replace(text, "[^A-Za-zÀ-ÿ]+", ""))
+    scripts = F.transform(F.array(F.struct(arabic.alias("a"), latin.alias("l"))), lambda n: F.when(n["a"] > n["l"] * 2, "ar").when(n["a"] * 2 > n["l"], "mixed"))[0]
+    has_arabic = text.rlike("[\\u0600-\\u06FF]")
+    return F.when(has_arabic, F.coalesce(scripts, worded)).when(text.rlike("[A-Za-zÀ-ÿ]"), worded)
 
 
 def title_key(title: Column) -> Column:

@@ -129,3 +129,11 @@ def test_question_patterns_look_once_at_a_word(spark):
         assert quick.count(r"|\b") == 0 < plain.count(r"|\b")
         kept = texts.select(F.col("f").rlike("(?i)" + plain).alias("a"), F.col("f").rlike(quick).alias("b")).groupBy("a", "b").count().collect()
         assert {(r.a, r.b) for r in kept} == {(True, True), (False, False)}
+
+
+def test_language_cuts_a_text_once(spark):
+    """Four lists of words were made of each text, and each Latin letter was a match of its own."""
+    texts = {None: None, "": None, "12 ?": None, "the cat": "en", "le chat": "fr", "le the": None, "zz": None, "É": None, "سلام": "ar", "سلام the": "mixed", "سلام the and of": "en", "س des chats, la": "fr", "س zzzz": None, "س zz": None, "سس z": "mixed", "سسس z": "ar", "THE Le of": "en"}
+    found = {r.t: r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.language(F.col("t")).alias("x")).collect()}
+    assert found == texts
+    assert str(X.language(F.col("t"))._jc).count("split(") <= 2
