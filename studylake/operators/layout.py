@@ -261,11 +261,15 @@ def figure_owner(figures: DataFrame, parts: DataFrame, page: list[str], share: f
 
 
 def owner_level(references: DataFrame, by: list[str]) -> DataFrame:
-    """by, level: shared by two or more questions, of one question or its only subquestion, else of the context; columns role, top, label, sub."""
+    """by, level: shared by two or more questions, of one question or its only subquestion, else of the context; columns role, top, label, sub.
+
+    One and several are told apart by least and greatest, so that a row is kept for each group, not for each of its distinct values.
+    """
     asks = F.col("role") == "question"
-    tops, subs = F.count_distinct(F.when(asks, F.col("top"))), F.count_distinct(F.when(asks & F.col("sub"), F.col("label")))
+    ends = lambda x: (F.min(x), F.max(x))
+    (top, last_top), (sub, last_sub) = ends(F.when(asks, F.col("top"))), ends(F.when(asks & F.col("sub"), F.col("label")))
     whole = F.count(F.when(asks & ~F.col("sub"), 1))
-    level = F.when(tops >= 2, "EXERCISE_SHARED").when((tops == 1) & (subs == 1) & (whole == 0), "SUBQUESTION").when(tops == 1, "QUESTION").otherwise("EXERCISE_CONTEXT")
+    level = F.when(top < last_top, "EXERCISE_SHARED").when((top == last_top) & (sub == last_sub) & (whole == 0), "SUBQUESTION").when(top == last_top, "QUESTION").otherwise("EXERCISE_CONTEXT")
     return references.groupBy(*by).agg(level.alias("level"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from studylake.functions import classify
 from studylake.functions import text as X
-from studylake.operators import papers, retrieval, upkeep
+from studylake.operators import layout, papers, retrieval, upkeep
 from studylake.plans import planning
 from studylake.sources import office
 from studylake.sources.files import BATCH_ROWS
@@ -137,3 +137,13 @@ def test_language_cuts_a_text_once(spark):
     found = {r.t: r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.language(F.col("t")).alias("x")).collect()}
     assert found == texts
     assert str(X.language(F.col("t"))._jc).count("split(") <= 2
+
+
+def test_owner_levels_keep_a_row_a_group(spark):
+    """Distinct counts sent and held each row once for each of them."""
+    rows = [(1, "question", 1, 1, True), (1, "question", 2, 1, True), (2, "question", 1, 5, True), (2, "question", 1, 5, True), (2, "stimulus", 3, 6, True), (3, "question", 1, 5, True), (3, "question", 1, 6, True),
+            (4, "question", 1, 5, True), (4, "question", 1, 5, False), (5, "stimulus", 1, 1, False), (6, "question", None, 1, True), (7, "question", 1, None, True), (8, "question", 1, 5, None), (9, None, 1, 5, True)]
+    found = layout.owner_level(spark.createDataFrame(rows, "p int, role string, top int, label int, sub boolean"), ["p"])
+    shared, one, only, none = "EXERCISE_SHARED", "QUESTION", "SUBQUESTION", "EXERCISE_CONTEXT"
+    assert {r.p: r.level for r in found.collect()} == {1: shared, 2: only, 3: one, 4: one, 5: none, 6: none, 7: one, 8: one, 9: none}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
