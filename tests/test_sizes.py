@@ -147,3 +147,19 @@ def test_owner_levels_keep_a_row_a_group(spark):
     shared, one, only, none = "EXERCISE_SHARED", "QUESTION", "SUBQUESTION", "EXERCISE_CONTEXT"
     assert {r.p: r.level for r in found.collect()} == {1: shared, 2: only, 3: one, 4: one, 5: none, 6: none, 7: one, 8: one, 9: none}
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_containment_reads_the_texts_once(spark):
+    """Every text was cut to words three times, and came whole to each pair."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def words(texts):
+        seen.add(len(texts))
+        return texts.str.split(" ")
+
+    cut = F.pandas_udf(words, "array<string>")
+    asked = spark.createDataFrame([(1, "a b c d e f g h i j".split()), (2, "a b c".split()), (3, "k l m n o p q".split())], "id int, words array<string>")
+    texts = [(10, "a b c d e f g h i z y x"), (11, "a b c d e f g h z"), (12, "q p o n m l k"), (13, ""), (14, None), (15, "a b c")]
+    corpus = spark.createDataFrame(texts, "id int, text string").select("id", cut("text").alias("words"))
+    assert {tuple(r) for r in retrieval.contained(asked, corpus).collect()} == {(1, 10, 0.9), (3, 12, 1.0)}
+    assert seen.value == len(texts)
