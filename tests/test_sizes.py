@@ -163,3 +163,17 @@ def test_containment_reads_the_texts_once(spark):
     corpus = spark.createDataFrame(texts, "id int, text string").select("id", cut("text").alias("words"))
     assert {tuple(r) for r in retrieval.contained(asked, corpus).collect()} == {(1, 10, 0.9), (3, 12, 1.0)}
     assert seen.value == len(texts)
+
+
+def test_index_gives_candidates_by_block(spark, monkeypatch):
+    """Each list that a probe visits gave its own candidates, and the probe went to each list."""
+    pick, made = random.Random(5), []
+    rows = [(i, [pick.gauss(0, 1) for _ in range(8)]) for i in range(2000)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = retrieval.top_per_group
+    monkeypatch.setattr(retrieval, "top_per_group", lambda df, *more: made.append(df) or whole(df, *more))
+    probes = e.where("vec_id % 100 = 0")
+    found = {(r.probe_id, r.vec_id) for r in retrieval.index_search(probes, e, 5).collect()}
+    assert made[0].groupBy("probe_id").count().agg(F.max("count")).first()[0] <= 5 * 20
+    true = {(r.probe_id, r.vec_id) for r in retrieval.knn(probes, e, [], 5).collect()}
+    assert len(found) == 20 * 5 and len(found & true) >= 0.9 * len(true)
