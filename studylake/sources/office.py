@@ -3,11 +3,13 @@
     spark.read.format("xlsx").schema("a long, b string").load(folder)         one partition for each sheet of each file
     df.write.format("xlsx").mode("append").save(folder)                       one file a task that has rows
     spark.read.format("docx").load(folder)                                    file, place, style, text of each paragraph; table cells are paragraphs
+    spark.read.format("docx").option("rows", "documents").load(folder)        file, styles, texts of each document, the paragraphs in order
     df.write.format("docx").mode("append").save(folder)                       columns name, text: one file a row, one paragraph a line
 
 Paths are folders that driver and executors share, on any file system that Arrow opens by its address. A task writes files whose names hold the
 attempt; commit() keeps those of the attempts that won and deletes others, abort() deletes all. Overwriting empties the folder of such files at the
-commit. A workbook goes to its file row by row, so a task holds a row and the texts that it shares, SHARED characters at most; further texts stand in
+commit. Text documents stand in folders of FILES files and FOLDER_BYTES at most, of one attempt each: driver and messages know these folders alone, a reader's task
+lists its own. A workbook goes to its file row by row, so a task holds a row and the texts that it shares, SHARED characters at most; further texts stand in
 their cells. Characters that XML can't hold are written as _xHHHH_, as the format has it, in both kinds of files.
 
 Defined results: null is a cell that is not there; an empty text stays one; a sheet's first row holds the names of columns, in any order; columns that a
@@ -29,7 +31,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Fixed values of the formats: rows of a sheet, characters of a cell, names of parts and namespaces.
 SHEET_ROWS, CELL_CHARACTERS = 1 << 20, 32_767
@@ -42,13 +44,16 @@ WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+ODD_CHARACTER = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿\r]")
 FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]|\r|_x[0-9A-Fa-f]{4}_")
 ESCAPED = re.compile("_x([0-9A-Fa-f]{4})_")
 
 
 def to_xml(text: str) -> str:
     """Text for an XML part; what XML can't hold as _xHHHH_, and a text that looks like that with its first character so."""
-    return escape(FORBIDDEN.sub(lambda m: f"_x{ord(m[0][0]):04X}_" + m[0][1:], text))
+    if "_x" in text or ODD_CHARACTER.search(text):
+        text = FORBIDDEN.sub(lambda m: f"_x{ord(m[0][0]):04X}_" + m[0][1:], text)
+    return escape(text)
 
 
 def from_xml(text: str) -> str:
@@ -211,11 +216,6 @@ class _FolderWriter(DataSourceWriter):
         store.create_dir(root, recursive=True)
         return store.open_output_stream(f"{root}/{name}")
 
-    def _store(self, name: str, made: bytes) -> str:
-        with self._stream(name) as out:
-            out.write(made)
-        return name
-
     def _drop(self, keep: set[str]) -> None:
         store, root = _open(self.folder)
         for path in _files(self.folder, self.ending):
@@ -311,10 +311,11 @@ class _SheetWriter(_FolderWriter):
 
 
 def _zip(parts: dict[str, str]) -> bytes:
+    """An archive of parts; short ones are stored as they are."""
     made = io.BytesIO()
-    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as archive:
+    with zipfile.ZipFile(made, "w") as archive:
         for name, xml in parts.items():
-            archive.writestr(name, HEAD + xml)
+            archive.writestr(name, HEAD + xml, zipfile.ZIP_DEFLATED if len(xml) > SHORT else zipfile.ZIP_STORED, 1)
     return made.getvalue()
 
 
@@ -333,72 +334,151 @@ class Workbooks(DataSource):
 
 
 # ---- text documents
-#: Files of one partition of a reader.
-FILES = 64
+#: Files and bytes of a folder that a writer makes and of a partition of a reader; bytes of a batch of whole documents; characters of a short part; bytes of a file that is read at once.
+FILES, FOLDER_BYTES, BATCH_BYTES, SHORT, AT_ONCE = 2048, 16 << 20, 1 << 20, 600, 1 << 20
+FOLDER = re.compile(r"docx-([0-9a-f]{12})-\d+-\d+-\d+")
 BREAKS = {f"{{{WORD}}}tab": "\t", f"{{{WORD}}}br": "\n", f"{{{WORD}}}cr": "\n", f"{{{WORD}}}noBreakHyphen": "‑"}
+PARAGRAPH, PROPERTIES, STYLE, VALUE, RUN_TEXT = (f"{{{WORD}}}{x}" for x in ("p", "pPr", "pStyle", "val", "t"))
+FIXED = {
+    "[Content_Types].xml": f'<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+    '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="rId1" Type="{OFFICE}/officeDocument" Target="word/document.xml"/></Relationships>',
+}
+
+
+def _folders(folder: str) -> tuple[list[str], list]:
+    """The folders that writers have made in a folder, and its other files and folders."""
+    from pyarrow import fs
+
+    store, root = _open(folder)
+    info = store.get_file_info(root)
+    found = store.get_file_info(fs.FileSelector(root)) if info.type == fs.FileType.Directory else [info]
+    own = [f.path for f in found if f.type == fs.FileType.Directory and FOLDER.fullmatch(f.base_name)]
+    return sorted(own), [f for f in found if f.path not in set(own)]
+
+
+def _documents(store, found: list) -> list:
+    """Text documents among files and, however deep, in folders."""
+    from pyarrow import fs
+
+    deep = [x for f in found if f.type == fs.FileType.Directory for x in store.get_file_info(fs.FileSelector(f.path, recursive=True))]
+    return sorted((f for f in [*found, *deep] if f.type == fs.FileType.File and f.base_name.lower().endswith(".docx") and not f.base_name.startswith(("_", ".", "~"))), key=lambda f: f.path)
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
+    """A folder that a writer has made, or paths of files."""
+
+    def __init__(self, paths: str | list[str]):
         super().__init__(paths)
 
 
 class _TextReader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, whole: bool = False):
+        self.folder, self.whole = folder, whole
 
     def partitions(self) -> list[_Files]:
-        paths = _files(self.folder, ".docx")
-        return [_Files(paths[i : i + FILES]) for i in range(0, len(paths), FILES)] or [_Files([])]
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for path in partition.value:
-            with _archive(self.folder, path) as archive, archive.open("word/document.xml") as stream:
-                place = 0
-                for _, x in ElementTree.iterparse(stream):
-                    if x.tag != f"{{{WORD}}}p":
-                        continue
-                    style = x.find(f"{{{WORD}}}pPr/{{{WORD}}}pStyle")
-                    pieces = [(r.text or "") if r.tag == f"{{{WORD}}}t" else BREAKS.get(r.tag, "") for r in x.iter()]
-                    yield path.rpartition("/")[2], place, None if style is None else style.get(f"{{{WORD}}}val"), from_xml("".join(pieces))
-                    place += 1
-                    x.clear()
+        own, others = _folders(self.folder)
+        out, size = [_Files(path) for path in own], FOLDER_BYTES
+        loose: list[list[str]] = []
+        for f in _documents(_open(self.folder)[0], others):
+            if size + f.size > FOLDER_BYTES or len(loose[-1]) == FILES:
+                loose.append([])
+                size = 0
+            loose[-1].append(f.path)
+            size += f.size
+        return out + [_Files(paths) for paths in loose] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator:
+        from pyarrow import fs
+
+        store, _ = _open(self.folder)
+        paths = partition.value
+        if isinstance(paths, str):
+            paths = [f.path for f in _documents(store, store.get_file_info(fs.FileSelector(paths)))]
+        return self._whole(store, paths) if self.whole else ((path.rpartition("/")[2], place, *x) for path in paths for place, x in enumerate(self._paragraphs(store, path)))
+
+    def _whole(self, store, paths: list[str]) -> Iterator:
+        """Arrow batches of a document a row, of BATCH_BYTES or one document."""
+        import pyarrow as pa
+
+        lists, files, styles, texts, size = pa.list_(pa.string()), [], [], [], 0
+        batch = lambda: pa.record_batch([pa.array(files, pa.string()), pa.array(styles, lists), pa.array(texts, lists)], names=["file", "styles", "texts"])
+        for path in paths:
+            found = list(self._paragraphs(store, path))
+            files.append(path.rpartition("/")[2])
+            styles.append([x for x, _ in found])
+            texts.append([x for _, x in found])
+            size += sum(map(len, texts[-1]))
+            if size >= BATCH_BYTES:
+                yield batch()
+                files, styles, texts, size = [], [], [], 0
+        if files:
+            yield batch()
 
-
-class _TextWriter(_FolderWriter):
+    @staticmethod
+    def _paragraphs(store, path: str) -> Iterator[tuple[str | None, str]]:
+        with store.open_input_file(path) as file, zipfile.ZipFile(io.BytesIO(file.read()) if file.size() <= AT_ONCE else file) as archive, archive.open("word/document.xml") as stream:
+            for _, x in ElementTree.iterparse(stream):
+                if x.tag != PARAGRAPH:
+                    continue
+                properties = x.find(PROPERTIES)
+                style = None if properties is None else properties.find(STYLE)
+                pieces = [(r.text or "") if r.tag == RUN_TEXT else BREAKS.get(r.tag, "") for r in x.iter()]
+                yield None if style is None else style.get(VALUE), from_xml("".join(pieces))
+                x.clear()
+
+
+class _TextWriter(_FolderWriter, DataSourceArrowWriter):
     def __init__(self, folder: str, overwrite: bool, schema: T.StructType):
         super().__init__(folder, overwrite, ".docx")
         self.name, self.text = schema.names.index("name"), schema.names.index("text")
 
-    def write(self, rows: Iterator) -> _Written:
-        attempt = _attempt()
-        return _Written([self._store(f"{row[self.name]}-{self.job}-{attempt}.docx", self._document(row[self.text] or "")) for row in rows])
+    def write(self, batches: Iterator) -> _Written:
+        attempt, names, room, files = _attempt(), [], 0, 0
+        store, root = _open(self.folder)
+        for name, text in (row for b in batches for row in zip(b.column(self.name).to_pylist(), b.column(self.text).to_pylist(), strict=True)):
+            if room <= 0 or files == FILES:
+                names.append(f"docx-{self.job}-{attempt}-{len(names)}")
+                store.create_dir(f"{root}/{names[-1]}", recursive=True)
+                room, files = FOLDER_BYTES, 0
+            made = self._document(text or "")
+            with store.open_output_stream(f"{root}/{names[-1]}/{name}-{self.job}-{attempt}-{files}.docx") as out:
+                out.write(made)
+            room, files = room - len(made), files + 1
+        return _Written(names)
+
+    def _drop(self, keep: set[str]) -> None:
+        store, _ = _open(self.folder)
+        own, others = _folders(self.folder)
+        for path in own:
+            name = path.rpartition("/")[2]
+            if name not in keep and (self.overwrite or FOLDER.fullmatch(name)[1] == self.job):
+                store.delete_dir(path)
+        for f in _documents(store, others) if self.overwrite else []:
+            store.delete_file(f.path)
 
     @staticmethod
     def _document(text: str) -> bytes:
-        run = lambda x: f'<w:t xml:space="preserve">{to_xml(x)}</w:t>' if x else ""
-        lines = "".join(f"<w:p><w:r>{'<w:tab/>'.join(map(run, line.split(chr(9))))}</w:r></w:p>" for line in text.split("\n"))
-        parts = {
-            "[Content_Types].xml": f'<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
-            '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
-            "_rels/.rels": f'<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="rId1" Type="{OFFICE}/officeDocument" Target="word/document.xml"/></Relationships>',
-            "word/document.xml": f'<w:document xmlns:w="{WORD}"><w:body>{lines}</w:body></w:document>',
-        }
-        return _zip(parts)
+        run, end = '<w:t xml:space="preserve">', "</w:t>"
+        lines = to_xml(text).replace("\t", f"{end}<w:tab/>{run}").replace("\n", f"{end}</w:r></w:p><w:p><w:r>{run}")
+        return _zip(FIXED | {"word/document.xml": f'<w:document xmlns:w="{WORD}"><w:body><w:p><w:r>{run}{lines}{end}</w:r></w:p></w:body></w:document>'})
 
 
 class TextDocuments(DataSource):
-    """Format docx. Option: path. Reads file, place, style, text of paragraphs; writes columns name, text."""
+    """Format docx. Options: path; rows = paragraphs or documents when reading. Reads file, place, style, text of paragraphs, or file, styles, texts of documents; writes columns name, text."""
 
     @classmethod
     def name(cls) -> str:
         return "docx"
 
     def schema(self) -> str:
-        return "file string, place int, style string, text string"
+        return "file string, styles array<string>, texts array<string>" if self._whole() else "file string, place int, style string, text string"
+
+    def _whole(self) -> bool:
+        return self.options.get("rows") == "documents"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _TextReader(self.options["path"])
+        return _TextReader(self.options["path"], self._whole())
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return _TextWriter(self.options["path"], overwrite, schema)

@@ -6,6 +6,7 @@ import tracemalloc
 from itertools import islice
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -13,7 +14,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from studylake.functions import classify
 from studylake.functions import text as X
 from studylake.operators import layout, papers, retrieval, upkeep
-from studylake.plans import planning
+from studylake.plans import archives, planning
 from studylake.sources import office
 from studylake.sources.files import BATCH_ROWS
 from studylake.sources.tables import table
@@ -177,3 +178,56 @@ def test_index_gives_candidates_by_block(spark, monkeypatch):
     assert made[0].groupBy("probe_id").count().agg(F.max("count")).first()[0] <= 5 * 20
     true = {(r.probe_id, r.vec_id) for r in retrieval.knn(probes, e, [], 5).collect()}
     assert len(found) == 20 * 5 and len(found & true) >= 0.9 * len(true)
+
+
+def test_text_documents_go_by_folders(tmp_path, monkeypatch):
+    """Messages named every file, partitions held 64 of them, and files of one name in one task were one."""
+    schema, folder = StructType([StructField("name", StringType()), StructField("text", StringType())]), f"file://{tmp_path}"
+    batch = lambda rows: iter([pa.RecordBatch.from_pylist(rows, pa.schema({"name": pa.string(), "text": pa.string()}))])
+    rows = [{"name": str(i % 900), "text": f"{i}\n\n_x0041_\tand\r {i}"} for i in range(1000)]
+
+    def written(overwrite, *attempts):
+        writer = office._TextWriter(folder, overwrite, schema)
+        messages = []
+        for attempt in attempts:
+            monkeypatch.setattr(office, "_attempt", lambda: attempt)  # noqa: B023
+            messages.append(writer.write(batch(rows)))
+        return writer, messages
+
+    def read(whole):
+        reader = office._TextReader(folder, whole)
+        parts = reader.partitions()
+        found = [x for p in parts for x in reader.read(p)]
+        return len(parts), [r for b in found for r in b.to_pylist()] if whole else found
+
+    monkeypatch.setattr(office, "FILES", 300)
+    writer, (lost, kept) = written(False, "00000-1", "00000-2")
+    writer.commit([kept])  # the first attempt is lost
+    assert len(kept.names) == 4
+    parts, found = read(True)
+    assert parts == 4 and sorted((r["file"].split("-")[0], "\n".join(r["texts"])) for r in found) == sorted((r["name"], r["text"]) for r in rows)
+    assert {tuple(r["styles"]) for r in found} == {(None,) * 3}
+    parts, found = read(False)
+    assert parts == 4 and len(found) == 3000
+    writer, messages = written(False, "00000-3")
+    writer.abort(messages)
+    assert len(read(True)[1]) == 1000
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep/other.docx").write_bytes(office._TextWriter._document("other"))
+    (tmp_path / "other.docx").write_bytes(office._TextWriter._document("other" * office.SHORT))
+    (tmp_path / "notes.txt").write_text("stays")
+    parts, found = read(True)
+    assert parts == 5 and len(found) == 1002
+    writer, messages = written(True, "00000-4")
+    writer.commit(messages)
+    assert len(read(True)[1]) == 1000 and (tmp_path / "notes.txt").exists()
+
+
+def test_documents_are_read_without_a_shuffle(spark, tmp_path):
+    """Paragraphs went through a shuffle and a list to make documents of them."""
+    texts = [(3, "a\nb"), (4, None), (5, ""), (-6, " \n"), (None, "x"), (3, "a\nb")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = archives.a11_text_documents(spark, str(tmp_path))
+    theirs = duckdb.sql("SELECT doc_id, md5(coalesce(text, '')) AS h, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS paragraphs FROM '" + f"{tmp_path}/documents.parquet/*.parquet'").fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, theirs))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
