@@ -6,6 +6,7 @@ import tracemalloc
 from itertools import islice
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,23 @@ def test_documents_are_read_without_a_shuffle(spark, tmp_path):
     theirs = duckdb.sql("SELECT doc_id, md5(coalesce(text, '')) AS h, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS paragraphs FROM '" + f"{tmp_path}/documents.parquet/*.parquet'").fetchall()
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, theirs))
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_holds_one_small_tile(k):
+    """Tiles of 512 probes and a whole block, several at once, were over 100 MB a task, and each task on larger tables has a whole block."""
+    v = np.random.default_rng(3).normal(size=(retrieval.BLOCK, 8)).round(1)
+    v[5000:5010] = v[:10]
+    v, ids, probes = retrieval._unit(v), np.arange(retrieval.BLOCK) * 2, np.r_[0:600, 9999, 10000:10020]
+    p = np.concatenate([v[: len(probes) - 20][np.arange(len(probes) - 20) // 2], v[5000:5020][::-1]])
+    tracemalloc.start()
+    found = retrieval._nearest(k)(probes, p, ids, v, []).to_pandas()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for probe, x in zip(probes, p, strict=True):
+        sims = np.floor(v @ x * 1e6 + 0.5) / 1e6
+        sims[ids == probe] = -np.inf
+        best = np.lexsort((ids, -sims))[:k]
+        mine = found[found.probe_id == probe]
+        assert list(mine.vec_id) == list(ids[best]) and list(mine.sim) == list(sims[best])
+    assert most < 20 << 20
