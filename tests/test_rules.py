@@ -152,6 +152,17 @@ def test_csv_with_quotes_and_line_ends(spark):
     assert sorted(map(tuple, files.read_csv(spark, path, "t string, n int").collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_csv_keeps_white_space_empty_texts_and_nulls(spark):
+    odd = ["", None, " a", "a ", "\t", "\n", "a\r\n", "a\r", "\r\nb", '"', '""', ' "', "\\", '\\"', ",", "#a", "null", "a\x00", '\x00"', '"\x00,', "\u2028", "\u3000a"]
+    rows = [(i, t, odd[(i * 7 + 1) % len(odd)]) for i, t in enumerate(odd)] + [(None, None, None), (None, "", None)]
+    path = files.shared_path(spark, "t")
+    files.write_csv(spark.createDataFrame(rows, "n int, t string, u string").repartition(3), path)
+    assert sorted(map(repr, map(tuple, files.read_csv(spark, path, "n int, t string, u string").collect()))) == sorted(map(repr, rows))
+    path = files.shared_path(spark, "t")
+    files.write_spreadsheet_csv(spark.createDataFrame([(1, ""), (2, None), (3, ' "')], "n int, t string").coalesce(1), path)
+    assert sorted(map(tuple, files.read_csv(spark, path, "n int, t string").collect())) == [(1, ""), (2, None), (3, ' "')]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("u", "c", NOW - dt.timedelta(days=n), n % 2 == 0, None, None) for n in range(6)]
     df = spark.createDataFrame(rows, ATTEMPT).withColumnRenamed("user", "user_id")
