@@ -1,8 +1,10 @@
 """Steps that must grow no faster than their input."""
 
+import math
 import random
 import time
 import tracemalloc
+from decimal import Decimal
 from itertools import islice
 
 import duckdb
@@ -12,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from studylake.functions import classify
+from studylake import registry
+from studylake.functions import classify, core
 from studylake.functions import text as X
 from studylake.operators import layout, papers, retrieval, upkeep
 from studylake.plans import archives, planning
@@ -48,6 +51,31 @@ def test_mastery_of_ties_as_in_sql(spark, tmp_path):
     assert [u for u, m in theirs.items() if ours[u] != m] == []
 
 
+def test_mean_of_ratios_is_the_same_in_any_order(spark, tmp_path):
+    """Marks that end in a half exactly: the last bit of a sum decides the digit, so it must be that of the exact sum, in whatever order and parts the rows are read."""
+    pick = random.Random(3)
+    rows = []
+    for user in range(500):
+        cents = [pick.randrange(40_000) for _ in range(39)]
+        m = (sum(cents) // (125 * 40) + 1) // 2
+        rest = 125 * 40 * (2 * m + 1) - sum(cents)
+        rows += [(user, x / 100) for x in [*cents, rest]]
+    marks = []
+    for k, order in enumerate((rows, rows[::-1], sorted(rows, key=lambda r: r[1]))):
+        spark.createDataFrame(order, "user_id long, value double").repartition(k + 1).write.parquet(f"{tmp_path}/{k}/events.parquet")
+        marks.append({r.user_id: r.mark for r in registry.queries()["d19_mean_of_ratios"](spark, f"{tmp_path}/{k}").collect()})
+    assert marks[0] == marks[1] == marks[2]
+    held = [[Decimal(repr(min(1.0, v / 500))) for u, v in rows if u == user] for user in range(500)]
+    assert marks[0] == {u: math.floor(float(sum(x)) / len(x) * 20 * 10 + 0.5) / 10 for u, x in enumerate(held)}
+
+
+def test_mean_of_values_without_decimals(spark):
+    df = spark.createDataFrame([("a", 0.1), ("a", None), ("a", 0.2), ("b", None), ("c", 1e30), ("c", 1.0), ("d", float("inf")), ("e", -9e17), ("e", -9e17), ("f", float("nan"))], "k string, x double")
+    found = {r.k: r.m for r in df.groupBy("k").agg(core.mean(F.col("x")).alias("m")).collect()}
+    assert math.isnan(found.pop("f"))
+    assert found == {"a": 0.3 / 2, "b": None, "c": (1e30 + 1) / 2, "d": float("inf"), "e": -9e17}
+
+
 def test_shared_vocabulary_goes_once_over_a_text(spark):
     """Thousands of words of a question in thousands of texts: a search for each word of each text took minutes."""
     words = [letters(9, i) for i in range(4000)]
