@@ -290,13 +290,20 @@ BREAK = re.compile(r"[.!?؟。]\s+|[;؛]\s+|\n")
 
 
 def cut_block(block: str) -> Iterator[str]:
-    """Pieces of a long block: at the first sentence end past the target, else the last before the most, never within a formula."""
+    """Pieces of a long block: at the first sentence end past the target, else the last before the most, else at the most.
+
+    Never within a formula: a cut that would fall there moves to its start, or past it where a displayed one opens the piece. What lies between two
+    single dollars and is longer than the most is prose, and is cut.
+    """
     formulas = [m.span() for m in FORMULA.finditer(block)]
     ends = [m.end() for m in BREAK.finditer(block) if not any(a < m.end() < b for a, b in formulas)]
     start = 0
     while len(block) - start > MOST:
         reach = [e for e in ends if start < e <= start + MOST]
         stop = next((e for e in reach if e - start >= TARGET), reach[-1] if reach else start + MOST)
+        if split := next(((a, b) for a, b in formulas if a < stop < b), None):
+            a, b = split
+            stop = a if a > start else b if block.startswith("$$", a) else stop
         if piece := block[start:stop].strip():
             yield piece
         start = stop

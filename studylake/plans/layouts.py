@@ -266,8 +266,8 @@ def j08_intent(s, d):
 @query("j04_chunks")
 def j04_chunks(s, d):
     """Chunks of each document with the source as their trail; a fold over blocks, tested on literals and by the words that it keeps."""
-    found = F.pandas_udf(lambda x: x.map(lambda v: layout.chunks(v or "")), "array<struct<text:string,page:int>>")
-    parts = t(s, d, "documents").select("doc_id", F.posexplode(found("text")).alias("seq", "c"))
+    found = F.pandas_udf(lambda x, y: pd.Series([layout.chunks(v or "", trail or "") for v, trail in zip(x, y, strict=True)], dtype=object), "array<struct<text:string,page:int>>")
+    parts = t(s, d, "documents").select("doc_id", F.posexplode(found("text", "source")).alias("seq", "c"))
     return parts.select("doc_id", "seq", "c.text", "c.page")
 
 

@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from studylake import registry
 from studylake.functions import classify, core, text
 from studylake.operators import layout, learning, planning, relational, retrieval, sequential
 from studylake.sources import files
@@ -295,6 +296,27 @@ def test_long_block_is_not_cut_in_a_formula():
     assert [len(p) for p in layout.cut_block("y" * 5000)] == [2200, 2200, 600]
 
 
+def test_hard_cut_moves_out_of_a_formula():
+    shown, inline = "$$" + "x " * 100 + "$$", "$" + "y" * 300 + "$"
+    for formula in (shown, inline):
+        block = "a" * 2100 + formula + "b" * 3000
+        assert [*layout.cut_block(block)][:2] == ["a" * 2100, (formula + "b" * 3000)[: layout.MOST]]
+    long = "$$" + "x" * 3000 + "$$"
+    assert [*layout.cut_block("a" * 100 + long + "b" * 2300)] == ["a" * 100, long, "b" * 2200, "b" * 100]
+    assert [len(p) for p in layout.cut_block("$" + "p" * 5000 + "$")] == [2200, 2200, 602]
+    assert layout.chunks("a" * 2100 + shown + "b" * 300, "Book") == [("Book\n\n" + "a" * 2100, None), ("Book\n\n" + shown + "b" * 300, None)]
+
+
+def test_chunks_have_the_source_as_their_trail(spark, tmp_path):
+    shown = "$$" + "x " * 100 + "$$"
+    texts = [(1, "# One\n\n" + "Word here. " * 300, "book"), (2, "a" * 2100 + shown + "b" * 300, "paper"), (3, "no source", None), (4, None, "book"), (5, "", "book")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(registry.queries()["j04_chunks"](spark, str(tmp_path)).collect())
+    assert [(r.doc_id, r.seq) for r in found] == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)]
+    assert all(r.text.startswith("book — One\n\nWord") for r in found[:2])
+    assert [r.text for r in found[2:]] == ["paper\n\n" + "a" * 2100, "paper\n\n" + shown + "b" * 300, "no source"]
+
+
 def test_rows_bind_to_the_longest_label():
     parts = [("A",), ("A", "1"), ("B", "2")]
     assert layout.bind_rows([(), ("A", "1", "c"), (), ("A", "9"), ("C",)], parts) == [None, 1, 1, 0, 0]
